@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "op1_bpe": "bpe",
+    "op3_license": "licenses",
+    "op4_quality": "quality",
+    "op5_neighbours": "neighbours",
     "op6_sharding": "sharding",
+    "op7_media": "media",
     "op9_url_filters": "url_filters",
     "op10_mixing": "mixing",
 }
