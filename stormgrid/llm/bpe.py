@@ -25,8 +25,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Texts are gathered up to so many bytes before their new words are merged together, and a
 #: worker forgets its words once it holds so many.
-GATHER_BYTES = 24 << 20
-MOST_WORDS = 1_000_000
+GATHER_BYTES = 10 << 20
+MOST_WORDS = 400_000
 
 _loaded: dict[str, Vocabulary] = {}
 
@@ -54,14 +54,14 @@ class Vocabulary:
         symbols = byte_symbols()
         back = {s: b for b, s in enumerate(symbols)}
         self.size = max([*ids.values(), *self.special.values()]) + 1
-        self.first = np.array([ids[s] for s in symbols], np.int64)
+        self.first = np.array([ids[s] for s in symbols], np.int32)
         pieces = [b""] * self.size
         for token, i in ids.items():
             pieces[i] = bytes(back[c] for c in token)
         for token, i in self.special.items():
             pieces[i] = token.encode()
-        self.lengths = np.array([len(x) for x in pieces], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        self.lengths = np.array([len(x) for x in pieces], np.int32)
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         keys = np.array([ids[a] * self.size + ids[b] for a, b in merges], np.int64)
@@ -83,12 +83,12 @@ class Vocabulary:
         self.words: dict[str, int] = defaultdict(count().__next__)
         for s in self.special:
             self.words[s]
-        own = np.array(list(self.special.values()), np.int64)
-        self.ids, self.counts = [own], [np.ones(len(own), np.int64)]
+        own = np.array(list(self.special.values()), np.int32)
+        self.ids, self.counts = [own], [np.ones(len(own), np.int32)]
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens, or -1."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         key[(left < 0) | (right < 0)] = -1
         at = self.keys.searchsorted(key)
         return np.where(self.keys[at] == key, self.by_key[at], -1)
@@ -102,7 +102,7 @@ class Vocabulary:
         ends = np.cumsum([len(x) + 1 for x in raw]) - 1
         token[ends] = -1
         n = len(token)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[-1] = n - 1
         before[0] = n - 1
         index: dict[int, list[np.ndarray]] = {}
@@ -125,7 +125,7 @@ class Vocabulary:
                     index[r] = [at[a:b]]
                     heapq.heappush(active, r)
 
-        note(np.arange(n - 1))
+        note(np.arange(n - 1, dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             groups = index.pop(r)
@@ -152,7 +152,7 @@ class Vocabulary:
         left = token >= 0
         word_of = np.searchsorted(ends, np.flatnonzero(left))
         self.ids.append(token[left])
-        self.counts.append(np.bincount(word_of, minlength=len(words)))
+        self.counts.append(np.bincount(word_of, minlength=len(words)).astype(np.int32))
 
     def split_words(self, text: str) -> list[str]:
         if self.parts is None:
@@ -171,19 +171,19 @@ class Vocabulary:
         if len(self.words) > MOST_WORDS:
             self.forget()
         known, number = len(self.words), self.words.__getitem__  # a new word gets the next number
-        used, lengths = array("q"), np.zeros(len(texts), np.int64)
+        used, lengths = array("i"), np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             if text:
                 words = self.split_words(text) if not plain and any(s in text for s in self.special) else self.split.findall(text)
                 used.extend(map(number, words))
                 lengths[k] = len(words)
-        used = np.frombuffer(used, np.int64) if used else np.zeros(0, np.int64)
+        used = np.frombuffer(used, np.int32) if used else np.zeros(0, np.int32)
         if len(self.words) > known:
             self.learn(list(islice(self.words, known, None)))
         if len(self.ids) > 1:
             self.ids, self.counts = [np.concatenate(self.ids)], [np.concatenate(self.counts)]
         ids, counts = self.ids[0], self.counts[0]
-        starts = np.concatenate([[0], np.cumsum(counts)])[:-1]
+        starts = np.cumsum(counts, dtype=np.int32) - counts
         flat = spread(ids, starts[used], counts[used])
         per_word = np.concatenate([[0], np.cumsum(counts[used])])
         offsets = per_word[np.concatenate([[0], np.cumsum(lengths)])]
@@ -192,7 +192,7 @@ class Vocabulary:
     def decode(self, column: pa.ListArray) -> pa.Array:
         """The text of each list of ids; bytes that are no UTF-8 become U+FFFD, unknown ids nothing."""
         flat = column.flatten()
-        ids = flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = flat.fill_null(-1).to_numpy(zero_copy_only=False)
         known = (ids >= 0) & (ids < self.size)
         ids = np.where(known, ids, 0)
         counts = np.where(known, self.lengths[ids], 0)
@@ -207,8 +207,14 @@ class Vocabulary:
 def spread(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The slices ``values[s : s + c]`` one after the other."""
     ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(starts - ends + counts, counts)]
+    if not len(ends) or not ends[-1]:
+        return values[:0]
+    # Steps of one inside a slice, and a jump where the next begins.
+    starts, ends, counts = starts[counts > 0], ends[counts > 0], counts[counts > 0]
+    at = np.ones(int(ends[-1]), np.int32)
+    at[0] = starts[0]
+    at[ends[:-1]] = starts[1:] - starts[:-1] - counts[:-1] + 1
+    return values[np.cumsum(at, dtype=np.int32)]
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -217,13 +223,13 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, convert) -> DataFrame:
-    """``df`` with ``out`` (replaced if there) made from ``column`` in gathered Arrow batches."""
+def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, convert, gather: int) -> DataFrame:
+    """``df`` with ``out`` (replaced if there) made from ``column`` in Arrow batches of ``gather`` bytes."""
     keep = [c for c in df.columns if c != out]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in gathered(batches, GATHER_BYTES):
+        for held in gathered(batches, gather):
             for batch in held.combine_chunks().to_batches():
                 made = convert(batch.column(column))
                 columns = [batch.column(c) for c in keep]
@@ -248,7 +254,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
     def convert(column: pa.Array) -> pa.ListArray:
         return vocabulary(path).encode(column.to_pylist())
 
-    return _mapped(df, text_col, out, T.ArrayType(T.IntegerType()), convert)
+    return _mapped(df, text_col, out, T.ArrayType(T.IntegerType()), convert, GATHER_BYTES)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -257,7 +263,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     def convert(column: pa.Array) -> pa.Array:
         return vocabulary(path).decode(column)
 
-    return _mapped(df, ids_col, out, T.StringType(), convert)
+    return _mapped(df, ids_col, out, T.StringType(), convert, 1)
 
 
 def tokenizer_path() -> str:
