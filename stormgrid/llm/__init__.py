@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 _QUERIES = {
     "op1_bpe": "bpe",
+    "op2_line_dedup": "line_dedup",
     "op3_license": "licenses",
     "op4_quality": "quality",
     "op5_neighbours": "neighbours",
     "op6_sharding": "sharding",
     "op7_media": "media",
+    "op8_jaccard": "jaccard",
     "op9_url_filters": "url_filters",
     "op10_mixing": "mixing",
 }
