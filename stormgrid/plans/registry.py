@@ -73,7 +73,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
 
 
 def _load() -> None:
-    for module in ("scans", "scalars", "joining", "rates", "losses", "ranking", "draws", "networks", "models"):
+    for module in ("scalars", "rates", "ranking"):
         import_module(f"stormgrid.plans.{module}")
 
 
