@@ -57,7 +57,7 @@ cross join (select 5 as pct union all select 10 union all select 20 union all se
 """,
     "fx_sims": """
 select concat('U', cast(l_suppkey % 12 as varchar(20))) as unit, case l_linenumber % 3 when 0 then 'A' when 1 then 'B' else 'C' end as family,
-  cast(2018 + l_partkey % 6 as int) as year, cast(l_orderkey % 40 as int) as sim_id, sum(l_extendedprice * l_discount) as loss, count(*) as n_events,
-  sum(case when l_quantity > 25 then 1 else 0 end) as n_hit from {lineitem} group by 1, 2, 3, 4
+  cast(2018 + l_partkey % 6 as int) as year, cast(l_orderkey % 40 as int) as sim_id, cast(sum(cast(round(l_extendedprice * l_discount * 100) as bigint)) as double) / cast(100 as double) as loss, count(*) as n_events,
+  cast(sum(case when l_quantity > 25 then 1 else 0 end) as bigint) as n_hit from {lineitem} group by 1, 2, 3, 4
 """,
 }
