@@ -73,7 +73,7 @@ def query(name: str, sql: str | None = None, doubles: str = "", digits: int = 6)
 
 
 def _load() -> None:
-    for module in ("scalars", "rates", "ranking", "losses", "joining"):
+    for module in ("scalars", "rates", "ranking", "losses", "joining", "networks", "draws", "scans", "models"):
         import_module(f"stormgrid.plans.{module}")
 
 
