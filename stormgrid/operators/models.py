@@ -63,3 +63,17 @@ def score(df: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
 def importance(models: dict[str, PipelineModel], features: Sequence[str], spark) -> DataFrame:
     rows = [(t, f, float(v)) for t, m in models.items() for f, v in zip(features, m.stages[-1].featureImportances.toArray(), strict=True)]
     return spark.createDataFrame(rows, "target string, feature string, importance double")
+
+
+def tune(df: DataFrame, features: Sequence[str], target: str, depths: Sequence[int], trees: Sequence[int]):
+    """The best of a grid on an inner validation split: the model and the error of each setting."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+
+    model = GBTRegressor(featuresCol="features", labelCol=target, stepSize=0.08, subsamplingRate=0.8, seed=42)
+    grid = ParamGridBuilder().addGrid(model.maxDepth, list(depths)).addGrid(model.maxIter, list(trees)).build()
+    stages = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), model])
+    search = TrainValidationSplit(estimator=stages, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=target), trainRatio=0.8, seed=42)
+    fitted = search.fit(df)
+    rows = [(int(p[model.maxDepth]), int(p[model.maxIter]), float(e)) for p, e in zip(grid, fitted.validationMetrics, strict=True)]
+    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "depth int, trees int, rmse double")

@@ -283,3 +283,56 @@ def algebraic_connectivity(nodes: DataFrame, edges: DataFrame, rounds: int = 60)
 def union_timeline(events: DataFrame) -> DataFrame:
     """For each simulation, graph and hour the nodes out by any active event; events has hour and node_id rows."""
     return events.select("sim_id", "graph_id", "hour", "node_id").distinct()
+
+
+def timeline_loss(nodes: DataFrame, edges: DataFrame, active: DataFrame) -> DataFrame:
+    """Hourly losses of the union of nodes that active events take out, summed over the hours.
+
+    active has sim_id, hour, event_id, graph_id, node_id: a row for each node an event takes out in
+    an hour. Equal unions of a graph are measured once.
+    """
+    union = settled(union_timeline(active))
+    cases = union.withColumn("case_id", F.concat_ws("|", "sim_id", "hour"))
+    losses = removal_loss(nodes, edges, cases.select("graph_id", "case_id", "node_id"))
+    hours = cases.select("sim_id", "graph_id", "hour", "case_id").distinct()
+    most = active.groupBy("sim_id", "graph_id", "hour").agg(F.countDistinct("event_id").alias("events"))
+    most = most.groupBy("sim_id", "graph_id").agg(F.max("events").alias("max_simultaneous"))
+    sums = hours.join(losses, ["graph_id", "case_id"]).groupBy("sim_id", "graph_id").agg(F.sum("relative").alias("loss"), F.count("*").alias("hours"))
+    return sums.join(most, ["sim_id", "graph_id"])
+
+
+def expand_sites(sites: DataFrame, candidates: DataFrame, pct: float, spacing_km: float) -> DataFrame:
+    """Add ceil(pct * n) sites to each state, at least ``spacing_km`` from all others.
+
+    sites: state, lat, lon. candidates: ord, state, lat, lon in order of preference. Those near an
+    existing site go; of the rest the greedy order-first choice stands, cut at each state's target.
+    """
+    from stormgrid.operators.spatial import within_radius
+
+    centers = sites.select(F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    near = within_radius(candidates.select("ord", "lat", "lon"), centers, F.lit(spacing_km)).select("ord").distinct()
+    free = settled(candidates.join(near, "ord", "left_anti"))
+    others = free.select(F.col("ord").alias("a"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    pairs = within_radius(free.select("ord", "lat", "lon"), others, F.lit(spacing_km)).where("a < ord")
+    kept = independent_set(free, pairs.select("a", F.col("ord").alias("b"))).where("kept").select("ord")
+    target = sites.groupBy("state").agg(F.ceil(F.count("*") * pct).alias("target"))
+    ranked = free.join(kept, "ord").join(target, "state").withColumn("k", F.row_number().over(by("state", "ord")))
+    added = ranked.where("k <= target").select("state", "lat", "lon", F.lit(True).alias("is_added"))
+    return sites.select("state", "lat", "lon", F.lit(False).alias("is_added")).unionByName(added)
+
+
+def tract_classes(tracts: DataFrame, metro: DataFrame, micro: DataFrame, cut: float = 0.35) -> DataFrame:
+    """urban, suburban or rural: boxes that meet a metro area, by area; then those that meet a micro area."""
+    from stormgrid.operators.joins import boxes_meet
+
+    in_metro = boxes_meet(tracts.select("id", "south", "west", "north", "east"), metro).select("id").distinct().withColumn("metro", F.lit(True))
+    in_micro = boxes_meet(tracts.select("id", "south", "west", "north", "east"), micro).select("id").distinct().withColumn("micro", F.lit(True))
+    joined = tracts.join(in_metro, "id", "left").join(in_micro, "id", "left")
+    edge = joined.where("metro").agg(F.percentile("area_km2", F.lit(cut)).alias("edge"))
+    label = F.when(F.col("metro") & (F.col("area_km2") <= F.col("edge")), "urban").when(F.col("metro") | F.col("micro"), "suburban").otherwise("rural")
+    return joined.crossJoin(F.broadcast(edge)).withColumn("class", label).drop("edge", "metro", "micro")  # one row
+
+
+def tract_population(tracts: DataFrame, population: DataFrame) -> DataFrame:
+    out = tracts.where("south is not null").join(population, "tract", "left")
+    return out.withColumn("population", F.coalesce("population", F.lit(0.0))).withColumn("fips", F.substring("tract", 1, 5))

@@ -47,3 +47,9 @@ def m06(t: Tables):
         scored = M.score(df.where(~train), models).select(F.lit(name).alias("split"), F.col("y_random_50").alias("y_true"), F.col("pred_y_random_50").alias("y_pred"))
         out = scored if out is None else out.unionAll(scored)
     return L.curve_metrics(out, ["split"]).select("split", F.round("r2", 4).alias("r2"), F.round("mae", 4).alias("mae"), "n")
+
+
+@query("m04_tune")
+def m04(t: Tables):
+    _, errors = M.tune(windows(t), FEATURES, "y_random_50", [2, 3], [2, 4])
+    return errors.withColumn("rmse", F.round("rmse", 4))

@@ -220,3 +220,44 @@ def g29(t: Tables):
     corners = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)]
     ring = F.array(*(F.struct((F.lit(-100.0) + x).alias("lon"), (k + y).alias("lat")) for x, y in corners))
     return S.ring_area_centroid(t.orders.select(F.col("o_orderkey").alias("id"), ring.alias("ring"))).select("id", "area_km2")
+
+
+@query("g21_expand_sites")
+def g21(t: Tables):
+    sites = t.fx_stations.where("station_id % 3 <> 0").select("state", "lat", "lon")
+    candidates = t.fx_stations.where("station_id % 3 = 0").select(F.col("station_id").alias("ord"), "state", "lat", "lon")
+    out = N.expand_sites(sites, candidates, 0.1, 5.0)
+    return out.select("state", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "is_added")
+
+
+@query("g23_union_timeline")
+def g23(t: Tables):
+    from stormgrid.operators.outages import active_hours
+
+    start = (F.col("event_id") % 6).cast("double")
+    hours = active_hours(t.fx_epicenters, start, start + F.least(F.col("duration_hours"), F.lit(3.0)))
+    hours = hours.select(F.col("event_id").alias("case_id"), "sim_id", "hour")
+    out_nodes = disrupted(t).join(hours, "case_id").select("sim_id", "hour", F.col("case_id").alias("event_id"), "graph_id", "node_id")
+    return N.timeline_loss(t.fx_nodes, t.fx_edges, out_nodes).withColumn("loss", F.round("loss", 6))
+
+
+@query("g28_tract_classes", """with t as (select o_orderkey as id, 30 + o_orderkey % 130 / 10.0 as south, -120 + o_custkey % 380 / 10.0 as west, 0.05 + o_orderkey % 7 / 20.0 as side from orders),
+b as (select n_nationkey, 30 + n_nationkey % 10 * 1.5 as south, -120 + n_nationkey % 10 * 4.0 as west from nation),
+m as (select t.id, bool_or(n_nationkey < 5) as metro, bool_or(n_nationkey >= 5) as micro from t join b on t.south <= b.south + 0.6 and t.south + side >= b.south and t.west <= b.west + 0.9 and t.west + side >= b.west group by 1),
+c as (select quantile_cont(side * side, 0.35) as edge from t join m using (id) where metro)
+select t.id, case when coalesce(metro, false) and side * side <= edge then 'urban' when coalesce(metro, false) or coalesce(micro, false) then 'suburban' else 'rural' end as class from t left join m using (id), c""")
+def g28(t: Tables):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    side = (k % 7) / 20.0 + 0.05
+    south, west = (k % 130) / 10.0 + 30, (c % 380) / 10.0 - 120
+    tracts = t.orders.select(k.alias("id"), south.alias("south"), west.alias("west"), (south + side).alias("north"), (west + side).alias("east"), (side * side).alias("area_km2"))
+    n = (F.col("n_nationkey") % 10).cast("double")
+    areas = t.nation.select(F.col("n_nationkey").alias("id"), (n * 1.5 + 30).alias("south"), (n * 4.0 - 120).alias("west"), (n * 1.5 + 30.6).alias("north"), (n * 4.0 - 119.1).alias("east"))
+    return N.tract_classes(tracts, areas.where("id < 5"), areas.where("id >= 5")).select("id", "class")
+
+
+@query("g30_tract_population", "select concat(fips, '1') as tract, case when state <> 'S2' then population else 0 end as population, fips from fx_county", "population")
+def g30(t: Tables):
+    tracts = t.fx_county.select(F.concat("fips", F.lit("1")).alias("tract"), F.col("centroid_lat").alias("south"))
+    population = t.fx_county.where("state <> 'S2'").select(F.concat("fips", F.lit("1")).alias("tract"), "population")
+    return N.tract_population(tracts, population).select("tract", "population", "fips")

@@ -99,14 +99,12 @@ def s14(t: Tables):
     return t.spark.read.schema("unit string, n bigint").json(path)
 
 
-@query("s15_partitioned_metrics", "select family, unit, cast(min(year) as varchar) as net_year, count(*) as n from fx_sims where year = 2020 group by 1, 2")
+@query("s15_partitioned_metrics", "select family, unit, cast(year as varchar) as net_year, count(*) as n from fx_sims group by 1, 2, 3")
 def s15(t: Tables):
     path = folder(t, "metrics")
-    rows = t.fx_sims.where("year = 2020").select("loss", "n_events", "family", "unit")
-    for r in rows.select("family").distinct().toLocalIterator():  # one folder for each family of the study
-        for u in rows.where(F.col("family") == r["family"]).select("unit").distinct().toLocalIterator():
-            one = rows.where((F.col("family") == r["family"]) & (F.col("unit") == u["unit"])).select("loss", "n_events")
-            one.coalesce(1).write.option("header", True).csv(f"{path}/{r['family']}/net2020_out2020/{u['unit']}")
+    run = F.format_string("net%d_out%d", "year", "year")
+    rows = t.fx_sims.select("loss", "n_events", "family", run.alias("run"), "unit")
+    rows.write.partitionBy("family", "run", "unit").option("header", True).csv(path)
     back = S.read_partitioned_metrics(t.spark, path, "loss double, n_events bigint")
     return back.groupBy("family", "unit", "net_year").agg(F.count("*").alias("n"))
 
@@ -158,3 +156,35 @@ def t01(t: Tables):
 def t02(t: Tables):
     df = t.fx_outages.withColumn("start_time", F.col("start_time").cast("timestamp"))
     return T.hourly_active(df).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("s07_read_polygons", "select fips as id, centroid_lat - 0.5 as south, centroid_lon + 0.7 as east from fx_county where state <> 'S5'", "south east")
+def s07(t: Tables):
+    path = folder(t, "polygons")
+    corners = [(-0.5, -0.7), (0.5, -0.7), (0.5, 0.7), (-0.5, 0.7)]
+    ring = F.array(*(F.struct((F.col("centroid_lon") + x).alias("lon"), (F.col("centroid_lat") + y).alias("lat")) for y, x in corners))
+    t.fx_county.select(F.col("fips").alias("id"), "state", ring.alias("ring")).write.parquet(path)
+    return S.read_polygons(t.spark, path, ["S5"]).select("id", "south", "east")
+
+
+@query("s10_write_windows", "select window_id, radius_km from fx_windows", "radius_km")
+def s10(t: Tables):
+    path = folder(t, "windows")
+    S.write_windows(t.fx_windows, t.fx_nodes.select(F.col("graph_id").alias("window_id"), "node_id"), path)
+    return t.spark.read.parquet(f"{path}/windows").select("window_id", "radius_km")
+
+
+@query("s11_write_subgraphs", "select graph_id as window_id, count(*) as n_nodes, (select count(*) from fx_edges e where e.graph_id = n.graph_id) as n_edges from fx_nodes n group by 1")
+def s11(t: Tables):
+    named = lambda d: d.withColumnRenamed("graph_id", "window_id")
+    path = folder(t, "subgraphs")
+    S.write_subgraphs(named(t.fx_nodes), named(t.fx_edges), path)
+    return t.spark.read.parquet(f"{path}/manifest")
+
+
+@query("s12_write_labels", "select window_id, avg(y_true) as y, min(radius_km) as radius_km from fx_curves group by 1", "y radius_km")
+def s12(t: Tables):
+    path = folder(t, "labels")
+    labels = t.fx_curves.groupBy("window_id").agg(F.avg("y_true").alias("y"))
+    S.write_labels(labels, t.fx_windows.select("window_id", "radius_km"), path)
+    return t.spark.read.schema("window_id string, y double, radius_km double").option("header", True).csv(f"{path}/csv")

@@ -81,9 +81,9 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def read_partitioned_metrics(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """``family/netY_outZ/unit/*.csv``: the keys come from the path."""
+    """``family/netY_outZ/unit/*.csv``: the keys come from the path, whose parts may have a name and =."""
     df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(root)
-    pattern = r"/([^/]+)/net(\d+)_out(\d+)/([^/]+)/[^/]+$"
+    pattern = r"/(?:\w+=)?([^/=]+)/(?:\w+=)?net(\d+)_out(\d+)/(?:\w+=)?([^/=]+)/[^/]+$"
     path = F.col("_metadata.file_path")
     keys = {"family": 1, "net_year": 2, "out_year": 3, "unit": 4}
     return df.select("*", *(F.regexp_extract(path, pattern, k).alias(n) for n, k in keys.items()))
@@ -114,3 +114,33 @@ def read_panel(spark: SparkSession, path: str) -> DataFrame:
     sign = F.when(F.regexp_extract("scenario", r"_([pm])\d+$", 1) == "m", -1).otherwise(1)
     size = F.regexp_extract("scenario", r"_[pm](\d+)$", 1).try_cast("int")
     return df.withColumn("dose_pct", F.coalesce(sign * size, F.lit(0)))
+
+
+def read_polygons(spark: SparkSession, path: str, dropped: Sequence[str] = ()) -> DataFrame:
+    """Rings (id, state, ring of lon, lat) with the four sides of their box; named states go."""
+    df = spark.read.parquet(path).where(~F.col("state").isin(list(dropped)) if dropped else F.lit(True))
+    lat, lon = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
+    return df.withColumns({"south": F.array_min(lat), "north": F.array_max(lat), "west": F.array_min(lon), "east": F.array_max(lon)})
+
+
+def write_windows(windows: DataFrame, members: DataFrame, path: str) -> None:
+    windows.write.mode("overwrite").parquet(f"{path}/windows")
+    members.write.mode("overwrite").parquet(f"{path}/window_nodes")
+
+
+def write_subgraphs(nodes: DataFrame, edges: DataFrame, path: str) -> DataFrame:
+    """Nodes and edges of each window, and the manifest with their counts, which is returned."""
+    nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+    n = nodes.groupBy("window_id").agg(F.count("*").alias("n_nodes"))
+    m = edges.groupBy("window_id").agg(F.count("*").alias("n_edges"))
+    manifest = n.join(m, "window_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return manifest
+
+
+def write_labels(labels: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
+    joined = labels.join(manifest, "window_id", "left")
+    joined.write.mode("overwrite").parquet(f"{path}/parquet")
+    joined.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    return joined
