@@ -2,64 +2,146 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormgrid.llm.common import materialize, table
+from stormgrid.llm.common import materialize, sliced, small_batches, table
 
 DEPTH = 3  # leading tokens of a leaf
 LEAST_TOKENS = 4  # shorter lines are never dropped
 LEAST_DOCUMENTS = 3  # in which a template recurs
 ALIKE = 0.7  # share of a line's tokens that stand in its leaf's template
+MARK_BITS = 24  # log2 of the bits that mark lines whose tokens are needed
 
 _BLANK = r" \t\x0B\f\r"
 _KEY = ["leaf", "n"]
+_DIGIT = re.compile(rb"[0-9]")
+_FIELD = re.compile(rb"[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*")
+
 
+def _hash(data: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
-def masked(line: Column) -> Column:
+
+def masked(line: bytes) -> list[bytes]:
     """The tokens of a line; those with a digit are variable fields."""
-    field = F.regexp_replace(line, rf"[^{_BLANK}0-9]*[0-9][^{_BLANK}]*", "<*>")
-    return F.filter(F.split(field, rf"[{_BLANK}]+"), lambda x: x != "")
+    return (_FIELD.sub(b"<*>", line) if _DIGIT.search(line) else line).split()
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """row tells texts of one id apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, at, n, leaf, tokens, line) of every line; row tells texts of one id apart."""
-    cut = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "raw"))
-    tokens = cut.withColumn("tokens", masked(F.col("raw"))).drop("raw")
-    return tokens.select(
-        "doc_id",
-        "row",
-        "at",
-        F.size("tokens").alias("n"),
-        F.xxhash64(F.slice("tokens", 1, DEPTH)).alias("leaf"),
-        F.xxhash64("tokens").alias("line"),
-        "tokens",
-    )
+    """(doc_id, row, at, n, leaf, line) of every line: token count, hash of its leading tokens, hash of all."""
+    names = ["at", "n", "leaf", "line"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row bigint, at int, n int, leaf bigint, line bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            who, values = [], ([], [], [], [])
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                if text is None:
+                    continue
+                for at, line in enumerate(text.encode().split(b"\n")):
+                    tokens = masked(line)
+                    who.append(k)
+                    row = (at, len(tokens), _hash(b"\0".join(tokens[:DEPTH])), _hash(b"\0".join(tokens)))
+                    for column, value in zip(values, row, strict=True):
+                        column.append(value)
+            of = batch.select(["doc_id", "row"]).take(pa.array(who, pa.int64()))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            columns = [*of.columns, *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))]
+            yield from sliced(pa.RecordBatch.from_arrays(columns, ["doc_id", "row", *names]))
+
+    return _texts(docs).mapInArrow(run, schema)
+
+
+def _marks(df: DataFrame, column: str):
+    """A bitmap of the values of a hash column: of fixed size, so that it can be broadcast."""
+    bits = 1 << MARK_BITS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(bits, bool)
+        for batch in batches:
+            flags[batch.column(0).to_numpy() & (bits - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["flags"])
+
+    flags = np.zeros(bits // 8, np.uint8)
+    for row in df.select(column).coalesce(8).mapInArrow(mark, "flags binary").toLocalIterator():
+        flags |= np.frombuffer(row["flags"], np.uint8)
+    return df.sparkSession.sparkContext.broadcast(flags)
+
+
+def _cells(docs: DataFrame, shown: DataFrame) -> DataFrame:
+    """(line, cells) of the lines of ``shown``, and of few others: hashes of leaf, place and token.
+
+    A bitmap tells which lines are needed, so that only they leave their task.
+    """
+    bits, marked = 1 << MARK_BITS, _marks(shown, "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needed = marked.value
+        for batch in batches:
+            found: dict[int, list[int]] = {}
+            for text in batch.column("text").to_pylist():
+                for line in () if text is None else text.encode().split(b"\n"):
+                    tokens = masked(line)
+                    if len(tokens) < LEAST_TOKENS:
+                        continue
+                    name = _hash(b"\0".join(tokens))
+                    bit = name & (bits - 1)
+                    if needed[bit >> 3] >> (7 - (bit & 7)) & 1 and name not in found:
+                        leaf = b"\0".join([b"%d" % len(tokens), *tokens[:DEPTH]])
+                        found[name] = [_hash(b"%s\0%d\0%s" % (leaf, k, t)) for k, t in enumerate(tokens)]
+            columns = [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))]
+            yield from sliced(pa.RecordBatch.from_arrays(columns, ["line", "cells"]))
+
+    return docs.select("text").mapInArrow(run, "line bigint, cells array<bigint>")
 
 
 def _templates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(leaf, n, line) of the lines that their leaf's template covers, where it covers two or more.
 
-    A position is fixed if one token holds it in more than half of the leaf's distinct lines.
+    A position is fixed if one token holds it in more than half of the leaf's distinct lines. Leaves
+    with too few lines to recur are left out: none of their lines can be dropped.
     """
-    leaves = distinct.groupBy(*_KEY).agg(F.count("*").alias("lines")).where("lines > 1")
-    shown = distinct.join(leaves, _KEY).select("doc_id", "row", "at", *_KEY, "line", "lines")
-    tokens = _lines(docs).where(F.col("n") >= LEAST_TOKENS).select("doc_id", "row", "at", "tokens")
-    shown = shown.withColumnRenamed("doc_id", "of")
-    same = F.col("doc_id").eqNullSafe(F.col("of"))
-    spelled = tokens.join(shown, ["row", "at"]).where(same).dropDuplicates(["leaf", "n", "line"])
-    cells = spelled.select(
-        *_KEY, "line", "lines", F.posexplode(F.transform("tokens", lambda x: F.xxhash64(x))).alias("place", "token")
-    )
-    cells = materialize(cells, "line-cells")
-    fixed = cells.groupBy(*_KEY, "place", "token").agg(F.count("*").alias("c"), F.first("lines").alias("m"))
-    fixed = fixed.where("2 * c > m").select(*_KEY, "place", "token")
-    alike = cells.join(fixed, [*_KEY, "place", "token"]).groupBy(*_KEY, "line").agg(F.count("*").alias("c"))
-    alike = alike.where(F.col("c") >= F.lit(ALIKE) * F.col("n")).select(*_KEY, "line")
+    leaves = distinct.groupBy(*_KEY).agg(F.count("*").alias("lines"), F.sum("times").alias("times"))
+    leaves = leaves.where((F.col("lines") > 1) & (F.col("times") >= LEAST_DOCUMENTS)).drop("times")
+    shown = materialize(distinct.join(leaves, _KEY).select(*_KEY, "line", "lines"), "lines-shown")
+    cells = _cells(docs, shown).dropDuplicates(["line"]).join(shown.select("line", "lines"), "line")
+    cells = materialize(cells, "line-cells").select("line", "lines", F.explode("cells").alias("cell"))
+    fixed = cells.groupBy("cell").agg(F.count("*").alias("c"), F.first("lines").alias("m")).where("2 * c > m")
+    alike = cells.select("line", "cell").join(fixed.select("cell"), "cell").groupBy("line").agg(F.count("*").alias("c"))
+    alike = shown.join(alike, "line").where(F.col("c") >= F.lit(ALIKE) * F.col("n")).select(*_KEY, "line")
+    alike = materialize(alike, "lines-alike")
     several = alike.groupBy(*_KEY).agg(F.count("*").alias("c")).where("c > 1")
     return alike.join(several.select(*_KEY), _KEY)
 
 
+def _touched(docs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that may lose lines, and the others, which then need no shuffle."""
+    marked, bits = _marks(gone, "gone_row"), 1 << MARK_BITS
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            flags = np.unpackbits(marked.value).view(bool)
+            for batch in batches:
+                rows = batch.column("gone_hash").to_numpy()
+                yield batch.filter(pa.array(flags[rows & (bits - 1)] == wanted, pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(True), part(False)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """Drop lines whose template recurs in ``LEAST_DOCUMENTS`` documents, except its first line.
 
@@ -77,10 +159,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     there). Null texts stay null with 0 lines; empty ones have one line; rows with equal id and
     text count as one document and change alike; null ids come first. Needs doc_id and text.
     """
-    rows = materialize(_lines(docs).drop("tokens"), "lines")
+    rows = materialize(_lines(docs), "lines")
     long = rows.where(F.col("n") >= LEAST_TOKENS)
-    distinct = long.groupBy(*_KEY, "line").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"))
-    distinct = materialize(distinct.select(*_KEY, "line", "first.*"), "lines-distinct")
+    distinct = long.groupBy(*_KEY, "line").agg(F.count("*").alias("times"))
+    distinct = materialize(distinct, "lines-distinct")
     covered = _templates(docs, distinct).withColumn("general", F.lit(True))
     named = long.join(covered, [*_KEY, "line"], "left").withColumn(
         "line", F.when(F.col("general"), F.lit(0).cast("long")).otherwise(F.col("line"))
@@ -95,10 +177,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     gone = named.join(recurring, template).where(~F.struct("doc_id", "row", "at").eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
+    gone = materialize(gone, "lines-gone")
 
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    joined = docs.select(*keep, "text", F.xxhash64("text").alias("gone_hash"))
-    joined = joined.join(
+    touched, others = _touched(docs.select(*keep, "text", F.xxhash64("text").alias("gone_hash")), gone)
+    joined = touched.join(
         gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("gone_hash") == F.col("gone_row")), "left"
     )
     # One flag for each line, so that a line is looked up by its place.
@@ -108,15 +191,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     )
     joined = joined.withColumn("gone_flags", flags)
     left = F.expr("array_join(filter(split(text, '\n'), (x, i) -> coalesce(get(gone_flags, i), true)), '\n')")
-    return joined.select(
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines")
+    changed = joined.select(
         *keep,
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        n_lines,
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return changed.unionAll(others.select(*keep, "text", n_lines, F.lit(0).cast("long").alias("n_dropped")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
