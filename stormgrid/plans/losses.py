@@ -73,7 +73,7 @@ def a17(t: Tables):
     return O.scenario_summary(t.fx_sims, ["unit"], "family", "loss", "A")
 
 
-@query("j12_scenario_vs_baseline", "select a.unit, a.family, a.year, a.sim_id, a.loss - b.loss as delta, (a.loss - b.loss) * 100 / abs(b.loss) as delta_pct from fx_sims a join fx_sims b on a.unit = b.unit and a.year = b.year and a.sim_id = b.sim_id and b.family = 'A' where a.family <> 'A'", "delta delta_pct", 6)
+@query("j12_scenario_vs_baseline", "select a.unit, a.family, a.year, a.sim_id, a.loss - b.loss as delta, (a.loss - b.loss) * 100 / nullif(abs(b.loss), 0) as delta_pct from fx_sims a join fx_sims b on a.unit = b.unit and a.year = b.year and a.sim_id = b.sim_id and b.family = 'A' where a.family <> 'A'", "delta delta_pct", 6)
 def j12(t: Tables):
     out = O.versus_baseline(t.fx_sims, ["unit", "year", "sim_id"], "family", "loss", "A")
     return out.select("unit", "family", "year", "sim_id", "delta", "delta_pct")

@@ -25,10 +25,10 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
         if str(df[c].dtype).startswith("float"):
-            df[c] = df[c].map(lambda v: None if v != v else float(v))
+            df[c] = df[c].map(lambda v: None if pd.isna(v) else float(v))
         elif "datetime" in str(df[c].dtype) or df[c].map(type).astype(str).str.contains("date").any():
             df[c] = pd.to_datetime(df[c]).map(str)
-    return sorted((tuple(None if v is None or v != v else v for v in row) for row in df.itertuples(index=False)), key=repr)
+    return sorted((tuple(None if pd.isna(v) else v for v in row) for row in df.itertuples(index=False)), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
