@@ -18,8 +18,8 @@ WORDS = 5  # of a shingle
 SKETCH_BITS = 22  # log2 of the number of counters that estimate how frequent a shingle is
 BLOCK = 1 << 16  # counters of one row of the sketch
 SEGMENTS = 64  # hash ranges whose counts bound an overlap (the suffix filter)
-BUCKET = 1 << 20  # prefix entries of one task, about
-HELD = 1 << 20  # entries that a map task holds before it hands them on
+BUCKET = 1 << 18  # prefix entries of one task, about
+HELD = 1 << 18  # entries that a map task holds before it hands them on
 ALL_PAIRS = 64  # entries of a shingle up to which all its pairs are candidates at once
 HEAVY = 1 << 17  # entries of a shingle above which they are dealt over several tasks
 MARK_BITS = 24  # log2 of the bits that mark documents whose shingles are needed
@@ -33,7 +33,7 @@ class Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -71,23 +71,15 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-_PROFILE = "doc_id bigint, set_id bigint, n int, segments array<smallint>, part int, block int, counts binary"
+_PROFILE = "doc_id bigint, set_id bigint, n int, segments array<smallint>, part int, block int, counts binary, excess binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the partition's shingle counts in sparse blocks."""
-    names = ["doc_id", "set_id", "n", "segments", "part", "block", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int16()), pa.int32(), pa.int32(), pa.binary()]
+    names = ["doc_id", "set_id", "n", "segments", "part", "block", "counts", "excess"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int16()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     known, part = Words(), TaskContext.get().partitionId()
-    seen: list[np.ndarray] = []
-    held = 0
-    where, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def folded() -> tuple[np.ndarray, np.ndarray]:
-        at = np.concatenate([where, *seen])
-        weight = np.concatenate([counts, np.ones(len(at) - len(counts), np.int64)])
-        at, inverse = np.unique(at, return_inverse=True)
-        return at, np.bincount(inverse, weights=weight, minlength=len(at)).astype(np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
 
     for batch in batches:
         ids, sizes, segments = [], [], []
@@ -97,47 +89,55 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(own))
             parts = np.bincount((own >> np.uint64(20)).astype(np.int64) % SEGMENTS, minlength=SEGMENTS)
             segments.append(np.minimum(parts, 32767).astype(np.int16) if len(own) else None)
-            seen.append(_counter(own))
-            held += len(own)
-        if held > 4 * HELD:
-            where, counts = folded()
-            seen, held = [], 0
+            np.add.at(counts, _counter(own), 1)
         none = [None] * len(ids)
-        values = [batch.column("doc_id"), ids, sizes, segments, none, none, none]
+        values = [batch.column("doc_id"), ids, sizes, segments, none, none, none, none]
         yield from sliced(pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, list) else v for v, k in zip(values, kinds, strict=True)], names))
-    where, counts = folded()
-    block = where // BLOCK
-    for b in np.unique(block).tolist():
-        own = block == b
-        data = np.concatenate([where[own] % BLOCK, np.minimum(counts[own], 1 << 31)]).astype(np.uint32).tobytes()
-        values = [[None], [None], [None], [None], [part], [b], [data]]
+    for b in range(len(counts) // BLOCK):
+        block = counts[b * BLOCK : (b + 1) * BLOCK]
+        if not block.any():
+            continue
+        values = [[None], [None], [None], [None], [part], [b], *([x] for x in _packed(block))]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
 
+def _packed(block: np.ndarray) -> tuple[bytes, bytes]:
+    """Counters as one byte each if most are in use, and (place, count) of what is above that."""
+    dense = np.minimum(block, 255).astype(np.uint8) if np.count_nonzero(block) * 4 > len(block) else None
+    rest = block if dense is None else block - dense
+    at = np.flatnonzero(rest)
+    return b"" if dense is None else dense.tobytes(), np.concatenate([at, rest[at]]).astype(np.uint32).tobytes()
+
+
+def _unpacked(counts: bytes, excess: bytes) -> np.ndarray:
+    total = np.frombuffer(counts, np.uint8).astype(np.int64) if counts else np.zeros(BLOCK, np.int64)
+    at, n = np.frombuffer(excess, np.uint32).reshape(2, -1)
+    total[at] += n
+    return total
+
+
 def _added(frame: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.int64)
-    for data in frame["counts"].to_pylist():
-        at, n = np.frombuffer(data, np.uint32).reshape(2, -1)
-        total[at] += n
-    at = np.flatnonzero(total)
-    data = np.concatenate([at, np.minimum(total[at], (1 << 32) - 1)]).astype(np.uint32).tobytes()
-    return pa.table([frame["part"][:1], frame["block"][:1], pa.array([data], pa.binary())], ["part", "block", "counts"])
+    for counts, excess in zip(frame["counts"].to_pylist(), frame["excess"].to_pylist(), strict=True):
+        total += _unpacked(counts, excess)
+    packed = [pa.array([x], pa.binary()) for x in _packed(np.minimum(total, (1 << 32) - 1))]
+    return pa.table([frame["part"][:1], frame["block"][:1], *packed], ["part", "block", "counts", "excess"])
 
 
 def _sketch(profile: DataFrame) -> np.ndarray:
     """How frequent shingles are, by hash: eight times the log2 of each counter. Always 2**SKETCH_BITS bytes."""
-    sums = profile.where("block is not null").select("part", "block", "counts")
+    sums = profile.where("block is not null").select("part", "block", "counts", "excess")
     parts = (sums.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         sums = sums.withColumn("part", F.expr("cast(part div 64 as int)"))
-        sums = sums.groupBy("part", "block").applyInArrow(_added, "part int, block int, counts binary")
+        sums = sums.groupBy("part", "block").applyInArrow(_added, "part int, block int, counts binary, excess binary")
         if parts <= 64:
             break
         parts = -(-parts // 64)
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for row in sums.select("block", "counts").toLocalIterator():
-        at, n = np.frombuffer(row["counts"], np.uint32).reshape(2, -1)
-        levels[row["block"] * BLOCK + at.astype(np.int64)] = np.minimum(255, 8 * np.log2(n))
+    for row in sums.toLocalIterator():
+        total = _unpacked(row["counts"], row["excess"])
+        levels[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.minimum(255, 8 * np.log2(np.maximum(total, 1)))
     return levels
 
 
@@ -232,17 +232,34 @@ def _candidates(usual: float):
         _, run, length = np.unique(token, return_inverse=True, return_counts=True)
         crowded = (length[run] > ALL_PAIRS) | dealt
         left, right = [], []
+
+        def propose(x: np.ndarray, y: np.ndarray) -> None:
+            fits = survives(size[x], size[y], place[x], place[y])
+            x, y = who[x[fits]], who[y[fits]]
+            left.append(np.minimum(x, y))
+            right.append(np.maximum(x, y))
+
+        calm = np.flatnonzero(~crowded)
         for step in range(1, ALL_PAIRS):
-            at = np.flatnonzero(token[step:] == token[:-step])
-            if step > 1:
-                at = at[~crowded[at]]
-            if not len(at):
-                if step > 1 or not crowded.any():
-                    break
-                continue
-            at = at[survives(size[at], size[at + step], place[at], place[at + step])]
-            left.append(np.minimum(who[at], who[at + step]))
-            right.append(np.maximum(who[at], who[at + step]))
+            x, y = calm[:-step], calm[step:]
+            same = token[x] == token[y]
+            if not same.any():
+                break
+            propose(x[same], y[same])
+        # Of a crowded shingle each set meets one set of its size class, the same for most shingles
+        # of a group; and these sets meet those of the next class.
+        hot = np.flatnonzero(crowded)
+        if len(hot):
+            level = np.floor(np.log(size[hot]) / np.log(4 / 3)).astype(np.int64)
+            order = np.lexsort((who[hot], level, token[hot]))
+            hot, level = hot[order], level[order]
+            first = np.concatenate([[True], (token[hot[1:]] != token[hot[:-1]]) | (level[1:] != level[:-1])])
+            heads = np.flatnonzero(first)
+            head = hot[heads][np.cumsum(first) - 1]
+            propose(head[~first], hot[~first])
+            x, y = hot[heads[:-1]], hot[heads[1:]]
+            same = token[x] == token[y]
+            propose(x[same], y[same])
         a = np.concatenate(left) if left else np.zeros(0, np.int64)
         b = np.concatenate(right) if right else np.zeros(0, np.int64)
         order = np.lexsort((b, a))
@@ -250,7 +267,7 @@ def _candidates(usual: float):
         if len(a):
             fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             a, b = a[fresh], b[fresh]
-        k, hot = len(a), np.flatnonzero(crowded)
+        k = len(a)
         null = np.zeros(k, bool)
         mask = np.concatenate([~null, np.zeros(len(hot), bool)])
         return pa.table(
@@ -334,7 +351,7 @@ def join(docs: DataFrame) -> DataFrame:
        all documents share gives the same links, so collisions cost time only.
     2. A second pass deals each distinct set's prefix over buckets. There the length and the
        positional filter act, and pairs of sets that share a prefix shingle become candidates; of
-       a crowded shingle first only neighbours in size.
+       a crowded shingle first only each set and one head of its size class.
     3. The suffix filter bounds the overlap by counts of hash ranges. Pairs that pass are checked
        once against all their shingles. Links give components.
     4. Crowded shingles whose sets still fall into several components give all remaining pairs
@@ -406,7 +423,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, 1000)
     return join(table(spark, sf_dir, "documents"))
 
 
