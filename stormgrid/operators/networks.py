@@ -214,11 +214,13 @@ def removal_sets(order: DataFrame, pcts: list[float]) -> DataFrame:
     return levels.where(F.col("place") <= k).select("graph_id", "pct", "node_id")
 
 
-def removal_loss(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFrame:
+def removal_loss(nodes: DataFrame, edges: DataFrame, removed: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """Loss of hop efficiency and share of the largest component after each removal.
 
     removed has graph_id, case_id, node_id. Equal sets of a graph are worked out once: cases are
     joined to the distinct set, the surviving graphs of all sets are measured in one job.
+    cases has graph_id, case_id, all of which get a row: those that remove nothing lose 0 and keep
+    the whole graph, whose share counts as 1. Without it only cases with a removed node have one.
     """
     sets = removed.groupBy("graph_id", "case_id").agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_set("node_id")).cast("array<string>"))).alias("set_id"))
     sets = settled(sets)
@@ -237,10 +239,14 @@ def removal_loss(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> Data
     before = global_efficiency(nodes, edges).select("graph_id", "n", F.col("efficiency").alias("before"))
     out = sets.withColumn("variant", key).join(after, "variant", "left").join(before, "graph_id")
     e = F.greatest(F.lit(0.0), F.col("before") - F.coalesce("after", F.lit(0.0)))
-    return out.select(
+    out = out.select(
         "graph_id", "case_id", e.alias("loss"), F.coalesce(F.try_divide(e, F.col("before")), F.lit(0.0)).alias("relative"),
         (F.coalesce("largest", F.lit(0)) / F.col("n")).alias("lcc"),
     )
+    if cases is None:
+        return out
+    every = cases.select("graph_id", "case_id").distinct().join(out, ["graph_id", "case_id"], "left")
+    return every.fillna({"loss": 0.0, "relative": 0.0, "lcc": 1.0})
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -289,12 +295,13 @@ def timeline_loss(nodes: DataFrame, edges: DataFrame, active: DataFrame) -> Data
     """Hourly losses of the union of nodes that active events take out, summed over the hours.
 
     active has sim_id, hour, event_id, graph_id, node_id: a row for each node an event takes out in
-    an hour. Equal unions of a graph are measured once.
+    an hour, and one with a null node for an event that takes out none, which counts as active and
+    loses nothing. Equal unions of a graph are measured once. hours are those with an active event.
     """
     union = settled(union_timeline(active))
     cases = union.withColumn("case_id", F.concat_ws("|", "sim_id", "hour"))
-    losses = removal_loss(nodes, edges, cases.select("graph_id", "case_id", "node_id"))
     hours = cases.select("sim_id", "graph_id", "hour", "case_id").distinct()
+    losses = removal_loss(nodes, edges, cases.where("node_id is not null").select("graph_id", "case_id", "node_id"), hours)
     most = active.groupBy("sim_id", "graph_id", "hour").agg(F.countDistinct("event_id").alias("events"))
     most = most.groupBy("sim_id", "graph_id").agg(F.max("events").alias("max_simultaneous"))
     sums = hours.join(losses, ["graph_id", "case_id"]).groupBy("sim_id", "graph_id").agg(F.sum("relative").alias("loss"), F.count("*").alias("hours"))

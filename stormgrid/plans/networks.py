@@ -64,13 +64,20 @@ def g05w(t: Tables):
 
 def disrupted(t: Tables):
     centers = t.fx_epicenters.select(F.col("event_id").alias("case_id"), F.col("graph_id").alias("state"), "radius_km", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    near = S.within_radius(t.fx_nodes.select("graph_id", "node_id", "lat", "lon"), centers, F.least(F.col("radius_km"), F.lit(25.0)))
+    near = S.within_radius(t.fx_nodes.select("graph_id", "node_id", "lat", "lon"), centers, F.col("radius_km"))
     return near.where(F.split_part("graph_id", F.lit("_"), F.lit(1)) == F.col("state")).select("graph_id", "case_id", "node_id")
 
 
+def state_events(t: Tables):
+    """Every event with every graph of its state, hit or missed."""
+    graphs = t.fx_nodes.select("graph_id", F.split_part("graph_id", F.lit("_"), F.lit(1)).alias("state")).distinct()
+    events = t.fx_epicenters.select(F.col("event_id").alias("case_id"), F.col("graph_id").alias("state"))
+    return graphs.join(events, "state").select("graph_id", "case_id")
+
+
 @query("g06_outage_loss")
 def g06(t: Tables):
-    out = N.removal_loss(t.fx_nodes, t.fx_edges, disrupted(t))
+    out = N.removal_loss(t.fx_nodes, t.fx_edges, disrupted(t), state_events(t))
     return out.select("graph_id", "case_id", *(F.round(c, 6).alias(c) for c in ("loss", "relative", "lcc")))
 
 
@@ -235,9 +242,10 @@ def g23(t: Tables):
     from stormgrid.operators.outages import active_hours
 
     start = (F.col("event_id") % 6).cast("double")
-    hours = active_hours(t.fx_epicenters, start, start + F.least(F.col("duration_hours"), F.lit(3.0)))
+    hours = active_hours(t.fx_epicenters, start, start + F.col("duration_hours"))
     hours = hours.select(F.col("event_id").alias("case_id"), "sim_id", "hour")
-    out_nodes = disrupted(t).join(hours, "case_id").select("sim_id", "hour", F.col("case_id").alias("event_id"), "graph_id", "node_id")
+    out_nodes = state_events(t).join(disrupted(t), ["graph_id", "case_id"], "left").join(hours, "case_id")
+    out_nodes = out_nodes.select("sim_id", "hour", F.col("case_id").alias("event_id"), "graph_id", "node_id")
     return N.timeline_loss(t.fx_nodes, t.fx_edges, out_nodes).withColumn("loss", F.round("loss", 6))
 
 

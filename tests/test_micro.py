@@ -1,5 +1,6 @@
 """Micro graphs with known answers, greedy loops, streams and draws."""
 
+import math
 import random
 
 import pytest
@@ -96,3 +97,50 @@ def test_required_columns_and_vintage(spark):
 
     with pytest.raises(ValueError):
         assert_fips_vintage(df)
+
+
+def test_removal_keeps_cases_that_remove_nothing(spark, graphs):
+    removed = spark.createDataFrame([("path", 1, 2)], "graph_id string, case_id int, node_id int")
+    cases = spark.createDataFrame([("path", 1), ("path", 2), ("star", 2)], "graph_id string, case_id int")
+    got = {(r.graph_id, r.case_id): (r.loss, r.relative, r.lcc) for r in N.removal_loss(*graphs, removed, cases).collect()}
+    assert got.keys() == {("path", 1), ("path", 2), ("star", 2)}
+    assert got["path", 1] == pytest.approx((5 / 6, 1.0, 1 / 3))
+    assert got["path", 2] == got["star", 2] == (0.0, 0.0, 1.0)
+
+
+def test_timeline_counts_active_events_that_miss(spark, graphs):
+    rows = [(0, 0, 1, "path", 2), (0, 0, 2, "path", None), (0, 1, 2, "path", None), (1, 0, 3, "star", None)]
+    active = spark.createDataFrame(rows, "sim_id int, hour int, event_id int, graph_id string, node_id int")
+    got = {(r.sim_id, r.graph_id): (r.loss, r.hours, r.max_simultaneous) for r in N.timeline_loss(*graphs, active).collect()}
+    assert got == {(0, "path"): (pytest.approx(1.0), 2, 2), (1, "star"): (0.0, 1, 1)}
+
+
+def test_outages_reach_as_far_and_last_as_long_as_given(spark):
+    from stormgrid.plans import networks as P
+    from stormgrid.plans.registry import Tables, queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    t = Tables(spark, sf_dir)
+    nodes, events = t.fx_nodes.collect(), t.fx_epicenters.collect()
+    graphs = {}
+    for n in nodes:
+        graphs.setdefault(n.graph_id.split("_")[0], set()).add(n.graph_id)
+
+    def km(a, b):
+        x = math.sin(math.radians(b.lat - a.lat) / 2) ** 2 + math.cos(math.radians(a.lat)) * math.cos(math.radians(b.lat)) * math.sin(math.radians(b.lon - a.lon) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(x))
+
+    hits = {(n.graph_id, e.event_id, n.node_id) for e in events for n in nodes if n.graph_id in graphs.get(e.graph_id, ()) and km(e, n) <= e.radius_km}
+    assert {tuple(r) for r in P.disrupted(t).collect()} == hits
+    cases = {(g, e.event_id) for e in events for g in graphs.get(e.graph_id, ())}
+    got = queries()["g06_outage_loss"](spark, sf_dir).collect()
+    assert len(got) == len(cases) and {(r.graph_id, r.case_id) for r in got} == cases
+    missed = cases - {h[:2] for h in hits}
+    assert missed and all((r.loss, r.relative, r.lcc) == (0, 0, 1) for r in got if (r.graph_id, r.case_id) in missed)
+    hours = {}
+    for e in events:
+        for h in range(math.ceil(e.event_id % 6), math.ceil(e.event_id % 6 + e.duration_hours)):
+            for g in graphs.get(e.graph_id, ()):
+                hours.setdefault((e.sim_id, g), {}).setdefault(h, set()).add(e.event_id)
+    want = {k: (len(v), max(map(len, v.values()))) for k, v in hours.items()}
+    assert {(r.sim_id, r.graph_id): (r.hours, r.max_simultaneous) for r in queries()["g23_union_timeline"](spark, sf_dir).collect()} == want
