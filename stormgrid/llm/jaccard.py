@@ -18,6 +18,7 @@ WORDS = 5  # of a shingle
 SKETCH_BITS = 22  # log2 of the number of counters that estimate how frequent a shingle is
 BLOCK = 1 << 16  # counters of one row of the sketch
 SEGMENTS = 64  # hash ranges whose counts bound an overlap (the suffix filter)
+CLIP = 32767  # a segment's count that stands for itself and all above
 BUCKET = 1 << 18  # prefix entries of one task, about
 HELD = 1 << 18  # entries that a map task holds before it hands them on
 ALL_PAIRS = 64  # entries of a shingle up to which all its pairs are candidates at once
@@ -88,7 +89,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(set_id(own) if len(own) else None)
             sizes.append(len(own))
             parts = np.bincount((own >> np.uint64(20)).astype(np.int64) % SEGMENTS, minlength=SEGMENTS)
-            segments.append(np.minimum(parts, 32767).astype(np.int16) if len(own) else None)
+            segments.append(np.minimum(parts, CLIP).astype(np.int16) if len(own) else None)
             np.add.at(counts, _counter(own), 1)
         none = [None] * len(ids)
         values = [batch.column("doc_id"), ids, sizes, segments, none, none, none, none]
@@ -324,8 +325,10 @@ def _linked(pairs: DataFrame, segments: DataFrame, sets: DataFrame) -> DataFrame
     """The pairs that link: suffix filter on segment counts, then one exact check of each pair."""
     a = segments.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("segments").alias("s_a"))
     b = segments.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("segments").alias("s_b"))
-    most = "aggregate(zip_with(s_a, s_b, (x, y) -> least(x, y)), 0, (t, x) -> t + x)"
-    pairs = pairs.join(a, "a").join(b, "b").where(f"7 * {most} >= 3 * (n_a + n_b)").select("a", "b")
+    # Two clipped counts bound nothing: their pair goes on to the exact check.
+    shared = f"zip_with(s_a, s_b, (x, y) -> if(least(x, y) = {CLIP}, cast(n_a as bigint) + n_b, cast(least(x, y) as bigint)))"
+    most = f"aggregate({shared}, 0L, (t, x) -> t + x)"
+    pairs = pairs.join(a, "a").join(b, "b").where(f"7 * {most} >= 3 * (cast(n_a as bigint) + n_b)").select("a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

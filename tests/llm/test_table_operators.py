@@ -188,6 +188,19 @@ def test_jaccard_equals_plain(spark, documents, monkeypatch, all_pairs, heavy):
     assert len({c for *_, c in got}) < len(rows) - 30
 
 
+def test_jaccard_checks_pairs_whose_segments_are_clipped(spark):
+    # Sizes as of texts with millions of shingles; the packed sets are short.
+    sizes = [(k, 3_000_000, [32767] * 64) for k in (1, 2, 3)] + [(4, 400, [3] * 64), (5, 400, [3] * 64)]
+    segments = spark.createDataFrame(sizes, "set_id bigint, n int, segments array<smallint>")
+    common = np.arange(99, dtype=np.uint64)
+    data = [(k, np.append(common, np.uint64(1000 + k)).tobytes()) for k in (1, 2, 4, 5)] + [(3, (common + np.uint64(5000)).tobytes())]
+    sets = spark.createDataFrame([(k, bytearray(d)) for k, d in data], "set_id bigint, data binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "a bigint, b bigint")
+    # 4 and 5 are ruled out by their counts, 1 and 3 by the exact check alone.
+    got = jaccard._linked(pairs, segments, sets).collect()
+    assert [tuple(r) for r in got] == [(1, 2)]
+
+
 def test_jaccard_of_nothing(spark, documents):
     assert jaccard.join(documents([])).count() == 0
     assert [tuple(r) for r in jaccard.join(documents([(3, None)])).collect()] == [(3, 0, 3)]
