@@ -143,7 +143,7 @@ def g14(t: Tables):
 
 @query("g15_algebraic_connectivity")
 def g15(t: Tables):
-    return N.algebraic_connectivity(t.fx_nodes, t.fx_edges, 24).withColumn("lambda2", F.round("lambda2", 4))
+    return N.algebraic_connectivity(t.fx_nodes, t.fx_edges).withColumn("lambda2", F.round("lambda2", 4))
 
 
 @query("g16_global_features")

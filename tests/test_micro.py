@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,21 @@ def test_outages_reach_as_far_and_last_as_long_as_given(spark):
                 hours.setdefault((e.sim_id, g), {}).setdefault(h, set()).add(e.event_id)
     want = {k: (len(v), max(map(len, v.values()))) for k, v in hours.items()}
     assert {(r.sim_id, r.graph_id): (r.hours, r.max_simultaneous) for r in queries()["g23_union_timeline"](spark, sf_dir).collect()} == want
+
+
+def test_algebraic_connectivity_equals_numpy(spark):
+    sizes = {"one": 1, "two": 2, **{f"chain{n}": n for n in (7, 20, 24, 33, 150)}, "apart": 12}
+    nodes = [(g, 5 * k) for g, n in sizes.items() for k in range(n)]
+    edges = {(g, a, b) for g, n in sizes.items() for a in range(n) for b in (a + 1, a + 5) if b < n and (g != "apart" or (a < 6) == (b < 6))}
+    want = {}
+    for g, n in sizes.items():
+        lap = np.zeros((n, n))
+        for h, a, b in edges:
+            if h == g:
+                lap[a, b] = lap[b, a] = -1
+        want[g] = np.linalg.eigvalsh(lap - np.diag(lap.sum(axis=1)))[1] if n > 1 else 0.0
+    rows = [(g, 5 * a, 5 * b, 1.0) for g, a, b in sorted(edges)] + [("two", 5, 0, 1.0), ("two", 5, 5, 1.0)]
+    out = N.algebraic_connectivity(spark.createDataFrame(nodes, "graph_id string, node_id int"), spark.createDataFrame(rows, "graph_id string, src int, dst int, weight double"))
+    got = {r.graph_id: r.lambda2 for r in out.collect()}
+    assert len(got) == out.count() and got == pytest.approx(want, abs=1e-9)
+    assert want["chain20"] == pytest.approx(0.563, abs=1e-3) and want["two"] == pytest.approx(2)
