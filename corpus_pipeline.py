@@ -9,12 +9,18 @@ from stormgrid.llm import bpe, jaccard, line_dedup, mixing, quality
 from stormgrid.llm.common import materialize, small_batches, table
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """row_hash names a row also where its id is null or repeated."""
+    return docs.withColumn("row_hash", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     small_batches(spark)
-    scored = quality.score(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    named = with_row(docs)
+    scored = quality.score(named, table(spark, sf_dir, "labels"), keep=("row_hash",))
+    rejected = scored.where("predicted = 0").select("row_hash").distinct()
+    return named.join(rejected, "row_hash", "left_anti").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +31,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays; without any id, all do but equal rows."""
     small_batches(spark)
-    copies = jaccard.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").withColumn("same_text", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "same_text"]).select(*docs.columns)
+    copies = jaccard.join(docs, with_row=True).where("component_id is not null and not doc_id <=> component_id")
+    copies = copies.select(F.col("row").alias("row_hash")).distinct()
+    kept = with_row(docs).join(copies, "row_hash", "left_anti")
+    return kept.dropDuplicates(["row_hash"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,13 +72,13 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-_PROFILE = "doc_id bigint, set_id bigint, n int, segments array<smallint>, part int, block int, counts binary, excess binary"
+_PROFILE = "doc_id bigint, row bigint, set_id bigint, n int, segments array<smallint>, part int, block int, counts binary, excess binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the partition's shingle counts in sparse blocks."""
-    names = ["doc_id", "set_id", "n", "segments", "part", "block", "counts", "excess"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int16()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", "row", "set_id", "n", "segments", "part", "block", "counts", "excess"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int16()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     known, part = Words(), TaskContext.get().partitionId()
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
 
@@ -92,13 +92,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             segments.append(np.minimum(parts, CLIP).astype(np.int16) if len(own) else None)
             np.add.at(counts, _counter(own), 1)
         none = [None] * len(ids)
-        values = [batch.column("doc_id"), ids, sizes, segments, none, none, none, none]
+        values = [batch.column("doc_id"), batch.column("row"), ids, sizes, segments, none, none, none, none]
         yield from sliced(pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, list) else v for v, k in zip(values, kinds, strict=True)], names))
     for b in range(len(counts) // BLOCK):
         block = counts[b * BLOCK : (b + 1) * BLOCK]
         if not block.any():
             continue
-        values = [[None], [None], [None], [None], [part], [b], *([x] for x in _packed(block))]
+        values = [[None], [None], [None], [None], [None], [part], [b], *([x] for x in _packed(block))]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
 
@@ -286,36 +286,41 @@ def _candidates(usual: float):
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, data): packed shingles of the wanted sets; wanted has set_id and the doc_id of one document."""
+    """(set_id, data): packed shingles of the wanted sets; wanted has set_id and the row of one document.
+
+    row hashes id and text, so it also names documents without an id or with a repeated one.
+    """
     spark = docs.sparkSession
     bits = 1 << MARK_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(bits, bool)
         for batch in batches:
-            flags[batch.column("mark").to_numpy()] = True
+            flags[batch.column("row").to_numpy() & (bits - 1)] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["flags"])
 
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("mark")
     flags = np.zeros(bits // 8, np.uint8)
-    for row in wanted.select(place).coalesce(8).mapInArrow(mark, "flags binary").toLocalIterator():
+    for row in wanted.select("row").coalesce(8).mapInArrow(mark, "flags binary").toLocalIterator():
         flags |= np.frombuffer(row["flags"], np.uint8)
     marked = spark.sparkContext.broadcast(flags)  # bits / 8 bytes, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, flags = Words(), np.unpackbits(marked.value).view(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(flags[batch.column("mark").to_numpy()]))
+            batch = batch.filter(pa.array(flags[batch.column("row").to_numpy() & (bits - 1)]))
             data = [shingles(t, known).tobytes() for t in batch.column("text").to_pylist()]
-            yield from sliced(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"]))
+            yield from sliced(pa.RecordBatch.from_arrays([batch.column("row"), pa.array(data, pa.binary())], ["row", "data"]))
 
-    sets = docs.select("doc_id", "text", place).mapInArrow(run, "doc_id bigint, data binary")
-    # A repeated id may stand for other texts too: the hash decides.
-    sets = sets.join(wanted, "doc_id")
+    sets = docs.select("row", "text").mapInArrow(run, "row bigint, data binary").join(wanted, "row")
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # repeated rows meet in a task; each set goes on once
         for batch in batches:
-            fits = [xxhash.xxh3_64_intdigest(d) - (1 << 63) == s for d, s in zip(batch.column("data").to_pylist(), batch.column("set_id").to_pylist(), strict=True)]
+            fits = []
+            for d, s in zip(batch.column("data").to_pylist(), batch.column("set_id").to_pylist(), strict=True):
+                fits.append(s not in done and xxhash.xxh3_64_intdigest(d) - (1 << 63) == s)
+                if fits[-1]:
+                    done.add(s)
             yield batch.select(["set_id", "data"]).filter(pa.array(fits, pa.bool_()))
 
     return materialize(sets.select("set_id", "data").mapInArrow(right, "set_id bigint, data binary"), "jaccard-sets")
@@ -346,7 +351,7 @@ def _linked(pairs: DataFrame, segments: DataFrame, sets: DataFrame) -> DataFrame
     return joined.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, with_row: bool = False) -> DataFrame:
     """Link documents whose shingle sets have a Jaccard similarity of 0.75 or more.
 
     1. One pass hashes the shingles of every whole text, names equal sets alike, and counts
@@ -366,15 +371,16 @@ def join(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach). Null, empty
     and wordless texts have no shingles and are alone. Repeated rows are copies. A null id stays
-    null and takes part. Other columns are not read; an empty table gives no rows.
+    null and takes part. Other columns are not read; an empty table gives no rows. with_row adds
+    row, the hash of doc_id and text, which tells texts of one id apart.
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     profile = materialize(docs.mapInArrow(_profile, _PROFILE), "jaccard-profile")
     rows = profile.where("block is null")
     reps = rows.where("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("segments").alias("segments")
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("segments").alias("segments")
     )
     reps = materialize(reps, "jaccard-reps")
     total = reps.agg(F.sum("n")).first()[0] or 0
@@ -387,7 +393,7 @@ def join(docs: DataFrame) -> DataFrame:
     hot = found.where("b is null").select("token", F.col("a").alias("set_id"), "size", "place")
 
     wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).unionAll(hot.select("set_id"))
-    wanted = reps.select("set_id", "doc_id").join(wanted.distinct(), "set_id", "left_semi")
+    wanted = reps.select("set_id", "row").join(wanted.distinct(), "set_id", "left_semi")
     sets = _sets_of(docs, wanted)
     segments = reps.select("set_id", "n", "segments")
     links = materialize(_linked(pairs, segments, sets), "jaccard-links")
@@ -422,6 +428,7 @@ def join(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        *(["row"] if with_row else []),
     )
 
 

@@ -195,7 +195,7 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
     """Score every document: doc_id, held_out, score (0 to 1, higher is better), predicted, and rows.
 
     One pass over the texts makes their statistics, which are kept in the shared folder. A ridge
@@ -206,9 +206,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     Null and empty texts have statistics 0 and a score like any other. Rows with a null id are
     scored but not learned from; repeated rows are scored alike; null labels are left out, of
     contradicting ones the smaller counts. Without labels every score is 0.5. Other columns are
-    not read; an empty table gives no rows.
+    not read but for those of ``keep``, which are returned as well; an empty table gives no rows.
     """
-    stats = featurize(docs.select("doc_id", "text"))
+    stats = featurize(docs.select("doc_id", *keep, "text"))
     stats = materialize(stats.withColumn("fold", fold_of(F.col("doc_id")).cast("int")), "quality")
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
     train = stats.where("fold > 0").join(known, "doc_id").select("stats", "label", "fold")
@@ -217,12 +217,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
-            columns = [batch.column("doc_id"), batch.column("fold"), pa.array(model.score(x), pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fold", "score"])
+            columns = [*(batch.column(c) for c in ("doc_id", *keep, "fold")), pa.array(model.score(x), pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *keep, "fold", "score"])
 
-    schema = stats.select("doc_id", "fold", F.lit(0.0).alias("score")).schema
+    schema = stats.select("doc_id", *keep, "fold", F.lit(0.0).alias("score")).schema
     return stats.mapInArrow(apply, schema).select(
         "doc_id",
+        *keep,
         (F.col("fold") == 0).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),

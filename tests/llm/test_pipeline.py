@@ -40,3 +40,18 @@ def test_stages_take_effect(spark, tmp_path):
     whole = P.run(spark, sf_dir)
     assert sorted(map(str, whole.collect())) == sorted(map(str, frames[5].collect()))
     assert os.path.isdir(f"{tmp_path}/0")
+
+
+def test_stages_tell_rows_with_null_and_repeated_ids_apart(spark, tmp_path):
+    rows, labels = quality_rows(600)
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rnd = random.Random(11)
+    bad, good = "BUY!! NOW!! " * 30, [prose(rnd, 150) + "." for _ in range(4)]
+    near = edited(rnd, good[2], 1)
+    rows += [(None, bad), (70_000, bad), (70_000, good[0]), (None, good[1]), (70_001, good[2]), (None, near), (70_002, near), (70_002, good[3])]
+    data = [(i, t, "en", "s", len(t)) for i, t in rows]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = P.keep_quality(spark, docs, str(tmp_path)).where("doc_id is null or doc_id >= 70000")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows[600:] if t != bad)
+    left = P.drop_near_copies(spark, kept, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(70_000, good[0]), (0, good[1]), (70_001, good[2]), (70_002, good[3])])

@@ -188,6 +188,21 @@ def test_jaccard_equals_plain(spark, documents, monkeypatch, all_pairs, heavy):
     assert len({c for *_, c in got}) < len(rows) - 30
 
 
+def test_jaccard_links_near_copies_with_null_and_repeated_ids(spark, documents):
+    rnd = random.Random(12)
+    w = prose(rnd, 200).split()
+    x = [prose(rnd, 1) + str(k) for k in range(8)]
+    first = " ".join(w)
+    middle = " ".join([*x[:4], *w[4:]])
+    last = " ".join([*x, *w[8:]])
+    far = [" ".join([*w[:-k], *(prose(rnd, 1) for _ in range(k))]) for k in (60, 120)]
+    rows = [(1, first), (None, middle), (None, middle), (3, last), (None, far[0]), (7, far[1]), (7, prose(rnd, 30))]
+    want = sorted(r for r in plain_components([(1000 if i is None else i, t) for i, t in rows]) if r[0] < 1000)
+    got = [tuple(r) for r in jaccard.join(documents(rows)).collect()]
+    assert sorted(r for r in got if r[0] is not None) == want
+    assert (3, 196, 1) in got and got.count((None, 196, 1)) == 2
+
+
 def test_jaccard_checks_pairs_whose_segments_are_clipped(spark):
     # Sizes as of texts with millions of shingles; the packed sets are short.
     sizes = [(k, 3_000_000, [32767] * 64) for k in (1, 2, 3)] + [(4, 400, [3] * 64), (5, 400, [3] * 64)]
