@@ -104,11 +104,16 @@ class Finder:
                     regions.append([a, b])
             if not most:
                 continue
-            for a, b in regions:
-                for m in self.patterns[n].finditer(line, a, min(b, len(line))):
-                    known = hits.get((n, m.start()))
-                    if known is None or known[1] > sum(m.fuzzy_counts):
-                        hits[n, m.start()] = m.end(), sum(m.fuzzy_counts)
+            while regions:
+                a, b = regions.pop()
+                m = self.patterns[n].search(line, a, min(b, len(line)))
+                if m is None:
+                    continue
+                known = hits.get((n, m.start()))
+                if known is None or known[1] > sum(m.fuzzy_counts):
+                    hits[n, m.start()] = m.end(), sum(m.fuzzy_counts)
+                # The best match may stand behind others.
+                regions += [x for x in ([a, m.start()], [m.end(), b]) if x[1] - x[0] >= len(notice) - most]
         out = [
             (*self.notices[n][:2], line.count(" ", 0, a) - 1, line.count(" ", a, b) + 1, edits, line[a:b])
             for (n, a), (b, edits) in sorted(hits.items(), key=lambda x: (x[0][1], x[0][0]))

@@ -89,6 +89,16 @@ def test_license_spans(spark):
     assert n == 6 and [(h[1], h[2], h[3], h[4], h[5]) for h in hits] == [("gpl", 2, 4, 1, "gnu genral public license")]
 
 
+def test_license_finds_fuzzy_places_before_the_best_one():
+    finder = licenses.Finder([("mit license", "mit", 1)])
+    for text, want in (
+        ("mit licence mit license", [(0, 1), (2, 0)]),
+        ("mit licence mit license mit licens", [(0, 1), (2, 0), (4, 1)]),
+        ("mit licence mit licens mit license mit license", [(0, 1), (2, 1), (4, 0), (6, 0)]),
+    ):
+        assert [(h[2], h[4]) for h in finder.search(text)[1]] == want
+
+
 def test_media_round_trip(spark, documents):
     texts = [*HARD, "x" * 575, "x" * 576, "x" * 577, "y" * (576 * 64), "y" * (576 * 64 + 1), LONG]
     docs = documents([*enumerate(texts), (1, "")])
