@@ -6,12 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that go back to Spark hold about this many bytes.
 BATCH_BYTES = 8 << 20
+MOST_MARK_BITS = 27  # log2 of the bits of the largest bitmap
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,27 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def marks(df: DataFrame, column: str):
+    """A bitmap of the values of a hash column, or'ed together by partial aggregation, as a broadcast.
+
+    It has about 16 bits for each row of ``df`` up to ``2**MOST_MARK_BITS`` bits (16 MB), so it may
+    let other values pass, above all beyond that size, and callers check what passes.
+    """
+    bits = min(MOST_MARK_BITS, max(15, df.count().bit_length() + 4))
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    parts = df.select(F.bitmap_bucket_number(at).alias("part"), F.bitmap_bit_position(at).alias("place"))
+    flags = np.zeros(1 << bits - 3, np.uint8)
+    for row in parts.groupBy("part").agg(F.bitmap_construct_agg("place").alias("flags")).toLocalIterator():
+        flags[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["flags"], np.uint8)
+    return df.sparkSession.sparkContext.broadcast(flags)
+
+
+def marked(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be in the bitmap."""
+    at = values & (8 * len(flags) - 1)
+    return flags[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -57,14 +57,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b); the root is the component's smallest node.
 
-    Chunks of links of bounded size first become stars. Then each round makes two stars, is written to the shared folder, and about halves the distance to
-    the root at least. Sums of hashes tell when a round changes nothing.
+    Chunks of links of bounded size first become stars; one chunk is done then. Each round makes two
+    stars, is written to the shared folder, and about halves the distance to the root at least. Sums
+    of hashes tell when a round changes nothing.
     """
     edges = materialize(links.where("a <> b").selectExpr("cast(a as bigint) a", "cast(b as bigint) b"), "components")
     tasks = edges.count() // CHUNK + 1
     edges = materialize(edges.coalesce(tasks).mapInArrow(_forest, "a bigint, b bigint"), "components")
     mark = None
-    while True:
+    while tasks > 1:
         edges = materialize(_star(_star(edges, True), False), "components")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:

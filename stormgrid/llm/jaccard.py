@@ -11,19 +11,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormgrid.llm.common import materialize, shared_dir, sliced, small_batches, table
+from stormgrid.llm.common import marked, marks, materialize, shared_dir, sliced, small_batches, table
 from stormgrid.llm.graph import components
 
 WORDS = 5  # of a shingle
 SKETCH_BITS = 22  # log2 of the number of counters that estimate how frequent a shingle is
 BLOCK = 1 << 16  # counters of one row of the sketch
-SEGMENTS = 64  # hash ranges whose counts bound an overlap (the suffix filter)
-CLIP = 32767  # a segment's count that stands for itself and all above
+SEGMENTS = 256  # hash ranges whose counts bound the overlap of two suffixes
 BUCKET = 1 << 18  # prefix entries of one task, about
 HELD = 1 << 18  # entries that a map task holds before it hands them on
-ALL_PAIRS = 64  # entries of a shingle up to which all its pairs are candidates at once
 HEAVY = 1 << 17  # entries of a shingle above which they are dealt over several tasks
-MARK_BITS = 24  # log2 of the bits that mark documents whose shingles are needed
+BLOCK_SETS = 2048  # sets of one shingle that meet as many others in one step
+MEETING = 1 << 15  # entries of the shingles that one task compares, about
 
 _CONSTANTS = np.array([xxhash.xxh3_64_intdigest(b"shingle%d" % k) | 1 for k in range(WORDS + WORDS)], np.uint64)
 # A-Z become a-z; every byte of UTF-8 above stays.
@@ -72,33 +71,45 @@ def prefix_size(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-_PROFILE = "doc_id bigint, row bigint, set_id bigint, n int, segments array<smallint>, part int, block int, counts binary, excess binary"
+def segment(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(20)).astype(np.int64) % SEGMENTS
+
+
+def packed_counts(values: np.ndarray) -> bytes:
+    """How many shingles fall into each segment, in one or four bytes each."""
+    counts = np.bincount(segment(values), minlength=SEGMENTS)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def counts_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == SEGMENTS else np.uint32)
+
+
+_PROFILE = "doc_id bigint, row bigint, set_id bigint, n int, part int, block int, counts binary, excess binary"
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and at the end the partition's shingle counts in sparse blocks."""
-    names = ["doc_id", "row", "set_id", "n", "segments", "part", "block", "counts", "excess"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int16()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["doc_id", "row", "set_id", "n", "part", "block", "counts", "excess"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     known, part = Words(), TaskContext.get().partitionId()
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
 
     for batch in batches:
-        ids, sizes, segments = [], [], []
+        ids, sizes = [], []
         for text in batch.column("text").to_pylist():
             own = shingles(text, known)
             ids.append(set_id(own) if len(own) else None)
             sizes.append(len(own))
-            parts = np.bincount((own >> np.uint64(20)).astype(np.int64) % SEGMENTS, minlength=SEGMENTS)
-            segments.append(np.minimum(parts, CLIP).astype(np.int16) if len(own) else None)
             np.add.at(counts, _counter(own), 1)
         none = [None] * len(ids)
-        values = [batch.column("doc_id"), batch.column("row"), ids, sizes, segments, none, none, none, none]
+        values = [batch.column("doc_id"), batch.column("row"), ids, sizes, none, none, none, none]
         yield from sliced(pa.RecordBatch.from_arrays([pa.array(v, k) if isinstance(v, list) else v for v, k in zip(values, kinds, strict=True)], names))
     for b in range(len(counts) // BLOCK):
         block = counts[b * BLOCK : (b + 1) * BLOCK]
         if not block.any():
             continue
-        values = [[None], [None], [None], [None], [None], [part], [b], *([x] for x in _packed(block))]
+        values = [[None], [None], [None], [None], [part], [b], *([x] for x in _packed(block))]
         yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
 
@@ -142,6 +153,13 @@ def _sketch(profile: DataFrame) -> np.ndarray:
     return levels
 
 
+def rare_first(own: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a set in the common order (the counter's level, then the hash), and its segments."""
+    order = level[_counter(own)].astype(np.uint64) << np.uint64(56) | own >> np.uint64(8)
+    first = np.argsort(order, kind="stable")[: prefix_size(len(own))]
+    return order[first], segment(own[first])
+
+
 _ENTRIES = "bucket bigint, tokens binary, sets binary, places binary, ids binary, sizes binary"
 
 
@@ -175,9 +193,7 @@ def _prefixes(docs: DataFrame, levels, buckets: int, usual: float) -> DataFrame:
                 if not len(own) or (key := set_id(own)) in done:
                     continue
                 done.add(key)
-                # Rare first: the counter's level, then the hash.
-                order = np.sort(level[_counter(own)].astype(np.uint64) << np.uint64(56) | own >> np.uint64(8))
-                first = order[: prefix_size(len(own))]
+                first, _ = rare_first(own, level)
                 tokens.append(first)
                 places.append(np.arange(len(first), dtype=np.uint32))
                 ids.append(key)
@@ -204,7 +220,7 @@ _CANDIDATES = "token bigint, a bigint, b bigint, size int, place int"
 
 
 def _candidates(usual: float):
-    """For each bucket: pairs (a, b), and the entries of crowded shingles (a, with token, size and place)."""
+    """For each bucket: pairs (a, b) of a set and its head, and the entries of shingles of three or more sets (a, with token, size and place)."""
 
     def meet(frame: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -225,59 +241,34 @@ def _candidates(usual: float):
         twice[:-1] |= same
         order = order[twice | dealt[order]]
         token, who, size, place, dealt = token[order], who[order], size[order].astype(np.int64), place[order].astype(np.int64), dealt[order]
-        order = np.lexsort((who, size, token))
-        token, who, size, place, dealt = token[order], who[order], size[order], place[order], dealt[order]
+        # Size classes of a ratio of 4/3: sets that link are of one class or of neighbouring ones.
+        level = np.floor(np.log(size) / np.log(4 / 3)).astype(np.int64)
+        order = np.lexsort((who, level, token))
+        token, who, size, place, dealt, level = token[order], who[order], size[order], place[order], dealt[order], level[order]
         if len(token):  # copies from several tasks
             fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (who[1:] != who[:-1])])
-            token, who, size, place, dealt = token[fresh], who[fresh], size[fresh], place[fresh], dealt[fresh]
+            token, who, size, place, dealt, level = token[fresh], who[fresh], size[fresh], place[fresh], dealt[fresh], level[fresh]
         _, run, length = np.unique(token, return_inverse=True, return_counts=True)
-        crowded = (length[run] > ALL_PAIRS) | dealt
-        left, right = [], []
-
-        def propose(x: np.ndarray, y: np.ndarray) -> None:
-            fits = survives(size[x], size[y], place[x], place[y])
-            x, y = who[x[fits]], who[y[fits]]
-            left.append(np.minimum(x, y))
-            right.append(np.maximum(x, y))
-
-        calm = np.flatnonzero(~crowded)
-        for step in range(1, ALL_PAIRS):
-            x, y = calm[:-step], calm[step:]
-            same = token[x] == token[y]
-            if not same.any():
-                break
-            propose(x[same], y[same])
-        # Of a crowded shingle each set meets one set of its size class, the same for most shingles
-        # of a group; and these sets meet those of the next class.
-        hot = np.flatnonzero(crowded)
-        if len(hot):
-            level = np.floor(np.log(size[hot]) / np.log(4 / 3)).astype(np.int64)
-            order = np.lexsort((who[hot], level, token[hot]))
-            hot, level = hot[order], level[order]
-            first = np.concatenate([[True], (token[hot[1:]] != token[hot[:-1]]) | (level[1:] != level[:-1])])
-            heads = np.flatnonzero(first)
-            head = hot[heads][np.cumsum(first) - 1]
-            propose(head[~first], hot[~first])
-            x, y = hot[heads[:-1]], hot[heads[1:]]
-            same = token[x] == token[y]
-            propose(x[same], y[same])
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        if len(a):
-            fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            a, b = a[fresh], b[fresh]
-        k = len(a)
-        null = np.zeros(k, bool)
-        mask = np.concatenate([~null, np.zeros(len(hot), bool)])
+        # Each set meets one set of its size class, the same for most shingles of a group; and these
+        # heads meet those of the next class.
+        first = np.concatenate([[True], (token[1:] != token[:-1]) | (level[1:] != level[:-1])])[: len(token)]
+        heads = np.flatnonzero(first)
+        head = heads[np.cumsum(first) - 1]
+        x, y = heads[:-1], heads[1:]
+        same = token[x] == token[y]
+        x, y = np.concatenate([head[~first], x[same]]), np.concatenate([np.flatnonzero(~first), y[same]])
+        fits = survives(size[x], size[y], place[x], place[y])
+        a, b = _distinct(who[x[fits]], who[y[fits]])
+        open_ = np.flatnonzero((length[run] > 2) | dealt) if len(token) else heads
+        k, null = len(a), np.zeros(len(a), bool)
+        mask = np.concatenate([~null, np.zeros(len(open_), bool)])
         return pa.table(
             [
-                pa.array(np.concatenate([np.zeros(k, np.int64), token[hot].view(np.int64)]), mask=mask),
-                pa.array(np.concatenate([a, who[hot]])),
-                pa.array(np.concatenate([b, np.zeros(len(hot), np.int64)]), mask=~mask),
-                pa.array(np.concatenate([np.zeros(k), size[hot]]).astype(np.int32), mask=mask),
-                pa.array(np.concatenate([np.zeros(k), place[hot]]).astype(np.int32), mask=mask),
+                pa.array(np.concatenate([np.zeros(k, np.int64), token[open_].view(np.int64)]), mask=mask),
+                pa.array(np.concatenate([a, who[open_]])),
+                pa.array(np.concatenate([b, np.zeros(len(open_), np.int64)]), mask=~mask),
+                pa.array(np.concatenate([np.zeros(k), size[open_]]).astype(np.int32), mask=mask),
+                pa.array(np.concatenate([np.zeros(k), place[open_]]).astype(np.int32), mask=mask),
             ],
             ["token", "a", "b", "size", "place"],
         )
@@ -285,55 +276,169 @@ def _candidates(usual: float):
     return meet
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, data): packed shingles of the wanted sets; wanted has set_id and the row of one document.
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, the smaller set first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh]
 
-    row hashes id and text, so it also names documents without an id or with a repeated one.
+
+def _met(frame: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of different components that pass the length, positional and suffix filter at a common shingle.
+
+    Yields (who, x, y, spare): the sets of the frame, places of the pairs in it, and by how much the
+    bound of a pair exceeds what a link needs. Of the sets' shingles before their places none is
+    common if the shingle at these places is their first common one, and the pair that links passes there.
     """
-    spark = docs.sparkSession
-    bits = 1 << MARK_BITS
+    key, side = frame["key"].to_numpy(), frame["side"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, side = key[order], side[order]
+    who, root, size, place = (frame[c].to_numpy()[order] for c in ("set_id", "root", "size", "place"))
+    size, place = size.astype(np.int64), place.astype(np.int64)
+    counts = np.zeros((len(key), SEGMENTS), np.int32)
+    columns = (frame[c].take(pa.array(order)).to_pylist() for c in ("segments", "bins"))
+    for k, (data, bins, upto) in enumerate(zip(*columns, place.tolist(), strict=True)):
+        counts[k] = counts_of(data)
+        if upto:
+            counts[k] -= np.bincount(np.frombuffer(bins, np.uint8)[:upto], minlength=SEGMENTS)
+    _, run, length = np.unique(key, return_inverse=True, return_counts=True)
+    after = np.cumsum(length)[run] - np.arange(len(key)) - 1 if len(key) else length
+    x, step = np.arange(len(key)), 1
+    while len(x := x[after[x] >= step]):
+        y = x + step
+        fits = (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)) & survives(size[x], size[y], place[x], place[y])
+        a, b = x[fits], y[fits]
+        most = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64)
+        spare = 7 * most - 3 * (size[a] + size[b])
+        if (fits := spare >= 0).any():
+            yield who, a[fits], b[fits], spare[fits]
+        step += 1
+
+
+def _nearest(frame: pa.Table) -> pa.Table:
+    """For each set of a component other than its shingle's main one, the partner with the highest bound."""
+    best: dict[str, np.ndarray] = {}
+    names = frame["set_id"].to_numpy()
+    top, partner = np.full(len(names), -1, np.int64), np.zeros(len(names), np.int64)
+    for who, x, y, spare in _met(frame):
+        best["who"] = who
+        for one, other in ((x, y), (y, x)):
+            more = spare > top[one]
+            top[one[more]], partner[one[more]] = spare[more], who[other[more]]
+    found = np.flatnonzero(top >= 0)
+    who = best.get("who", names)
+    return pa.table([pa.array(who[found]), pa.array(top[found]), pa.array(partner[found])], ["a", "spare", "b"])
+
+
+def _all_near(frame: pa.Table) -> pa.Table:
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for who, x, y, _ in _met(frame):
+        left.append(who[x])
+        right.append(who[y])
+    return pa.table(list(map(pa.array, _distinct(np.concatenate(left), np.concatenate(right)))), ["a", "b"])
+
+
+def _meetings(hot: DataFrame, roots: DataFrame, segments: DataFrame) -> DataFrame:
+    """The entries of shingles whose sets lie in several components, dealt to groups in which they meet.
+
+    The sets of a shingle's main component need not meet each other. A shingle of more than
+    ``BLOCK_SETS`` sets is cut into blocks, main and others; two blocks meet in a group of their own.
+    """
+    placed = hot.join(roots, hot["set_id"] == roots["node"], "left").select(
+        "token", "set_id", "size", "place", F.coalesce("root", "set_id").alias("root")
+    )
+    tokens = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.sum("c").alias("k"), F.max("c").alias("m"), F.max_by("root", "c").alias("main"), F.count("*").alias("several")
+    )
+    tokens = materialize(tokens.where("several > 1").drop("several"), "jaccard-open")
+    total = tokens.agg(F.sum("k")).first()[0] or 0
+    placed = placed.join(tokens, "token")
+    blocks = f"""
+        case when k <= {BLOCK_SETS} then array(named_struct('i', 0, 'j', 0, 'side', 2))
+        when root = main then transform(sequence(0, g_rest - 1), j -> named_struct('i', -1 - own_main, 'j', j, 'side', 0))
+        else concat(
+          transform(sequence(0, g_main - 1), i -> named_struct('i', -1 - i, 'j', own_rest, 'side', 1)),
+          transform(sequence(0, g_rest - 1), j -> named_struct('i', least(j, own_rest), 'j', greatest(j, own_rest),
+            'side', case when j = own_rest then 2 when own_rest < j then 0 else 1 end))) end"""
+    placed = placed.withColumns({
+        "g_main": F.expr(f"cast(ceil(m / {BLOCK_SETS}) as int)"),
+        "g_rest": F.expr(f"cast(ceil((k - m) / {BLOCK_SETS}) as int)"),
+    }).withColumns({
+        "own_main": F.expr("cast(pmod(xxhash64(set_id), g_main) as int)"),
+        "own_rest": F.expr("cast(pmod(xxhash64(set_id), g_rest) as int)"),
+    }).withColumn("at", F.explode(F.expr(blocks)))
+    buckets = max(1, -(-total // MEETING))
+    return placed.join(segments, "set_id").select(
+        F.expr(f"case when k <= {BLOCK_SETS} then pmod(xxhash64(token), {buckets}L) else xxhash64(token, at.i, at.j) end").alias("bucket"),
+        F.expr("xxhash64(token, at.i, at.j)").alias("key"),
+        F.col("at.side").alias("side"), "set_id", "root", "size", "place", "segments", "bins",
+    )
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(bits, bool)
-        for batch in batches:
-            flags[batch.column("row").to_numpy() & (bits - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()], pa.binary())], ["flags"])
 
-    flags = np.zeros(bits // 8, np.uint8)
-    for row in wanted.select("row").coalesce(8).mapInArrow(mark, "flags binary").toLocalIterator():
-        flags |= np.frombuffer(row["flags"], np.uint8)
-    marked = spark.sparkContext.broadcast(flags)  # bits / 8 bytes, whatever the input
+def _passed(docs: DataFrame, wanted: DataFrame, make, names: str, label: str) -> DataFrame:
+    """What ``make`` gives for the shingles of each wanted set; wanted has set_id and the row of one document.
+
+    row hashes id and text, so it also names documents without an id or with a repeated one. A
+    bitmap of the wanted rows spares the other documents the work.
+    """
+    wanted = materialize(wanted, "jaccard-wanted")
+    flags = marks(wanted, "row")
+    columns = [c.split()[0] for c in names.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, flags = Words(), np.unpackbits(marked.value).view(bool)
+        known, done = Words(), set()
         for batch in batches:
-            batch = batch.filter(pa.array(flags[batch.column("row").to_numpy() & (bits - 1)]))
-            data = [shingles(t, known).tobytes() for t in batch.column("text").to_pylist()]
-            yield from sliced(pa.RecordBatch.from_arrays([batch.column("row"), pa.array(data, pa.binary())], ["row", "data"]))
+            batch = batch.filter(pa.array(marked(flags.value, batch.column("row").to_numpy())))
+            rows, values = [], [[] for _ in columns]
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if row not in done:  # repeated rows
+                    done.add(row)
+                    own = shingles(text, known)
+                    rows.append((row, set_id(own)))
+                    for column, value in zip(values, make(own), strict=True):
+                        column.append(value)
+            data = [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)]
+            data += [pa.array(v, pa.binary()) for v in values]
+            yield from sliced(pa.RecordBatch.from_arrays(data, ["row", "own", *columns]))
+
+    found = docs.select("row", "text").mapInArrow(run, f"row bigint, own bigint, {names}").join(wanted, "row")
+    found = found.where("own = set_id").select("set_id", *columns).dropDuplicates(["set_id"])
+    return materialize(found, label)
+
+
+def _segments_of(docs: DataFrame, wanted: DataFrame, levels) -> DataFrame:
+    """(set_id, segments, bins): counts of a set's shingles by segment, and the segments of its prefix in order."""
+
+    def make(own: np.ndarray) -> tuple[bytes, bytes]:
+        _, bins = rare_first(own, levels.value)
+        return packed_counts(own), bins.astype(np.uint8).tobytes()
 
-    sets = docs.select("row", "text").mapInArrow(run, "row bigint, data binary").join(wanted, "row")
+    return _passed(docs, wanted, make, "segments binary, bins binary", "jaccard-segments")
 
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = set()  # repeated rows meet in a task; each set goes on once
+
+def _fitting(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The pairs whose overlap, bounded by the counts of their segments, is enough for a link."""
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fits = []
-            for d, s in zip(batch.column("data").to_pylist(), batch.column("set_id").to_pylist(), strict=True):
-                fits.append(s not in done and xxhash.xxh3_64_intdigest(d) - (1 << 63) == s)
-                if fits[-1]:
-                    done.add(s)
-            yield batch.select(["set_id", "data"]).filter(pa.array(fits, pa.bool_()))
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = counts_of(x).astype(np.int64), counts_of(y).astype(np.int64)
+                keep.append(7 * int(np.minimum(x, y).sum()) >= 3 * int(x.sum() + y.sum()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(sets.select("set_id", "data").mapInArrow(right, "set_id bigint, data binary"), "jaccard-sets")
+    joined = pairs.join(segments.select(F.col("set_id").alias("a"), F.col("segments").alias("x")), "a")
+    joined = joined.join(segments.select(F.col("set_id").alias("b"), F.col("segments").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(fits, "a bigint, b bigint")
 
 
-def _linked(pairs: DataFrame, segments: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link: suffix filter on segment counts, then one exact check of each pair."""
-    a = segments.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("segments").alias("s_a"))
-    b = segments.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("segments").alias("s_b"))
-    # Two clipped counts bound nothing: their pair goes on to the exact check.
-    shared = f"zip_with(s_a, s_b, (x, y) -> if(least(x, y) = {CLIP}, cast(n_a as bigint) + n_b, cast(least(x, y) as bigint)))"
-    most = f"aggregate({shared}, 0L, (t, x) -> t + x)"
-    pairs = pairs.join(a, "a").join(b, "b").where(f"7 * {most} >= 3 * (cast(n_a as bigint) + n_b)").select("a", "b")
+def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that link: one exact check of each pair, whose sets are sent to it."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
+    wanted = reps.select("set_id", "row").join(wanted, "set_id", "left_semi")
+    sets = _passed(docs, wanted, lambda own: (own.tobytes(),), "data binary", "jaccard-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,39 +453,18 @@ def _linked(pairs: DataFrame, segments: DataFrame, sets: DataFrame) -> DataFrame
 
     joined = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("data").alias("x")), "a")
     joined = joined.join(sets.select(F.col("set_id").alias("b"), F.col("data").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    return materialize(joined.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "jaccard-links")
 
 
-def join(docs: DataFrame, with_row: bool = False) -> DataFrame:
-    """Link documents whose shingle sets have a Jaccard similarity of 0.75 or more.
-
-    1. One pass hashes the shingles of every whole text, names equal sets alike, and counts
-       shingles in a sketch of fixed size. Its counts order shingles rare first; any order that
-       all documents share gives the same links, so collisions cost time only.
-    2. A second pass deals each distinct set's prefix over buckets. There the length and the
-       positional filter act, and pairs of sets that share a prefix shingle become candidates; of
-       a crowded shingle first only each set and one head of its size class.
-    3. The suffix filter bounds the overlap by counts of hash ranges. Pairs that pass are checked
-       once against all their shingles. Links give components.
-    4. Crowded shingles whose sets still fall into several components give all remaining pairs
-       between these components, which are filtered and checked in the same way.
-
-    So every pair is either checked, ruled out by a bound, or already connected, and no group of
-    copies or near copies expands into all of its pairs. Sets and shingles are compared by 64-bit
-    hashes.
-
-    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach). Null, empty
-    and wordless texts have no shingles and are alone. Repeated rows are copies. A null id stays
-    null and takes part. Other columns are not read; an empty table gives no rows. with_row adds
-    row, the hash of doc_id and text, which tells texts of one id apart.
-    """
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """(rows, reps, links, roots): a row for each document, for each distinct set, for each link, and for each linked set."""
     spark = docs.sparkSession
     shared_dir(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     profile = materialize(docs.mapInArrow(_profile, _PROFILE), "jaccard-profile")
     rows = profile.where("block is null")
     reps = rows.where("set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("segments").alias("segments")
+        F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n")
     )
     reps = materialize(reps, "jaccard-reps")
     total = reps.agg(F.sum("n")).first()[0] or 0
@@ -393,33 +477,60 @@ def join(docs: DataFrame, with_row: bool = False) -> DataFrame:
     hot = found.where("b is null").select("token", F.col("a").alias("set_id"), "size", "place")
 
     wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).unionAll(hot.select("set_id"))
-    wanted = reps.select("set_id", "row").join(wanted.distinct(), "set_id", "left_semi")
-    sets = _sets_of(docs, wanted)
-    segments = reps.select("set_id", "n", "segments")
-    links = materialize(_linked(pairs, segments, sets), "jaccard-links")
-    roots = components(links)
+    segments = _segments_of(docs, reps.select("set_id", "row").join(wanted.distinct(), "set_id", "left_semi"), levels)
+    links = _linked(docs, reps, materialize(_fitting(pairs, segments), "jaccard-fitting"))
+    roots, checked = components(links), pairs
+    # Between components: each set's most promising partner, again as long as many of them link, and
+    # then all pairs that are left.
+    nearest = True
+    while True:
+        met = _meetings(hot, roots, segments).groupBy("bucket")
+        if nearest:
+            more = met.applyInArrow(_nearest, "a bigint, spare bigint, b bigint")
+            more = more.groupBy("a").agg(F.max(F.struct("spare", "b"))["b"].alias("b"))
+            more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        else:
+            more = met.applyInArrow(_all_near, "a bigint, b bigint")
+        more = materialize(more.distinct().join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        if many := more.count():
+            found = _linked(docs, reps, more)
+            links, checked = links.unionAll(found), checked.unionAll(more)
+            roots = components(links)
+        if not nearest:
+            break
+        nearest = bool(many) and 4 * found.count() >= many
+    return rows, reps, links, roots
 
-    placed = hot.join(roots, hot["set_id"] == roots["node"], "left").select(
-        "token", "set_id", "size", "place", F.coalesce("root", "set_id").alias("root")
-    )
-    split = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    placed = materialize(placed.join(split.select("token"), "token", "left_semi"), "jaccard-crowded")
-    if placed.limit(1).count():
-        p, q = placed.alias("p"), placed.alias("q")
-        # Each pair once: the smaller set first, which also bounds the sizes that can meet.
-        meets = (
-            (F.col("p.token") == F.col("q.token"))
-            & (F.col("p.root") != F.col("q.root"))
-            & (F.struct("p.size", "p.set_id") < F.struct("q.size", "q.set_id"))
-            & (4 * F.col("p.size") >= 3 * F.col("q.size"))
-            & F.expr("7 * least(p.size - p.place, q.size - q.place) >= 3 * (p.size + q.size)")
-        )
-        more = p.join(q, meets).select(
-            F.least("p.set_id", "q.set_id").alias("a"), F.greatest("p.set_id", "q.set_id").alias("b")
-        )
-        more = more.distinct().join(pairs, ["a", "b"], "left_anti")
-        roots = components(links.unionAll(_linked(more, segments, sets)))
 
+def join(docs: DataFrame, with_row: bool = False) -> DataFrame:
+    """Link documents whose shingle sets have a Jaccard similarity of 0.75 or more.
+
+    1. One pass hashes the shingles of every whole text, names equal sets alike, and counts
+       shingles in a sketch of fixed size. Its counts order shingles rare first; any order that
+       all documents share gives the same links, so collisions cost time only.
+    2. A second pass deals each distinct set's prefix over buckets. There, of the sets that share
+       a prefix shingle, each becomes a candidate with the head of its size class if the pair
+       passes the length and the positional filter.
+    3. A bound by counts of hash ranges rules pairs out; those that pass are checked once against
+       all their shingles. Links give components.
+    4. Shingles whose sets lie in several components are looked at again: pairs of different
+       components must pass the length, the positional and the suffix filter (counts of hash
+       ranges without the shingles before the common one). In rounds each set's partner with the
+       highest bound is checked, as long as a quarter of them link; then all pairs that are left
+       between components.
+
+    So every pair is checked, ruled out by a bound, or already connected. Pairs that a filter rules
+    out are numbers inside a task, never rows; near copies give about one pair a set. What still
+    grows with the square of a shingle's sets is that comparison of bounds, where thousands of sets
+    share a rare shingle and yet do not link; it is dealt over groups of blocks of sets.
+    Sets and shingles are compared by 64-bit hashes.
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id that links reach). Null, empty
+    and wordless texts have no shingles and are alone. Repeated rows are copies. A null id stays
+    null and takes part. Other columns are not read; an empty table gives no rows. with_row adds
+    row, the hash of doc_id and text, which tells texts of one id apart.
+    """
+    rows, reps, _, roots = _classes(docs)
     named = reps.select("set_id", "doc_id").join(roots, reps["set_id"] == roots["node"], "left")
     named = named.select("set_id", "doc_id", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -432,6 +543,18 @@ def join(docs: DataFrame, with_row: bool = False) -> DataFrame:
     )
 
 
+def links(docs: DataFrame) -> DataFrame:
+    """(a, b): the verified links between the smallest ids of distinct sets, which connect every component.
+
+    Links inside a component that its other links connect already are not all verified. Sets whose
+    documents have no id are left out.
+    """
+    _, reps, found, _ = _classes(docs)
+    x, y = reps.select(F.col("set_id").alias("a"), F.col("doc_id").alias("x")), reps.select(F.col("set_id").alias("b"), F.col("doc_id").alias("y"))
+    found = found.join(x, "a").join(y, "b").where("x is not null and y is not null")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark, 1000)
     return join(table(spark, sf_dir, "documents"))

@@ -171,11 +171,11 @@ def edited(rnd, text, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("all_pairs, heavy", [(64, 1 << 17), (3, 1 << 17), (3, 8)])
-def test_jaccard_equals_plain(spark, documents, monkeypatch, all_pairs, heavy):
-    monkeypatch.setattr(jaccard, "ALL_PAIRS", all_pairs)
+@pytest.mark.parametrize("block_sets, heavy", [(2048, 1 << 17), (3, 1 << 17), (3, 8)])
+def test_jaccard_equals_plain(spark, documents, monkeypatch, block_sets, heavy):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block_sets)
     monkeypatch.setattr(jaccard, "HEAVY", heavy)
-    rnd = random.Random(all_pairs + heavy)
+    rnd = random.Random(block_sets + heavy)
     rows = [(0, None), (1, ""), (2, " \t"), (3, "one two"), (4, "ONE  two"), (5, "one two three"), (6, "word " * 3000)]
     for base in range(6):
         text = prose(rnd, rnd.randint(8, 120))
@@ -203,17 +203,58 @@ def test_jaccard_links_near_copies_with_null_and_repeated_ids(spark, documents):
     assert (3, 196, 1) in got and got.count((None, 196, 1)) == 2
 
 
-def test_jaccard_checks_pairs_whose_segments_are_clipped(spark):
-    # Sizes as of texts with millions of shingles; the packed sets are short.
-    sizes = [(k, 3_000_000, [32767] * 64) for k in (1, 2, 3)] + [(4, 400, [3] * 64), (5, 400, [3] * 64)]
-    segments = spark.createDataFrame(sizes, "set_id bigint, n int, segments array<smallint>")
-    common = np.arange(99, dtype=np.uint64)
-    data = [(k, np.append(common, np.uint64(1000 + k)).tobytes()) for k in (1, 2, 4, 5)] + [(3, (common + np.uint64(5000)).tobytes())]
-    sets = spark.createDataFrame([(k, bytearray(d)) for k, d in data], "set_id bigint, data binary")
-    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "a bigint, b bigint")
-    # 4 and 5 are ruled out by their counts, 1 and 3 by the exact check alone.
-    got = jaccard._linked(pairs, segments, sets).collect()
-    assert [tuple(r) for r in got] == [(1, 2)]
+def test_jaccard_links_very_long_texts(spark, documents):
+    words = [str(k) for k in range(2_500_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(words[:1_000_000]))]
+    got = sorted(tuple(r) for r in jaccard.join(documents(rows)).collect())
+    assert got == [(1, 2_499_996, 1), (2, 2_499_996, 1), (3, 999_996, 3)]
+
+
+def templated(rnd, n):
+    """Documents of five out of twenty passages: many shared shingles, hardly a link."""
+    passages = [prose(rnd, 40) for _ in range(20)]
+    return [(k, " ".join(rnd.sample(passages, 5)) + " " + prose(rnd, 5)) for k in range(n)]
+
+
+def checked_pairs(spark, documents, monkeypatch, rows):
+    counts, write = [], jaccard.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        counts.append(out.count() if label in ("jaccard-pairs", "jaccard-fitting") else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    jaccard.join(documents(rows)).collect()
+    monkeypatch.undo()
+    return sum(counts)
+
+
+def test_jaccard_checks_few_pairs_of_templated_documents(spark, documents, monkeypatch):
+    small, large = (checked_pairs(spark, documents, monkeypatch, templated(random.Random(4), n)) for n in (150, 600))
+    assert large < 6 * small
+
+
+def test_jaccard_checks_few_pairs_of_near_copies(spark, documents, monkeypatch):
+    rnd = random.Random(6)
+    text = prose(rnd, 150)
+    rows = [(k, edited(rnd, text, rnd.randint(1, 6))) for k in range(600)]
+    assert checked_pairs(spark, documents, monkeypatch, rows) < 12 * len(rows)
+
+
+def test_jaccard_links_connect_each_component(spark, documents):
+    rnd = random.Random(8)
+    rows = [(10 * base + k, edited(rnd, prose(random.Random(base), 60), k % 3)) for base in range(5) for k in range(8)]
+    links = [tuple(r) for r in jaccard.links(documents(rows)).collect()]
+    want = {i: c for i, _, c in plain_components(rows)}
+    assert all(a < b and want[a] == want[b] for a, b in links)
+    low = dict.fromkeys(want)
+    low = {i: i for i in low}
+    for _ in rows:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    texts = {t: min(i for i, u in rows if u == t) for _, t in rows}
+    assert {i: low[texts[t]] for i, t in rows} == want
 
 
 def test_jaccard_of_nothing(spark, documents):
