@@ -6,27 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormgrid.llm import bpe, jaccard, line_dedup, mixing, quality
-from stormgrid.llm.common import materialize, small_batches, table
+from stormgrid.llm.common import fresh_names, materialize, small_batches, table
 
+#: Lines that two documents share stay here: near copies meet whole in the next stage.
+LINE_DOCUMENTS = 3
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """row_hash names a row also where its id is null or repeated."""
-    return docs.withColumn("row_hash", F.xxhash64(F.col("doc_id").cast("long"), "text"))
+
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """A column, and its name, that tells rows apart also where their id is null or repeated."""
+    (name,) = fresh_names(docs, "row_hash")
+    return docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), "text")), name
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     small_batches(spark)
-    named = with_row(docs)
-    scored = quality.score(named, table(spark, sf_dir, "labels"), keep=("row_hash",))
-    rejected = scored.where("predicted = 0").select("row_hash").distinct()
-    return named.join(rejected, "row_hash", "left_anti").select(*docs.columns)
+    named, row = with_row(docs)
+    scored = quality.score(named, table(spark, sf_dir, "labels"), keep=(row,))
+    rejected = scored.where("predicted = 0").select(row).distinct()
+    return named.join(rejected, row, "left_anti").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go, and with them documents that have nothing else."""
     small_batches(spark)
-    kept = line_dedup.dedup(docs).where("n_dropped = 0 or trim(text) <> ''")
+    kept = line_dedup.dedup(docs, LINE_DOCUMENTS).where("n_dropped = 0 or trim(text) <> ''")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -34,17 +38,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of linked documents the one with the smallest id stays; without any id, all do but equal rows."""
     small_batches(spark)
     copies = jaccard.join(docs, with_row=True).where("component_id is not null and not doc_id <=> component_id")
-    copies = copies.select(F.col("row").alias("row_hash")).distinct()
-    kept = with_row(docs).join(copies, "row_hash", "left_anti")
-    return kept.dropDuplicates(["row_hash"]).select(*docs.columns)
+    named, row = with_row(docs)
+    kept = named.join(copies.select(F.col("row").alias(row)).distinct(), row, "left_anti")
+    return kept.dropDuplicates([row]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
-    copies = copies.withColumnRenamed("doc_id", "mix_id")
-    taken = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("mix_id")))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "mix_copies")).alias("mix_copy")).drop("mix_copy")
+    mix_id, mix_copies, mix_copy = fresh_names(docs, "mix_id", "mix_copies", "mix_copy")
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias(mix_copies)).where(F.col(mix_copies) > 0)
+    taken = docs.join(copies.withColumnRenamed("doc_id", mix_id), F.col("doc_id").eqNullSafe(F.col(mix_id)))
+    return taken.withColumn(mix_copy, F.explode(F.sequence(F.lit(1), mix_copies))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

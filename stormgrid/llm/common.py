@@ -63,6 +63,17 @@ def marked(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
     return flags[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores behind those that ``df`` has already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

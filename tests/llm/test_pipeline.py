@@ -30,7 +30,7 @@ def test_stages_take_effect(spark, tmp_path):
     good = {k for k, q, _ in labels if q == 1}
     assert len(good & texts[1].keys()) > 0.98 * len(good)
     assert len(texts[1].keys() & {k for k, q, _ in labels if q == 0}) < 10
-    want = {i: t for i, (n, gone, t) in plain_dedup(list(texts[1].items())).items() if not gone or t.strip()}
+    want = {i: t for i, (n, gone, t) in plain_dedup(list(texts[1].items()), P.LINE_DOCUMENTS).items() if not gone or t.strip()}
     assert texts[2] == want
     heads = {i for i, _, c in plain_components(list(texts[2].items())) if i == c}
     assert texts[3].keys() == heads and frames[3].count() == len(heads)

@@ -132,32 +132,33 @@ def test_media_sees_losses():
     assert media.unpack(bytes(broken))[5] == 2
 
 
-def plain_dedup(rows):
+def plain_dedup(rows, least=line_dedup.LEAST_DOCUMENTS):
     """rows: (doc_id, text), ids and texts unique together."""
     lines = []
     for doc, text in rows:
         for at, raw in enumerate([] if text is None else text.split("\n")):
             tokens = re.sub(r"[^ \t\x0B\f\r0-9]*[0-9][^ \t\x0B\f\r]*", "<*>", raw)
             lines.append((doc, at, raw, tuple(t for t in re.split(r"[ \t\x0B\f\r]+", tokens) if t)))
-    long = [x for x in lines if len(x[3]) >= line_dedup.LEAST_TOKENS]
-    leaves = {}
+    long = [x for x in lines if len(" ".join(x[3]).encode()) >= line_dedup.LEAST_BYTES]
+    leaves, named = {}, {}
     for x in long:
         leaves.setdefault((len(x[3]), x[3][: line_dedup.DEPTH]), set()).add(x[3])
-    named = {}
-    for leaf, kinds in leaves.items():
-        fixed = [
-            next((t for t in {k[p] for k in kinds} if 2 * sum(k[p] == t for k in kinds) > len(kinds)), None)
-            for p in range(leaf[0])
-        ]
-        alike = [k for k in kinds if sum(a == b for a, b in zip(k, fixed, strict=True)) >= line_dedup.ALIKE * leaf[0]]
+    for (n, leaf), kinds in leaves.items():
+        fields = range(line_dedup.DEPTH, n)
+        shared = {}
         for k in kinds:
-            named[k] = ("leaf", leaf) if len(alike) > 1 and k in alike else k
+            by_count = sorted(fields, key=lambda p: (-sum(o[p] == k[p] for o in kinds), p))
+            fixed = sorted(by_count[: line_dedup.fixed_size(n)])
+            shared.setdefault((n, leaf, *((p, k[p]) for p in fixed)), []).append(k)
+        for template, own in shared.items():
+            for k in own:
+                named[k] = template if len(own) > 1 and n > line_dedup.DEPTH + 1 else k
     places = {}
     for doc, at, _, tokens in long:
         places.setdefault(named[tokens], []).append((doc, at))
     gone = set()
     for found in places.values():
-        if len({d for d, _ in found}) >= line_dedup.LEAST_DOCUMENTS:
+        if len({d for d, _ in found}) >= least:
             gone |= set(sorted(found)[1:])
     out = {}
     for doc, text in rows:
@@ -194,6 +195,33 @@ def test_line_dedup_drops_repeated_passages_and_leaves_others(spark, documents):
     assert sum(r.text == rows[-1][1] for r in got) == 2
 
 
+def test_line_dedup_leaf_holds_several_templates(spark, documents):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    one = [(k, f"the following user {word()} has left the chat room today") for k in range(200)]
+    two = [(1000 + k, f"the following user found {word()} in the file store below") for k in range(200)]
+    prose = [(2000 + k, "the following user " + " ".join(word() for _ in range(7))) for k in range(201)]
+    short = [(3000 + k, "All rights reserved, ok.") for k in range(2)] + [(3010 + k, "ok") for k in range(9)]
+    unbroken = [(4000 + k, "无空格的行也会重复出现在文档中") for k in range(2)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup(documents(one + two + prose + short + unbroken)).collect()}
+    dropped = lambda rows: sum(got[i] for i, _ in rows)
+    assert (dropped(one), dropped(two), dropped(prose), dropped(short), dropped(unbroken)) == (199, 199, 0, 1, 1)
+
+
+def test_line_dedup_with_clashing_names_and_null_ids(spark):
+    line = "a line that stands in more than one document"
+    data = [(None, line), (None, f"{line}\nown words of this one document"), (1, line), (1, line), (2, None)]
+    names = "gone gone_hash gone_row gone_id gone_at row at leaf line n_lines".split()
+    schema = "doc_id bigint, text string, " + ", ".join(f"{c} int" for c in names)
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in data], schema)
+    got = line_dedup.dedup(docs).collect()
+    assert set(got[0].asDict()) == {*docs.columns, "n_dropped"} and all(r.line == 8 and r.gone == 0 for r in got)
+    left = sorted((r.doc_id or 0, r.text or "", r.n_lines, r.n_dropped) for r in got)
+    none = [x for x in left if x[0] == 0]
+    assert [x for x in left if x[0] > 0] == [(1, "", 1, 1), (1, "", 1, 1), (2, "", 0, 0)]
+    assert sum(x[3] for x in none) == 1 and sum(line in x[1] for x in none) == 1
+
+
 @pytest.mark.parametrize("run", [lambda d: bpe.encode(d, bpe.tokenizer_path()), licenses.scan, lambda d: media.load(media.store(d)), line_dedup.dedup])
 def test_empty_tables(documents, run):
     assert run(documents([])).count() == 0
