@@ -21,6 +21,7 @@ SEGMENTS = 256  # hash ranges whose counts bound the overlap of two suffixes
 BUCKET = 1 << 18  # prefix entries of one task, about
 HELD = 1 << 18  # entries that a map task holds before it hands them on
 HEAVY = 1 << 17  # entries of a shingle above which they are dealt over several tasks
+ALL_PAIRS = 16  # sets of a shingle up to which all its pairs that pass the filters are kept
 BLOCK_SETS = 2048  # sets of one shingle that meet as many others in one step
 MEETING = 1 << 15  # entries of the shingles that one task compares, about
 
@@ -75,9 +76,8 @@ def segment(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(20)).astype(np.int64) % SEGMENTS
 
 
-def packed_counts(values: np.ndarray) -> bytes:
+def packed_counts(counts: np.ndarray) -> bytes:
     """How many shingles fall into each segment, in one or four bytes each."""
-    counts = np.bincount(segment(values), minlength=SEGMENTS)
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
@@ -216,11 +216,14 @@ def survives(size_a, size_b, place_a, place_b) -> np.ndarray:
     return (4 * small >= 3 * big) & (7 * most >= 3 * (size_a + size_b))
 
 
-_CANDIDATES = "token bigint, a bigint, b bigint, size int, place int"
+_CANDIDATES = "token bigint, a bigint, b bigint, size int, place int, head boolean"
 
 
 def _candidates(usual: float):
-    """For each bucket: pairs (a, b) of a set and its head, and the entries of shingles of three or more sets (a, with token, size and place)."""
+    """For each bucket: pairs (a, b) that pass the filters, and the entries of crowded shingles (a, with token, size and place).
+
+    Of each shingle there are the pairs of a set and its head; if it is not crowded, all others too.
+    """
 
     def meet(frame: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], [], []]
@@ -259,18 +262,33 @@ def _candidates(usual: float):
         x, y = np.concatenate([head[~first], x[same]]), np.concatenate([np.flatnonzero(~first), y[same]])
         fits = survives(size[x], size[y], place[x], place[y])
         a, b = _distinct(who[x[fits]], who[y[fits]])
-        open_ = np.flatnonzero((length[run] > 2) | dealt) if len(token) else heads
-        k, null = len(a), np.zeros(len(a), bool)
-        mask = np.concatenate([~null, np.zeros(len(open_), bool)])
+        crowded = (length[run] > ALL_PAIRS) | dealt
+        left, right = [], []
+        calm = np.flatnonzero(~crowded)
+        for step in range(1, ALL_PAIRS):
+            x, y = calm[:-step], calm[step:]
+            same = token[x] == token[y]
+            if not same.any():
+                break
+            x, y = x[same], y[same]
+            fits = survives(size[x], size[y], place[x], place[y])
+            left.append(who[x[fits]])
+            right.append(who[y[fits]])
+        c, d = _distinct(*(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right)))
+        hot = np.flatnonzero(crowded)
+        pairs, entries = len(a) + len(c), len(hot)
+        mask = np.arange(pairs + entries) < pairs
+        none = np.zeros(pairs, np.int64)
         return pa.table(
             [
-                pa.array(np.concatenate([np.zeros(k, np.int64), token[open_].view(np.int64)]), mask=mask),
-                pa.array(np.concatenate([a, who[open_]])),
-                pa.array(np.concatenate([b, np.zeros(len(open_), np.int64)]), mask=~mask),
-                pa.array(np.concatenate([np.zeros(k), size[open_]]).astype(np.int32), mask=mask),
-                pa.array(np.concatenate([np.zeros(k), place[open_]]).astype(np.int32), mask=mask),
+                pa.array(np.concatenate([none, token[hot].view(np.int64)]), mask=mask),
+                pa.array(np.concatenate([a, c, who[hot]])),
+                pa.array(np.concatenate([b, d, np.zeros(entries, np.int64)]), mask=~mask),
+                pa.array(np.concatenate([none, size[hot]]).astype(np.int32), mask=mask),
+                pa.array(np.concatenate([none, place[hot]]).astype(np.int32), mask=mask),
+                pa.array(np.arange(pairs + entries) < len(a)),
             ],
-            ["token", "a", "b", "size", "place"],
+            ["token", "a", "b", "size", "place", "head"],
         )
 
     return meet
@@ -299,11 +317,8 @@ def _met(frame: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     who, root, size, place = (frame[c].to_numpy()[order] for c in ("set_id", "root", "size", "place"))
     size, place = size.astype(np.int64), place.astype(np.int64)
     counts = np.zeros((len(key), SEGMENTS), np.int32)
-    columns = (frame[c].take(pa.array(order)).to_pylist() for c in ("segments", "bins"))
-    for k, (data, bins, upto) in enumerate(zip(*columns, place.tolist(), strict=True)):
+    for k, data in enumerate(frame["suffix"].take(pa.array(order)).to_pylist()):
         counts[k] = counts_of(data)
-        if upto:
-            counts[k] -= np.bincount(np.frombuffer(bins, np.uint8)[:upto], minlength=SEGMENTS)
     _, run, length = np.unique(key, return_inverse=True, return_counts=True)
     after = np.cumsum(length)[run] - np.arange(len(key)) - 1 if len(key) else length
     x, step = np.arange(len(key)), 1
@@ -341,19 +356,50 @@ def _all_near(frame: pa.Table) -> pa.Table:
     return pa.table(list(map(pa.array, _distinct(np.concatenate(left), np.concatenate(right)))), ["a", "b"])
 
 
-def _meetings(hot: DataFrame, roots: DataFrame, segments: DataFrame) -> DataFrame:
+def _several(placed: DataFrame) -> DataFrame:
+    """The shingles (token) whose sets lie in several components, with k sets, m of them in the component main."""
+    tokens = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.sum("c").alias("k"), F.max("c").alias("m"), F.max_by("root", "c").alias("main"), F.count("*").alias("several")
+    )
+    return tokens.where("several > 1").drop("several")
+
+
+def _rooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    return entries.join(roots, entries["set_id"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "set_id"))
+
+
+def _suffixes(hot: DataFrame, roots: DataFrame, segments: DataFrame) -> DataFrame:
+    """(token, set_id, size, place, suffix): entries of shingles of several components, with the counts of the set's shingles from there on."""
+    open_ = hot.join(_several(_rooted(hot, roots)).select("token"), "token", "left_semi")
+    own = open_.groupBy("set_id").agg(F.collect_list(F.struct("token", "size", "place")).alias("entries"))  # of one prefix
+    names = ["token", "set_id", "size", "place", "suffix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                set_, entries, data, bins = (batch.column(c)[at].as_py() for c in ("set_id", "entries", "segments", "bins"))
+                entries.sort(key=lambda e: e["place"])
+                counts, bins, upto, suffix = counts_of(data).astype(np.int64), np.frombuffer(bins, np.uint8), 0, []
+                for e in entries:
+                    counts -= np.bincount(bins[upto : e["place"]], minlength=SEGMENTS)
+                    upto = e["place"]
+                    suffix.append(packed_counts(counts))
+                token, size, place = (pa.array([e[c] for e in entries], k) for c, k in (("token", pa.int64()), ("size", pa.int32()), ("place", pa.int32())))
+                columns = [token, pa.array([set_] * len(entries), pa.int64()), size, place, pa.array(suffix, pa.binary())]
+                yield from sliced(pa.RecordBatch.from_arrays(columns, names))
+
+    found = own.join(segments, "set_id").mapInArrow(run, "token bigint, set_id bigint, size int, place int, suffix binary")
+    return materialize(found, "jaccard-suffixes")
+
+
+def _meetings(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """The entries of shingles whose sets lie in several components, dealt to groups in which they meet.
 
     The sets of a shingle's main component need not meet each other. A shingle of more than
     ``BLOCK_SETS`` sets is cut into blocks, main and others; two blocks meet in a group of their own.
     """
-    placed = hot.join(roots, hot["set_id"] == roots["node"], "left").select(
-        "token", "set_id", "size", "place", F.coalesce("root", "set_id").alias("root")
-    )
-    tokens = placed.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token").agg(
-        F.sum("c").alias("k"), F.max("c").alias("m"), F.max_by("root", "c").alias("main"), F.count("*").alias("several")
-    )
-    tokens = materialize(tokens.where("several > 1").drop("several"), "jaccard-open")
+    tokens = materialize(_several(_rooted(entries.drop("suffix"), roots)), "jaccard-open")
+    placed = _rooted(entries, roots)
     total = tokens.agg(F.sum("k")).first()[0] or 0
     placed = placed.join(tokens, "token")
     blocks = f"""
@@ -371,20 +417,19 @@ def _meetings(hot: DataFrame, roots: DataFrame, segments: DataFrame) -> DataFram
         "own_rest": F.expr("cast(pmod(xxhash64(set_id), g_rest) as int)"),
     }).withColumn("at", F.explode(F.expr(blocks)))
     buckets = max(1, -(-total // MEETING))
-    return placed.join(segments, "set_id").select(
+    return placed.select(
         F.expr(f"case when k <= {BLOCK_SETS} then pmod(xxhash64(token), {buckets}L) else xxhash64(token, at.i, at.j) end").alias("bucket"),
         F.expr("xxhash64(token, at.i, at.j)").alias("key"),
-        F.col("at.side").alias("side"), "set_id", "root", "size", "place", "segments", "bins",
+        F.col("at.side").alias("side"), "set_id", "root", "size", "place", "suffix",
     )
 
 
-def _passed(docs: DataFrame, wanted: DataFrame, make, names: str, label: str) -> DataFrame:
-    """What ``make`` gives for the shingles of each wanted set; wanted has set_id and the row of one document.
+def _passed(docs: DataFrame, wanted: DataFrame, make, names: str) -> DataFrame:
+    """(row, own, ...): what ``make`` gives for the shingles of the wanted rows, and of few others; own is the set.
 
-    row hashes id and text, so it also names documents without an id or with a repeated one. A
-    bitmap of the wanted rows spares the other documents the work.
+    A bitmap of the wanted rows spares the other documents the work. row hashes id and text, so it
+    also names documents without an id or with a repeated one.
     """
-    wanted = materialize(wanted, "jaccard-wanted")
     flags = marks(wanted, "row")
     columns = [c.split()[0] for c in names.split(", ")]
 
@@ -404,9 +449,7 @@ def _passed(docs: DataFrame, wanted: DataFrame, make, names: str, label: str) ->
             data += [pa.array(v, pa.binary()) for v in values]
             yield from sliced(pa.RecordBatch.from_arrays(data, ["row", "own", *columns]))
 
-    found = docs.select("row", "text").mapInArrow(run, f"row bigint, own bigint, {names}").join(wanted, "row")
-    found = found.where("own = set_id").select("set_id", *columns).dropDuplicates(["set_id"])
-    return materialize(found, label)
+    return docs.select("row", "text").mapInArrow(run, f"row bigint, own bigint, {names}")
 
 
 def _segments_of(docs: DataFrame, wanted: DataFrame, levels) -> DataFrame:
@@ -414,9 +457,11 @@ def _segments_of(docs: DataFrame, wanted: DataFrame, levels) -> DataFrame:
 
     def make(own: np.ndarray) -> tuple[bytes, bytes]:
         _, bins = rare_first(own, levels.value)
-        return packed_counts(own), bins.astype(np.uint8).tobytes()
+        return packed_counts(np.bincount(segment(own), minlength=SEGMENTS)), bins.astype(np.uint8).tobytes()
 
-    return _passed(docs, wanted, make, "segments binary, bins binary", "jaccard-segments")
+    wanted = materialize(wanted, "jaccard-wanted")
+    found = _passed(docs, wanted, make, "segments binary, bins binary").join(wanted, "row").where("own = set_id")
+    return materialize(found.select("set_id", "segments", "bins").dropDuplicates(["set_id"]), "jaccard-segments")
 
 
 def _fitting(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -436,9 +481,10 @@ def _fitting(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that link: one exact check of each pair, whose sets are sent to it."""
-    wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).distinct()
-    wanted = reps.select("set_id", "row").join(wanted, "set_id", "left_semi")
-    sets = _passed(docs, wanted, lambda own: (own.tobytes(),), "data binary", "jaccard-sets")
+    of_a, of_b = (reps.select(F.col("set_id").alias(c), F.col("row").alias(f"row_{c}")) for c in "ab")
+    pairs = materialize(pairs.join(of_a, "a").join(of_b, "b"), "jaccard-checks")
+    wanted = pairs.select(F.col("row_a").alias("row")).unionAll(pairs.select("row_b")).distinct()
+    sets = _passed(docs, wanted, lambda own: (own.tobytes(),), "data binary")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -451,8 +497,9 @@ def _linked(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("data").alias("x")), "a")
-    joined = joined.join(sets.select(F.col("set_id").alias("b"), F.col("data").alias("y")), "b")
+    # Both sides read one exchange of the sets, by row.
+    x, y = (sets.select(F.col("row").alias(f"row_{c}"), F.col("own").alias(f"own_{c}"), F.col("data").alias(d)) for c, d in ("ax", "by"))
+    joined = pairs.join(x, "row_a").where("own_a = a").join(y, "row_b").where("own_b = b")
     return materialize(joined.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "jaccard-links")
 
 
@@ -473,32 +520,48 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None, D
     levels = spark.sparkContext.broadcast(_sketch(profile))  # 2**SKETCH_BITS bytes, whatever the input
     entries = _prefixes(docs, levels, buckets, usual).groupBy("bucket")
     found = materialize(entries.applyInArrow(_candidates(usual), _CANDIDATES), "jaccard-candidates")
-    pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "jaccard-pairs")
+    proposed = found.where("b is not null").groupBy("a", "b").agg(F.max("head").alias("head"))
+    proposed = materialize(proposed, "jaccard-proposed")
     hot = found.where("b is null").select("token", F.col("a").alias("set_id"), "size", "place")
 
-    wanted = pairs.select(F.col("a").alias("set_id")).unionAll(pairs.select("b")).unionAll(hot.select("set_id"))
+    wanted = proposed.select(F.col("a").alias("set_id")).unionAll(proposed.select("b")).unionAll(hot.select("set_id"))
     segments = _segments_of(docs, reps.select("set_id", "row").join(wanted.distinct(), "set_id", "left_semi"), levels)
-    links = _linked(docs, reps, materialize(_fitting(pairs, segments), "jaccard-fitting"))
-    roots, checked = components(links), pairs
-    # Between components: each set's most promising partner, again as long as many of them link, and
-    # then all pairs that are left.
-    nearest = True
+    checked = materialize(_fitting(proposed.where("head").select("a", "b"), segments), "jaccard-pairs")
+    links = _linked(docs, reps, checked)
+    roots = components(links)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        x, y = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+        apart = pairs.join(x, "a", "left").join(y, "b", "left")
+        return apart.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+
+    # Pairs between components: those of shingles that are not crowded; then of crowded ones each set's
+    # most promising partner, again as long as many of them link; then all that are left.
+    entries, step, first = None, "calm", None
     while True:
-        met = _meetings(hot, roots, segments).groupBy("bucket")
-        if nearest:
-            more = met.applyInArrow(_nearest, "a bigint, spare bigint, b bigint")
-            more = more.groupBy("a").agg(F.max(F.struct("spare", "b"))["b"].alias("b"))
-            more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        if step == "calm":
+            more = _fitting(apart(proposed.where("not head").select("a", "b")), segments)
         else:
-            more = met.applyInArrow(_all_near, "a bigint, b bigint")
+            entries = entries or _suffixes(hot, roots, segments)
+            met = _meetings(entries, roots).groupBy("bucket")
+            if step == "nearest":
+                more = met.applyInArrow(_nearest, "a bigint, spare bigint, b bigint")
+                more = more.groupBy("a").agg(F.max(F.struct("spare", "b"))["b"].alias("b"))
+                more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            else:
+                more = met.applyInArrow(_all_near, "a bigint, b bigint")
         more = materialize(more.distinct().join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
         if many := more.count():
             found = _linked(docs, reps, more)
             links, checked = links.unionAll(found), checked.unionAll(more)
             roots = components(links)
-        if not nearest:
+        if step == "all":
             break
-        nearest = bool(many) and 4 * found.count() >= many
+        if step == "calm":
+            step = "nearest"
+        else:
+            first = first or many
+            step = "nearest" if many and 20 * many >= first and 4 * found.count() >= many else "all"
     return rows, reps, links, roots
 
 
@@ -508,19 +571,20 @@ def join(docs: DataFrame, with_row: bool = False) -> DataFrame:
     1. One pass hashes the shingles of every whole text, names equal sets alike, and counts
        shingles in a sketch of fixed size. Its counts order shingles rare first; any order that
        all documents share gives the same links, so collisions cost time only.
-    2. A second pass deals each distinct set's prefix over buckets. There, of the sets that share
-       a prefix shingle, each becomes a candidate with the head of its size class if the pair
-       passes the length and the positional filter.
-    3. A bound by counts of hash ranges rules pairs out; those that pass are checked once against
-       all their shingles. Links give components.
-    4. Shingles whose sets lie in several components are looked at again: pairs of different
+    2. A second pass deals each distinct set's prefix over buckets. There pairs that share a prefix
+       shingle pass the length and the positional filter: first each set with the head of its size
+       class; a shingle of up to ``ALL_PAIRS`` sets also gives its other pairs, for later.
+    3. A bound by counts of hash ranges rules pairs with heads out; those that pass are checked once
+       against all their shingles. Links give components.
+    4. The later pairs between different components are bounded and checked.
+    5. Crowded shingles whose sets lie in several components are looked at again: pairs of different
        components must pass the length, the positional and the suffix filter (counts of hash
        ranges without the shingles before the common one). In rounds each set's partner with the
        highest bound is checked, as long as a quarter of them link; then all pairs that are left
        between components.
 
-    So every pair is checked, ruled out by a bound, or already connected. Pairs that a filter rules
-    out are numbers inside a task, never rows; near copies give about one pair a set. What still
+    So every pair is checked, ruled out by a bound, or already connected. Pairs of crowded shingles
+    that a filter rules out are numbers inside a task, never rows. What still
     grows with the square of a shingle's sets is that comparison of bounds, where thousands of sets
     share a rare shingle and yet do not link; it is dealt over groups of blocks of sets.
     Sets and shingles are compared by 64-bit hashes.
