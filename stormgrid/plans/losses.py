@@ -53,7 +53,7 @@ def a13(t: Tables):
     return O.sim_metrics(events(t))
 
 
-@query("a14_conditional_loss", "with c as (select unit, family, median(n_events) as mid, quantile_cont(n_events, 0.75) as high from fx_sims group by 1, 2) select unit, family, avg(case when n_events <= mid then loss end) as loss_low, avg(case when n_events >= high then loss end) as loss_high from fx_sims join c using (unit, family) group by 1, 2", "loss_low loss_high", 3)
+@query("a14_conditional_loss", "with c as (select unit, family, median(n_events) as mid, quantile_cont(n_events, 0.75) as high from fx_sims group by 1, 2) select unit, family, avg(case when n_events <= mid then loss end) as loss_low, avg(case when n_events >= high then loss end) as loss_high from fx_sims join c using (unit, family) group by 1, 2", "loss_low loss_high", 7)
 def a14(t: Tables):
     return O.conditional_loss(t.fx_sims, ["unit", "family"], "n_events", "loss")
 
@@ -82,12 +82,12 @@ def j12(t: Tables):
 _HITS = "select unit, year, avg(p) as p_hit, stddev_samp(p) as p_hit_std, avg(given) as loss_given_hit, stddev_samp(given) as given_std, stddev_samp(given) / avg(given) as given_cv from (select unit, year, n_hit / cast(n_events as double) as p, loss / nullif(n_hit, 0) as given from fx_sims) q group by 1, 2"
 
 
-@query("a18_hit_decomposition", _HITS, "p_hit p_hit_std loss_given_hit given_std given_cv", 3)
+@query("a18_hit_decomposition", _HITS, "p_hit p_hit_std loss_given_hit given_std given_cv", 7)
 def a18(t: Tables):
     return O.hit_decomposition(t.fx_sims, ["unit", "year"])
 
 
-@query("a19_pool_years", f"with h as (select unit, year, avg(n_hit / cast(n_events as double)) as p_hit, avg(loss / nullif(n_hit, 0)) as loss_given_hit, sum(loss) / sum(n_events) as l_event from fx_sims group by 1, 2) select unit, avg(p_hit) as p_hit, avg(loss_given_hit) as loss_given_hit, avg(l_event) as l_event, count(*) as n_years, abs(avg(p_hit) * avg(loss_given_hit) - avg(l_event)) / avg(l_event) as identity_error from h group by 1", "p_hit loss_given_hit l_event identity_error", 3)
+@query("a19_pool_years", f"with h as (select unit, year, avg(n_hit / cast(n_events as double)) as p_hit, avg(loss / nullif(n_hit, 0)) as loss_given_hit, sum(loss) / sum(n_events) as l_event from fx_sims group by 1, 2) select unit, avg(p_hit) as p_hit, avg(loss_given_hit) as loss_given_hit, avg(l_event) as l_event, count(*) as n_years, abs(avg(p_hit) * avg(loss_given_hit) - avg(l_event)) / avg(l_event) as identity_error from h group by 1", "p_hit loss_given_hit l_event identity_error", 7)
 def a19(t: Tables):
     per = O.hit_decomposition(t.fx_sims, ["unit", "year"]).select("unit", "year", "p_hit", "loss_given_hit")
     whole = t.fx_sims.groupBy("unit", "year").agg((F.sum("loss") / F.sum("n_events")).alias("l_event"))
