@@ -10,6 +10,7 @@ from stormgrid.llm.common import count_words, materialize, table
 #: Most copies of a document, most mass of a source, and rows that one fold takes on average.
 MOST = 3
 FAN = 64
+REPEATS = 1024  # equal rows that one task numbers
 
 # Two open units a and b share mass: raising a by x lowers b by x * a.size / b.size, so the words
 # taken stay the same. up and down are the largest moves either way; one of them is drawn with the
@@ -22,7 +23,7 @@ aggregate(
     transform(array(named_struct('a', acc.open, 'b', x,
       'up', least(1 - acc.open.p, x.p * x.size / acc.open.size),
       'down', least(acc.open.p, (1 - x.p) * x.size / acc.open.size),
-      'u', pmod(xxhash64(acc.open.doc_id, acc.open.size, x.doc_id, x.size, {seed}), 1073741824) / 1073741824D)),
+      'u', pmod(xxhash64(acc.open.doc_id, acc.open.size, acc.open.nth, x.doc_id, x.size, x.nth, {seed}), 1073741824) / 1073741824D)),
     m -> transform(array(case when m.u * (m.up + m.down) < m.down then named_struct(
         'pa', case when m.a.p + m.up > 1 - 1e-12 then 1D else m.a.p + m.up end,
         'pb', case when m.b.p - m.up * m.a.size / m.b.size < 1e-12 then 0D
@@ -32,8 +33,8 @@ aggregate(
         'pb', case when m.b.p + m.down * m.a.size / m.b.size > 1 - 1e-12 then 1D
               else m.b.p + m.down * m.a.size / m.b.size end) end),
       q -> transform(array(named_struct(
-          'a', named_struct('doc_id', m.a.doc_id, 'size', m.a.size, 'whole', m.a.whole, 'p', q.pa),
-          'b', named_struct('doc_id', m.b.doc_id, 'size', m.b.size, 'whole', m.b.whole, 'p', q.pb))),
+          'a', named_struct('doc_id', m.a.doc_id, 'size', m.a.size, 'nth', m.a.nth, 'whole', m.a.whole, 'p', q.pa),
+          'b', named_struct('doc_id', m.b.doc_id, 'size', m.b.size, 'nth', m.b.nth, 'whole', m.b.whole, 'p', q.pb))),
         r -> case
           when r.a.p in (0D, 1D) and r.b.p in (0D, 1D) then named_struct(
             'open', cast(null as {unit}), 'closed', concat(acc.closed, array(r.a, r.b)))
@@ -42,7 +43,7 @@ aggregate(
           else named_struct('open', r.a, 'closed', array_append(acc.closed, r.b)) end)[0])[0])[0]
   end)
 """
-_UNIT = "struct<doc_id: bigint, size: bigint, whole: int, p: double>"
+_UNIT = "struct<doc_id: bigint, size: bigint, nth: bigint, whole: int, p: double>"
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -83,6 +84,19 @@ def _folded(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return grouped.withColumn("fold", fold).select(*keys, "fold.open", "fold.closed")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Each row with nth, its number among equal rows.
+
+    Equal rows are counted, and counts are unfolded to rows; large ones in parts that are dealt anew.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("repeats"))
+    few = counted.where(F.col("repeats") <= REPEATS).withColumn("nth", F.explode(F.expr("sequence(0L, repeats - 1)")))
+    parts = counted.where(F.col("repeats") > REPEATS).withColumn("start", F.explode(F.expr(f"sequence(0L, repeats - 1, {REPEATS}L)")))
+    parts = parts.repartition("doc_id", "size", "start")
+    many = parts.withColumn("nth", F.explode(F.expr(f"sequence(start, least(start + {REPEATS}, repeats) - 1)"))).drop("start")
+    return few.unionByName(many).drop("repeats")
+
+
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     """Draw how often each document is taken, so that sources come near their targets.
 
@@ -93,8 +107,8 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     less than one document, however large it is. Draws hash the ids of both units: reruns agree.
 
     Returns doc_id, size, source_size, target, copies (0 to 3), taken. Null and blank texts have
-    size 0 and are never taken; a null source is a source; repeated rows are drawn one by one; an
-    empty table gives no rows. Other columns are not read. doc_id may be null but must be integral.
+    size 0 and are never taken; a null source is a source; repeated rows are numbered and drawn one by
+    one, however many there are, so no chunk holds more than a few times ``FAN`` of them; an empty table gives no rows. Other columns are not read. doc_id may be null but must be integral.
     """
     sized = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -120,10 +134,10 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     rows = rows.withColumn("whole", whole).withColumn("p", share)
     sure = (F.col("p") < 1e-12) | (F.col("size") == 0)
     keep = ["source", "source_size", "target"]
-    units = rows.where(~sure).select(
+    units = _numbered(rows.where(~sure).drop("rate")).select(
         *keep,
-        F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks")).alias("chunk"),
-        F.struct("doc_id", "size", "whole", "p").alias("unit"),
+        F.pmod(F.xxhash64("doc_id", "size", "nth"), F.col("chunks")).alias("chunk"),
+        F.struct("doc_id", "size", "nth", "whole", "p").alias("unit"),
     )
     level = materialize(_folded(units, [*keep, "chunk"], seed), "mixing-0")
     most = level.agg(F.max("chunk")).first()[0] or 0

@@ -348,6 +348,22 @@ def test_mixing_meets_targets(spark, documents):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+def test_mixing_keeps_expectations(spark, documents):
+    docs = documents([(k, "w " * (1 + k % 7)) for k in range(4200)], lambda i: f"s{i % 3}")
+    for seed in (1, 2):
+        rows = mixing.mix(docs, seed).groupBy("source_size", "target", "size").avg("copies").collect()
+        assert len(rows) == 21
+        for r in rows:  # the mean of 200 draws deviates by 0.036 at most
+            assert abs(r["avg(copies)"] - r.target / r.source_size) < 0.15
+
+
+def test_mixing_draws_many_equal_rows(spark, documents):
+    rows = spark.range(100_000).selectExpr("cast(7 as bigint) as doc_id", "if(id < 90000, 'a b c', 'd e') as text", "if(id % 10 = 0, 's', 't') as source")
+    got = mixing.mix(rows).groupBy("source_size", "target").agg({"taken": "sum", "*": "count"}).collect()
+    assert sum(r["count(1)"] for r in got) == 100_000
+    assert all(abs(r["sum(taken)"] - r.target) <= 3 for r in got)
+
+
 def test_mixing_of_nothing(spark, documents):
     assert mixing.mix(documents([])).count() == 0
     assert [r.taken for r in mixing.mix(documents([(1, None)])).collect()] == [0]
