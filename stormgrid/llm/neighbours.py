@@ -123,7 +123,8 @@ def search(vectors: DataFrame, step: int = QUERY_STEP, nearest: int = NEAREST, p
     The index is fitted on at most ``SAMPLE`` rows chosen by a hash of their id, and holds every
     row: its list's number and the product-quantised residual. A query visits its best lists.
     Lists are packed into blocks of about ``ROWS`` rows, a crowded one into several, and queries
-    into groups of about ``QUERIES``, so that no task gets more of either. In a block, tables of
+    of a block into groups of about ``QUERIES``, so that no task gets more of either and blocks are
+    copied for their own visitors only. In a block, tables of
     inner products score the codes of the visited lists, and a shortlist is scored again with the
     original vectors in double precision. Equal scores rank by vec_id. A row is not its own neighbour.
 
@@ -178,16 +179,24 @@ def search(vectors: DataFrame, step: int = QUERY_STEP, nearest: int = NEAREST, p
             yield from sliced(pa.RecordBatch.from_arrays([*columns, pa.array(visited, pa.list_(pa.int32()))], names))
 
     asked = rows.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    crowds = max(1, -(-asked.count() // QUERIES))
-    asked = asked.mapInArrow(
+    asked = materialize(asked.mapInArrow(
         probed, "query_id bigint, vector array<double>, part bigint, block bigint, visited array<int>"
-    ).withColumn("crowd", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(crowds)))
-    places = F.array([F.struct(F.lit(int(g)).cast("long").alias("part"), F.lit(int(b)).alias("blocks")) for g, b in zip(group_of, blocks_of, strict=True)])
+    ), "neighbours-asked")
+    # A block is copied once for each QUERIES queries that visit it. One row for each part: at most MOST_LISTS.
+    visitors = asked.groupBy("part", "block").count().groupBy("part").agg(F.max("count").alias("most"))
+    crowds_of = {r["part"]: -(-r["most"] // QUERIES) for r in visitors.toLocalIterator()}
+    crowds = [crowds_of.get(int(g), 0) for g in group_of]
+    of_part = F.create_map(*(F.lit(x) for g in sorted(set(group_of.tolist())) for x in (int(g), max(1, crowds_of.get(int(g), 1)))))
+    asked = asked.withColumn("crowd", F.pmod(F.xxhash64("query_id", F.lit(1)), of_part[F.col("part")].cast("long")))
+    places = F.array([
+        F.struct(F.lit(int(g)).cast("long").alias("part"), F.lit(int(b)).alias("blocks"), F.lit(int(c)).cast("long").alias("crowds"))
+        for g, b, c in zip(group_of, blocks_of, crowds, strict=True)
+    ])
     place = F.element_at(places, F.col("list") + 1)
     blocks = held.withColumn("place", place).select(
         F.col("place.part").alias("part"),
         F.pmod(F.xxhash64("vec_id"), F.col("place.blocks")).alias("block"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(crowds - 1).cast("long"))).alias("crowd"),
+        F.explode(F.expr("case when place.crowds > 0 then sequence(0L, place.crowds - 1) end")).alias("crowd"),
         "list", "vec_id", "vector", "code",
     )
 
