@@ -17,11 +17,11 @@ TIERS = {"tier1": (2.0, 0.005), "tier2": (4.0, 0.01), "tier3": (12.0, 0.02), "ti
 # Radii in km of the window strata.
 STRATUM_RADII = {"urban": 10.0, "suburban": 30.0, "rural": 80.0}
 
-# States of the census regions.
+# States of the study's regions, close to the census regions.
 REGIONS = {
-    "northeast": "CT ME MA NH RI VT NJ NY PA",
+    "northeast": "CT DE MA MD ME NH NJ NY PA RI VT DC",
     "midwest": "IL IN MI OH WI IA KS MN MO NE ND SD",
-    "south": "DE FL GA MD NC SC VA DC WV AL KY MS TN AR LA OK TX",
+    "south": "AL AR FL GA KY LA MS NC OK SC TN TX VA WV",
     "west": "AZ CO ID MT NV NM UT WY AK CA HI OR WA",
 }
 
@@ -120,19 +120,49 @@ def bbox_meets(south: Column, west: Column, north: Column, east: Column, box: tu
 
 def in_ring(lat: str, lon: str, ring: str) -> Column:
     """Even-odd rule on a ring, an array of structs lon, lat."""
+    return F.expr(_in_ring(lat, lon, ring))
+
+
+def _sides(ring: str) -> str:
+    """Each point of a ring with the next one."""
+    return f"concat(slice({ring}, 2, size({ring}) - 1), slice({ring}, 1, 1))"
+
+
+def _in_ring(lat: str, lon: str, ring: str) -> str:
     crosses = (
         f"((a.lat > {lat}) <> (b.lat > {lat})) and "
         f"{lon} < (b.lon - a.lon) * ({lat} - a.lat) / (b.lat - a.lat + 1e-15D) + a.lon"
     )
-    sides = f"zip_with({ring}, concat(slice({ring}, 2, size({ring}) - 1), slice({ring}, 1, 1)), (a, b) -> coalesce({crosses}, false))"
-    return F.expr(f"aggregate({sides}, false, (odd, c) -> odd <> c)")
+    sides = f"zip_with({ring}, {_sides(ring)}, (a, b) -> coalesce({crosses}, false))"
+    return f"aggregate({sides}, false, (odd, c) -> odd <> c)"
+
+
+def rings_meet(one: str, other: str) -> Column:
+    """Whether two polygons (rings) share a point: a corner inside the other, or sides that cross or touch."""
+    turn = "({b}.lon - {a}.lon) * ({c}.lat - {a}.lat) - ({b}.lat - {a}.lat) * ({c}.lon - {a}.lon)"
+    side = lambda a, b, c: turn.format(a=a, b=b, c=c)
+    lines = (
+        f"signum({side('s.p', 's.q', 't.p')}) * signum({side('s.p', 's.q', 't.q')}) <= 0 and "
+        f"signum({side('t.p', 't.q', 's.p')}) * signum({side('t.p', 't.q', 's.q')}) <= 0 and "
+        "greatest(s.p.lon, s.q.lon) >= least(t.p.lon, t.q.lon) and greatest(t.p.lon, t.q.lon) >= least(s.p.lon, s.q.lon) and "
+        "greatest(s.p.lat, s.q.lat) >= least(t.p.lat, t.q.lat) and greatest(t.p.lat, t.q.lat) >= least(s.p.lat, s.q.lat)"
+    )
+    pairs = [f"zip_with({r}, {_sides(r)}, (p, q) -> named_struct('p', p, 'q', q))" for r in (one, other)]
+    return F.expr(
+        f"exists({one}, v -> {_in_ring('v.lat', 'v.lon', other)}) or exists({other}, v -> {_in_ring('v.lat', 'v.lon', one)}) "
+        f"or exists({pairs[0]}, s -> exists({pairs[1]}, t -> {lines}))"
+    )
 
 
 def stratum_from_ruca(code: Column) -> Column:
+    """Codes are rounded (halves to even) first."""
+    code = F.rint(code.cast("double"))
     return F.when(code <= 3, "urban").when(code <= 6, "suburban").when(code > 6, "rural").otherwise("suburban")
 
 
 def stratum_from_urban_share(share: Column) -> Column:
+    """A share that is null or not a finite number gives suburban."""
+    share = F.when(F.abs(share) < float("inf"), share)  # NaN sorts above infinity
     return F.when(share >= 0.75, "urban").when(share <= 0.10, "rural").otherwise("suburban")
 
 

@@ -59,15 +59,19 @@ def windows_conflict(r1: Column, r2: Column, d: Column, mode: str, most: float =
 
 
 def classify_location(points: DataFrame, key: str, label: str) -> DataFrame:
-    """A known label, else by how many points lie within 10 and 30 km, else rural."""
-    from stormgrid.operators.spatial import within_radius
+    """A known label, else that of the nearest labelled point within 50 km (the smaller key of equal ones),
+    else by how many points lie within 10 and 30 km, else rural."""
+    from stormgrid.operators.spatial import nearest, within_radius
 
     centers = points.select(F.col(key).alias("center"), F.col("state").alias("center_state"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
     near = within_radius(points, centers, F.lit(30.0)).where("state = center_state")
     counts = near.groupBy("center").agg(F.count_if(F.col("km") <= 10).alias("near"), F.count("*").alias("wide"))
     dense = F.when(F.col("near") >= 15, "urban").when(F.col("wide") >= 15, "suburban")
-    joined = points.join(counts.withColumnRenamed("center", key), key, "left")
-    return joined.withColumn("label", F.coalesce(F.col(label), dense, F.lit("rural")))
+    known = points.where(F.col(label).isNotNull()).select(F.col(key).alias("known"), "lat", "lon", F.col(label).alias("known_label"))
+    beside = nearest(points.where(F.col(label).isNull()).select(key, "lat", "lon"), known, 50.0, key, "known")
+    beside = beside.select(key, F.col("nearest_id").alias("known")).join(known.select("known", "known_label"), "known")
+    joined = points.join(counts.withColumnRenamed("center", key), key, "left").join(beside.drop("known"), key, "left")
+    return joined.withColumn("label", F.coalesce(F.col(label), "known_label", dense, F.lit("rural")))
 
 
 def split_id(c: Column, pattern: str) -> tuple[Column, Column]:

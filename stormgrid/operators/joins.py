@@ -45,6 +45,15 @@ def boxes_meet(a: DataFrame, b: DataFrame) -> DataFrame:
     return spread(a).join(right, ["cy", "cx"]).where(meets & first).select("id", "id_b")
 
 
+def polygons_meet(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of polygons (id, ring) that share a point: boxes by cells first, then corners and sides; each pair once."""
+    lat, lon = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
+    ends = [F.array_min(lat).alias("south"), F.array_min(lon).alias("west"), F.array_max(lat).alias("north"), F.array_max(lon).alias("east")]
+    near = boxes_meet(a.select("id", *ends), b.select("id", *ends))
+    near = near.join(a.select("id", F.col("ring").alias("one")), "id").join(b.select(F.col("id").alias("id_b"), F.col("ring").alias("other")), "id_b")
+    return near.where(C.rings_meet("one", "other")).select("id", "id_b")
+
+
 def induced_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges with both ends in the same window."""
     a = members.select("window_id", F.col("node_id").alias("src"))

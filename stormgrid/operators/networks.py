@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,18 +11,12 @@ from pyspark.sql import functions as F
 from stormgrid.functions import columns as C
 from stormgrid.operators.filters import by
 from stormgrid.operators.joins import symmetrize
+from stormgrid.sources.shared import written
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Write a step of an iteration in the folder of spark.checkpoint.dir and read it back."""
-    conf = df.sparkSession.conf
-    folder = conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "step")
 
 
 def independent_set(items: DataFrame, conflicts: DataFrame) -> DataFrame:
@@ -101,17 +93,18 @@ def edge_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("graph_id", "src", "dst", "km", F.try_divide("km", "d_max").alias("weight"))
 
 
-def shortest_paths(edges: DataFrame, weight: str | None = None, sources: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, weight: str | None = None, sources: DataFrame | None = None) -> DataFrame:
     """Distances (graph_id, src, dst, d) of all connected ordered pairs of different nodes.
 
-    Min-plus relaxation: each round extends only the pairs that improved in the last one.
+    Min-plus relaxation: each round extends only the pairs that improved in the last one, until none
+    does. Weights must not be negative.
     """
     both = symmetrize(edges.withColumn("weight", F.lit(1.0) if weight is None else F.col(weight))).select("graph_id", "src", "dst", "weight")
     both = settled(both)
     step = both.select("graph_id", F.col("src").alias("via"), F.col("dst").alias("to"), "weight")
     start = both if sources is None else both.join(sources, ["graph_id", "src"], "left_semi")
     known = frontier = settled(start.select("graph_id", "src", "dst", F.col("weight").alias("d")))
-    for _ in range(most_rounds):
+    while True:
         wider = frontier.join(step, (frontier["graph_id"] == step["graph_id"]) & (frontier["dst"] == step["via"]))
         wider = wider.where("src <> to").select(frontier["graph_id"], "src", F.col("to").alias("dst"), (F.col("d") + F.col("weight")).alias("d"))
         both_d = known.withColumn("old", F.lit(True)).unionAll(wider.withColumn("old", F.lit(False)))

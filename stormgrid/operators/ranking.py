@@ -114,6 +114,14 @@ def state_folds(df: DataFrame, least: int) -> DataFrame:
     return rows.withColumn("split", F.when(F.col("state") == F.col("fold"), "test").otherwise("train"))
 
 
+def region_holdout(df: DataFrame, state_code: str, region: str) -> DataFrame:
+    """split is test for the rows of one region's states, train for all others."""
+    if region not in C.REGIONS:
+        raise ValueError(f"no region {region}; there are {', '.join(C.REGIONS)}")
+    test = F.coalesce(F.upper(F.trim(F.col(state_code))).isin(C.REGIONS[region].split()), F.lit(False))
+    return df.withColumn("split", F.when(test, "test").otherwise("train"))
+
+
 def state_holdout(df: DataFrame, stratum: str, share: float) -> list[str]:
     """Whole states that together hold about ``share`` of the rows with a like mix of strata.
 

@@ -21,14 +21,16 @@ def within_radius(points: DataFrame, centers: DataFrame, radius: Column) -> Data
     """Points (lat, lon) within ``radius`` km of centers (clat, clon), with km.
 
     Each center visits the cells that its disk can touch, wider in longitude away from the equator;
-    the equi-join on cells is filtered by the exact distance. Does not cross the date line.
+    the equi-join on cells is filtered by the exact distance. Cells of longitude wrap around the globe.
     """
     dlat = radius / KM_PER_DEG
     dlon = dlat / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("clat")) + dlat))))
     y = F.explode(F.sequence(_cell(F.col("clat") - dlat), _cell(F.col("clat") + dlat)))
-    x = F.explode(F.sequence(_cell(F.col("clon") - dlon), _cell(F.col("clon") + dlon)))
+    wide = F.sequence(_cell(F.col("clon") - dlon), _cell(F.col("clon") + dlon))
+    around = int(360 / CELL_DEG)
+    x = F.explode(F.array_distinct(F.transform(wide, lambda c: F.pmod(c, F.lit(around)))))
     spread = centers.withColumn("cell_y", y).withColumn("cell_x", x)
-    placed = points.withColumn("cell_y", _cell(F.col("lat"))).withColumn("cell_x", _cell(F.col("lon")))
+    placed = points.withColumn("cell_y", _cell(F.col("lat"))).withColumn("cell_x", F.pmod(_cell(F.col("lon")), F.lit(around)))
     km = C.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
     joined = placed.join(spread, ["cell_y", "cell_x"]).withColumn("km", km)
     return joined.where(F.col("km") <= radius).drop("cell_y", "cell_x")

@@ -69,6 +69,26 @@ def j07(t: Tables):
     return J.boxes_meet(boxes(t), boxes(t))
 
 
+def triangles(t: Tables, lower: bool):
+    """One half of each box, so that boxes may meet where polygons do not."""
+    corners = [("south", "west"), ("south", "east"), ("north", "west")] if lower else [("north", "east"), ("south", "east"), ("north", "west")]
+    k = F.col("s_suppkey")
+    box = t.supplier.select(k.alias("id"), ((k * 7 % 40) / 8.0 + 30).alias("south"), ((k * 11 % 48) / 8.0 - 120).alias("west"), (0.25 + k % 5 / 4.0).alias("side"))
+    box = box.withColumn("north", F.col("south") + F.col("side")).withColumn("east", F.col("west") + F.col("side"))
+    return box.select("id", F.array(*(F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for y, x in corners)).alias("ring"))
+
+
+# The lower half of a meets the upper half of b iff their boxes meet and a's corner lies below b's diagonal no
+# farther than both sides allow: the sum of the coordinates of a's nearest point is at most that of its diagonal.
+@query("j07_polygons_meet", """with b as (select s_suppkey as id, 30 + (s_suppkey * 7 % 40) / 8.0 as south, -120 + (s_suppkey * 11 % 48) / 8.0 as west, 0.25 + s_suppkey % 5 / 4.0 as side from supplier)
+select a.id, b.id as id_b from b a join b on a.south <= b.south + b.side and a.south + a.side >= b.south and a.west <= b.west + b.side and a.west + a.side >= b.west
+where greatest(a.south, b.south) + greatest(a.west, b.west) <= a.south + a.west + a.side
+and least(a.south + a.side, b.south + b.side) + least(a.west + a.side, b.west + b.side) >= b.south + b.west + b.side
+and b.south + b.west + b.side <= a.south + a.west + a.side""")
+def j07_polygons(t: Tables):
+    return J.polygons_meet(triangles(t, True), triangles(t, False))
+
+
 @query("j08_nearest", f"with p as (select a.station_id, {HAV(a='a.', b='b.')} as km, b.station_id as other from fx_stations a join fx_stations b on a.station_id <> b.station_id and abs(a.lat - b.lat) < 0.3 and abs(a.lon - b.lon) < 0.5), m as (select station_id, min(km) as km from p where km <= 25 group by 1) select s.station_id, m.km as nearest_km from fx_stations s left join m using (station_id)", "nearest_km")
 def j08(t: Tables):
     points = t.fx_stations.select("station_id", "lat", "lon")

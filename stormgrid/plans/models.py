@@ -24,6 +24,24 @@ def m01(t: Tables):
     return M.score(df, models).select("window_id", *(F.round(c, 4).alias(c) for c in ("pred_y_betweenness_10", "pred_y_random_50")))
 
 
+@query("m03_score")
+def m03(t: Tables):
+    """Scores of three kinds of areas: circles, polygons by their box and area, and cells of a grid."""
+    df = windows(t)
+    models = M.fit_curve_surrogate(df.where("center_lon > -100"), FEATURES, ["y_random_50"], 5, 3)
+    circles = t.fx_windows.select(F.lit("circle").alias("kind"), F.col("window_id").alias("area_id"), *FEATURES)
+    side = (F.col("c_custkey") % 9 + 1) / 4.0
+    polygons = t.customer.select(
+        F.lit("polygon").alias("kind"), F.col("c_custkey").cast("string").alias("area_id"), (side * 111.0 / 3.141592653589793**0.5).alias("radius_km"),
+        (F.col("c_nationkey") % 10 * 1.5 + 30.7).alias("center_lat"), (F.col("c_nationkey") % 10 * 4.0 - 118.2).alias("center_lon"),
+    )
+    grid = t.fx_windows.select(F.floor("center_lat").alias("y"), F.floor("center_lon").alias("x")).distinct().select(
+        F.lit("grid").alias("kind"), F.concat_ws("_", "y", "x").alias("area_id"), F.lit(55.5).alias("radius_km"), (F.col("y") + 0.5).alias("center_lat"), (F.col("x") + 0.5).alias("center_lon")
+    )
+    scored = M.score(circles.unionByName(polygons).unionByName(grid), models)
+    return scored.select("kind", "area_id", F.round("pred_y_random_50", 4).alias("pred_y_random_50"))
+
+
 @query("m02_node_surrogate")
 def m02(t: Tables):
     df = t.fx_nodes.withColumn("loss", F.col("capacity") / 1000.0)

@@ -109,6 +109,15 @@ def l05(t: Tables):
     return O.state_folds(t.fx_windows, 20).select("window_id", "fold", "split", (F.col("center_lon") > -100).alias("east"))
 
 
+_OF_STATE = "split_part('CA TX NY MD DE IA OH ME FL ZZ', ' ', 1 + cast(state[2:] as int))"
+
+
+@query("l05_region_holdout", f"select window_id, {_OF_STATE} as code, case when {_OF_STATE} in ('NY', 'MD', 'DE', 'ME') then 'test' else 'train' end as split from fx_windows")
+def l05_region(t: Tables):
+    code = F.split_part(F.lit("CA TX NY MD DE IA OH ME FL ZZ"), F.lit(" "), F.expr("1 + cast(substring(state, 2) as int)"))
+    return O.region_holdout(t.fx_windows.withColumn("code", code), "code", "northeast").select("window_id", "code", "split")
+
+
 @query("l06_state_holdout")
 def l06(t: Tables):
     chosen = O.state_holdout(t.fx_windows, "window_stratum", 0.3)

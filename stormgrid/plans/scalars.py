@@ -122,9 +122,13 @@ def p17(t: Tables):
     return t.fx_stations.select("station_id", C.in_bbox(lat, lon, 32, -115, 36, -100).alias("inside"), C.bbox_meets(lat, lon, lat + 1, lon + 2, (32, -115, 36, -100)).alias("meets"))
 
 
-@query("p18_stratum", "select c_custkey, case when c_nationkey % 11 <= 3 then 'urban' when c_nationkey % 11 <= 6 then 'suburban' else 'rural' end as ruca, case when c_acctbal / 10000 >= 0.75 then 'urban' when c_acctbal / 10000 <= 0.10 then 'rural' else 'suburban' end as share from customer")
+@query("p18_stratum", """with v as (select c_custkey, (c_custkey % 45) / 4.0 as code, case when c_custkey % 7 = 0 then 'nan'::double when c_custkey % 7 = 1 then null else c_acctbal / 10000 end as share from customer)
+select c_custkey, case when round_even(code, 0) <= 3 then 'urban' when round_even(code, 0) <= 6 then 'suburban' else 'rural' end as ruca,
+case when share is null or isnan(share) then 'suburban' when share >= 0.75 then 'urban' when share <= 0.10 then 'rural' else 'suburban' end as share from v""")
 def p18(t: Tables):
-    return t.customer.select("c_custkey", C.stratum_from_ruca(F.col("c_nationkey") % 11).alias("ruca"), C.stratum_from_urban_share(F.col("c_acctbal") / 10000).alias("share"))
+    k = F.col("c_custkey")
+    share = F.when(k % 7 == 0, float("nan")).when(k % 7 != 1, F.col("c_acctbal") / 10000)
+    return t.customer.select("c_custkey", C.stratum_from_ruca((k % 45) / 4.0).alias("ruca"), C.stratum_from_urban_share(share).alias("share"))
 
 
 @query("p19_stratum_from_radius", "select window_id, window_stratum as stratum from fx_windows")
@@ -132,10 +136,15 @@ def p19(t: Tables):
     return t.fx_windows.select("window_id", C.stratum_from_radius(F.col("radius_km") + 0.4).alias("stratum"))
 
 
-@query("p20_classify_location", f"select s.station_id, coalesce(case when s.station_id % 3 = 0 then 'tract' end, case when n.near >= 15 then 'urban' when n.wide >= 15 then 'suburban' end, 'rural') as label from fx_stations s join (select a.station_id, count(*) filter (where {_HAV.format(a='a.', b='b.')} <= 10) as near, count(*) as wide from fx_stations a join fx_stations b on a.state = b.state and {_HAV.format(a='a.', b='b.')} <= 30 group by 1) n using (station_id)")
+@query("p20_classify_location", f"""with s as (select *, case when station_id % 40 = 0 then case (station_id // 40) % 3 when 0 then 'urban' when 1 then 'suburban' else 'rural' end end as known from fx_stations where lat - floor(lat) < 0.9),
+near as (select a.station_id, arg_min(b.known, ({_HAV.format(a='a.', b='b.')}, b.station_id)) as beside from s a join s b on b.known is not null and {_HAV.format(a='a.', b='b.')} <= 50 where a.known is null and a.station_id % 5 <> 0 group by 1),
+dense as (select a.station_id, count(*) filter (where {_HAV.format(a='a.', b='b.')} <= 10) as near, count(*) as wide from s a join s b on a.state = b.state and {_HAV.format(a='a.', b='b.')} <= 30 group by 1)
+select s.station_id, coalesce(known, beside, case when d.near >= 15 then 'urban' when d.wide >= 15 then 'suburban' end, 'rural') as label from s join dense d using (station_id) left join near using (station_id) where station_id % 5 <> 0""")
 def p20(t: Tables):
-    labelled = t.fx_stations.withColumn("tract_label", F.when(F.col("station_id") % 3 == 0, "tract"))
-    return O.classify_location(labelled, "station_id", "tract_label").select("station_id", "label")
+    k = F.col("station_id")
+    kind = F.element_at(F.array(F.lit("urban"), F.lit("suburban"), F.lit("rural")), (F.floor(k / 40) % 3 + 1).cast("int"))
+    labelled = t.fx_stations.where("lat - floor(lat) < 0.9").withColumn("known", F.when(k % 40 == 0, kind))
+    return O.classify_location(labelled, "station_id", "known").where("station_id % 5 <> 0").select("station_id", "label")
 
 
 @query("p21_split_node_id", "select s_name, split_part(s_name, '#', 1) as head, cast(split_part(s_name, '#', 2) as bigint) as local_id from supplier")
@@ -144,10 +153,16 @@ def p21(t: Tables):
     return t.supplier.select("s_name", head.alias("head"), number.alias("local_id"))
 
 
-@query("p22_region_of", "select n_nationkey, case when n_nationkey % 4 = 0 then 'west' when n_nationkey % 4 = 1 then 'south' when n_nationkey % 4 = 2 then 'northeast' else 'other' end as region from nation")
+_CODES = "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY PR ZZ"
+
+
+@query("p22_region_of", f"""with c as (select c_custkey, string_split('{_CODES}', ' ')[1 + c_custkey % 53] as code from customer)
+select c_custkey, code, case when code in ('CT', 'DE', 'DC', 'MA', 'MD', 'ME', 'NH', 'NJ', 'NY', 'PA', 'RI', 'VT') then 'northeast' when code in ('IA', 'IL', 'IN', 'KS', 'MI', 'MN', 'MO', 'ND', 'NE', 'OH', 'SD', 'WI') then 'midwest'
+when code in ('AL', 'AR', 'FL', 'GA', 'KY', 'LA', 'MS', 'NC', 'OK', 'SC', 'TN', 'TX', 'VA', 'WV') then 'south'
+when code in ('AK', 'AZ', 'CA', 'CO', 'HI', 'ID', 'MT', 'NM', 'NV', 'OR', 'UT', 'WA', 'WY') then 'west' else 'other' end as region from c""")
 def p22(t: Tables):
-    codes = F.element_at(F.array(*map(F.lit, ["CA", "TX", "NY", "ZZ"])), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    return t.nation.select("n_nationkey", C.region_of(codes).alias("region"))
+    code = F.element_at(F.array(*map(F.lit, _CODES.split())), (F.col("c_custkey") % 53 + 1).cast("int"))
+    return t.customer.select("c_custkey", code.alias("code"), C.region_of(code).alias("region"))
 
 
 @query("p23_impact_radius", "select event_id, least(150.0, greatest(5.0, sqrt(least(mean_customers / greatest(1e-3, least(1.0, coalesce(theta, 1.0))), c.customers) / (greatest(c.customers / area_km2, 1e-6) * pi())))) as km from fx_outages o join fx_county c using (fips) left join fx_coverage v on o.state = v.state and o.year = v.year", "km")

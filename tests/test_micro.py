@@ -163,3 +163,49 @@ def test_algebraic_connectivity_equals_numpy(spark):
     got = {r.graph_id: r.lambda2 for r in out.collect()}
     assert len(got) == out.count() and got == pytest.approx(want, abs=1e-9)
     assert want["chain20"] == pytest.approx(0.563, abs=1e-3) and want["two"] == pytest.approx(2)
+
+
+def ring(*corners):
+    return [{"lon": float(x), "lat": float(y)} for x, y in corners]
+
+
+def test_polygons_whose_boxes_meet_need_not_meet(spark):
+    from stormgrid.operators.joins import polygons_meet
+
+    schema = "id int, ring array<struct<lon: double, lat: double>>"
+    ell = ring((0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4))
+    others = [(1, ring((2, 2), (5, 2), (5, 5), (2, 5))), (2, ring((0.5, 3), (3, 3), (3, 3.5), (0.5, 3.5))),
+              (3, ring((-1, -1), (6, -1), (6, 6), (-1, 6))), (4, ring((4, 1), (6, 1), (6, 3), (4, 3))), (5, ring((0.2, 0.2), (0.4, 0.2), (0.4, 0.4)))]
+    got = polygons_meet(spark.createDataFrame([(0, ell)], schema), spark.createDataFrame(others, schema))
+    assert sorted(r.id_b for r in got.collect()) == [2, 3, 4, 5]
+
+
+def test_radius_crosses_the_date_line(spark):
+    from stormgrid.operators.spatial import within_radius
+
+    points = spark.createDataFrame([(k, 0.0, lon) for k, lon in enumerate([179.95, -179.95, 179.0, -178.0])], "id int, lat double, lon double")
+    centers = spark.createDataFrame([(0.0, 179.99), (0.0, -179.99)], "clat double, clon double")
+    got = sorted((r.clon, r.id) for r in within_radius(points, centers, F.lit(30.0)).collect())
+    assert got == [(-179.99, 0), (-179.99, 1), (179.99, 0), (179.99, 1)]
+
+
+def test_strata_of_fractional_and_missing_codes(spark):
+    rows = spark.createDataFrame([(3.4, float("nan")), (3.5, None), (6.5, 0.1), (6.6, 0.75), (2.0, float("inf"))], "code double, share double")
+    got = [tuple(r) for r in rows.select(C.stratum_from_ruca(F.col("code")), C.stratum_from_urban_share(F.col("share"))).collect()]
+    assert got == [("urban", "suburban"), ("suburban", "suburban"), ("suburban", "rural"), ("rural", "urban"), ("urban", "suburban")]
+
+
+def test_paths_end_only_when_nothing_improves(spark):
+    n = 40
+    edges = spark.createDataFrame([("g", k, k + 1) for k in range(n)], "graph_id string, src long, dst long")
+    got = N.shortest_paths(edges).where("src = 0").agg(F.max("d"), F.count("*")).first()
+    assert tuple(got) == (n, n)
+
+
+def test_regions_are_held_out_whole(spark):
+    from stormgrid.operators.ranking import region_holdout
+
+    rows = spark.createDataFrame([("md ",), ("DE",), ("TX",), (None,), ("DC",)], "code string")
+    assert [r.split for r in region_holdout(rows, "code", "northeast").collect()] == ["test", "test", "train", "train", "test"]
+    with pytest.raises(ValueError):
+        region_holdout(rows, "code", "nowhere")
