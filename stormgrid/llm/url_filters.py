@@ -32,7 +32,11 @@ def url_path(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    """Labels from the last to the first, each ended by U+0001: a host's key begins all its subdomains' keys."""
+    """Labels from the last to the first, each ended by U+0001: a host's key begins all its subdomains' keys.
+
+    U+0001 in a label becomes U+0002 and a, and U+0002 becomes U+0002 and b.
+    """
+    host = F.replace(F.replace(host, F.lit("\u0002"), F.lit("\u0002b")), F.lit("\u0001"), F.lit("\u0002a"))
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\u0001"), F.lit("\u0001"))
 
 
