@@ -87,14 +87,11 @@ def fit(sample: np.ndarray, lists: int) -> Index:
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (doubles) of the rows that take part.
 
-    Left out: null, empty and all-zero vectors, those with a null or non-finite component, and
-    those whose length is not the commonest one (of equally common ones the larger).
+    Left out: null, empty and all-zero vectors, and those with a null or non-finite component.
     """
     v = F.col("embedding").cast("array<double>")
     fine = "forall(vector, x -> x is not null and x = x and abs(x) < double('infinity')) and exists(vector, x -> x != 0)"
-    rows = vectors.select("vec_id", v.alias("vector")).where(f"vec_id is not null and vector is not null and {fine}")
-    by_length = rows.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
-    return rows.where(F.size("vector") == (by_length["dims"] if by_length else 0))
+    return vectors.select("vec_id", v.alias("vector")).where(f"vec_id is not null and vector is not null and {fine}")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -128,13 +125,23 @@ def search(vectors: DataFrame, step: int = QUERY_STEP, nearest: int = NEAREST, p
     inner products score the codes of the visited lists, and a shortlist is scored again with the
     original vectors in double precision. Equal scores rank by vec_id. A row is not its own neighbour.
 
-    Rows that ``usable`` leaves out take no part. If a vec_id repeats, each row is a candidate, and
-    queries of one id are one query (its smallest vector). Empty tables give no rows.
+    Rows that ``usable`` leaves out take no part. Vectors of each length are searched by themselves, as
+    inner products of different lengths mean nothing. If a vec_id repeats, each row is a candidate, and
+    queries of one id and length are one query (its smallest vector). Empty tables give no rows.
     """
     rows = materialize(usable(vectors), "neighbours")
-    n = rows.count()
-    if not n:
+    counts = rows.groupBy(F.size("vector").alias("dims")).count().orderBy("dims").toLocalIterator()
+    out = None
+    for dims, n in counts:
+        found = _search(rows.where(F.size("vector") == dims), n, step, nearest, probes)
+        out = found if out is None else out.unionAll(found)
+    if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return out
+
+
+def _search(rows: DataFrame, n: int, step: int, nearest: int, probes: float) -> DataFrame:
+    """``search`` over n usable rows of one length."""
     order = F.xxhash64("vec_id", F.lit(SEED))
     share = min(1.0, 1.2 * SAMPLE / n + 0.01)
     bound = int((share - 0.5) * 2.0**64) if share < 1 else 2**63 - 1

@@ -100,6 +100,12 @@ def test_neighbours_recall_and_edge_rows(spark, monkeypatch):
     assert len(copies) > 10 and copies == [k for k in range(100, 121) if k != 120][: len(copies)]
 
 
+def test_neighbours_of_each_length_and_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.9, 0.0]), (2, [1.0, 2.0, 3.0]), (40, [1.0, 1.0, 1.0]), (3, [0.0, 0.0]), (4, None)]
+    got = [tuple(r) for r in neighbours.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()]
+    assert sorted(got) == [(20, 1, 1, 0.9), (20, 2, 1, 0.5), (40, 1, 2, 6.0)]
+
+
 def test_neighbours_of_few_or_no_rows(spark):
     schema = "vec_id bigint, embedding array<float>"
     assert neighbours.search(spark.createDataFrame([], schema)).count() == 0
@@ -300,6 +306,13 @@ def test_url_filters_equal_plain(spark):
             assert (r.host, r.path, r.rule, r.verdict) == plain_judge(urls[r.page_id], chosen), urls[r.page_id]
 
 
+def test_url_filters_keep_odd_labels_apart(spark):
+    urls = ["http://com\u0001evil/de/x", "http://a.com/de/x", "http://com\u0002a/de/", "http://x\u0001.com/de/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: r.rule for r in url_filters.judge(pages, url_filters.rule_table(spark)).collect()}
+    assert got == {0: None, 1: "com/de/", 2: None, 3: "com/de/"}
+
+
 def test_url_filters_without_pages(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filters.judge(pages, url_filters.rule_table(spark)).count() == 0
