@@ -23,7 +23,7 @@ HELD = 1 << 18  # entries that a map task holds before it hands them on
 HEAVY = 1 << 17  # entries of a shingle above which they are dealt over several tasks
 ALL_PAIRS = 16  # sets of a shingle up to which all its pairs that pass the filters are kept
 BLOCK_SETS = 2048  # sets of one shingle that meet as many others in one step
-MEETING = 1 << 15  # entries of the shingles that one task compares, about
+MEETING = 1 << 13  # entries of the shingles that one task compares, about
 
 _CONSTANTS = np.array([xxhash.xxh3_64_intdigest(b"shingle%d" % k) | 1 for k in range(WORDS + WORDS)], np.uint64)
 # A-Z become a-z; every byte of UTF-8 above stays.
@@ -325,11 +325,13 @@ def _met(frame: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
     while len(x := x[after[x] >= step]):
         y = x + step
         fits = (root[x] != root[y]) & ((side[x] != side[y]) | (side[x] == 2)) & survives(size[x], size[y], place[x], place[y])
-        a, b = x[fits], y[fits]
-        most = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64)
-        spare = 7 * most - 3 * (size[a] + size[b])
-        if (fits := spare >= 0).any():
-            yield who, a[fits], b[fits], spare[fits]
+        x_fits, y_fits = x[fits], y[fits]
+        for at in range(0, len(x_fits), 4096):
+            a, b = x_fits[at : at + 4096], y_fits[at : at + 4096]
+            most = np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64)
+            spare = 7 * most - 3 * (size[a] + size[b])
+            if (enough := spare >= 0).any():
+                yield who, a[enough], b[enough], spare[enough]
         step += 1
 
 
