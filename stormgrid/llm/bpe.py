@@ -25,8 +25,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 #: Texts are gathered up to so many bytes before their new words are merged together, and a
 #: worker forgets its words once it holds so many.
-GATHER_BYTES = 10 << 20
-MOST_WORDS = 400_000
+GATHER_BYTES = 8 << 20
+MOST_WORDS = 200_000
 
 _loaded: dict[str, Vocabulary] = {}
 
@@ -234,6 +234,7 @@ def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, convert, gat
                 made = convert(batch.column(column))
                 columns = [batch.column(c) for c in keep]
                 yield from sliced(pa.RecordBatch.from_arrays([*columns, made], [*keep, out]))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
