@@ -37,6 +37,31 @@ def independent_set(items: DataFrame, conflicts: DataFrame) -> DataFrame:
     return state
 
 
+def merge_units(sizes: DataFrame, neighbours: DataFrame, plan: DataFrame, least: int = 50) -> DataFrame:
+    """Units (unit, state) in which graphs of few nodes are merged.
+
+    The planned units stand. Of the other states (state, n) those with ``least`` nodes are alone. A
+    smaller one, in the order of names, joins its smallest neighbour outside the plan (the smaller name
+    of equal ones, unknown sizes last) if neither has a unit yet; else it is alone.
+    """
+    open_ = sizes.join(plan, "state", "left_anti")
+    near = neighbours.select("state", F.col("neighbour").alias("partner")).where("state <> partner")
+    near = near.join(plan.select(F.col("state").alias("partner")), "partner", "left_anti")
+    near = near.join(sizes.select(F.col("state").alias("partner"), F.col("n").alias("partner_n")), "partner", "left")
+    order = F.struct(F.col("partner_n").isNull().alias("unknown"), "partner_n", "partner")
+    best = near.groupBy("state").agg(F.min(order).alias("best")).select("state", "best.*")
+    # A known neighbour with a smaller name has had its turn before.
+    wish = settled(open_.where(F.col("n") < least).join(best, "state").where("unknown or partner > state").select("state", "partner"))
+    x, y = (wish.select(F.col("state").alias(c), F.col("partner").alias(f"partner_{c}")) for c in "ab")
+    same = x.join(y, F.col("partner_a") == F.col("partner_b")).where("a < b").select("a", "b")
+    taken = x.join(y, F.col("partner_a") == F.col("b")).select("a", "b")
+    kept = independent_set(wish.select(F.col("state").alias("ord")), same.unionAll(taken)).where("kept")
+    pairs = wish.join(kept, wish["state"] == kept["ord"])
+    merged = pairs.select(F.concat_ws("_", "state", "partner").alias("unit"), F.explode(F.array("state", "partner")).alias("state"))
+    alone = open_.join(merged, "state", "left_anti").select(F.col("state").alias("unit"), "state")
+    return plan.select("unit", "state").unionAll(merged).unionAll(alone)
+
+
 def cluster_radius(points: DataFrame, radius_km: float) -> DataFrame:
     """Greedy clusters of fixed radius in row order, inside each state.
 

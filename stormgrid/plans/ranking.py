@@ -165,6 +165,28 @@ def u05(t: Tables):
     return O.disjoint_union(t.fx_nodes, plan).select("member", "node_id", "unit", F.col("unit_node").cast("long").alias("unit_node"))
 
 
+@query("u05_merge_units", """with recursive n as (select state, count(*) as n from fx_county where state <> 'S0' group by 1),
+p as (select distinct state, 'west' as unit from fx_county where state in ('S1', 'S4')),
+o as (select state, n from n anti join p using (state)),
+b as (select a.state, arg_min(c.state, (c.n, c.state)) as partner from o a join o c on a.state <> c.state and abs(cast(substr(a.state, 2) as int) - cast(substr(c.state, 2) as int)) <= 2 where a.n < (select avg(n) + 1 from n) group by 1),
+w as (select state, partner, row_number() over (order by state) as k from b where partner > state),
+r as (select 0::bigint as k, []::varchar[] as c, []::varchar[] as m union all
+  select w.k, case when list_contains(c, w.state) or list_contains(c, w.partner) then c else list_concat(c, [w.state, w.partner]) end, case when list_contains(c, w.state) or list_contains(c, w.partner) then m else list_append(m, w.state) end from r join w on w.k = r.k + 1),
+g as (select w.state, w.partner from w where list_contains((select arg_max(m, k) from r), w.state)),
+u as (select state || '_' || partner as unit, unnest([state, partner]) as state from g)
+select unit, state from p union all select unit, state from u union all select state, state from o anti join u using (state)""")
+def u05m(t: Tables):
+    from stormgrid.operators.networks import merge_units
+
+    sizes = t.fx_county.where("state <> 'S0'").groupBy("state").agg(F.count("*").alias("n"))
+    plan = t.fx_county.where("state in ('S1', 'S4')").select("state").distinct().withColumn("unit", F.lit("west"))
+    number = F.substring("state", 2, 9).cast("int")
+    other = sizes.select(F.col("state").alias("neighbour"), number.alias("k"))
+    near = sizes.select("state", F.explode(F.array(*(number + d for d in (-2, -1, 1, 2)))).alias("k")).join(other, "k")
+    least = sizes.agg((F.avg("n") + 1).alias("least")).first()["least"]
+    return merge_units(sizes, near.select("state", "neighbour"), plan, least)
+
+
 @query("u06_dedupe_scenarios", "select family, year, unit from (select *, row_number() over (partition by family, year order by unit) as k from fx_sims where family in ('A', 'B')) q where k = 1")
 def u06(t: Tables):
     return O.first_per_key(t.fx_sims.where(F.col("family").isin("A", "B")), ["family", "year"], "unit").select("family", "year", "unit")

@@ -6,15 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stormgrid.operators import networks as N
 from stormgrid.sources import tables as S
+from stormgrid.sources.shared import shared_dir
 from stormgrid.streaming import outages as T
 from stormgrid.plans.registry import Tables, query
 
 
 def folder(t: Tables, name: str) -> str:
-    N.settled(t.spark.range(0))  # makes sure that the shared folder is set
-    return f"{t.spark.conf.get('spark.checkpoint.dir')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def text(*columns):
@@ -80,8 +79,9 @@ def s08(t: Tables):
 @query("s09_read_posterior", "select event_id % 40 as draw_id, count(*) as n, avg(value) as rate from events group by 1", "rate")
 def s09(t: Tables):
     path = folder(t, "posterior")
-    t.events.select((F.col("event_id") % 40).alias("draw_id"), "value").write.parquet(path)
-    return t.spark.read.parquet(path).groupBy("draw_id").agg(F.count("*").alias("n"), F.avg("value").alias("rate"))
+    place = F.col("event_id") % 40
+    t.events.select(F.floor(place / 10).alias("chain"), (place % 10).alias("draw"), F.lit("1001").alias("fips"), F.col("value").alias("lambda")).write.parquet(path)
+    return S.read_posterior(t.spark, path).groupBy("draw_id").agg(F.count("*").alias("n"), F.avg("lambda").alias("rate"))
 
 
 @query("s13_scenario_results", "select unit, family as scenario, count(*) as n, sum(n_events)::bigint as n_events from fx_sims group by 1, 2")
@@ -128,10 +128,20 @@ def s18(t: Tables):
 
 @query("s19_snapshot_year", "select distinct 2018 + event_id % 6 as year from events")
 def s19(t: Tables):
-    names = t.fx_outages.select(F.concat(F.lit("stations Jan 1 ("), F.col("year").cast("string"), F.lit(").csv")).alias("p")).distinct()
+    names = t.fx_outages.select(F.concat(F.lit("stations (Jan 1 "), F.col("year").cast("string"), F.lit(").csv")).alias("p")).distinct()
     return names.select(S.snapshot_year(F.col("p")).cast("long").alias("year"))
 
 
+@query("s19_latest_snapshot", "select 2020 as year, state, lat, lon, 5 * n_l1 + 25 * n_l2 + 300 * n_dc as capacity from fx_stations where station_id % 3 = 2", "lat lon capacity")
+def s19l(t: Tables):
+    path = folder(t, "snapshots")
+    names = {"lat": "Latitude", "lon": "Longitude", "state": "State", "n_l1": "EV Level1 EVSE Num", "n_l2": "EV Level2 EVSE Num", "n_dc": "EV DC Fast Count"}
+    paths = [f"{path}/stations (Jan 1 {2018 + k})" for k in range(3)]
+    for k, snapshot in enumerate(paths):
+        t.fx_stations.where(F.col("station_id") % 3 == k).select(*(F.col(c).alias(n) for c, n in names.items())).write.option("header", True).csv(snapshot)
+    return S.read_station_snapshots(t.spark, paths, latest=True).select("year", "state", "lat", "lon", "capacity")
+
+
 @query("s20_national_nodes", "select concat_ws('_', graph_id, node_id) as global_id, capacity from fx_nodes", "capacity")
 def s20(t: Tables):
     return t.fx_nodes.select(F.concat_ws("_", "graph_id", F.col("node_id").cast("string")).alias("global_id"), "capacity")

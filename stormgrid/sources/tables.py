@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from stormgrid.functions import columns as C
 OUTAGES = "fips int, state string, county string, start_time timestamp_ntz, duration double, min_customers double, max_customers double, mean_customers double"
 STATION_NUMBERS = {"Latitude": "lat", "Longitude": "lon", "EV Level1 EVSE Num": "n_l1", "EV Level2 EVSE Num": "n_l2", "EV DC Fast Count": "n_dc"}
 
+# Fixed value: how snapshots and the folders of their runs are named, (Jan 1 2020) or (Jan_1_2020).
+SNAPSHOT = r"Jan(?: |_|%20)1(?: |_|%20)(\d{4})\)"
+
 
 def _header(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
@@ -103,7 +108,30 @@ def geojson(df: DataFrame, properties: list[str], limit: int) -> DataFrame:
 
 
 def snapshot_year(path) -> object:
-    return F.regexp_extract(path, r"\((\d{4})\)", 1).try_cast("int")
+    """Year of a snapshot's path, null where it has none."""
+    return F.regexp_extract(path, SNAPSHOT, 1).try_cast("int")
+
+
+def read_station_snapshots(spark: SparkSession, paths: Sequence[str], latest: bool = False) -> DataFrame:
+    """Station snapshots with their year, all or those of the newest year; paths without a year are left out.
+
+    Each file is read by its own header, as columns differ over the years.
+    """
+    dated = [(int(m[1]), p) for p in paths if (m := re.search(SNAPSHOT, p.rstrip("/").rsplit("/", 1)[-1]))]
+    if not dated:
+        raise ValueError("no path with the year of a snapshot")
+    newest = max(dated)[0]
+    read = [read_station_snapshot(spark, p).withColumn("year", F.lit(y)) for y, p in dated if not latest or y == newest]
+    return reduce(DataFrame.unionByName, read)
+
+
+def read_posterior(spark: SparkSession, path: str) -> DataFrame:
+    """Draws of the county rate (draw_id, fips, lambda); chains of equally many draws are numbered one after the other."""
+    df = spark.read.parquet(path)
+    if "draw_id" not in df.columns:
+        draws = df.agg((F.max("draw") + 1).alias("draws"))
+        df = df.crossJoin(F.broadcast(draws)).withColumn("draw_id", F.col("chain") * F.col("draws") + F.col("draw"))  # one row
+    return df.select(F.col("draw_id").cast("long").alias("draw_id"), C.norm_fips(F.col("fips")).alias("fips"), "lambda")
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:

@@ -209,3 +209,56 @@ def test_regions_are_held_out_whole(spark):
     assert [r.split for r in region_holdout(rows, "code", "northeast").collect()] == ["test", "test", "train", "train", "test"]
     with pytest.raises(ValueError):
         region_holdout(rows, "code", "nowhere")
+
+
+def merged_by_hand(sizes, neighbours, plan, least):
+    units, has_unit = {s: u for s, u in plan.items()}, set(plan)
+    for state in sorted(sizes):
+        if state in has_unit:
+            continue
+        has_unit.add(state)
+        units[state] = state
+        options = [o for s, o in neighbours if s == state and o not in plan and o != s]
+        if sizes[state] < least and options:
+            partner = min(options, key=lambda o: (o not in sizes, sizes.get(o, 0), o))
+            if partner not in has_unit:
+                has_unit.add(partner)
+                units[state] = units[partner] = f"{state}_{partner}"
+    return {(u, s) for s, u in units.items()}
+
+
+def test_small_states_merge_in_order(spark):
+    draw = random.Random(3)
+    names = [chr(97 + k) for k in range(14)]
+    for _ in range(4):
+        sizes = {n: draw.randint(1, 90) for n in names[:11]}
+        near = [(a, b) for a in names for b in names if draw.random() < 0.25]
+        plan = {names[0]: "west", names[5]: "west", names[13]: "west"}
+        tables = [(list(sizes.items()), "state string, n long"), (near, "state string, neighbour string"), (list(plan.items()), "state string, unit string")]
+        got = N.merge_units(*(spark.createDataFrame(*t) for t in tables))
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == merged_by_hand(sizes, near, plan, 50)
+
+
+def test_snapshots_have_their_own_headers_and_the_newest_is_found(spark, tmp_path):
+    from stormgrid.sources import tables
+
+    paths = [tmp_path / n for n in ("stations (Jan 1 2019).csv", "stations (Jan 1 2021).csv", "notes 2030.csv")]
+    paths[0].write_text("State,Latitude,Longitude\nTX,30,-100\n")
+    paths[1].write_text("Longitude,State,Latitude,EV DC Fast Count\n-90,LA,31,2\n")
+    paths[2].write_text("x\n1\n")
+    names = [str(p) for p in paths]
+    got = tables.read_station_snapshots(spark, names).select("year", "state", "lat", "capacity").collect()
+    assert sorted(tuple(r) for r in got) == [(2019, "TX", 30.0, 0.0), (2021, "LA", 31.0, 600.0)]
+    assert [r.year for r in tables.read_station_snapshots(spark, names, latest=True).collect()] == [2021]
+    with pytest.raises(ValueError):
+        tables.read_station_snapshots(spark, names[2:])
+
+
+def test_chains_of_a_posterior_are_numbered_on(spark, tmp_path):
+    from stormgrid.sources import tables
+
+    rows = [(c, d, 1001, float(10 * c + d)) for c in range(3) for d in range(4)]
+    spark.createDataFrame(rows, "chain long, draw long, fips long, `lambda` double").write.parquet(str(tmp_path / "p"))
+    got = sorted(tuple(r) for r in tables.read_posterior(spark, str(tmp_path / "p")).collect())
+    assert got == [(4 * c + d, "01001", float(10 * c + d)) for c in range(3) for d in range(4)]
