@@ -120,6 +120,24 @@ def s17(t: Tables):
     return text_.select(F.size(F.from_json("geojson", "type string, features array<struct<type: string>>")["features"]).cast("long").alias("n"))
 
 
+@query("s17_geojson_areas", "select fips, state, 5 as corners, centroid_lon - 0.7 as lon, centroid_lat - 0.5 as lat from fx_county where centroid_lat - 0.5 <= 38 and centroid_lat + 0.5 >= 32 and centroid_lon - 0.7 <= -100 and centroid_lon + 0.7 >= -115 order by fips, state limit 200", "lon lat")
+def s17a(t: Tables):
+    south, west = F.col("centroid_lat") - 0.5, F.col("centroid_lon") - 0.7
+    sides = {"south": south, "west": west, "north": F.col("centroid_lat") + 0.5, "east": F.col("centroid_lon") + 0.7}
+    ring = F.array(*(F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x, y in (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"))))
+    areas = t.fx_county.withColumns(sides).withColumn("ring", ring)
+    made = S.geojson_areas(areas, ["fips", "state"], 200, (32.0, -115.0, 38.0, -100.0))
+    shape = "features array<struct<geometry: struct<coordinates: array<array<array<double>>>>, properties: struct<fips: string, state: string>>>"
+    feature = made.select(F.explode(F.from_json("geojson", shape)["features"]).alias("f")).select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("ring"))
+    return feature.select("fips", "state", F.size("ring").alias("corners"), F.col("ring")[0][0].alias("lon"), F.col("ring")[0][1].alias("lat"))
+
+
+@query("s18_windows_payload", "select window_id, center_lat, center_lon, radius_km * 1000 as radius_m from fx_windows where window_stratum = 'suburban' and abs(radius_km - 30.3) <= 0.5 and center_lat between 32 and 40 and center_lon between -115 and -95 order by window_id limit 300", "center_lat center_lon radius_m")
+def s18w(t: Tables):
+    out = S.windows_payload(t.fx_windows, 300, (32.0, -115.0, 40.0, -95.0), "suburban", 30.3)
+    return out.select("window_id", "center_lat", "center_lon", "radius_m")
+
+
 @query("s18_map_points", "select station_id, lat, lon from fx_stations where lat between 32 and 36 and lon between -115 and -100 order by station_id limit 500", "lat lon")
 def s18(t: Tables):
     inside = F.col("lat").between(32, 36) & F.col("lon").between(-115, -100)

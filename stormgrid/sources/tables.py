@@ -107,6 +107,36 @@ def geojson(df: DataFrame, properties: list[str], limit: int) -> DataFrame:
     return features.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("geojson"))
 
 
+def geojson_areas(df: DataFrame, properties: list[str], limit: int, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A FeatureCollection of polygons, as one text, of the areas (ring, and the sides of its box) that meet the map's box.
+
+    box is south, west, north, east; the limit is the map's, in the order of the properties. Open rings are closed.
+    """
+    inside = df if box is None else df.where(C.bbox_meets(*(F.col(c) for c in ("south", "west", "north", "east")), box))
+    corners = F.transform("ring", lambda p: F.array(p["lon"], p["lat"]))
+    closed = F.when(F.element_at(corners, 1) == F.element_at(corners, -1), corners).otherwise(F.concat(corners, F.slice(corners, 1, 1)))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(closed).alias("coordinates"))
+    named = inside.where(F.size("ring") > 0).orderBy(*properties).limit(limit)
+    # Sorted by the properties: maps hold no more than the limit.
+    rows = named.agg(F.array_sort(F.collect_list(F.struct(F.struct(*properties).alias("properties"), shape.alias("geometry")))).alias("rows"))
+    features = F.transform("rows", lambda r: F.struct(F.lit("Feature").alias("type"), r["geometry"].alias("geometry"), r["properties"].alias("properties")))
+    return rows.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features"))).alias("geojson"))
+
+
+def windows_payload(windows: DataFrame, limit: int, box: tuple[float, float, float, float] | None = None, stratum: str | None = None, radius_km: float | None = None) -> DataFrame:
+    """Disks of a map: windows of a stratum, of about a radius (within half a km), with centres in the box.
+
+    box is south, west, north, east; the limit is the map's, in the order of window_id.
+    """
+    if stratum is not None:
+        windows = windows.where(F.col("window_stratum") == stratum)
+    if radius_km is not None:
+        windows = windows.where(F.abs(F.col("radius_km") - radius_km) <= 0.5)
+    if box is not None:
+        windows = windows.where(C.in_bbox(F.col("center_lat"), F.col("center_lon"), *box))
+    return windows.withColumn("radius_m", F.col("radius_km") * 1000).orderBy("window_id").limit(limit)
+
+
 def snapshot_year(path) -> object:
     """Year of a snapshot's path, null where it has none."""
     return F.regexp_extract(path, SNAPSHOT, 1).try_cast("int")

@@ -262,3 +262,20 @@ def test_chains_of_a_posterior_are_numbered_on(spark, tmp_path):
     spark.createDataFrame(rows, "chain long, draw long, fips long, `lambda` double").write.parquet(str(tmp_path / "p"))
     got = sorted(tuple(r) for r in tables.read_posterior(spark, str(tmp_path / "p")).collect())
     assert got == [(4 * c + d, "01001", float(10 * c + d)) for c in range(3) for d in range(4)]
+
+
+def test_areas_become_closed_rings(spark):
+    import json
+
+    from stormgrid.sources import tables
+
+    schema = "id string, ring array<struct<lon: double, lat: double>>, south double, north double, west double, east double"
+    tri, far = ring((0, 0), (2, 0), (1, 3)), ring((50, 50), (51, 50), (51, 51), (50, 50))
+    rows = [("b", tri, 0.0, 3.0, 0.0, 2.0), ("c", far, 50.0, 51.0, 50.0, 51.0), ("a", [], None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    made = json.loads(tables.geojson_areas(df, ["id"], 10).first()[0])
+    assert [f["properties"]["id"] for f in made["features"]] == ["b", "c"]
+    assert made["features"][0]["geometry"] == {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [1, 3], [0, 0]]]}
+    assert len(made["features"][1]["geometry"]["coordinates"][0]) == 4
+    near = json.loads(tables.geojson_areas(df, ["id"], 10, (1.0, 1.0, 5.0, 5.0)).first()[0])
+    assert [f["properties"]["id"] for f in near["features"]] == ["b"]
