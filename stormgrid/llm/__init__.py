@@ -18,6 +18,9 @@ _QUERIES = {
     "op8_jaccard": "jaccard",
     "op9_url_filters": "url_filters",
     "op10_mixing": "mixing",
+    "op11_centroids": "centroids",
+    "op12_conversations": "conversations",
+    "op13_personal": "personal",
 }
 
 
