@@ -23,10 +23,14 @@ TOKENIZER = "byte_bpe_50k.json"
 # The split pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Texts are gathered up to so many bytes before their new words are merged together, and a
-#: worker forgets its words once it holds so many.
+#: Texts are gathered up to so many bytes, and their new words merged together in lots of so many
+#: bytes. A worker forgets its words once it holds so many, or so many bytes of them.
 GATHER_BYTES = 8 << 20
+LOT_BYTES = 1 << 20
 MOST_WORDS = 200_000
+MOST_BYTES = 16 << 20
+#: Texts of more characters than this are split word by word, not into one list.
+LONG_TEXT = 1 << 20
 
 _loaded: dict[str, Vocabulary] = {}
 
@@ -43,12 +47,24 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def check_kind(spec: dict) -> None:
+    """Refuse vocabulary files that ask for other steps than splitting by ``PATTERN`` and merging bytes."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain_split = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    plain_special = not any(x.get(k) for x in spec.get("added_tokens", []) for k in flags)
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if spec.get("normalizer") or spec.get("post_processor") or not plain_split or not plain_special or any(model.get(k) for k in odd):
+        raise ValueError("the vocabulary is not plain byte-level BPE: it has a normaliser, another split, or merge options")
+
+
 class Vocabulary:
     """Merge ranks, token bytes, and the words that this worker has merged so far."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         ids: dict[str, int] = spec["model"]["vocab"]
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         symbols = byte_symbols()
@@ -85,6 +101,7 @@ class Vocabulary:
             self.words[s]
         own = np.array(list(self.special.values()), np.int32)
         self.ids, self.counts = [own], [np.ones(len(own), np.int32)]
+        self.held = 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens, or -1."""
@@ -93,9 +110,22 @@ class Vocabulary:
         at = self.keys.searchsorted(key)
         return np.where(self.keys[at] == key, self.by_key[at], -1)
 
-    def learn(self, words: list[str]) -> None:
-        """Merge new words, all at once, and remember their ids."""
-        raw = [w.encode() for w in words]
+    def learn(self, words: Iterator[str]) -> None:
+        """Merge new words, in lots of about ``LOT_BYTES`` at once, and remember their ids."""
+        lot, size = [], 0
+        for word in words:
+            raw = word.encode()
+            lot.append(raw)
+            size += len(raw)
+            if size >= LOT_BYTES:
+                self.merge(lot)
+                lot, size = [], 0
+        if lot:
+            self.merge(lot)
+
+    def merge(self, raw: list[bytes]) -> None:
+        """Merge the words of a lot, all at once."""
+        self.held += sum(map(len, raw))
         # Tokens of all words in a row, each word followed by -1, as a linked list.
         flat = np.frombuffer(b"\xff".join(raw) + b"\xff", np.uint8)
         token = self.first[flat]
@@ -152,34 +182,35 @@ class Vocabulary:
         left = token >= 0
         word_of = np.searchsorted(ends, np.flatnonzero(left))
         self.ids.append(token[left])
-        self.counts.append(np.bincount(word_of, minlength=len(words)).astype(np.int32))
-
-    def split_words(self, text: str) -> list[str]:
-        if self.parts is None:
-            return self.split.findall(text)
-        out: list[str] = []
-        for part in self.parts.split(text):
-            if part in self.special:
-                out.append(part)
-            elif part:
-                out += self.split.findall(part)
-        return out
+        self.counts.append(np.bincount(word_of, minlength=len(raw)).astype(np.int32))
+
+    def each_word(self, text: str) -> Iterator[str]:
+        start = 0
+        for special in self.parts.finditer(text) if self.parts else ():
+            yield from (m[0] for m in self.split.finditer(text[start : special.start()]))
+            yield special[0]
+            start = special.end()
+        yield from (m[0] for m in self.split.finditer(text[start:]))
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """Token ids of each text; none for null or empty."""
         plain = self.parts is None
-        if len(self.words) > MOST_WORDS:
+        if len(self.words) > MOST_WORDS or self.held > MOST_BYTES:
             self.forget()
         known, number = len(self.words), self.words.__getitem__  # a new word gets the next number
         used, lengths = array("i"), np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
-            if text:
-                words = self.split_words(text) if not plain and any(s in text for s in self.special) else self.split.findall(text)
+            if text and len(text) > LONG_TEXT:
+                before = len(used)
+                used.extend(map(number, self.each_word(text)))
+                lengths[k] = len(used) - before
+            elif text:
+                words = list(self.each_word(text)) if not plain and any(s in text for s in self.special) else self.split.findall(text)
                 used.extend(map(number, words))
                 lengths[k] = len(words)
         used = np.frombuffer(used, np.int32) if used else np.zeros(0, np.int32)
         if len(self.words) > known:
-            self.learn(list(islice(self.words, known, None)))
+            self.learn(islice(self.words, known, None))
         if len(self.ids) > 1:
             self.ids, self.counts = [np.concatenate(self.ids)], [np.concatenate(self.counts)]
         ids, counts = self.ids[0], self.counts[0]
@@ -225,7 +256,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, convert, gather: int) -> DataFrame:
     """``df`` with ``out`` (replaced if there) made from ``column`` in Arrow batches of ``gather`` bytes."""
-    keep = [c for c in df.columns if c != out]
+    keep = [c for c in df.columns if c.lower() != out.lower()]
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +271,18 @@ def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, convert, gat
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """Add ``out``, the token ids of ``text_col``, as the vocabulary file at ``path`` defines them.
+    """Add ``out``, the token ids of ``text_col`` by the byte-level BPE vocabulary at ``path``.
 
-    Texts are split by the vocabulary's pattern. The distinct words of some megabytes of a
-    partition are merged at once: an index holds the places of every pair of neighbours, the
-    lowest active rank is applied to all its places, and the pairs beside them enter the index.
-    Workers remember merged words, up to ``MOST_WORDS``. The file must be readable on executors.
+    Texts are split by ``PATTERN``, and at the file's special tokens. The distinct words of some
+    megabytes of a partition are merged in lots of a megabyte (a longer word alone): an index holds
+    the places of every pair of neighbours, the lowest active rank is applied to all its places, and
+    the pairs beside them enter the index. Workers remember merged words, up to ``MOST_WORDS`` and
+    ``MOST_BYTES``. The file must be readable on executors; one with a normaliser, another split or
+    other merge options raises ValueError.
 
     Null and empty texts give an empty list; texts of any length are encoded whole; special tokens
     written in a text are found there, as the tokenizers library finds them; other columns stay
-    (one named as ``out`` is replaced).
+    (one named as ``out``, in any case, is replaced).
     """
 
     def convert(column: pa.Array) -> pa.ListArray:
