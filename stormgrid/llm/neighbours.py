@@ -114,9 +114,15 @@ def _laid_out(sizes: dict[int, int], lists: int) -> tuple[np.ndarray, np.ndarray
     return group, blocks
 
 
-def search(vectors: DataFrame, step: int = QUERY_STEP, nearest: int = NEAREST, probes: float = PROBES) -> DataFrame:
+def search(
+    vectors: DataFrame, step: int = QUERY_STEP, nearest: int = NEAREST, probes: float = PROBES, shortlist: int | None = SHORTLIST
+) -> DataFrame:
     """The ``nearest`` rows found for every row whose vec_id is divisible by ``step``.
 
+    ``probes`` is the share of the lists that a query visits at least; where these hold fewer than
+    ``nearest`` other rows, it goes on to further lists until they do or all are visited, so no
+    query gets fewer rows than there are. ``probes=1`` with ``shortlist=None`` is exact.
+
     The index is fitted on at most ``SAMPLE`` rows chosen by a hash of their id, and holds every
     row: its list's number and the product-quantised residual. A query visits its best lists.
     Lists are packed into blocks of about ``ROWS`` rows, a crowded one into several, and queries
@@ -133,14 +139,14 @@ def search(vectors: DataFrame, step: int = QUERY_STEP, nearest: int = NEAREST, p
     counts = rows.groupBy(F.size("vector").alias("dims")).count().orderBy("dims").toLocalIterator()
     out = None
     for dims, n in counts:
-        found = _search(rows.where(F.size("vector") == dims), n, step, nearest, probes)
+        found = _search(rows.where(F.size("vector") == dims), n, step, nearest, probes, shortlist)
         out = found if out is None else out.unionAll(found)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     return out
 
 
-def _search(rows: DataFrame, n: int, step: int, nearest: int, probes: float) -> DataFrame:
+def _search(rows: DataFrame, n: int, step: int, nearest: int, probes: float, shortlist: int | None) -> DataFrame:
     """``search`` over n usable rows of one length."""
     order = F.xxhash64("vec_id", F.lit(SEED))
     share = min(1.0, 1.2 * SAMPLE / n + 0.01)
@@ -164,14 +170,20 @@ def _search(rows: DataFrame, n: int, step: int, nearest: int, probes: float) ->
     # One row for each list: at most MOST_LISTS.
     sizes = {r["list"]: r["count"] for r in held.groupBy("list").count().toLocalIterator()}
     group_of, blocks_of = _laid_out(sizes, lists)
+    size_of = np.array([sizes.get(at, 0) for at in range(lists)])
+    kept = None if shortlist is None else max(shortlist, nearest)
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each block that a query meets, with the lists that it visits there."""
         for batch in batches:
             x = _matrix(batch.column("vector"), dims)
-            best = np.sort(np.argsort(-(x @ index.centroids.T), axis=1, kind="stable")[:, :visits], axis=1)
+            best = np.argsort(-(x @ index.centroids.T), axis=1, kind="stable")
+            # Rows of the query's own id, which are no candidates, may lie in any of the lists.
+            needed = nearest + batch.column("own").to_numpy()
+            enough = (np.cumsum(size_of[best], axis=1) < needed[:, None]).sum(1) + 1
             who, parts, blocks, visited = [], [], [], []
-            for k, own in enumerate(best):
+            for k, near in enumerate(best):
+                own = np.sort(near[: max(visits, int(enough[k]))])
                 groups = group_of[own]
                 for g in np.unique(groups):
                     at = own[groups == g]
@@ -185,7 +197,7 @@ def _search(rows: DataFrame, n: int, step: int, nearest: int, probes: float) ->
             names = ["query_id", "vector", "part", "block", "visited"]
             yield from sliced(pa.RecordBatch.from_arrays([*columns, pa.array(visited, pa.list_(pa.int32()))], names))
 
-    asked = rows.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = rows.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.count("*").alias("own"))
     asked = materialize(asked.mapInArrow(
         probed, "query_id bigint, vector array<double>, part bigint, block bigint, visited array<int>"
     ), "neighbours-asked")
@@ -229,15 +241,14 @@ def _search(rows: DataFrame, n: int, step: int, nearest: int, probes: float) ->
                     if len(own):
                         guess[own, begin:end] = index.estimates(part[own], one, codes[begin:end])
                 for k, row in enumerate(guess):
-                    short = np.flatnonzero(row > -np.inf)
-                    if len(short) > SHORTLIST:
+                    short = np.flatnonzero((row > -np.inf) & (ids != who[a + k]))
+                    if kept is not None and len(short) > kept:
                         seen = row[short]
-                        cut = np.partition(seen, len(seen) - SHORTLIST)[len(seen) - SHORTLIST]
+                        cut = np.partition(seen, len(seen) - kept)[len(seen) - kept]
                         above, level = short[seen > cut], short[seen == cut]
                         # Copies share a code: of equal guesses at the cut, the smaller ids stay.
                         level = level[np.argsort(ids[level], kind="stable")]
-                        short = np.concatenate([above, level[: SHORTLIST - len(above)]])
-                    short = short[ids[short] != who[a + k]]
+                        short = np.concatenate([above, level[: kept - len(above)]])
                     exact = (x[short] * q[a + k]).sum(axis=1)
                     best = np.lexsort((ids[short], -exact))[:nearest]
                     found[0].append(np.full(len(best), who[a + k]))
