@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -86,40 +87,40 @@ class Finder:
         if not words:
             return 0, []
         line = " " + b" ".join(words).decode() + " "
-        places: dict[int, set[int]] = {}
+        places: dict[int, list[int]] = {}
         for end, (size, uses) in self.automaton.iter(line):
             for n, offset in uses:
-                places.setdefault(n, set()).add(end + 1 - size - offset)
+                places.setdefault(n, []).append(end + 1 - size - offset)
         hits: dict[tuple[int, int], tuple[int, int]] = {}
         for n, starts in places.items():
             notice, _, most = self.notices[n]
-            regions: list[list[int]] = []
-            for at in sorted(starts):
+            for at in set(starts):
                 if at > 0 and line.startswith(f" {notice} ", at - 1):
                     hits[n, at] = at + len(notice), 0
-                a, b = max(0, at - most - 1), at + len(notice) + most + 1
-                if regions and a <= regions[-1][1]:
-                    regions[-1][1] = max(regions[-1][1], b)
-                else:
-                    regions.append([a, b])
-            if not most:
-                continue
-            while regions:
-                a, b = regions.pop()
-                m = self.patterns[n].search(line, a, min(b, len(line)))
-                if m is None:
-                    continue
-                known = hits.get((n, m.start()))
-                if known is None or known[1] > sum(m.fuzzy_counts):
-                    hits[n, m.start()] = m.end(), sum(m.fuzzy_counts)
-                # The best match may stand behind others.
-                regions += [x for x in ([a, m.start()], [m.end(), b]) if x[1] - x[0] >= len(notice) - most]
+            for at in sorted(set(starts)) if most else ():
+                # A match that this seed belongs to lies in its surroundings, whatever stands beside it.
+                self.near(line, n, max(0, at - most - 1), min(at + len(notice) + most + 1, len(line)), hits)
+        blanks = [i for i, c in enumerate(line) if c == " "] if hits else []
         out = [
-            (*self.notices[n][:2], line.count(" ", 0, a) - 1, line.count(" ", a, b) + 1, edits, line[a:b])
+            (*self.notices[n][:2], bisect_left(blanks, a) - 1, bisect_left(blanks, b) - bisect_left(blanks, a) + 1, edits, line[a:b])
             for (n, a), (b, edits) in sorted(hits.items(), key=lambda x: (x[0][1], x[0][0]))
         ]
         return len(words), out
 
+    def near(self, line: str, n: int, a: int, b: int, hits: dict[tuple[int, int], tuple[int, int]]) -> None:
+        """Add the best match between a and b, and those before and behind it."""
+        notice, _, most = self.notices[n]
+        regions = [(a, b)]
+        while regions:
+            a, b = regions.pop()
+            m = self.patterns[n].search(line, a, b)
+            if m is None:
+                continue
+            known = hits.get((n, m.start()))
+            if known is None or known[1] > sum(m.fuzzy_counts):
+                hits[n, m.start()] = m.end(), sum(m.fuzzy_counts)
+            regions += [x for x in ((a, m.start()), (m.end(), b)) if x[1] - x[0] >= len(notice) - most]
+
 
 _finders: dict[tuple, Finder] = {}
 
@@ -137,7 +138,7 @@ def scan(df: DataFrame, notices: list[tuple[str, str, int]] = NOTICES, text_col:
     """
     key = tuple(notices)
     made = ["n_words", "hits"]
-    keep = [c for c in df.columns if c not in made]
+    keep = [c for c in df.columns if c.lower() not in made]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), _HITS])
     names = ("notice", "label", "word", "n_words", "edits", "span")
 

@@ -22,7 +22,7 @@ STREAM_TYPE, STREAM_ID = 0x06, 0xBD  # private data
 
 _DEMUX = (
     "payload binary, timestamps array<struct<pts: bigint, start: bigint>>, "
-    "random_access array<bigint>, stream_type int, packets bigint, continuity_errors bigint"
+    "random_access array<bigint>, stream_type int, packets bigint, continuity_errors bigint, error string"
 )
 
 
@@ -115,18 +115,30 @@ def pack(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read_section(packet: bytes) -> bytes:
-    at = 4 + (packet[4] + 1 if packet[3] & 0x20 else 0)
-    at += packet[at] + 1
-    length = (packet[at + 1] & 15) << 8 | packet[at + 2]
-    section = packet[at : at + 3 + length]
+def _payload(packet: bytes) -> bytes:
+    return packet[4 + (packet[4] + 1 if packet[3] & 0x20 else 0) :] if packet[3] & 0x10 else b""
+
+
+def _read_section(packets: list[bytes]) -> bytes:
+    """The section that begins in the first packet, checked; it may go on in the following ones."""
+    data = _payload(packets[0])
+    data = data[data[0] + 1 :] if data else b""
+    for packet in packets[1:]:
+        if len(data) >= 3 and len(data) >= 3 + ((data[1] & 15) << 8 | data[2]):
+            break
+        data += _payload(packet)
+    section = data[: 3 + ((data[1] & 15) << 8 | data[2])] if len(data) >= 3 else b""
     if len(section) < 12 or section_crc(section):
-        raise StreamError("a table section has a wrong checksum")
+        raise StreamError("a table section is cut off or has a wrong checksum")
     return section
 
 
 def unpack(data: bytes) -> tuple[bytes, list[tuple[int, int]], list[int], int, int, int]:
-    """Payload, (pts, payload start) of each elementary packet, byte offsets of random-access points, stream type, packets, continuity errors."""
+    """Payload, (pts, payload start) of each elementary packet, byte offsets of random-access points, stream type, packets, continuity errors.
+
+    A packet that repeats the one before it, counter and payload, is read once. A packet marked as
+    discontinuous begins a new count.
+    """
     if len(data) % PACKET:
         raise StreamError("the length is no multiple of a packet")
     packets = np.frombuffer(data, np.uint8).reshape(-1, PACKET)
@@ -138,7 +150,7 @@ def unpack(data: bytes) -> tuple[bytes, list[tuple[int, int]], list[int], int, i
         at = np.flatnonzero((pids == pid) & (packets[:, 1] & 0x40 > 0))
         if not len(at):
             raise StreamError(f"no table on pid {pid}")
-        return _read_section(packets[at[0]].tobytes())
+        return _read_section([x.tobytes() for x in packets[(pids == pid) & (np.arange(len(pids)) >= at[0])]])
 
     pat = table_of(PAT_PID)
     program = next((k for k in range(8, len(pat) - 4, 4) if pat[k] or pat[k + 1]), None)
@@ -155,12 +167,18 @@ def unpack(data: bytes) -> tuple[bytes, list[tuple[int, int]], list[int], int, i
     with_field = (es[:, 3] & 0x20) > 0
     begins = np.where(with_field, 5 + es[:, 4].astype(np.int32), 4)
     has_payload = (es[:, 3] & 0x10) > 0
-    counters = es[has_payload, 3] & 15
-    errors = int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
-    flagged = with_field & (es[:, 4] > 0) & (es[:, 5] & 0x40 > 0)
-    access = (own[flagged] * PACKET).tolist()
-
-    es, begins = es[has_payload], np.minimum(begins[has_payload], PACKET)
+    flags = np.where(with_field & (es[:, 4] > 0), es[:, 5], 0)
+    access = (own[(flags & 0x40) > 0] * PACKET).tolist()
+    es, begins, flags = es[has_payload], np.minimum(begins[has_payload], PACKET), flags[has_payload]
+    steps = (np.diff(es[:, 3] & 15, prepend=es[:1, 3] & 15).astype(np.int64)) % 16
+    inside = np.arange(PACKET) >= begins[:, None]
+    again = np.zeros(len(es), bool)
+    again[1:] = (steps[1:] == 0) & (begins[1:] == begins[:-1]) & ((es[1:] == es[:-1]) | ~inside[1:]).all(1)
+    again[1:] &= ~again[:-1]  # once
+    fresh = ~again
+    counted = (es[fresh, 3] & 15).astype(np.int64)
+    errors = int(((np.diff(counted) % 16 != 1) & (flags[fresh][1:] & 0x80 == 0)).sum())
+    es, begins = es[fresh], begins[fresh]
     stream = es[np.arange(PACKET) >= begins[:, None]].tobytes()
     ends = np.concatenate([[0], np.cumsum(PACKET - begins)])
     starts = ends[:-1][es[:, 1] & 0x40 > 0].tolist()
@@ -187,7 +205,7 @@ def store(df: DataFrame, text_col: str = "text", out: str = "media") -> DataFram
     Null and empty texts give one unit of padding; equal texts give equal bytes; texts of any
     length are stored whole. Other columns stay (one named as ``out`` is replaced).
     """
-    keep = [c for c in df.columns if c != out]
+    keep = [c for c in df.columns if c.lower() != out.lower()]
     schema = df.select(*keep, F.lit(b"").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,12 +222,12 @@ def load(df: DataFrame, media_col: str = "media") -> DataFrame:
 
     Program tables are parsed and their checksums verified, continuity counters checked, and
     elementary packets put together again. Adds payload, timestamps (pts and payload start),
-    random_access (byte offsets at which a reader may begin), stream_type, packets and
-    continuity_errors; columns of these names are replaced. Null streams give nulls; bytes that
-    are no stream raise StreamError.
+    random_access (byte offsets at which a reader may begin), stream_type, packets,
+    continuity_errors and error; columns of these names are replaced. Null streams give nulls;
+    bytes that cannot be read as a stream give nulls and the reason in error.
     """
     made = [f.split(" ")[0] for f in _DEMUX.replace("array<struct<pts: bigint, start: bigint>>", "x").split(", ")]
-    keep = [c for c in df.columns if c not in made]
+    keep = [c for c in df.columns if c.lower() not in made]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), _DEMUX])
     kinds = [
         pa.binary(),
@@ -218,14 +236,21 @@ def load(df: DataFrame, media_col: str = "media") -> DataFrame:
         pa.int32(),
         pa.int64(),
         pa.int64(),
+        pa.string(),
     ]
 
+    def read_one(data: bytes | None) -> tuple:
+        try:
+            return (None,) * len(kinds) if data is None else (*unpack(data), None)
+        except (StreamError, IndexError) as e:  # an index beyond a damaged table or packet
+            return (*(None,) * (len(kinds) - 1), str(e) if isinstance(e, StreamError) else "a table or packet is cut off")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [None if x is None else unpack(x) for x in batch.column(media_col).to_pylist()]
+            read = [read_one(x) for x in batch.column(media_col).to_pylist()]
             columns = [batch.column(c) for c in keep]
             for k, kind in enumerate(kinds):
-                values = [None if r is None else r[k] for r in read]
+                values = [r[k] for r in read]
                 if k == 1:
                     values = [v and [{"pts": a, "start": b} for a, b in v] for v in values]
                 columns.append(pa.array(values, kind))

@@ -72,7 +72,7 @@ def statistics(text: str | None) -> list[float]:
 
 def featurize(df: DataFrame, text_col: str = "text", out: str = "stats") -> DataFrame:
     """Add ``out``, the statistics of the whole text, rounded so that sums of them are exact."""
-    keep = [c for c in df.columns if c not in (out, text_col)]
+    keep = [c for c in df.columns if c.lower() not in (out.lower(), text_col.lower())]
     schema = df.select(*keep, F.array(F.lit(0.0)).alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -113,6 +113,26 @@ def test_neighbours_of_few_or_no_rows(spark):
     assert [(r.vec_id, r.score) for r in neighbours.search(few).orderBy("rank").collect()] == [(1, 5.0), (2, 5.0)]
 
 
+@pytest.mark.parametrize("n", [1, 2, 21, 25, 60])
+def test_neighbours_are_never_short(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 5))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(0, x[0].tolist())] * 3
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in neighbours.search(df).collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, n, 20):
+        assert len(found.get(q, [])) == min(20, n - 1 + 3 * (q != 0)), q
+    exact = [(r.query_id, r.rank, r.vec_id) for r in neighbours.search(df, probes=1.0, shortlist=None).collect()]
+    ids, every = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    want = []
+    for q in range(0, n, 20):
+        score = every @ x[q]
+        order = [k for k in np.lexsort((ids, -score)) if ids[k] != q][:20]
+        want += [(q, k + 1, int(ids[i])) for k, i in enumerate(order)]
+    assert sorted(exact) == sorted(want)
+
+
 # --- sharding
 
 

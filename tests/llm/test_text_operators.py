@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from stormgrid.llm import bpe, licenses, line_dedup, media
+from stormgrid.llm import bpe, licenses, line_dedup, media, quality
 
 LONG = "palabra der straße " * 4000
 HARD = [None, "", " ", "a", "aaaa" * 50, "it's  we'll\r\n\t x", "<|endoftext|> a<|endoftext|>", "\u3000日本 ñ é\u0301 🙂", LONG]
@@ -132,6 +134,144 @@ def test_media_sees_losses():
     assert media.unpack(bytes(broken))[5] == 2
 
 
+def plain_read(stream):
+    """An independent reader of one program: byte by byte, without the module's functions."""
+    out, size, table = {}, 188, {}
+    for at in range(0, len(stream), size):
+        p = stream[at : at + size]
+        assert p[0] == 0x47
+        pid, start, control = (p[1] & 31) << 8 | p[2], p[1] & 64, p[3] >> 4 & 3
+        body = p[4 + (1 + p[4]) * (control >> 1) :] if control & 1 else b""
+        if start:
+            out.setdefault(pid, []).append(b"")
+        if pid in out:
+            out[pid][-1] += body
+    section = out[0][0][1:]
+    table["pmt"] = (section[10] & 31) << 8 | section[11]
+    section = out[table["pmt"]][0][1:]
+    table["es"] = (section[13] & 31) << 8 | section[14]
+    parts, stamps = [], []
+    for pes in out[table["es"]]:
+        assert pes[:3] == b"\0\0\1"
+        head = 9 + pes[8]
+        t = pes[9:14]
+        bits = "".join(f"{b:08b}" for b in t)
+        stamps.append(int(bits[4:7] + bits[8:23] + bits[24:39], 2))
+        parts.append(pes[head:])
+    return b"".join(parts), stamps
+
+
+def test_an_independent_reader_reads_the_streams():
+    for n in (0, 1, 575, 576, 576 * 64, 576 * 64 + 1, 300_000):
+        payload = media.pad(bytes(k * 7 % 251 for k in range(n)))
+        got, stamps = plain_read(media.pack(payload))
+        assert got == payload and stamps == [64 * media.TICKS * k for k in range(len(stamps))]
+
+
+def test_media_reads_duplicates_jumps_and_long_tables():
+    stream = media.pack(media.pad(b"abc" * 40000))
+    twice = stream[: 188 * 11] + stream[188 * 10 :]
+    assert media.unpack(twice)[0] == media.unpack(stream)[0] and media.unpack(twice)[5] == 0
+    jump = bytearray(stream)
+    first = next(k for k in range(3 * 188, len(stream), 188) if jump[k + 1] & 0x40)
+    jump[first + 5] |= 0x80
+    for k in range(first, len(jump), 188):
+        jump[k + 3] = jump[k + 3] & 0xF0 | jump[k + 3] + 5 & 15
+    assert media.unpack(bytes(jump))[5] == 0
+    # A program table with 250 bytes of descriptors takes two packets.
+    body = bytes([0xE1, 0, 0xF0, 250]) + b"\x80" + bytes([248]) + b"z" * 248 + bytes([media.STREAM_TYPE, 0xE1, 0, 0xF0, 0])
+    section = b"\0" + media._section(2, 1, body)
+    head = bytes([0x47, 0x40 | media.PMT_PID >> 8, 0, 0x10]), bytes([0x47, media.PMT_PID >> 8, 0, 0x11])
+    long_table = head[0] + section[:184] + (head[1] + section[184:]).ljust(188, b"\xff")
+    assert media.unpack(stream[:188] + long_table + stream[376:])[0] == media.unpack(stream)[0]
+
+
+def test_bad_media_give_an_error_not_an_end(spark):
+    good = media.pack(media.pad(b"abc"))
+    rows = [(1, good), (2, b"abc"), (3, None), (4, good[:188] * 2), (5, b""), (None, good[:200])]
+    df = spark.createDataFrame(rows, "doc_id bigint, Media binary").withColumn("ERROR", F.lit(1))
+    got = {r["doc_id"]: r for r in media.load(df, "Media").collect()}
+    assert got[1]["error"] is None and got[1]["payload"][:3] == b"abc" and got[3]["error"] is None
+    assert all(got[k]["error"] and got[k]["payload"] is None for k in (2, 4, 5, None))
+
+
+def test_names_in_another_case_are_replaced(spark):
+    df = spark.createDataFrame([(None, "mit license", 1, 2, 3, 4)], "doc_id bigint, text string, IDS int, HITS int, Media int, STATS int")
+    for out in (bpe.encode(df, bpe.tokenizer_path()), licenses.scan(df), media.store(df), quality.featurize(df)):
+        (row,) = out.select(*out.columns).collect()
+        assert len({c.lower() for c in out.columns}) == len(out.columns) and row is not None
+
+
+def edit_distance_places(words, notice, most):
+    """(first word, last word) of every run of words within ``most`` edits of the notice."""
+    found = {}
+    for a in range(len(words)):
+        row = list(range(len(notice) + 1))
+        text = ""
+        for b in range(a, len(words)):
+            for c in (" " if text else "") + words[b]:
+                new = [row[0] + 1]
+                for j, d in enumerate(notice):
+                    new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+                row = new
+            text += (" " if text else "") + words[b]
+            if len(text) > len(notice) + most:
+                break
+            if row[-1] <= most:
+                found[a, b] = row[-1]
+    return found
+
+
+def test_fuzzy_licenses_against_plain_edit_distance():
+    rng = random.Random(3)
+    finder = licenses.Finder(licenses.NOTICES)
+    for _ in range(120):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            notice, _, most = rng.choice(licenses.NOTICES)
+            text = list(notice)
+            for _ in range(rng.randrange(most + 2)):
+                at = rng.randrange(len(text))
+                text[at : at + rng.randrange(2)] = rng.choice(["", "x", "q"])
+            words += [*rng.choices(["lorem", "the", "ab"], k=rng.randrange(4)), *"".join(text).split()]
+        _, hits = finder.search(" ".join(words))
+        for notice, _, most in licenses.NOTICES:
+            own = [(w, w + n - 1, e) for x, _, w, n, e, _ in hits if x == notice]
+            near = edit_distance_places(words, notice, most)
+            assert all(near.get((a, b)) is not None and near[a, b] <= e for a, b, e in own)
+            # Every place overlaps a reported one.
+            assert all(any(a <= d and c <= b for c, d, _ in own) for a, b in near)
+
+
+def test_licenses_take_time_in_proportion():
+    finder = licenses.Finder(licenses.NOTICES)
+    times = []
+    for n in (2000, 8000):
+        start = time.perf_counter()
+        assert len(finder.search("mit license " * n)[1]) >= n
+        times.append(time.perf_counter() - start)
+    assert times[1] < 12 * times[0] + 0.5
+
+
+def test_bpe_bounds_bytes_and_reads_long_runs(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "LOT_BYTES", 100)
+    monkeypatch.setattr(bpe, "MOST_BYTES", 5000)
+    monkeypatch.setattr(bpe, "LONG_TEXT", 1000)
+    vocab, library = bpe.Vocabulary(bpe.tokenizer_path()), Tokenizer.from_file(bpe.tokenizer_path())
+    texts = ["ab" * 3000, "x y z " * 900 + "<|endoftext|>" + "é" * 2000, " ".join(f"w{k}" for k in range(900)), "", None, "ab" * 3000]
+    for _ in range(3):
+        got = vocab.encode(texts).to_pylist()
+        assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert vocab.held < 20_000
+
+
+def test_bpe_refuses_other_vocabularies():
+    with pytest.raises(ValueError, match="plain byte-level"):
+        bpe.Vocabulary(bpe.tokenizer_path().replace("byte_bpe_50k", "word_bpe_49k"))
+
+
 def plain_dedup(rows, least=line_dedup.LEAST_DOCUMENTS):
     """rows: (doc_id, text), ids and texts unique together."""
     lines = []
