@@ -59,20 +59,24 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+def spread_join(
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", share: int = 1000, counts: DataFrame | None = None, stored: bool = False
+) -> DataFrame:
     """An inner or left join in which rows of ``left`` with one key spread over many tasks.
 
     Keys with more than one in ``share`` of left's rows (and 1000 rows) are fewer than ``share``, so
     their table can be broadcast: their rows get salts by a hash of the whole row, and right's rows
-    of such a key as many copies. ``left`` is read twice.
+    of such a key as many copies. ``counts`` (the keys and c, their rows) saves a pass over left.
+    With ``stored``, for a left that is a written table, equal rows spread as well, by their place.
     """
     salt, copies, rows = fresh_names(left, "salt", "salts", "rows")
-    total = left.count()
-    limit = max(total // share, 1000)
-    heavy = left.groupBy(*on).agg(F.count("*").alias(rows)).where(F.col(rows) > limit)
-    heavy = materialize(heavy.select(*on, F.ceil(F.col(rows) / limit).cast("int").alias(copies)), "heavy")
-    whole_row = F.xxhash64(*(F.col(f"`{c}`") for c in left.columns))
-    spread = left.join(F.broadcast(heavy), on, "left").withColumn(salt, F.pmod(whole_row, F.coalesce(copies, F.lit(1))).cast("int"))
+    limit = max(left.count() // share, 1000)
+    counts = left.groupBy(*on).agg(F.count("*").alias(rows)) if counts is None else counts.select(*on, F.col("c").alias(rows))
+    heavy = materialize(counts.where(F.col(rows) > limit).select(*on, F.ceil(F.col(rows) / limit).cast("int").alias(copies)), "heavy")
+    place = [F.monotonically_increasing_id()] if stored else []
+    whole_row = F.xxhash64(*(F.col(f"`{c}`") for c in left.columns), *place)
+    keyed = left.withColumn(salt, whole_row).join(F.broadcast(heavy), on, "left")
+    spread = keyed.withColumn(salt, F.pmod(F.col(salt), F.coalesce(copies, F.lit(1)).cast("long")).cast("int"))
     dealt = right.join(F.broadcast(heavy), on, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)) - 1)))
     return spread.drop(copies).join(dealt.drop(copies), [*on, salt], how).drop(salt)
 

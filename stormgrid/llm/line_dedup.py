@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormgrid.llm.common import fresh_names, marked, marks, materialize, sliced, small_batches, table
+from stormgrid.llm.common import fresh_names, marked, marks, materialize, sliced, small_batches, spread_join, table
 
 DEPTH = 3  # leading tokens of a leaf
 LEAST_BYTES = 20  # shorter lines are never dropped
@@ -109,8 +109,8 @@ def _templates(docs: DataFrame, distinct: DataFrame, least_documents: int) -> Da
     shown = materialize(distinct.join(leaves, _KEY).select(*_KEY, "line"), "lines-shown")
     cells = _cells(docs, shown).dropDuplicates(["line"]).join(shown.select("line"), "line", "left_semi")
     cells = materialize(cells, "line-cells").select("line", F.posexplode("cells").alias("place", "cell"))
-    often = cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1")
-    held = cells.join(often, "cell", "left").groupBy("line").agg(
+    often = materialize(cells.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"), "cells-often")
+    held = spread_join(cells, often, ["cell"], "left", counts=often).groupBy("line").agg(
         F.sort_array(F.collect_list(F.struct((-F.coalesce("c", F.lit(1))).alias("c"), "place", "cell"))).alias("held")
     )
     fixed = F.transform(F.slice("held", 1, F.expr(f"cast(({ALIKE} * size(held) + 9) div 10 as int)")), lambda x: x["cell"])
@@ -160,17 +160,20 @@ def dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
     distinct = long.groupBy(*_KEY, "line").agg(F.count("*").alias("times"))
     distinct = materialize(distinct, "lines-distinct")
     covered = _templates(docs, distinct, least_documents)
-    named = long.join(covered, [*_KEY, "line"], "left").withColumns(
+    named = spread_join(long, covered, [*_KEY, "line"], "left", counts=distinct.withColumnRenamed("times", "c")).withColumns(
         {"line": F.coalesce("template", "line"), "general": F.col("template").isNotNull()}
     )
     template = [*_KEY, "line", "general"]
     named = materialize(named.select("doc_id", "row", "at", *template), "lines-named")
-    once = named.groupBy(*template, "doc_id", "row").agg(F.min("at").alias("at"))
+    once = named.groupBy(*template, "doc_id", "row").agg(F.min("at").alias("at"), F.count("*").alias("lines"))
     recurring = once.groupBy(*template).agg(
-        F.count("*").alias("documents"), F.min(F.struct("doc_id", "row", "at")).alias("first")
+        F.count("*").alias("documents"), F.sum("lines").alias("lines"), F.min(F.struct("doc_id", "row", "at")).alias("first")
     )
-    recurring = recurring.where(F.col("documents") >= least_documents).select(*template, "first")
-    gone = named.join(recurring, template).where(~F.struct("doc_id", "row", "at").eqNullSafe(F.col("first")))
+    # A template of many lines is told also where it does not recur, so that its lines spread.
+    recurring = recurring.where((F.col("documents") >= least_documents) | (F.col("lines") > 1000))
+    recurring = materialize(recurring, "lines-recurring")
+    again = recurring.where(F.col("documents") >= least_documents).select(*template, "first")
+    gone = spread_join(named, again, template, counts=recurring.withColumnRenamed("lines", "c")).where(~F.struct("doc_id", "row", "at").eqNullSafe(F.col("first")))
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("gone_at"))
     row, gone_id, gone_row, gone_at = fresh_names(docs, "row", "gone_id", "gone_row", "gone_at")
     gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone_at"), "lines-gone")

@@ -55,3 +55,32 @@ def test_stages_tell_rows_with_null_and_repeated_ids_apart(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted((i or 0, t) for i, t in rows[600:] if t != bad)
     left = P.drop_near_copies(spark, kept, str(tmp_path))
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(70_000, good[0]), (0, good[1]), (70_001, good[2]), (70_002, good[3])])
+
+
+def test_mix_of_null_and_repeated_ids_meets_the_targets(spark, tmp_path):
+    rows = [(None, f"w{k} " * 10, "en", "a" if k < 300 else "b", 30) for k in range(600)]
+    rows += [(5, "same text here now", "en", "c", 18)] * 2500 + [(5, f"word {k} x", "en", "c", 8) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    mixed = P.mix_sources(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns
+    words = {r["source"]: r["w"] for r in mixed.selectExpr("source", "size(split(trim(text), ' ')) as n").groupBy("source").agg({"n": "sum"}).withColumnRenamed("sum(n)", "w").collect()}
+    targets = {r["source"]: r["target"] for r in P.mixing.source_targets(docs.selectExpr("source", "cast(size(split(trim(text), ' ')) as bigint) as size")).collect()}
+    for source, target in targets.items():
+        assert abs(words.get(source, 0) - target) <= 10, (source, words, targets)
+    most = {}
+    for r in mixed.groupBy("doc_id", "text").count().collect():
+        most[r["doc_id"], r["text"]] = r["count"]
+    assert all(n <= 3 for (i, t), n in most.items() if t != "same text here now") and most[5, "same text here now"] <= 7500
+    again = P.mix_sources(spark, docs, str(tmp_path)).groupBy("doc_id", "text").count().collect()
+    assert {(r["doc_id"], r["text"]): r["count"] for r in again} == most
+
+
+def test_one_of_linked_texts_of_one_id_or_none_stays(spark, tmp_path):
+    rnd = random.Random(13)
+    a, b = prose(rnd, 150), prose(rnd, 150)
+    rows = [(None, a), (None, edited(rnd, a, 1)), (7, b), (7, edited(rnd, b, 1)), (8, ""), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = P.drop_near_copies(spark, docs, str(tmp_path)).collect()
+    assert len(left) == 5 and sum(r.doc_id == 7 for r in left) == 1 and sum(r.doc_id is None and r.text is not None for r in left) == 1
