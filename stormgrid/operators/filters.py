@@ -58,20 +58,38 @@ def windows_conflict(r1: Column, r2: Column, d: Column, mode: str, most: float =
     raise ValueError(f"no mode {mode}")
 
 
-def classify_location(points: DataFrame, key: str, label: str) -> DataFrame:
-    """A known label, else that of the nearest labelled point within 50 km (the smaller key of equal ones),
-    else by how many points lie within 10 and 30 km, else rural."""
-    from stormgrid.operators.spatial import nearest, within_radius
-
-    centers = points.select(F.col(key).alias("center"), F.col("state").alias("center_state"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    near = within_radius(points, centers, F.lit(30.0)).where("state = center_state")
+def classify_location(points: DataFrame, stations: DataFrame, key: str, label: str, windows: DataFrame | None = None) -> DataFrame:
+    """A label and the method that gave it: the point's own label, else that of the nearest labelled station
+    within 50 km (the smaller key of equal ones), else urban or suburban by 15 stations within 10 or 30
+    km and rural else. Without any station: the label of the nearest window (window_id, center_lat,
+    center_lon, window_stratum), suburban if that is null; without windows: suburban.
+
+    Stations of all states count. points and stations have ``key``, lat, lon and ``label``; a station
+    of the same key as the point is the point itself, and counts for its density.
+    """
+    from stormgrid.operators.spatial import nearest, nearest_to, within_radius
+
+    centers = points.select(F.col(key).alias("center"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    near = within_radius(stations.select("lat", "lon"), centers, F.lit(30.0))
     counts = near.groupBy("center").agg(F.count_if(F.col("km") <= 10).alias("near"), F.count("*").alias("wide"))
-    dense = F.when(F.col("near") >= 15, "urban").when(F.col("wide") >= 15, "suburban")
-    known = points.where(F.col(label).isNotNull()).select(F.col(key).alias("known"), "lat", "lon", F.col(label).alias("known_label"))
+    known = stations.where(F.col(label).isNotNull()).select(F.col(key).alias("known"), "lat", "lon", F.col(label).alias("known_label"))
     beside = nearest(points.where(F.col(label).isNull()).select(key, "lat", "lon"), known, 50.0, key, "known")
-    beside = beside.select(key, F.col("nearest_id").alias("known")).join(known.select("known", "known_label"), "known")
-    joined = points.join(counts.withColumnRenamed("center", key), key, "left").join(beside.drop("known"), key, "left")
-    return joined.withColumn("label", F.coalesce(F.col(label), "known_label", dense, F.lit("rural")))
+    beside = beside.select(key, F.col("nearest_id").alias("known")).join(known.select("known", "known_label"), "known").drop("known")
+    joined = points.join(counts.withColumnRenamed("center", key), key, "left").join(beside, key, "left")
+    if stations.limit(1).count():
+        rest, how = F.lit("rural"), F.lit("density")
+    elif windows is not None:
+        seen = windows.select(F.col("window_id").alias("window"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
+        at = nearest_to(points.select(F.col(key).cast("string").alias("own"), "lat", "lon"), seen.withColumn("window", F.concat(F.lit("window "), F.col("window"))), "own", "window")
+        tiers = windows.select(F.concat(F.lit("window "), F.col("window_id")).alias("nearest_id"), F.coalesce("window_stratum", F.lit("suburban")).alias("tier"))
+        at = at.join(tiers, "nearest_id").select("own", "tier")
+        joined = joined.join(at, joined[key].cast("string") == at["own"], "left").drop("own")
+        rest, how = F.coalesce("tier", F.lit("suburban")), F.when(F.col("tier").isNotNull(), "window").otherwise("default")
+    else:
+        rest, how = F.lit("suburban"), F.lit("default")
+    dense = F.when(F.col("near") >= 15, "urban").when(F.col("wide") >= 15, "suburban")
+    method = F.when(F.col(label).isNotNull(), "own").when(F.col("known_label").isNotNull(), "station").otherwise(how)
+    return joined.withColumn("method", method).withColumn("label", F.coalesce(F.col(label), "known_label", dense, rest))
 
 
 def split_id(c: Column, pattern: str) -> tuple[Column, Column]:
@@ -98,15 +116,37 @@ def assert_fips_vintage(df: DataFrame, column: str = "fips") -> DataFrame:
 
 
 def interpolate(asked: DataFrame, samples: DataFrame, key: str) -> DataFrame:
-    """y at each x by the line between the samples around it; the last sample beyond them."""
-    after = by(key, "x")
-    segments = samples.select(
-        F.col(key).alias("of"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(after).alias("x1"), F.lead("y").over(after).alias("y1")
+    """y at each x by the line between the samples (x, y) around it; null for keys without samples.
+
+    Samples of one x count by their mean.
+    """
+    order = by(key, "x")
+    means = samples.groupBy(F.col(key), "x").agg(F.avg("y").alias("y"))
+    segments = means.select(
+        F.col(key).alias("of"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(order).alias("x1"), F.lead("y").over(order).alias("y1")
     )
     inside = (F.col("x0") <= F.col("x")) & ((F.col("x") < F.col("x1")) | F.col("x1").isNull())
     slope = F.try_divide(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))
     y = F.col("y0") + F.coalesce(slope * (F.col("x") - F.col("x0")), F.lit(0.0))
-    return asked.join(segments, (F.col(key) == F.col("of")) & inside).withColumn("y", y)
+    return asked.join(segments, (F.col(key) == F.col("of")) & inside, "left").withColumn("y", y)
+
+
+def efficiency_at(asked: DataFrame, samples: DataFrame, baselines: DataFrame, key: str) -> DataFrame:
+    """Efficiency y once x nodes are removed, from samples (x, y) of removals; every asked row has one.
+
+    Nothing removed: the baseline (``key``, baseline, n). Below the first sample a line from the
+    baseline to the best sample; above the last the worst sample shrinks with the share of the graph's
+    n nodes that goes beyond it, to 0 at least; in between linear. Keys without samples keep the baseline.
+    """
+    ends = samples.groupBy(F.col(key).alias("of_key")).agg(F.min("x").alias("least"), F.max("x").alias("most"), F.max("y").alias("best"), F.min("y").alias("worst"))
+    out = interpolate(asked, samples, key).drop("of", "x0", "y0", "x1", "y1").withColumnRenamed("y", "inside")
+    out = out.join(ends, out[key] == ends["of_key"], "left").drop("of_key")
+    base = baselines.select(F.col(key).alias("base_key"), "baseline", F.col("n").alias("base_n"))
+    out = out.join(base, out[key] == base["base_key"], "left").drop("base_key")
+    below = F.col("baseline") - (F.col("baseline") - F.col("best")) * F.try_divide("x", "least")
+    above = F.greatest(F.lit(0.0), F.col("worst") * (1 - F.try_divide(F.col("x") - F.col("most"), F.col("base_n"))))
+    y = F.when((F.col("x") == 0) | F.col("least").isNull(), F.col("baseline")).when(F.col("x") < F.col("least"), below).when(F.col("x") > F.col("most"), above)
+    return out.withColumn("y", y.otherwise(F.col("inside"))).drop("inside", "least", "most", "best", "worst", "baseline", "base_n")
 
 
 def select_curves(df: DataFrame, attacks: str | list[str], points: int) -> DataFrame:

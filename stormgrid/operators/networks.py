@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stormgrid.functions import columns as C
 from stormgrid.operators.filters import by
 from stormgrid.operators.joins import symmetrize
-from stormgrid.sources.shared import written
+from stormgrid.sources.shared import dropped, written
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -129,12 +129,15 @@ def shortest_paths(edges: DataFrame, weight: str | None = None, sources: DataFra
     step = both.select("graph_id", F.col("src").alias("via"), F.col("dst").alias("to"), "weight")
     start = both if sources is None else both.join(sources, ["graph_id", "src"], "left_semi")
     known = frontier = settled(start.select("graph_id", "src", "dst", F.col("weight").alias("d")))
+    best_was = [known]  # the step before, which goes once the next is written
     while True:
         wider = frontier.join(step, (frontier["graph_id"] == step["graph_id"]) & (frontier["dst"] == step["via"]))
         wider = wider.where("src <> to").select(frontier["graph_id"], "src", F.col("to").alias("dst"), (F.col("d") + F.col("weight")).alias("d"))
         both_d = known.withColumn("old", F.lit(True)).unionAll(wider.withColumn("old", F.lit(False)))
         best = both_d.groupBy("graph_id", "src", "dst").agg(F.min("d").alias("d"), F.min(F.when(F.col("old"), F.col("d"))).alias("was"))
-        best = settled(best.withColumn("fresh", F.col("was").isNull() | (F.col("d") < F.col("was") - 1e-12)).drop("was"))
+        best, last = settled(best.withColumn("fresh", F.col("was").isNull() | (F.col("d") < F.col("was") - 1e-12)).drop("was")), best_was
+        dropped(*last)
+        best_was = [best]
         known, frontier = best.drop("fresh"), best.where("fresh").drop("fresh")
         if not frontier.limit(1).count():
             break
@@ -154,15 +157,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node_id, root): the smallest node of each node's component, by label propagation."""
     both = settled(symmetrize(edges.withColumn("weight", F.lit(1.0))).select("graph_id", "src", "dst"))
     labels = settled(nodes.select("graph_id", "node_id", F.col("node_id").alias("root")))
+    labels_was = [labels]
     while True:
         near = both.join(labels.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node_id")).agg(F.min("root").alias("near"))
         step = labels.join(near, ["graph_id", "node_id"], "left").withColumn("least", F.least("root", "near"))
         # A root may itself have a smaller root by now: jump there.
         jump = labels.select("graph_id", F.col("node_id").alias("least"), F.col("root").alias("further"))
         step = step.join(jump, ["graph_id", "least"]).select("graph_id", "node_id", F.least("least", "further").alias("new"), "root")
-        step = settled(step)
+        last, step = labels_was, settled(step)
         if not step.where("new < root").limit(1).count():
             return labels
+        dropped(*last)
+        labels_was = [step]
         labels = step.select("graph_id", "node_id", F.col("new").alias("root"))
 
 
@@ -187,88 +193,11 @@ def closeness(nodes: DataFrame, edges: DataFrame, weight: str | None = None) ->
     return out.select("graph_id", "node_id", value.alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Share of shortest hop paths through each node, normalised over the pairs of other nodes.
-
-    Path counts grow outward by distance; for each pair s, t a node v lies on sigma(s, v) *
-    sigma(v, t) of the sigma(s, t) paths if d(s, v) + d(v, t) = d(s, t).
-    """
-    d = settled(shortest_paths(edges).withColumn("d", F.col("d").cast("int")))
-    both = symmetrize(edges.withColumn("weight", F.lit(1.0)))
-    sigma = settled(d.where("d = 1").withColumn("paths", F.lit(1.0)))
-    layers, k = [sigma], 1
-    while True:
-        k += 1
-        step = both.select("graph_id", F.col("src").alias("via"), F.col("dst").alias("to"))
-        last = layers[-1].select("graph_id", "src", F.col("dst").alias("via"), "paths")
-        grown = last.join(step, ["graph_id", "via"]).groupBy("graph_id", "src", F.col("to").alias("dst")).agg(F.sum("paths").alias("paths"))
-        layer = settled(d.where(F.col("d") == k).join(grown, ["graph_id", "src", "dst"]))
-        if not layer.limit(1).count():
-            break
-        layers.append(layer)
-    sigma = layers[0]
-    for layer in layers[1:]:
-        sigma = sigma.unionByName(layer)
-    sigma = settled(sigma)
-    a = sigma.select("graph_id", F.col("src").alias("s"), F.col("dst").alias("v"), F.col("d").alias("d1"), F.col("paths").alias("p1"))
-    b = sigma.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("t"), F.col("d").alias("d2"), F.col("paths").alias("p2"))
-    c = sigma.select("graph_id", F.col("src").alias("s"), F.col("dst").alias("t"), F.col("d").alias("d3"), F.col("paths").alias("p3"))
-    through = a.join(b, ["graph_id", "v"]).where("s <> t").join(c, ["graph_id", "s", "t"]).where("d1 + d2 = d3")
-    sums = through.groupBy("graph_id", F.col("v").alias("node_id")).agg(F.sum(F.col("p1") * F.col("p2") / F.col("p3")).alias("raw"))
-    size = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
-    out = nodes.select("graph_id", "node_id").join(size, "graph_id").join(sums, ["graph_id", "node_id"], "left")
-    pairs = (F.col("n") - 1) * (F.col("n") - 2)
-    return out.select("graph_id", "node_id", F.when(pairs > 0, F.coalesce("raw", F.lit(0.0)) / pairs).otherwise(0.0).alias("betweenness"))
-
-
 def attack_order(nodes: DataFrame, score: Column, ascending: bool = False) -> DataFrame:
     order = score.asc() if ascending else score.desc()
     return nodes.withColumn("place", F.row_number().over(by("graph_id", order, "node_id")))
 
 
-def removal_sets(order: DataFrame, pcts: list[float]) -> DataFrame:
-    """Removed nodes at each share: max(1, round half even(n * p)), at most n - 1."""
-    n = F.count("*").over(Window.partitionBy("graph_id"))
-    levels = order.withColumn("n", n).withColumn("pct", F.explode(F.array(*map(F.lit, pcts))))
-    k = F.least(F.greatest(F.lit(1), F.bround(F.col("n") * F.col("pct")).cast("int")), F.col("n") - 1)
-    return levels.where(F.col("place") <= k).select("graph_id", "pct", "node_id")
-
-
-def removal_loss(nodes: DataFrame, edges: DataFrame, removed: DataFrame, cases: DataFrame | None = None) -> DataFrame:
-    """Loss of hop efficiency and share of the largest component after each removal.
-
-    removed has graph_id, case_id, node_id. Equal sets of a graph are worked out once: cases are
-    joined to the distinct set, the surviving graphs of all sets are measured in one job.
-    cases has graph_id, case_id, all of which get a row: those that remove nothing lose 0 and keep
-    the whole graph, whose share counts as 1. Without it only cases with a removed node have one.
-    """
-    sets = removed.groupBy("graph_id", "case_id").agg(F.md5(F.concat_ws(",", F.sort_array(F.collect_set("node_id")).cast("array<string>"))).alias("set_id"))
-    sets = settled(sets)
-    one = sets.groupBy("graph_id", "set_id").agg(F.min("case_id").alias("case_id"))
-    gone = settled(removed.join(one, ["graph_id", "case_id"]).select("graph_id", "set_id", "node_id").distinct())
-    variants = gone.select("graph_id", "set_id").distinct()
-    key = F.concat_ws("|", "graph_id", "set_id")
-    live = nodes.select("graph_id", "node_id").join(variants, "graph_id").join(gone, ["graph_id", "set_id", "node_id"], "left_anti")
-    live = settled(live.select(key.alias("graph_id"), "node_id"))
-    kept = edges.select("graph_id", "src", "dst").join(variants, "graph_id").select(key.alias("graph_id"), "src", "dst")
-    for end in ("src", "dst"):
-        kept = kept.join(live.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
-    kept = settled(kept.select("graph_id", "src", "dst").withColumn("weight", F.lit(1.0)))
-    after = global_efficiency(live, kept).join(largest_share(live, kept).select("graph_id", "largest"), "graph_id", "left")
-    after = after.select(F.col("graph_id").alias("variant"), F.col("efficiency").alias("after"), "largest")
-    before = global_efficiency(nodes, edges).select("graph_id", "n", F.col("efficiency").alias("before"))
-    out = sets.withColumn("variant", key).join(after, "variant", "left").join(before, "graph_id")
-    e = F.greatest(F.lit(0.0), F.col("before") - F.coalesce("after", F.lit(0.0)))
-    out = out.select(
-        "graph_id", "case_id", e.alias("loss"), F.coalesce(F.try_divide(e, F.col("before")), F.lit(0.0)).alias("relative"),
-        (F.coalesce("largest", F.lit(0)) / F.col("n")).alias("lcc"),
-    )
-    if cases is None:
-        return out
-    every = cases.select("graph_id", "case_id").distinct().join(out, ["graph_id", "case_id"], "left")
-    return every.fillna({"loss": 0.0, "relative": 0.0, "lcc": 1.0})
-
-
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Closed triangles over pairs of neighbours, for each node."""
     both = symmetrize(edges.withColumn("weight", F.lit(1.0))).select("graph_id", "src", "dst")
@@ -284,20 +213,20 @@ def diameter(edges: DataFrame) -> DataFrame:
     return shortest_paths(edges).groupBy("graph_id").agg(F.max("d").alias("diameter"), F.avg("d").alias("avg_path"))
 
 
-def algebraic_connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Second smallest Laplacian eigenvalue of each graph; 0 for a single node.
+def algebraic_connectivity(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
+    """Second smallest Laplacian eigenvalue of each graph, of weighted edges if ``weight``; 0 for a single node.
 
     A dense symmetric solve, to rounding, as no iteration stops at a known distance from lambda2. Each
     graph is one group of rows and must fit a task: 8 n^2 bytes and n^3 steps for n nodes.
     """
-    both = symmetrize(edges.withColumn("weight", F.lit(1.0))).select("graph_id", "src", "dst")
+    both = symmetrize(edges.withColumn("weight", F.lit(1.0) if weight is None else F.col(weight).cast("double")))
 
     def solve(points: pa.Table, links: pa.Table) -> pa.Table:
         ids = np.unique(points["node_id"].to_numpy())
         lap = np.zeros((len(ids), len(ids)))
         src, dst = links["src"].to_numpy(), links["dst"].to_numpy()
         known = np.isin(src, ids) & np.isin(dst, ids)
-        lap[np.searchsorted(ids, src[known]), np.searchsorted(ids, dst[known])] = -1.0
+        lap[np.searchsorted(ids, src[known]), np.searchsorted(ids, dst[known])] = -links["weight"].to_numpy()[known]
         np.fill_diagonal(lap, -lap.sum(axis=1))
         value = max(0.0, float(np.linalg.eigvalsh(lap)[1])) if len(ids) > 1 else 0.0
         return pa.table([points["graph_id"][:1], pa.array([value] * min(1, len(ids)), pa.float64())], ["graph_id", "lambda2"])
@@ -319,6 +248,8 @@ def timeline_loss(nodes: DataFrame, edges: DataFrame, active: DataFrame) -> Data
     an hour, and one with a null node for an event that takes out none, which counts as active and
     loses nothing. Equal unions of a graph are measured once. hours are those with an active event.
     """
+    from stormgrid.operators.removal import removal_loss
+
     union = settled(union_timeline(active))
     cases = union.withColumn("case_id", F.concat_ws("|", "sim_id", "hour"))
     hours = cases.select("sim_id", "graph_id", "hour", "case_id").distinct()

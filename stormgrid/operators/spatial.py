@@ -8,34 +8,70 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormgrid.functions import columns as C
+from stormgrid.sources.shared import written
 
 CELL_DEG = 0.5
 KM_PER_DEG = C.EARTH_KM * math.pi / 180
 
 
-def _cell(c: Column) -> Column:
-    return F.floor(c / CELL_DEG).cast("int")
+def _cell(c: Column, size: float = CELL_DEG) -> Column:
+    return F.floor(c / size).cast("int")
 
 
-def within_radius(points: DataFrame, centers: DataFrame, radius: Column) -> DataFrame:
+def within_radius(points: DataFrame, centers: DataFrame, radius: Column, cell: float = CELL_DEG) -> DataFrame:
     """Points (lat, lon) within ``radius`` km of centers (clat, clon), with km.
 
-    Each center visits the cells that its disk can touch, wider in longitude away from the equator;
-    the equi-join on cells is filtered by the exact distance. Cells of longitude wrap around the globe.
+    Each center visits the cells (``cell`` degrees, a divisor of 360) that its disk can touch, wider in
+    longitude away from the equator; the equi-join on cells is filtered by the exact distance. Cells
+    of longitude wrap around the globe.
     """
     dlat = radius / KM_PER_DEG
-    dlon = dlat / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("clat")) + dlat))))
-    y = F.explode(F.sequence(_cell(F.col("clat") - dlat), _cell(F.col("clat") + dlat)))
-    wide = F.sequence(_cell(F.col("clon") - dlon), _cell(F.col("clon") + dlon))
-    around = int(360 / CELL_DEG)
+    dlon = F.least(F.lit(180.0), dlat / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("clat")) + dlat)))))
+    y = F.explode(F.sequence(_cell(F.greatest(F.lit(-90.0), F.col("clat") - dlat), cell), _cell(F.least(F.lit(90.0), F.col("clat") + dlat), cell)))
+    wide = F.sequence(_cell(F.col("clon") - dlon, cell), _cell(F.col("clon") + dlon, cell))
+    around = round(360 / cell)
     x = F.explode(F.array_distinct(F.transform(wide, lambda c: F.pmod(c, F.lit(around)))))
     spread = centers.withColumn("cell_y", y).withColumn("cell_x", x)
-    placed = points.withColumn("cell_y", _cell(F.col("lat"))).withColumn("cell_x", F.pmod(_cell(F.col("lon")), F.lit(around)))
+    placed = points.withColumn("cell_y", _cell(F.col("lat"), cell)).withColumn("cell_x", F.pmod(_cell(F.col("lon"), cell), F.lit(around)))
     km = C.haversine_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon"))
     joined = placed.join(spread, ["cell_y", "cell_x"]).withColumn("km", km)
     return joined.where(F.col("km") <= radius).drop("cell_y", "cell_x")
 
 
+#: Rings of the search for the nearest point: radius in km and cells in degrees. The last covers the globe.
+RINGS = [(25.0, 0.5), (100.0, 1.0), (400.0, 4.0), (1600.0, 15.0), (6400.0, 60.0), (20100.0, 360.0)]
+
+
+def nearest_to(points: DataFrame, targets: DataFrame, key: str, target_key: str, group: str | None = None) -> DataFrame:
+    """The nearest target of each point, however far, with nearest_km and nearest_id (the smaller id of equally near ones).
+
+    A target whose id equals the point's is not its own; with ``group``, only targets of its group
+    count. Rings of growing radius and cells: a point that finds a target inside a ring is done, as
+    no target outside it can be nearer, so only lone points go on to wide rings. Points without any
+    target have nulls. Keys must be unique; points with a null place have nulls, targets with one are left out.
+    """
+    asked = points.select(F.col(key).alias("center"), *([F.col(group).alias("center_group")] if group else []), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
+    own = [F.col(group).alias("target_group")] if group else []
+    given = targets.where("lat is not null and lon is not null").select(F.col(target_key).alias("id"), *own, "lat", "lon")
+    left = asked.where("clat is not null and clon is not null")
+    found = None
+    for radius, cell in RINGS:
+        pairs = within_radius(given, left, F.lit(radius), cell).where("id <> center")
+        pairs = pairs.where("target_group <=> center_group") if group else pairs
+        best = written(pairs.groupBy("center").agg(F.min(F.struct("km", "id")).alias("best")), "nearest")
+        found = best if found is None else found.unionAll(best)
+        left = written(left.join(best.select("center"), "center", "left_anti"), "nearest")
+        if not left.limit(1).count():
+            break
+    joined = points.join(found.withColumnRenamed("center", key), key, "left")
+    return joined.select(*points.columns, F.col("best.km").alias("nearest_km"), F.col("best.id").alias("nearest_id"))
+
+
+def nearest_other(points: DataFrame, key: str, group: str | None = None) -> DataFrame:
+    """The nearest other point of each point, of its group if given."""
+    return nearest_to(points, points, key, key, group)
+
+
 def nearest(points: DataFrame, targets: DataFrame, radius: float, key: str, target_key: str) -> DataFrame:
     """The nearest other target within ``radius`` km of each point (km and id), null if there is none."""
     centers = points.select(F.col(key).alias("center"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))

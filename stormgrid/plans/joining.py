@@ -96,6 +96,14 @@ def j08(t: Tables):
     return S.nearest(points, targets, 25.0, "station_id", "target_id").select("station_id", "nearest_km")
 
 
+@query("j08_nearest_anywhere", f"select a.station_id, min({HAV(a='a.', b='b.')}) as nearest_km, arg_min(b.fips, (round({HAV(a='a.', b='b.')}, 9), b.fips)) as nearest_id from fx_stations a join (select *, centroid_lat as lat, centroid_lon * 3 as lon from fx_county where cast(fips as int) % 9 = 0) b on true group by 1", "nearest_km")
+def j08_anywhere(t: Tables):
+    """The nearest of far places, for some across the date line."""
+    targets = t.fx_county.where("cast(fips as int) % 9 = 0").select("fips", F.col("centroid_lat").alias("lat"), (F.col("centroid_lon") * 3).alias("lon"))
+    points = t.fx_stations.select("station_id", "lat", "lon").withColumn("own", F.col("station_id").cast("string"))
+    return S.nearest_to(points, targets, "own", "fips").select("station_id", "nearest_km", "nearest_id")
+
+
 @query("j09_not_yet_matched", "select fips from fx_county where state not in (select state from fx_coverage)")
 def j09(t: Tables):
     return t.fx_county.join(t.fx_coverage, "state", "left_anti").select("fips")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stormgrid.functions import columns as C
+from stormgrid.operators import centrality as E
 from stormgrid.operators import networks as N
+from stormgrid.operators import removal as R
 from stormgrid.operators import spatial as S
 from stormgrid.operators.filters import by
 from stormgrid.operators.ranking import sample_n
@@ -15,9 +17,35 @@ from stormgrid.plans.scalars import _HAV, _OVERLAP
 HAV = _HAV.format
 
 _BOTH = "both_ways as (select graph_id, src, dst, weight from fx_edges union all select graph_id, dst, src, weight from fx_edges)"
-_HOPS = f"""with recursive {_BOTH},
-walk(graph_id, src, dst, d) as (select graph_id, src, dst, 1 from both_ways union select w.graph_id, w.src, b.dst, w.d + 1 from walk w join both_ways b on b.src = w.dst where w.d < 8 and w.src <> b.dst),
-hops as (select graph_id, src, dst, min(d) as d from walk group by 1, 2, 3)"""
+
+
+def _paths(w: str) -> str:
+    """Shortest distances between different nodes (dist); a distance that improves replaces the known one."""
+    return f"""with recursive {_BOTH}, bw as (select src, dst, {w} as w from both_ways),
+dist(src, dst, d) using key (src, dst) as (select src, dst, min(w) from bw group by 1, 2 union select q.src, q.dst, q.d
+  from (select x.src, b.dst, min(x.d + b.w) as d from dist x join bw b on b.src = x.dst where x.src <> b.dst group by 1, 2) q left join recurring.dist r on r.src = q.src and r.dst = q.dst where r.d is null or q.d < r.d),
+hops as (select n.graph_id, src, dst, d from dist join fx_nodes n on n.node_id = src)"""
+
+
+# Whole tenths, so that equal lengths are equal numbers.
+_TENTHS = "round(weight * 10)::bigint"
+_HOPS, _LONG = _paths("1"), _paths(_TENTHS)
+
+# Numbers of shortest paths by their number of edges, then shares of pairs s, t that pass v.
+_BETWEEN = """, dd as (select src, dst, d from hops union all select node_id, node_id, 0 from fx_nodes),
+cnt(src, dst, k, c) as (select node_id, node_id, 0, 1.0::double from fx_nodes union all
+  select x.src, b.dst, x.k + 1, sum(x.c) from cnt x join bw b on b.src = x.dst join dd p on p.src = x.src and p.dst = x.dst join dd q on q.src = x.src and q.dst = b.dst where p.d + b.w = q.d group by 1, 2, 3),
+sig as (select x.src, x.dst, d, sum(c) as c from cnt x join dd using (src, dst) where x.src <> x.dst group by 1, 2, 3),
+raw as (select a.dst as node_id, sum(a.c * b.c / c.c) as raw from sig a join sig b on a.dst = b.src join sig c on c.src = a.src and c.dst = b.dst where a.src <> b.dst and a.d + b.d = c.d group by 1),
+size as (select graph_id, count(*) as n from fx_nodes group by 1),
+betw as (select n.graph_id, n.node_id, case when s.n > 2 then coalesce(raw, 0) / ((s.n - 1) * (s.n - 2)) else 0 end as betweenness from fx_nodes n join size s using (graph_id) left join raw using (node_id))"""
+
+# Cube roots of the weights of each node's triangles, over the largest weight of the graph.
+_TRIANGLES = """tw as (select graph_id, src, dst, weight / max(weight) over (partition by graph_id) as x from both_ways), dg as (select src as node_id, count(*) as k from both_ways group by 1),
+tri as (select a.src as node_id, sum(cbrt(a.x * b.x * c.x)) as t from tw a join tw b on a.src = b.src and a.dst < b.dst join tw c on c.src = a.dst and c.dst = b.dst group by 1),
+wcl as (select n.graph_id, n.node_id, case when k > 1 then coalesce(t, 0) / (k * (k - 1) / 2.0) else 0 end as clustering, coalesce(k, 0) as degree from fx_nodes n left join dg using (node_id) left join tri using (node_id))"""
+_PARTS = """reach0 as (select node_id as a, node_id as b from fx_nodes union select src, dst from hops), roots as (select n.graph_id, n.node_id, min(b) as root from fx_nodes n join reach0 on a = node_id group by 1, 2),
+parts as (select graph_id, count(distinct root) as n_components from roots group by 1)"""
 
 
 @query("g01_cluster_radius")
@@ -47,19 +75,27 @@ def g03(t: Tables):
     return N.edge_weights(t.fx_edges, t.fx_nodes)
 
 
-@query("g04_shortest_paths", f"{_HOPS} select graph_id, src, dst, d::double as d from hops where d <= 8", "d")
+@query("g04_shortest_paths", f"{_HOPS} select graph_id, src, dst, d::double as d from hops", "d")
 def g04(t: Tables):
-    return N.shortest_paths(t.fx_edges).where("d <= 8")
+    return N.shortest_paths(t.fx_edges)
+
 
+@query("g04_weighted_paths", f"{_LONG} select graph_id, src, dst, d / 10.0 as d from hops", "d")
+def g04w(t: Tables):
+    return N.shortest_paths(t.fx_edges, "weight")
 
-@query("g05_global_efficiency", f"{_HOPS} select n.graph_id, n.n, coalesce(s, 0) / (n.n * (n.n - 1)) as efficiency from (select graph_id, count(*) as n from fx_nodes group by 1) n left join (select graph_id, sum(1.0 / d) as s from hops group by 1) h using (graph_id) where n.n > 1", "efficiency")
+
+_EFFICIENCY = "select n.graph_id, n.n, case when n.n > 1 then coalesce(s, 0) / (n.n * (n.n - 1)) else 0 end as efficiency from (select graph_id, count(*) as n from fx_nodes group by 1) n left join (select graph_id, sum({}) as s from hops group by 1) h using (graph_id)"
+
+
+@query("g05_global_efficiency", f"{_HOPS} {_EFFICIENCY.format('1.0 / d')}", "efficiency")
 def g05(t: Tables):
-    return N.global_efficiency(t.fx_nodes, t.fx_edges).where("n > 1")
+    return N.global_efficiency(t.fx_nodes, t.fx_edges)
 
 
-@query("g05_weighted_efficiency")
+@query("g05_weighted_efficiency", f"{_LONG} {_EFFICIENCY.format('10.0 / d')}", "efficiency")
 def g05w(t: Tables):
-    return N.global_efficiency(t.fx_nodes, t.fx_edges, "weight").withColumn("efficiency", F.round("efficiency", 6))
+    return N.global_efficiency(t.fx_nodes, t.fx_edges, "weight")
 
 
 def disrupted(t: Tables):
@@ -75,10 +111,36 @@ def state_events(t: Tables):
     return graphs.join(events, "state").select("graph_id", "case_id")
 
 
-@query("g06_outage_loss")
+def _variants(gone: str, w: str = "1", hours: str = "") -> str:
+    """For each set of removed nodes (gone: graph_id, vid, node_id) the efficiency and largest component of what is left, by a whole search."""
+    return f"""with recursive {_BOTH}, gone as materialized ({gone}), vid as materialized (select distinct graph_id, vid from gone),
+live as materialized (select vid, n.graph_id, n.node_id, n.capacity from vid join fx_nodes n using (graph_id) where not exists (select 1 from gone g where g.vid = vid.vid and g.graph_id = n.graph_id and g.node_id = n.node_id)),
+bw as materialized (select a.vid, src, dst, {w} as w from both_ways join live a on a.node_id = src join live b on b.node_id = dst and a.vid = b.vid and a.graph_id = b.graph_id),
+dist(vid, src, dst, d) using key (vid, src, dst) as (select vid, src, dst, min(w) from bw group by 1, 2, 3 union select q.vid, q.src, q.dst, q.d
+  from (select x.vid, x.src, b.dst, min(x.d + b.w) as d from dist x join bw b on b.src = x.dst and b.vid = x.vid where x.src <> b.dst group by 1, 2, 3) q left join recurring.dist r on r.vid = q.vid and r.src = q.src and r.dst = q.dst where r.d is null or q.d < r.d),
+zero as (select graph_id, '' as vid, src, dst, {w} as w from both_ways),
+dist0(src, dst, d) using key (src, dst) as (select src, dst, min(w) from zero group by 1, 2 union select q.src, q.dst, q.d
+  from (select x.src, b.dst, min(x.d + b.w) as d from dist0 x join zero b on b.src = x.dst where x.src <> b.dst group by 1, 2) q left join recurring.dist0 r on r.src = q.src and r.dst = q.dst where r.d is null or q.d < r.d),
+base as materialized (select n.graph_id, n.n, case when n.n > 1 then coalesce(s, 0) / (n.n * (n.n - 1)) else 0 end as before from (select graph_id, count(*) as n from fx_nodes group by 1) n
+  left join (select graph_id, sum(1.0 / d) as s from dist0 join fx_nodes on node_id = src group by 1) q using (graph_id)),
+own as (select l.vid, l.graph_id, l.node_id, coalesce(sum(1.0 / d), 0) as s, count(d) as r from live l left join dist x on x.vid = l.vid and x.src = l.node_id group by 1, 2, 3),
+eff as materialized (select vid, graph_id, sum(s) / nullif(count(*) * (count(*) - 1), 0) as after, max(r) + 1 as largest from own group by 1, 2),
+cap as materialized (select g.vid, g.graph_id, count(*) as n_removed, sum(capacity) as capacity_removed from gone g join fx_nodes using (graph_id, node_id) group by 1, 2),
+lost as materialized (select v.vid, v.graph_id, greatest(0, before - coalesce(after, 0)) as loss, case when before > 0 then greatest(0, before - coalesce(after, 0)) / before else 0 end as relative, coalesce(largest, 0) / n as lcc, n_removed, capacity_removed
+  from vid v join base using (graph_id) left join eff e on e.vid = v.vid and e.graph_id = v.graph_id left join cap c on c.vid = v.vid and c.graph_id = v.graph_id)"""
+
+
+_STATE = "split_part({}graph_id, '_', 1)"
+_HIT = f"hit as materialized (select n.graph_id, e.event_id as case_id, n.node_id from fx_epicenters e join fx_nodes n on {_STATE.format('n.')} = e.graph_id and abs(n.lat - e.lat) < 1 and {HAV(a='e.', b='n.')} <= e.radius_km), named as materialized (select graph_id, case_id, string_agg(node_id, ',' order by node_id) as vid from hit group by 1, 2)"
+_HIT_SETS = "select distinct h.graph_id, s.vid, h.node_id from hit h join named s on s.graph_id = h.graph_id and s.case_id = h.case_id"
+
+
+@query("g06_outage_loss", _variants(_HIT_SETS).replace("with recursive", f"with recursive {_HIT},", 1) + f"""
+select g.graph_id, e.event_id as case_id, coalesce(loss, 0) as loss, coalesce(relative, 0) as relative, coalesce(lcc, 1) as lcc, coalesce(n_removed, 0) as n_removed, coalesce(capacity_removed, 0) as capacity_removed
+from (select distinct graph_id from fx_nodes) g join fx_epicenters e on {_STATE.format('g.')} = e.graph_id left join named s on s.graph_id = g.graph_id and s.case_id = e.event_id left join lost l on l.graph_id = s.graph_id and l.vid = s.vid""", "loss relative lcc capacity_removed", 5)
 def g06(t: Tables):
-    out = N.removal_loss(t.fx_nodes, t.fx_edges, disrupted(t), state_events(t))
-    return out.select("graph_id", "case_id", *(F.round(c, 6).alias(c) for c in ("loss", "relative", "lcc")))
+    out = R.removal_loss(t.fx_nodes, t.fx_edges, disrupted(t), state_events(t))
+    return out.select("graph_id", "case_id", "loss", "relative", "lcc", "n_removed", "capacity_removed")
 
 
 @query("g07_components", "with recursive b as (select graph_id, src, dst from fx_edges union all select graph_id, dst, src from fx_edges), r(graph_id, node_id, root) as (select graph_id, node_id, node_id from fx_nodes union select r.graph_id, b.dst, r.root from r join b on b.src = r.node_id), m as (select graph_id, node_id, min(root) as root from r group by 1, 2), s as (select graph_id, root, count(*) as size from m group by 1, 2) select graph_id, count(*) as n_components, max(size)::bigint as largest, sum(size)::bigint as n, max(size) / sum(size) as lcc from s group by 1", "lcc")
@@ -91,14 +153,27 @@ def g08d(t: Tables):
     return N.degree(t.fx_nodes, t.fx_edges)
 
 
-@query("g08_closeness", f"{_HOPS}, s as (select graph_id, src as node_id, sum(d) as s, count(*) as c from hops group by 1, 2), n as (select graph_id, count(*) as n from fx_nodes group by 1) select f.graph_id, f.node_id, case when s > 0 then c / s * c / (n - 1) else 0 end as closeness from fx_nodes f join n using (graph_id) left join s on s.node_id = f.node_id", "closeness")
+_CLOSENESS = ", s as (select graph_id, src as node_id, sum(d{0}) as s, count(*) as c from hops group by 1, 2), n as (select graph_id, count(*) as n from fx_nodes group by 1) select f.graph_id, f.node_id, case when s > 0 then c / s * c / (n - 1) else 0 end as closeness from fx_nodes f join n using (graph_id) left join s on s.node_id = f.node_id"
+
+
+@query("g08_closeness", _HOPS + _CLOSENESS.format(""), "closeness")
 def g08c(t: Tables):
     return N.closeness(t.fx_nodes, t.fx_edges)
 
 
-@query("g08_betweenness")
+@query("g08_weighted_closeness", _LONG + _CLOSENESS.format(" / 10.0"), "closeness")
+def g08cw(t: Tables):
+    return N.closeness(t.fx_nodes, t.fx_edges, "weight")
+
+
+@query("g08_betweenness", f"{_HOPS}{_BETWEEN} select * from betw", "betweenness")
 def g08b(t: Tables):
-    return N.betweenness(t.fx_nodes, t.fx_edges).withColumn("betweenness", F.round("betweenness", 6))
+    return E.betweenness(t.fx_nodes, t.fx_edges)
+
+
+@query("g08_weighted_betweenness", f"{_LONG}{_BETWEEN} select * from betw", "betweenness")
+def g08bw(t: Tables):
+    return E.betweenness(t.fx_nodes, t.fx_edges, "weight")
 
 
 @query("g09_attack_order", "select graph_id, node_id, row_number() over (partition by graph_id order by capacity desc, node_id) as place from fx_nodes")
@@ -106,29 +181,49 @@ def g09(t: Tables):
     return N.attack_order(t.fx_nodes, F.col("capacity")).select("graph_id", "node_id", F.col("place").cast("long").alias("place"))
 
 
-@query("g10_attack_curve")
+LEVELS = [0.01, 0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.6, 0.7, 0.8]
+REPLICATES = 10
+_ORDERS = f"""dg as (select n.graph_id, n.node_id, count(b.src) as k from fx_nodes n left join both_ways b on b.src = n.node_id group by 1, 2),
+orders as materialized (select graph_id, 'capacity' as strategy, 0 as replicate, node_id, row_number() over (partition by graph_id order by capacity desc, node_id) as place from fx_nodes
+  union all select graph_id, 'degree', 0, node_id, row_number() over (partition by graph_id order by k desc, node_id) from dg
+  union all select graph_id, 'random', r::int, node_id, row_number() over (partition by graph_id, r order by cast('0x' || substr(md5(concat_ws('|', 'attack', graph_id, r, node_id)), 1, 8) as bigint), node_id) from fx_nodes, range({REPLICATES}) q(r)),
+sized as (select *, count(*) over (partition by graph_id, strategy, replicate) as n from orders),
+taken as materialized (select graph_id, strategy, replicate, pct, n, greatest(1, round_even(n * pct, 0)::int) as k, node_id from sized, (select unnest({LEVELS}) as pct) p where place <= greatest(1, round_even(n * pct, 0)::int)),
+named as materialized (select graph_id, strategy, replicate, pct, any_value(n) as n, any_value(k) as k, string_agg(node_id, ',' order by node_id) as vid from taken group by 1, 2, 3, 4)"""
+_ORDER_SETS = "select distinct t.graph_id, s.vid, t.node_id from taken t join named s using (graph_id, strategy, replicate, pct)"
+
+
+@query("g10_attack_curve", _variants(_ORDER_SETS, "round(weight * 10)::bigint").replace(f"{_BOTH},", f"{_BOTH}, {_ORDERS},", 1) + """
+select graph_id, strategy, pct, avg(x) as loss_pct, case when count(*) > 1 then stddev_pop(x) end as std, count(*) as n_sims
+from (select s.graph_id, strategy, pct, case when k >= n then 100.0 else 100 * relative end as x from named s join lost l on l.graph_id = s.graph_id and l.vid = s.vid) q group by 1, 2, 3""", "pct loss_pct std", 4)
 def g10(t: Tables):
-    order = N.attack_order(t.fx_nodes, F.col("capacity"))
-    sets = N.removal_sets(order, [0.1, 0.3, 0.5]).withColumnRenamed("pct", "case_id")
-    out = N.removal_loss(t.fx_nodes, t.fx_edges, sets)
-    return out.select("graph_id", F.col("case_id").alias("pct"), F.round("relative", 6).alias("relative"), F.round("lcc", 6).alias("lcc"))
+    """Seventeen levels of two targeted attacks and of ten random orders, by weighted efficiency."""
+    targeted = [
+        N.attack_order(E.attack_scores(t.fx_nodes, t.fx_edges, s), F.col("score")).select("graph_id", F.lit(s).alias("strategy"), F.lit(0).alias("replicate"), "node_id", "place")
+        for s in ("capacity", "degree")
+    ]
+    chance = E.random_orders(t.fx_nodes, REPLICATES, "attack").select("graph_id", F.lit("random").alias("strategy"), "replicate", "node_id", "place")
+    return R.attack_curve(t.fx_nodes, t.fx_edges, targeted[0].unionByName(targeted[1]).unionByName(chance), LEVELS)
 
 
-@query("g11_single_node_loss")
+@query("g11_single_node_loss", _variants("select graph_id, node_id::varchar as vid, node_id from fx_nodes") + " select graph_id, vid::bigint as node_id, loss, lcc from lost", "loss lcc")
 def g11(t: Tables):
     alone = t.fx_nodes.select("graph_id", F.col("node_id").alias("case_id"), "node_id")
-    out = N.removal_loss(t.fx_nodes, t.fx_edges, alone)
-    return out.select("graph_id", F.col("case_id").alias("node_id"), F.round("loss", 6).alias("loss"))
+    out = R.removal_loss(t.fx_nodes, t.fx_edges, alone)
+    return out.select("graph_id", F.col("case_id").alias("node_id"), "loss", "lcc")
 
 
-@query("g12_network_characteristics", """with e as (select graph_id, src as node_id from fx_edges union all select graph_id, dst from fx_edges), d as (select graph_id, node_id, count(*) as degree from e group by 1, 2), n as (select n.graph_id, n.node_id, coalesce(degree, 0) as degree from fx_nodes n left join d on d.node_id = n.node_id)
-select graph_id, count(*) as n, (sum(degree) / 2)::bigint as m, avg(degree) as degree_mean, max(degree) as degree_max, min(degree) as degree_min, case when count(*) > 1 then sum(degree) / (count(*) * (count(*) - 1.0)) else 0 end as density from n group by 1""", "degree_mean density")
+@query("g12_network_characteristics", f"""{_LONG}, {_TRIANGLES}, {_PARTS}, eff as ({_EFFICIENCY.format('10.0 / d')})
+select w.graph_id, count(*) as num_nodes, (sum(degree) / 2)::bigint as num_edges, avg(degree) as avg_degree, max(degree) as max_degree, min(degree) as min_degree, any_value(n_components) = 1 as is_connected,
+  any_value(n_components) as num_components, avg(clustering) as avg_clustering, any_value(efficiency) as global_efficiency, case when count(*) > 1 then sum(degree) / (count(*) * (count(*) - 1.0)) else 0 end as density
+from wcl w join parts using (graph_id) join eff using (graph_id) group by 1""", "avg_degree avg_clustering global_efficiency density")
 def g12(t: Tables):
-    out = N.degree(t.fx_nodes, t.fx_edges).groupBy("graph_id").agg(
-        F.count("*").alias("n"), (F.sum("degree") / 2).cast("long").alias("m"), F.avg("degree").alias("degree_mean"), F.max("degree").alias("degree_max"), F.min("degree").alias("degree_min")
-    )
-    density = F.when(F.col("n") > 1, 2.0 * F.col("m") / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
-    return out.withColumn("density", density)
+    return E.network_characteristics(t.fx_nodes, t.fx_edges)
+
+
+@query("g13_weighted_clustering", f"with {_BOTH}, {_TRIANGLES} select graph_id, node_id, clustering from wcl", "clustering")
+def g13w(t: Tables):
+    return E.weighted_clustering(t.fx_nodes, t.fx_edges)
 
 
 @query("g13_clustering", f"with {_BOTH}, d as (select src as node_id, count(*) as k from both_ways group by 1), t as (select a.src as node_id, count(*) as t from both_ways a join both_ways b on a.src = b.src and a.dst < b.dst join both_ways c on c.src = a.dst and c.dst = b.dst group by 1) select n.graph_id, n.node_id, case when k > 1 then coalesce(t, 0) / (k * (k - 1) / 2.0) else 0 end as clustering from fx_nodes n left join d using (node_id) left join t using (node_id)", "clustering")
@@ -146,22 +241,48 @@ def g15(t: Tables):
     return N.algebraic_connectivity(t.fx_nodes, t.fx_edges).withColumn("lambda2", F.round("lambda2", 4))
 
 
-@query("g16_global_features")
+_CAPS = "caps as (select graph_id, count(*)::double as n_nodes, sum(capacity) as total_capacity, avg(capacity) as mean_capacity, stddev_pop(capacity) as std_capacity, max(capacity) as max_capacity from fx_nodes group by 1)"
+
+
+@query("g16_global_features", f"""{_LONG}{_BETWEEN}, {_TRIANGLES}, {_PARTS}, {_CAPS},
+hop(src, dst, d) using key (src, dst) as (select src, dst, 1 from bw union select q.src, q.dst, q.d from (select x.src, b.dst, min(x.d + 1) as d from hop x join bw b on b.src = x.dst where x.src <> b.dst group by 1, 2) q left join recurring.hop r on r.src = q.src and r.dst = q.dst where r.d is null or q.d < r.d),
+far as (select graph_id, sum(1.0 / d) as reach, max(d)::double as diameter from hop join fx_nodes on node_id = src group by 1),
+deg as (select graph_id, sum(degree) / 2.0 as n_edges, avg(degree) as avg_degree, max(degree)::double as max_degree, avg(clustering) as avg_clustering from wcl group by 1), bt as (select graph_id, max(betweenness) as max_betweenness, avg(betweenness) as mean_betweenness from betw group by 1)
+select graph_id, n_nodes, n_edges, case when n_nodes > 1 then 2 * n_edges / (n_nodes * (n_nodes - 1)) else 0 end as density, total_capacity, mean_capacity, std_capacity, max_capacity, avg_degree, max_degree, avg_clustering, max_betweenness, mean_betweenness,
+  case when n_nodes > 1 then coalesce(reach, 0) / (n_nodes * (n_nodes - 1)) else 0 end as global_efficiency, coalesce(diameter, 0) as diameter, case when n_edges > 0 then n_components::double else 0 end as n_components
+from caps join deg using (graph_id) join bt using (graph_id) join parts using (graph_id) left join far using (graph_id)""", " ".join(E.BASE_FEATURES))
 def g16(t: Tables):
-    eff = N.global_efficiency(t.fx_nodes, t.fx_edges)
-    parts = N.largest_share(t.fx_nodes, t.fx_edges).select("graph_id", "n_components", "lcc")
-    coefficient = N.clustering(t.fx_nodes, t.fx_edges).groupBy("graph_id").agg(F.avg("clustering").alias("clustering"))
-    out = eff.join(parts, "graph_id", "left").join(coefficient, "graph_id", "left").join(N.diameter(t.fx_edges), "graph_id", "left")
-    return out.select("graph_id", "n", "n_components", *(F.round(c, 6).alias(c) for c in ("efficiency", "lcc", "clustering", "diameter", "avg_path")))
+    return E.global_features(t.fx_nodes, t.fx_edges)
+
+
+@query("g16_fast_features", f"""with {_CAPS}, {_BOTH}, dg as (select n.graph_id, n.node_id, count(b.src) as k from fx_nodes n left join both_ways b on b.src = n.node_id group by 1, 2), deg as (select graph_id, sum(k) / 2.0 as m, avg(k) as a, max(k)::double as x from dg group by 1)
+select graph_id, n_nodes, m as n_edges, case when n_nodes > 1 then 2 * m / (n_nodes * (n_nodes - 1)) else 0 end as density, total_capacity, mean_capacity, std_capacity, max_capacity, a as avg_degree, x as max_degree,
+  0.0 as avg_clustering, 0.0 as max_betweenness, 0.0 as mean_betweenness, 0.0 as global_efficiency, 0.0 as diameter, 1.0 as n_components from caps join deg using (graph_id)""", " ".join(E.BASE_FEATURES))
+def g16_fast(t: Tables):
+    return E.global_features(t.fx_nodes, t.fx_edges, fast=True)
+
+
+@query("g16_extended_features")
+def g16_extended(t: Tables):
+    out = E.global_features(t.fx_nodes, t.fx_edges, extended=True)
+    return out.select("graph_id", *(F.round(c, 4).alias(c) for c in E.BASE_FEATURES + E.MORE_FEATURES))
+
+
+_GINI = "case when sum(greatest(c, 0)) > 0 then 2.0 * sum(i * greatest(c, 0)) / (count(*) * sum(greatest(c, 0))) - (count(*) + 1.0) / count(*) else 0 end"
 
 
-@query("g17_hypernode_features", "with e as (select graph_id, src, dst from fx_edges union all select graph_id, dst, src from fx_edges) select n.graph_id, n.node_id, count(b.node_id) as degree, avg(b.capacity) as neighbour_capacity from fx_nodes n left join e on e.src = n.node_id left join fx_nodes b on b.node_id = e.dst group by 1, 2", "neighbour_capacity")
+@query("g17_hypernode_features", f"""{_LONG}{_BETWEEN}, dg as (select src as node_id, count(*) as k from both_ways group by 1),
+tri as (select a.src as node_id, count(*) as t from both_ways a join both_ways b on a.src = b.src and a.dst < b.dst join both_ways c on c.src = a.dst and c.dst = b.dst group by 1),
+near as (select a.node_id, min({HAV(a='a.', b='b.')}) as km from fx_nodes a join fx_nodes b on a.graph_id = b.graph_id and a.node_id <> b.node_id group by 1),
+around as (select src as node_id, n.capacity as c, coalesce(k, 0) as k, row_number() over (partition by src order by n.capacity) as i from both_ways join fx_nodes n on n.node_id = dst left join dg on dg.node_id = dst),
+means as (select node_id, avg(c) as neighbor_mean_capacity, avg(k) as neighbor_mean_degree, {_GINI} as neighbor_capacity_gini from around group by 1),
+whole as (select graph_id, count(*) as graph_n_nodes, avg(c) as graph_mean_capacity, {_GINI} as graph_capacity_gini from (select graph_id, capacity as c, row_number() over (partition by graph_id order by capacity) as i from fx_nodes) q group by 1)
+select n.graph_id, n.node_id, n.capacity, coalesce(k, 0) as degree, betweenness, case when k > 1 then coalesce(t, 0) / (k * (k - 1) / 2.0) else 0 end as clustering, km as nearest_neighbor_km, neighbor_mean_capacity, neighbor_mean_degree,
+  coalesce(neighbor_capacity_gini, 0) as neighbor_capacity_gini, graph_n_nodes, graph_mean_capacity, graph_capacity_gini
+from fx_nodes n join betw using (node_id) left join dg using (node_id) left join tri using (node_id) left join near using (node_id) left join means using (node_id) join whole on whole.graph_id = n.graph_id""",
+"capacity betweenness clustering nearest_neighbor_km neighbor_mean_capacity neighbor_mean_degree neighbor_capacity_gini graph_mean_capacity graph_capacity_gini")
 def g17(t: Tables):
-    both = t.fx_edges.select("graph_id", F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node_id"), F.col("src").alias("other")))).alias("e")).select("graph_id", "e.*")
-    caps = t.fx_nodes.select("graph_id", F.col("node_id").alias("other"), "capacity")
-    near = both.join(caps, ["graph_id", "other"]).groupBy("graph_id", "node_id").agg(F.count("*").alias("degree"), F.avg("capacity").alias("neighbour_capacity"))
-    out = t.fx_nodes.select("graph_id", "node_id").join(near, ["graph_id", "node_id"], "left")
-    return out.withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return E.hypernode_features(t.fx_nodes, t.fx_edges)
 
 
 def windows_members(t: Tables):

@@ -136,15 +136,26 @@ def p19(t: Tables):
     return t.fx_windows.select("window_id", C.stratum_from_radius(F.col("radius_km") + 0.4).alias("stratum"))
 
 
-@query("p20_classify_location", f"""with s as (select *, case when station_id % 40 = 0 then case (station_id // 40) % 3 when 0 then 'urban' when 1 then 'suburban' else 'rural' end end as known from fx_stations where lat - floor(lat) < 0.9),
-near as (select a.station_id, arg_min(b.known, ({_HAV.format(a='a.', b='b.')}, b.station_id)) as beside from s a join s b on b.known is not null and {_HAV.format(a='a.', b='b.')} <= 50 where a.known is null and a.station_id % 5 <> 0 group by 1),
-dense as (select a.station_id, count(*) filter (where {_HAV.format(a='a.', b='b.')} <= 10) as near, count(*) as wide from s a join s b on a.state = b.state and {_HAV.format(a='a.', b='b.')} <= 30 group by 1)
-select s.station_id, coalesce(known, beside, case when d.near >= 15 then 'urban' when d.wide >= 15 then 'suburban' end, 'rural') as label from s join dense d using (station_id) left join near using (station_id) where station_id % 5 <> 0""")
+@query("p20_classify_location", f"""with s as (select *, case when station_id % 40 = 0 then case (station_id // 40) % 3 when 0 then 'urban' when 1 then 'suburban' else 'rural' end end as known from fx_stations),
+near as (select a.station_id, arg_min(b.known, ({_HAV.format(a='a.', b='b.')}, b.station_id)) as beside from s a join s b on b.known is not null and {_HAV.format(a='a.', b='b.')} <= 50 where a.known is null group by 1),
+dense as (select a.station_id, count(*) filter (where {_HAV.format(a='a.', b='b.')} <= 10) as near, count(*) as wide from s a join s b on {_HAV.format(a='a.', b='b.')} <= 30 group by 1)
+select s.station_id, coalesce(known, beside, case when d.near >= 15 then 'urban' when d.wide >= 15 then 'suburban' end, 'rural') as label, case when known is not null then 'own' when beside is not null then 'station' else 'density' end as method
+from s join dense d using (station_id) left join near using (station_id)""")
 def p20(t: Tables):
     k = F.col("station_id")
     kind = F.element_at(F.array(F.lit("urban"), F.lit("suburban"), F.lit("rural")), (F.floor(k / 40) % 3 + 1).cast("int"))
-    labelled = t.fx_stations.where("lat - floor(lat) < 0.9").withColumn("known", F.when(k % 40 == 0, kind))
-    return O.classify_location(labelled, "station_id", "known").where("station_id % 5 <> 0").select("station_id", "label")
+    labelled = t.fx_stations.withColumn("known", F.when(k % 40 == 0, kind))
+    return O.classify_location(labelled, labelled, "station_id", "known").select("station_id", "label", "method")
+
+
+@query("p20_nearest_window", f"""with c as (select fips, centroid_lat + cast(fips as int) % 13 / 10.0 as lat, centroid_lon - cast(fips as int) % 17 / 5.0 as lon from fx_county),
+d as (select c.fips, arg_min(w.window_stratum, ({_HAV.format(a='w.center_', b='c.')}, w.window_id)) as label from c join fx_windows w on true group by 1) select fips, label, 'window' as method from d""")
+def p20_window(t: Tables):
+    """Without any station the nearest window decides, however far it is."""
+    k = F.col("fips").cast("int")
+    places = t.fx_county.select("fips", (F.col("centroid_lat") + k % 13 / 10.0).alias("lat"), (F.col("centroid_lon") - k % 17 / 5.0).alias("lon"), F.lit(None).cast("string").alias("known"))
+    none = t.fx_stations.where("false").select(F.lit("").alias("fips"), "lat", "lon", F.lit("").alias("known"))
+    return O.classify_location(places, none, "fips", "known", t.fx_windows).select("fips", "label", "method")
 
 
 @query("p21_split_node_id", "select s_name, split_part(s_name, '#', 1) as head, cast(split_part(s_name, '#', 2) as bigint) as local_id from supplier")
@@ -244,17 +255,22 @@ def p32(t: Tables):
 
 
 @query("p33_interp_efficiency", """
-with samples as (select graph_id, cast(row_number() over (partition by graph_id order by capacity, node_id) * 3 as double) as x, lat as y from fx_nodes),
+with samples as (select graph_id, cast(row_number() over (partition by graph_id order by capacity, node_id) * 3 + 2 as double) as x, lat / 100 as y from fx_nodes where node_id % 31 <> 0),
 segments as (select graph_id, x as x0, y as y0, lead(x) over w as x1, lead(y) over w as y1 from samples window w as (partition by graph_id order by x)),
-asked as (select graph_id, node_id, cast(3 + node_id % 20 as double) as x from fx_nodes),
-hits as (select a.graph_id, a.node_id, a.x, s.*, row_number() over (partition by a.node_id order by s.x0 desc) as k
-  from asked a join segments s on a.graph_id = s.graph_id and s.x0 <= a.x)
-select node_id, case when x1 is null then y0 else y0 + (y1 - y0) * (x - x0) / (x1 - x0) end as y from hits where k = 1""", "y")
+ends as (select graph_id, min(x) as least, max(x) as most, max(y) as best, min(y) as worst from samples group by 1),
+base as (select graph_id, count(*) as n, 0.5 as baseline from fx_nodes group by 1),
+asked as (select graph_id, node_id, cast(node_id % 140 as double) as x from fx_nodes),
+hits as (select a.node_id, s.*, row_number() over (partition by a.node_id order by s.x0 desc) as k from asked a join segments s on a.graph_id = s.graph_id and s.x0 <= a.x)
+select a.node_id, case when x = 0 or least is null then baseline when x < least then baseline - (baseline - best) * x / least when x > most then greatest(0, worst * (1 - (x - most) / n))
+  when x1 is null then y0 else y0 + (y1 - y0) * (x - x0) / (x1 - x0) end as y
+from asked a join base using (graph_id) left join ends using (graph_id) left join hits h on h.node_id = a.node_id and k = 1""", "y")
 def p33(t: Tables):
+    """Removals from none to far above the last sample."""
     rank = F.row_number().over(O.by("graph_id", "capacity", "node_id"))
-    samples = t.fx_nodes.select("graph_id", (rank * 3).cast("double").alias("x"), F.col("lat").alias("y"))
-    asked = t.fx_nodes.select("graph_id", "node_id", (3 + F.col("node_id") % 20).cast("double").alias("x"))
-    return O.interpolate(asked, samples, "graph_id").select("node_id", "y")
+    samples = t.fx_nodes.where("node_id % 31 <> 0").select("graph_id", (rank * 3 + 2).cast("double").alias("x"), (F.col("lat") / 100).alias("y"))
+    asked = t.fx_nodes.select("graph_id", "node_id", (F.col("node_id") % 140).cast("double").alias("x"))
+    base = t.fx_nodes.groupBy("graph_id").agg(F.count("*").alias("n"), F.lit(0.5).alias("baseline"))
+    return O.efficiency_at(asked, samples, base, "graph_id").select("node_id", "y")
 
 
 @query("p34_degree_proxy_loss", "select event_id, least(1.0, pow((event_id % 50) / 49.0, 0.8)) * duration_hours as loss from fx_epicenters", "loss")

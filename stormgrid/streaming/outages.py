@@ -22,15 +22,33 @@ def merge_outages_stream(stream: DataFrame, gap_min: float, lateness: str = "1 h
     return session_merge(stream.withWatermark("start_time", lateness), gap_min)
 
 
-def hourly_active(df: DataFrame) -> DataFrame:
-    """Events and customers out in each tumbling hour that an outage touches (batch or stream)."""
+def active_hours(df: DataFrame) -> DataFrame:
+    """A row for each hour that an outage touches; an outage without a start or duration touches none."""
     first = F.date_trunc("hour", "start_time")
     last = F.date_trunc("hour", F.col("start_time") + F.make_interval(secs=(F.col("duration_min") * 60.0).cast("decimal(18,6)")))
-    hours = df.withColumn("hour", F.explode(F.sequence(first, last, F.expr("interval 1 hour"))))
+    return df.withColumn("hour", F.explode(F.sequence(first, last, F.expr("interval 1 hour"))))
+
+
+def hourly_active(df: DataFrame) -> DataFrame:
+    """Events and customers out in each tumbling hour that an outage touches (batch, or a stream of hours with a watermark)."""
+    hours = df if "hour" in df.columns else active_hours(df)
     out = hours.groupBy(F.window("hour", "1 hour").alias("w"), "state").agg(F.count("*").alias("n"), F.sum("mean_customers").alias("customers"))
     return out.select(F.col("w.start").alias("hour"), "state", "n", "customers")
 
 
+def hourly_active_stream(stream: DataFrame, lateness_h: int = 1, longest_h: int = 720) -> DataFrame:
+    """:func:`hourly_active` of a stream of outages, each hour once no row can change it any more.
+
+    The watermark is on the hours that outages touch, behind the newest by ``lateness_h`` and the
+    longest outage: an outage that arrives at most ``lateness_h`` after a later one never misses its
+    hours. Outages over ``longest_h`` hours are left out. The state holds the open hours, at most
+    ``lateness_h + 2 * longest_h``, times the states.
+    """
+    fine = (F.col("duration_min") >= 0) & (F.col("duration_min") <= 60.0 * longest_h)
+    hours = active_hours(stream.where(fine)).withWatermark("hour", f"{lateness_h + longest_h} hours")
+    return hourly_active(hours)
+
+
 def run_to_table(stream: DataFrame, name: str, checkpoint: str) -> None:
     """Drain what there is into an in-memory table, for tests and small jobs."""
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

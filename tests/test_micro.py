@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from stormgrid.functions import columns as C
+from stormgrid.operators import centrality as E
 from stormgrid.operators import draws as D
 from stormgrid.operators import networks as N
 from stormgrid.operators import outages as O
+from stormgrid.operators import removal as R
 from stormgrid.operators.filters import add_event_times
 from stormgrid.streaming import outages as T
 
@@ -32,14 +34,14 @@ def graphs(spark):
 def test_efficiency_and_betweenness(graphs):
     got = {r.graph_id: r.efficiency for r in N.global_efficiency(*graphs).collect()}
     assert got == pytest.approx({g: e for g, (_, _, e, _) in GRAPHS.items()})
-    between = {(r.graph_id, r.node_id): r.betweenness for r in N.betweenness(*graphs).collect()}
+    between = {(r.graph_id, r.node_id): r.betweenness for r in E.betweenness(*graphs).collect()}
     for g, (n, _, _, known) in GRAPHS.items():
         assert {k: between[g, k] for k in range(1, n + 1)} == pytest.approx({k: known.get(k, 0.0) for k in range(1, n + 1)})
 
 
 def test_removal(spark, graphs):
     removed = spark.createDataFrame([("path", 1, 2), ("triangle", 1, 1), ("star", 1, 1), ("star", 2, 1), ("pairs", 1, 1)], "graph_id string, case_id int, node_id int")
-    got = {(r.graph_id, r.case_id): (r.relative, r.lcc) for r in N.removal_loss(*graphs, removed).collect()}
+    got = {(r.graph_id, r.case_id): (r.relative, r.lcc) for r in R.removal_loss(*graphs, removed).collect()}
     assert got["path", 1] == pytest.approx((1.0, 1 / 3))
     assert got["triangle", 1] == pytest.approx((0.0, 2 / 3))
     assert got["star", 1] == got["star", 2] == pytest.approx((1.0, 1 / 4))
@@ -103,7 +105,7 @@ def test_required_columns_and_vintage(spark):
 def test_removal_keeps_cases_that_remove_nothing(spark, graphs):
     removed = spark.createDataFrame([("path", 1, 2)], "graph_id string, case_id int, node_id int")
     cases = spark.createDataFrame([("path", 1), ("path", 2), ("star", 2)], "graph_id string, case_id int")
-    got = {(r.graph_id, r.case_id): (r.loss, r.relative, r.lcc) for r in N.removal_loss(*graphs, removed, cases).collect()}
+    got = {(r.graph_id, r.case_id): (r.loss, r.relative, r.lcc) for r in R.removal_loss(*graphs, removed, cases).collect()}
     assert got.keys() == {("path", 1), ("path", 2), ("star", 2)}
     assert got["path", 1] == pytest.approx((5 / 6, 1.0, 1 / 3))
     assert got["path", 2] == got["star", 2] == (0.0, 0.0, 1.0)
