@@ -173,6 +173,24 @@ def stratum_from_radius(r: Column) -> Column:
     return out
 
 
+# State names and the codes that they become; other names become their first two letters.
+STATE_NAMES = """alabama AL, alaska AK, arizona AZ, arkansas AR, california CA, colorado CO, connecticut CT, delaware DE, florida FL, georgia GA,
+iowa IA, maine ME, maryland MD, massachusetts MA, michigan MI, minnesota MN, mississippi MS, missouri MO, montana MT, nebraska NE, nevada NV,
+new hampshire NH, new jersey NJ, new mexico NM, new york NY, north carolina NC, north dakota ND, ohio OH, oklahoma OK, oregon OR, pennsylvania PA,
+rhode island RI, south carolina SC, south dakota SD, tennessee TN, texas TX, utah UT, vermont VT, virginia VA, washington WA, west virginia WV,
+wisconsin WI, wyoming WY, district of columbia DC"""
+
+
+def state_code(name: Column) -> Column:
+    """The two-letter code of a state's name or code; UNK for null, blank and UNK."""
+    bare = F.trim(name)
+    pairs = [x.rsplit(" ", 1) for x in STATE_NAMES.replace("\n", " ").split(", ")]
+    codes = F.create_map(*(F.lit(v) for pair in pairs for v in pair))
+    key = F.replace(F.lower(bare), F.lit("."), F.lit(""))
+    known = F.coalesce(F.try_element_at(codes, key), F.substring(F.upper(bare), 1, 2))
+    return F.when(bare.isNull() | (bare == "") | (bare == "UNK"), "UNK").when(F.length(bare) == 2, F.upper(bare)).otherwise(known)
+
+
 def region_of(code: Column) -> Column:
     out = F.lit("other")
     for name, states in REGIONS.items():

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormgrid.functions import columns as C
 from stormgrid.functions.columns import hash_u
 from stormgrid.operators.filters import by
 from stormgrid.operators.losses import spearman
@@ -71,13 +72,41 @@ def draw_posterior(draws: DataFrame, sims: DataFrame, n_draws: int, seed: str) -
     return sims.withColumn("draw_id", pick).join(draws, "draw_id")
 
 
-def epicenters(events: DataFrame, tracts: DataFrame, seed: str, keys: list[str]) -> DataFrame:
-    """A tract of the event's county by population, and a uniform point in the tract's box."""
-    picked = weighted_pick(events, tracts, "fips", "population", "tract", f"{seed}-tract", keys)
-    out = picked.join(tracts.select("tract", "south", "west", "north", "east"), "tract")
-    lat = F.col("south") + hash_u(F.lit(f"{seed}-lat"), *keys_of(keys)) * (F.col("north") - F.col("south"))
-    lon = F.col("west") + hash_u(F.lit(f"{seed}-lon"), *keys_of(keys)) * (F.col("east") - F.col("west"))
-    return out.withColumn("lat", lat).withColumn("lon", lon).drop("south", "west", "north", "east")
+def epicenters(events: DataFrame, tracts: DataFrame, counties: DataFrame, seed: str, keys: list[str]) -> DataFrame:
+    """A tract of the event's county by population, and a uniform point in the tract.
+
+    tracts: fips, tract, population, ring. counties: fips, ring. Events of counties without tracts get a
+    point in the county (``placed`` is county), those without either a null place (none): every event
+    has a row. A point is the first of ``POINTS`` draws of the ring's box that lies in the ring, else
+    in the middle of the widest stretch of the ring on the box's middle latitude.
+    """
+    picked = weighted_pick(events, tracts.select("fips", "tract", "population"), "fips", "population", "tract", f"{seed}-tract", keys)
+    inside = picked.join(tracts.select("tract", "ring"), "tract").withColumn("placed", F.lit("tract"))
+    rest = events.join(picked.select(*keys), keys, "left_anti").join(counties.select("fips", "ring"), "fips", "left")
+    rest = rest.withColumns({"tract": F.lit(None).cast("string"), "placed": F.when(F.col("ring").isNull(), "none").otherwise("county")})
+    every = inside.unionByName(rest, allowMissingColumns=True).withColumn("_key", F.concat_ws("|", *keys_of(keys)))
+    out = every.withColumn("_spot", point_in_ring("ring", seed, "_key"))
+    return out.withColumn("lat", F.col("_spot.lat")).withColumn("lon", F.col("_spot.lon")).drop("ring", "_spot", "_key", "population")
+
+
+#: Draws for a point in a ring before its middle is taken.
+POINTS = 100
+
+
+def point_in_ring(ring: str, seed: str, key: str) -> Column:
+    """A uniform point (lat, lon) of a ring by hash numbers of the key column; null for a null ring."""
+    u = "(cast(conv(substring(md5(concat_ws('|', '{seed}', {key}, k)), 1, 8), 16, 10) as bigint) / 4294967296D)"
+    box = {c: f"{f}(transform({ring}, p -> p.{axis}))" for c, f, axis in (("south", "array_min", "lat"), ("north", "array_max", "lat"), ("west", "array_min", "lon"), ("east", "array_max", "lon"))}
+    named = ", ".join(f"'{c}', {e}" for c, e in box.items())
+    lat, lon = (u.format(seed=f"{seed}-{c}", key=key) for c in ("lat", "lon"))
+    drawn = f"named_struct('lat', b.south + {lat} * (b.north - b.south), 'lon', b.west + {lon} * (b.east - b.west))"
+    first = f"""aggregate(sequence(1, {POINTS}), cast(null as struct<lat: double, lon: double>), (acc, k) -> case when acc is not null then acc
+        else transform(array({drawn}), c -> case when {C._in_ring("c.lat", "c.lon", ring)} then c end)[0] end)"""
+    mid = "((b.south + b.north) / 2D)"
+    cuts = f"array_sort(array_compact(zip_with({ring}, {C._sides(ring)}, (p, q) -> case when (p.lat > {mid}) <> (q.lat > {mid}) then (q.lon - p.lon) * ({mid} - p.lat) / (q.lat - p.lat) + p.lon end)))"
+    spans = f"transform({cuts}, (x, i) -> case when i % 2 = 1 then named_struct('width', x - get(cuts, i - 1), 'at', (x + get(cuts, i - 1)) / 2D) end)"
+    middle = f"transform(array({cuts}), cuts -> named_struct('lat', {mid}, 'lon', coalesce(array_max(array_compact({spans.replace(cuts, 'cuts')})).at, {ring}[0].lon)))[0]"
+    return F.expr(f"case when {ring} is not null then transform(array(named_struct({named})), b -> coalesce({first}, {middle}))[0] end")
 
 
 def smooth_draw(asks: DataFrame, history: DataFrame, group: str, value: str, seed: str, keys: list[str], bandwidth: float = 0.2) -> DataFrame:

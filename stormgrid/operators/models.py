@@ -21,6 +21,52 @@ def shrink_rates(counts: DataFrame, by: str) -> DataFrame:
     return out.withColumn("shrunk", (a + F.col("n")) / (b + F.col("t")))
 
 
+def shrink_rates_nested(counts: DataFrame, by: str, z: float = 1.959964) -> DataFrame:
+    """Poisson rates in three levels: states towards the nation, their counties towards the state, with an interval.
+
+    counts has ``by``, n and t (exposure). A state's rate is its posterior mean under a Gamma prior by
+    the moments of all states' rates; a county's prior has that mean and the state's own variance
+    beyond Poisson's (the mean of all states' where a state has one county). Adds raw, group_rate,
+    national_rate, shrunk, and low and high at ``z`` deviations by Wilson and Hilferty's cube root.
+    """
+    rate = F.col("n") / F.col("t")
+    groups = counts.groupBy(by).agg(F.sum("n").alias("gn"), F.sum("t").alias("gt"), F.var_samp(rate).alias("gv"), F.avg("t").alias("mean_t"))
+    groups = groups.withColumn("gr", F.col("gn") / F.col("gt"))
+    own = F.greatest(F.col("gv") - F.col("gr") / F.col("mean_t"), F.lit(1e-9))
+    groups = groups.withColumn("gv", F.when(F.col("gv").isNotNull(), own))
+    nation = groups.agg(
+        F.avg("gr").alias("national_rate"), F.greatest(F.var_samp("gr") - F.avg(F.col("gr") / F.col("gt")), F.lit(1e-9)).alias("nv"),
+        F.coalesce(F.avg("gv"), F.lit(1e-9)).alias("usual"),
+    )
+    groups = groups.crossJoin(F.broadcast(nation))  # one row
+    a0, b0 = F.pow("national_rate", 2) / F.coalesce("nv", F.lit(1e-9)), F.col("national_rate") / F.coalesce("nv", F.lit(1e-9))
+    groups = groups.select(by, "national_rate", ((a0 + F.col("gn")) / (b0 + F.col("gt"))).alias("group_rate"), F.coalesce("gv", "usual").alias("v"))
+    out = counts.join(groups, by).withColumn("raw", rate)
+    shape = F.pow("group_rate", 2) / F.col("v") + F.col("n")
+    per = F.col("group_rate") / F.col("v") + F.col("t")
+    root = lambda side: F.pow(F.greatest(F.lit(0.0), 1 - 1 / (9 * shape) + side * z / (3 * F.sqrt(shape))), 3)
+    return out.withColumns({"shrunk": shape / per, "low": shape / per * root(-1), "high": shape / per * root(1)}).drop("v")
+
+
+def severity_glm(counts: DataFrame, covariates: Sequence[str], ridge: float = 0.0) -> tuple[DataFrame, dict[str, float]]:
+    """Share k / n of severe events by a binomial model of the covariates (logit link), weighted by n.
+
+    Covariates are standardised over the rows with events; nulls count as their mean. Returns the
+    rows with ``predicted`` (also for rows without events) and the coefficients, ``intercept`` among them.
+    """
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    made = [f"_{c}" for c in covariates]
+    stages = [Imputer(inputCols=list(covariates), outputCols=made), VectorAssembler(inputCols=made, outputCol="_raw"), StandardScaler(withMean=True, inputCol="_raw", outputCol="_x")]
+    typed = counts.withColumns({c: F.col(c).cast("double") for c in covariates})
+    fitted = typed.where("n > 0").withColumns({"_y": F.col("k") / F.col("n"), "_n": F.col("n").cast("double")})
+    glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y", weightCol="_n", predictionCol="predicted", maxIter=50, tol=1e-10, regParam=ridge)
+    model = Pipeline(stages=[*stages, glm]).fit(fitted)
+    solved = model.stages[-1]
+    coefficients = {"intercept": float(solved.intercept), **dict(zip(covariates, map(float, solved.coefficients), strict=True))}
+    return model.transform(typed).drop(*made, "_raw", "_x"), coefficients
+
+
 def shrink_severity(counts: DataFrame, by: str) -> DataFrame:
     """Empirical Bayes for proportions: Beta prior by moments of each group; counts has k and n."""
     rate = F.col("k") / F.col("n")

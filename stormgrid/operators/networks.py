@@ -281,11 +281,15 @@ def expand_sites(sites: DataFrame, candidates: DataFrame, pct: float, spacing_km
 
 
 def tract_classes(tracts: DataFrame, metro: DataFrame, micro: DataFrame, cut: float = 0.35) -> DataFrame:
-    """urban, suburban or rural: boxes that meet a metro area, by area; then those that meet a micro area."""
-    from stormgrid.operators.joins import boxes_meet
+    """urban, suburban or rural: tracts that meet a metro area, by area; then those that meet a micro area.
 
-    in_metro = boxes_meet(tracts.select("id", "south", "west", "north", "east"), metro).select("id").distinct().withColumn("metro", F.lit(True))
-    in_micro = boxes_meet(tracts.select("id", "south", "west", "north", "east"), micro).select("id").distinct().withColumn("micro", F.lit(True))
+    All have id and ring; tracts have area_km2. Polygons meet if they share a point, not only their boxes.
+    """
+    from stormgrid.operators.joins import polygons_meet
+
+    own = tracts.select("id", "ring")
+    in_metro = polygons_meet(own, metro).select("id").distinct().withColumn("metro", F.lit(True))
+    in_micro = polygons_meet(own, micro).select("id").distinct().withColumn("micro", F.lit(True))
     joined = tracts.join(in_metro, "id", "left").join(in_micro, "id", "left")
     edge = joined.where("metro").agg(F.percentile("area_km2", F.lit(cut)).alias("edge"))
     label = F.when(F.col("metro") & (F.col("area_km2") <= F.col("edge")), "urban").when(F.col("metro") | F.col("micro"), "suburban").otherwise("rural")

@@ -43,17 +43,39 @@ def l09(t: Tables):
     return out.groupBy("sim_id", "draw_id").agg(F.count("*").alias("n"))
 
 
+def triangle(west, south, side: float):
+    """The half of a square below its diagonal."""
+    corners = ((0.0, 0.0), (side, 0.0), (side, side))
+    return F.array(*(F.struct((west + x).alias("lon"), (south + y).alias("lat")) for x, y in corners))
+
+
 def tracts(t: Tables):
-    k = F.explode(F.sequence(F.lit(1), F.lit(3)))
-    out = t.fx_county.withColumn("k", k)
+    """Three tracts of most counties; every fifth has none."""
+    out = t.fx_county.where("cast(fips as int) % 5 <> 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
     south, west = F.col("centroid_lat") + F.col("k") * 0.1, F.col("centroid_lon") + F.col("k") * 0.1
-    return out.select("fips", F.concat("fips", F.col("k").cast("string")).alias("tract"), (F.col("population") * F.col("k")).alias("population"), south.alias("south"), west.alias("west"), (south + 0.1).alias("north"), (west + 0.1).alias("east"))
+    return out.select("fips", F.concat("fips", F.col("k").cast("string")).alias("tract"), (F.col("population") * F.col("k")).alias("population"), triangle(west, south, 0.1).alias("ring"))
+
+
+def county_rings(t: Tables):
+    return t.fx_county.where("cast(fips as int) % 25 <> 0").select("fips", triangle(F.col("centroid_lon"), F.col("centroid_lat"), 1.0).alias("ring"))
+
+
+def _picked(asks: str, keys: str, seed: str) -> str:
+    """Tracts by population, triangles as corner and side, and the first of a hundred draws below the diagonal."""
+    u = lambda part, *more: _U.format(", ".join([f"'{seed}-{part}'", keys, *more]))
+    return f"""tr as (select fips, fips || k as tract, population * k as w, centroid_lat + k * 0.1 as south, centroid_lon + k * 0.1 as west, 0.1 as side from fx_county, (select unnest([1, 2, 3]) as k) q where cast(fips as int) % 5 <> 0),
+cum as (select *, sum(w) over (partition by fips order by tract) / sum(w) over (partition by fips) as hi, sum(w) over (partition by fips order by tract) / sum(w) over (partition by fips) - w / sum(w) over (partition by fips) as lo from tr),
+pick as materialized (select a.*, c.tract, coalesce(c.south, n.centroid_lat) as south, coalesce(c.west, n.centroid_lon) as west, coalesce(c.side, 1.0) as side, case when c.tract is not null then 'tract' when cast(a.fips as int) % 25 <> 0 then 'county' else 'none' end as placed
+  from {asks} a join fx_county n on n.fips = a.fips left join cum c on c.fips = a.fips and {u("tract")} >= lo and ({u("tract")} < hi or hi > 1 - 1e-9)),
+spots as (select {keys}, k, {u("lat", "k")} as y, {u("lon", "k")} as x from pick, range(1, 101) r(k)),
+firsts as (select {keys}, min(k) as k from spots where y < x group by all),
+epi as materialized (select pick.*, case when placed <> 'none' then south + y * side end as lat, case when placed <> 'none' then west + x * side end as lon from pick join firsts using ({keys}) join spots using ({keys}, k))"""
 
 
-@query("l10_draw_epicenter")
+@query("l10_draw_epicenter", f"with {_picked('(select event_id, fips from fx_outages)', 'event_id', 'epi')} select event_id, tract, placed, lat, lon from epi", "lat lon")
 def l10(t: Tables):
-    out = D.epicenters(t.fx_outages.select("event_id", "fips"), tracts(t), "epi", ["event_id"])
-    return out.select("event_id", "tract", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    out = D.epicenters(t.fx_outages.select("event_id", "fips"), tracts(t), county_rings(t), "epi", ["event_id"])
+    return out.select("event_id", "tract", "placed", "lat", "lon")
 
 
 @query("l12_smooth_draw")
@@ -83,7 +105,7 @@ def j21(t: Tables):
     scaled = state.join(years, "state").select(F.col("year").alias("sim_id"), "state", (F.col("rate") * F.col("theta")).alias("rate"))
     n = D.poisson_counts(scaled, ["sim_id", "state"], "rate", "year")
     events = D.bootstrap_events(n, rates(t), history(t), "year")
-    placed = D.epicenters(events, tracts(t), "year", ["sim_id", "state", "k"])
+    placed = D.epicenters(events, tracts(t), county_rings(t), "year", ["sim_id", "state", "k"])
     county = t.fx_county.select("fips", "customers", "area_km2")
     radius = C.impact_radius(F.col("hours") * 20, F.lit(1.0), F.col("customers") / F.col("area_km2"), F.col("customers"), 5, 150)
     return placed.join(county, "fips").select("sim_id", "state", "k", "fips", "event_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round(radius, 6).alias("radius_km"))

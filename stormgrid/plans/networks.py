@@ -9,6 +9,7 @@ from stormgrid.operators import centrality as E
 from stormgrid.operators import networks as N
 from stormgrid.operators import removal as R
 from stormgrid.operators import spatial as S
+from stormgrid.operators import windows as W
 from stormgrid.operators.filters import by
 from stormgrid.operators.ranking import sample_n
 from stormgrid.plans.registry import Tables, query
@@ -295,11 +296,62 @@ def g18(t: Tables):
     return windows_members(t).groupBy("window_id").agg(F.count("*").alias("n")).where("n >= 15")
 
 
-@query("g19_dedupe_windows")
+TIERS = [("urban", 10.0, 12), ("suburban", 30.0, 25), ("rural", 80.0, 20)]
+_U = "cast('0x' || substr(md5(concat_ws('|', {})), 1, 8) as bigint) / 4294967296.0"
+_NODES = "case station_id % 3 when 0 then 'urban' when 1 then 'suburban' else 'rural' end as stratum"
+# The greedy pass seed by seed: the accepted ones are a list that grows.
+_SEEDS = f"""with recursive tiers(stratum, radius_km, target) as (values {', '.join(map(str, TIERS))}), nodes as materialized (select station_id as node_id, lat, lon, {_NODES} from fx_stations),
+pool as materialized (select a.node_id, a.stratum, a.lat, a.lon, radius_km, target, count(*) as n_raw from nodes a join tiers using (stratum) join nodes b on abs(a.lat - b.lat) < 1 and {HAV(a='a.', b='b.')} <= radius_km group by all having count(*) >= 15),
+seq as materialized (select *, row_number() over (partition by stratum order by pass, u, node_id) as k from (select *, 1 as pass, 0.5 as share, {_U.format("'spaced-0', node_id")} as u from pool union all select *, 2, 0.35, {_U.format("'spaced-1', node_id")} from pool) q),
+g(stratum, k, acc) as (select stratum, 0::bigint, []::struct(node_id bigint, lat double, lon double, n_raw bigint, pass int)[] from tiers
+  union all select g.stratum, g.k + 1, case when len(acc) < target and len(list_filter(acc, lambda o: {HAV(a='o.', b='seq.')} <= radius_km * share)) = 0 then list_append(acc, {{'node_id': node_id, 'lat': lat, 'lon': lon, 'n_raw': n_raw, 'pass': pass}}) else acc end from g join seq on seq.stratum = g.stratum and seq.k = g.k + 1),
+best as materialized (select stratum, arg_max(acc, k) as acc from g group by 1), chosen as materialized (select stratum, unnest(acc) as s, generate_subscripts(acc, 1) as place from best)"""
+
+
+def tiers_of(t: Tables):
+    return t.spark.createDataFrame(TIERS, "stratum string, radius_km double, target int")
+
+
+def strata_nodes(t: Tables):
+    stratum = F.element_at(F.array(F.lit("urban"), F.lit("suburban"), F.lit("rural")), (F.col("station_id") % 3 + 1).cast("int"))
+    return t.fx_stations.select(F.col("station_id").alias("node_id"), "lat", "lon", stratum.alias("stratum"))
+
+
+@query("g18_spaced_seeds", f"{_SEEDS} select stratum, s.node_id as node_id, s.n_raw as n_raw, s.pass as pass, place::int as place from chosen")
+def g18_seeds(t: Tables):
+    return W.spaced_seeds(strata_nodes(t), tiers_of(t), "spaced").select("stratum", "node_id", "n_raw", "pass", "place")
+
+
+@query("g18_random_windows", f"""{_SEEDS}, named as (select format('w_{{}}_{{:05d}}', stratum, place - 1) as window_id, stratum as window_stratum, radius_km, s.node_id as seed_node_id, s.lat as lat, s.lon as lon, s.n_raw as n_raw, s.pass as pass from chosen join tiers using (stratum)),
+inside as (select w.*, n.stratum, row_number() over (partition by window_id order by {_U.format("'spaced-member', window_id, n.node_id")}, n.node_id) as k from named w join nodes n on abs(w.lat - n.lat) < 1 and {HAV(a='w.', b='n.')} <= radius_km)
+select window_id, window_stratum, radius_km, seed_node_id, n_raw, pass, count(*) as n_nodes, avg((stratum = 'urban')::int) as frac_urban, avg((stratum = 'suburban')::int) as frac_suburban, avg((stratum = 'rural')::int) as frac_rural from inside where k <= 40 group by all""", "frac_urban frac_suburban frac_rural")
+def g18_windows(t: Tables):
+    windows, _ = W.random_windows(strata_nodes(t), tiers_of(t), "spaced", most=40)
+    return windows.select("window_id", "window_stratum", "radius_km", "seed_node_id", "n_raw", "pass", "n_nodes", "frac_urban", "frac_suburban", "frac_rural")
+
+
+# Window by window in their order, with the list of the kept.
+_GREEDY = f"""with recursive seq as materialized (select *, row_number() over (order by ord) as k from fx_windows),
+near as materialized (select a.k as a, b.k as b, a.window_stratum = b.window_stratum as own from seq a join seq b on a.k < b.k and abs(a.center_lat - b.center_lat) < 2 join lateral (select a.radius_km as r1, b.radius_km as r2, {HAV(a='a.center_', b='b.center_')} as d) q on true where d < r1 + r2 and {_OVERLAP} > 0.25),
+ties as materialized (select b, list(a) filter (own or not {{own}}) as earlier from near group by 1),
+g(k, kept) as (select 0::bigint, []::bigint[] union all select g.k + 1, case when coalesce(len(list_intersect(kept, earlier)), 0) = 0 then list_append(kept, g.k + 1) else kept end from g join seq on seq.k = g.k + 1 left join ties on b = g.k + 1),
+best as (select arg_max(kept, k) as kept from g)"""
+
+
+def window_conflicts(t: Tables):
+    return S.overlapping_pairs(t.fx_windows).where("overlap > 0.25").select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"), "stratum_a", "stratum_b")
+
+
+@query("g19_dedupe_windows", f"{_GREEDY.format(own='false')} select window_id from seq, best where list_contains(kept, k)")
 def g19(t: Tables):
-    pairs = S.overlapping_pairs(t.fx_windows).where("overlap > 0.25").select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"))
-    kept = N.independent_set(t.fx_windows, pairs)
-    return t.fx_windows.join(kept, "ord").select("window_id", "kept")
+    return W.quota_dedupe(t.fx_windows, window_conflicts(t)).select("window_id")
+
+
+@query("g19_quota_dedupe", f"{_GREEDY.format(own='true')} select window_id from (select *, row_number() over (partition by window_stratum order by k) as r from seq, best where list_contains(kept, k)) q where r <= 10")
+def g19_quota(t: Tables):
+    own = window_conflicts(t).where("stratum_a = stratum_b")
+    quotas = t.spark.createDataFrame([(s, 10) for s, _, _ in TIERS], "window_stratum string, quota int")
+    return W.quota_dedupe(t.fx_windows, own, quotas).select("window_id")
 
 
 @query("g20_rebuild_members", f"with m as (select w.window_id, s.station_id, row_number() over (partition by w.window_id order by cast('0x' || substr(md5(concat_ws('|', 'g20', s.station_id)), 1, 8) as bigint), s.station_id) as k from fx_windows w join fx_stations s on abs(s.lat - w.center_lat) < 1 and {HAV(a='w.center_', b='s.')} <= w.radius_km) select window_id, station_id from m where k <= 10")
@@ -370,18 +422,24 @@ def g23(t: Tables):
     return N.timeline_loss(t.fx_nodes, t.fx_edges, out_nodes).withColumn("loss", F.round("loss", 6))
 
 
+# Tracts are the lower halves of squares, areas upper halves; halves meet iff their boxes do and the corners lie on
+# the right sides of the diagonals.
 @query("g28_tract_classes", """with t as (select o_orderkey as id, 30 + o_orderkey % 130 / 10.0 as south, -120 + o_custkey % 380 / 10.0 as west, 0.05 + o_orderkey % 7 / 20.0 as side from orders),
-b as (select n_nationkey, 30 + n_nationkey % 10 * 1.5 as south, -120 + n_nationkey % 10 * 4.0 as west from nation),
-m as (select t.id, bool_or(n_nationkey < 5) as metro, bool_or(n_nationkey >= 5) as micro from t join b on t.south <= b.south + 0.6 and t.south + side >= b.south and t.west <= b.west + 0.9 and t.west + side >= b.west group by 1),
+b as (select n_nationkey, 30.037 + n_nationkey % 10 * 1.5 as south, -119.981 + n_nationkey % 10 * 4.0 as west, 0.9 as wide from nation),
+m as (select t.id, bool_or(n_nationkey < 5) as metro, bool_or(n_nationkey >= 5) as micro from t join b on t.south <= b.south + wide and t.south + side >= b.south and t.west <= b.west + wide and t.west + side >= b.west
+  and greatest(t.south, b.south) + greatest(t.west, b.west) <= t.south + t.west + side and least(t.south + side, b.south + wide) + least(t.west + side, b.west + wide) >= b.south + b.west + wide and b.south + b.west + wide <= t.south + t.west + side group by 1),
 c as (select quantile_cont(side * side, 0.35) as edge from t join m using (id) where metro)
 select t.id, case when coalesce(metro, false) and side * side <= edge then 'urban' when coalesce(metro, false) or coalesce(micro, false) then 'suburban' else 'rural' end as class from t left join m using (id), c""")
 def g28(t: Tables):
+    def ring(south, west, side, lower: bool):
+        corners = [(0, 0), (0, side), (side, 0)] if lower else [(side, side), (0, side), (side, 0)]
+        return F.array(*(F.struct((west + x).alias("lon"), (south + y).alias("lat")) for y, x in corners)).alias("ring")
+
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     side = (k % 7) / 20.0 + 0.05
-    south, west = (k % 130) / 10.0 + 30, (c % 380) / 10.0 - 120
-    tracts = t.orders.select(k.alias("id"), south.alias("south"), west.alias("west"), (south + side).alias("north"), (west + side).alias("east"), (side * side).alias("area_km2"))
+    tracts = t.orders.select(k.alias("id"), ring((k % 130) / 10.0 + 30, (c % 380) / 10.0 - 120, side, True), (side * side).alias("area_km2"))
     n = (F.col("n_nationkey") % 10).cast("double")
-    areas = t.nation.select(F.col("n_nationkey").alias("id"), (n * 1.5 + 30).alias("south"), (n * 4.0 - 120).alias("west"), (n * 1.5 + 30.6).alias("north"), (n * 4.0 - 119.1).alias("east"))
+    areas = t.nation.select(F.col("n_nationkey").alias("id"), ring(n * 1.5 + 30.037, n * 4.0 - 119.981, F.lit(0.9), False))
     return N.tract_classes(tracts, areas.where("id < 5"), areas.where("id >= 5")).select("id", "class")
 
 

@@ -173,6 +173,29 @@ def m07(t: Tables):
     return shrink_rates(c, "state").select("fips", "raw", "shrunk")
 
 
+@query("m07_nested_rates", """with c as (select state, fips, count(*) as n, 6.0::double as t from fx_outages group by 1, 2),
+g as (select state, sum(n) as gn, sum(t) as gt, sum(n) / sum(t) as gr, case when count(*) > 1 then greatest(var_samp(n / t) - sum(n) / sum(t) / avg(t), 1e-9) end as gv from c group by 1),
+nat as (select avg(gr) as national_rate, greatest(var_samp(gr) - avg(gr / gt), 1e-9) as nv, coalesce(avg(gv), 1e-9) as usual from g),
+s as (select state, national_rate, (national_rate * national_rate / nv + gn) / (national_rate / nv + gt) as group_rate, coalesce(gv, usual) as v from g, nat),
+p as (select fips, n / t as raw, group_rate, national_rate, group_rate * group_rate / v + n as a, group_rate / v + t as b from c join s using (state))
+select fips, raw, group_rate, national_rate, a / b as shrunk, a / b * pow(greatest(0, 1 - 1 / (9 * a) - 1.959964 / (3 * sqrt(a))), 3) as low, a / b * pow(greatest(0, 1 - 1 / (9 * a) + 1.959964 / (3 * sqrt(a))), 3) as high from p""", "raw group_rate national_rate shrunk low high")
+def m07_nested(t: Tables):
+    from stormgrid.operators.models import shrink_rates_nested
+
+    c = t.fx_outages.groupBy("state", "fips").agg(F.count("*").alias("n"), F.lit(6.0).alias("t"))
+    return shrink_rates_nested(c, "state").select("fips", "raw", "group_rate", "national_rate", "shrunk", "low", "high")
+
+
+@query("m08_severity_glm")
+def m08_glm(t: Tables):
+    """Share of severe events by area, customers and population of the county."""
+    from stormgrid.operators.models import severity_glm
+
+    c = tiered(t).groupBy("fips").agg(F.sum("tier1").alias("k"), F.count("*").alias("n")).join(t.fx_county, "fips")
+    out, _ = severity_glm(c, ["area_km2", "customers", "population"])
+    return out.select("fips", F.round("predicted", 4).alias("predicted"))
+
+
 @query("m08_shrink_severity", f"""with c as (select state, fips, sum(tier1) as k, count(*) as n from ({_TIERED}) s group by 1, 2),
 s as (select state, avg(k / n) as m, var_samp(k / n) as v from c group by 1),
 p as (select state, m, greatest(m * (1 - m) / nullif(greatest(v, 1e-9), 0) - 1, 1e-6) as w from s)

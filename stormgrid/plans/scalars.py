@@ -100,6 +100,14 @@ def p13(t: Tables):
     return disks(t).select("o_orderkey", C.disk_overlap(F.col("r1"), F.col("r2"), F.col("d")).alias("share"))
 
 
+# Forty halvings in SQL would be as many nested texts: the answer is checked instead, as the overlap there and a little nearer.
+@query("p14_min_separation_fits", f"select o_orderkey, true as fits from ({_DISKS}) q")
+def p14_fits(t: Tables):
+    near = disks(t).withColumn("km", C.min_separation("r1", "r2", 0.25))
+    at, closer = (C.disk_overlap(F.col("r1"), F.col("r2"), F.col("km") + x) for x in (0.0, -1e-6))
+    return near.select("o_orderkey", ((at <= 0.25 + 1e-9) & (closer > 0.25 - 1e-9)).alias("fits"))
+
+
 @query("p14_min_separation")
 def p14(t: Tables):
     return disks(t).select("o_orderkey", F.round(C.min_separation("r1", "r2", 0.25), 6).alias("km"))
@@ -176,6 +184,16 @@ def p22(t: Tables):
     return t.customer.select("c_custkey", code.alias("code"), C.region_of(code).alias("region"))
 
 
+_NAMES = ["Texas", " new york", "N. Dakota", "West Virginia", "ca", "UNK", "", "District of Columbia", "Hawaii", "Wash.", "oh", "M", "Rhode Island ", "Guam"]
+_WANT = ["TX", "NY", "N.", "WV", "CA", "UNK", "UNK", "DC", "HA", "WA", "OH", "M", "RI", "GU"]
+
+
+@query("p22_state_code", f"select c_custkey, {_WANT}[1 + c_custkey % {len(_WANT)}] as code from customer")
+def p22_code(t: Tables):
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("c_custkey") % len(_NAMES) + 1).cast("int"))
+    return t.customer.select("c_custkey", C.state_code(name).alias("code"))
+
+
 @query("p23_impact_radius", "select event_id, least(150.0, greatest(5.0, sqrt(least(mean_customers / greatest(1e-3, least(1.0, coalesce(theta, 1.0))), c.customers) / (greatest(c.customers / area_km2, 1e-6) * pi())))) as km from fx_outages o join fx_county c using (fips) left join fx_coverage v on o.state = v.state and o.year = v.year", "km")
 def p23(t: Tables):
     df = t.fx_outages.join(t.fx_county.drop("state"), "fips").join(t.fx_coverage, ["state", "year"], "left")

@@ -68,12 +68,19 @@ def s06(t: Tables):
     return S.read_coverage(t.spark, path)
 
 
-@query("s08_network", "select graph_id, count(*) as n from fx_nodes group by 1")
+@query("s08_network", """select n.graph_id, n.node_id, n.capacity + case when n.graph_id like 'S1%' then 1 else 0 end as capacity, coalesce(n_edges, 0) as n_edges, 'km' as unit from fx_nodes n
+left join (select src as node_id, count(*) as n_edges from fx_edges group by 1) e using (node_id)""", "capacity")
 def s08(t: Tables):
-    path = folder(t, "network")
-    S.write_network(t.fx_nodes.withColumn("year", F.lit(2023)), t.fx_edges.withColumn("year", F.lit(2023)), path)
-    nodes, _ = S.read_network(t.spark, path, 2023)
-    return nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    """Two writes: the second replaces some graphs, whose nodes have gained a capacity of one."""
+    path, year = folder(t, "network"), F.lit(2023)
+    meta = t.fx_nodes.groupBy("graph_id").agg(F.count("*").alias("n")).withColumns({"unit": F.lit("km"), "year": year})
+    S.write_network(t.fx_nodes.withColumn("year", year), t.fx_edges.withColumn("year", year), meta, path)
+    again = lambda d: d.withColumn("year", year).where("graph_id like 'S1%'")
+    S.write_network(again(t.fx_nodes.withColumn("capacity", F.col("capacity") + 1)), again(t.fx_edges), again(meta), path)
+    nodes, edges, about = S.read_network(t.spark, path, 2023)
+    degree = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("n_edges"))
+    joined = nodes.select("graph_id", "node_id", "capacity").join(degree, "node_id", "left").join(about.select("graph_id", "unit"), "graph_id")
+    return joined.withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
 @query("s09_read_posterior", "select event_id % 40 as draw_id, count(*) as n, avg(value) as rate from events group by 1", "rate")
@@ -84,12 +91,18 @@ def s09(t: Tables):
     return S.read_posterior(t.spark, path).groupBy("draw_id").agg(F.count("*").alias("n"), F.avg("lambda").alias("rate"))
 
 
-@query("s13_scenario_results", "select unit, family as scenario, count(*) as n, sum(n_events)::bigint as n_events from fx_sims group by 1, 2")
+@query("s13_scenario_results", """select unit, family as scenario, year, sim_id, loss, n_events, n_hit, loss / (1 + n_hit) as per_event, loss * 2 as common from fx_sims""", "loss per_event common")
 def s13(t: Tables):
     path = folder(t, "results")
-    S.write_scenario_results(t.fx_sims.withColumnRenamed("family", "scenario"), path)
-    back = t.spark.read.schema("year int, sim_id int, loss double, n_events bigint, n_hit bigint, unit string, scenario string").option("header", True).csv(path)
-    return back.groupBy("unit", "scenario").agg(F.count("*").alias("n"), F.sum("n_events").alias("n_events"))
+    metrics = t.fx_sims.withColumnRenamed("family", "scenario")
+    events = metrics.select("year", "sim_id", (F.col("loss") / (1 + F.col("n_hit"))).alias("value"), "unit", "scenario")
+    S.write_scenario_results(metrics, events, events.withColumn("value", F.col("value") * 0), path)
+    # A second write of the common events of all units replaces the first.
+    common = metrics.select("year", "sim_id", (F.col("loss") * 2).alias("value"), "unit", "scenario")
+    S.write_scenario_results(metrics, events, common, path)
+    back = S.read_scenario_results(t.spark, path, "year int, sim_id int, loss double, n_events bigint, n_hit bigint, unit string, scenario string", "year int, sim_id int, value double, unit string, scenario string")
+    key = ["unit", "scenario", "year", "sim_id"]
+    return back[0].join(back[1].withColumnRenamed("value", "per_event"), key).join(back[2].withColumnRenamed("value", "common"), key)
 
 
 @query("s14_report", "select unit, count(*) as n from fx_sims group by 1")

@@ -66,19 +66,36 @@ def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     return df.select("state", year.alias("year"), C.to_number(F.col("max_pct_covered")).alias("theta"))
 
 
-def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    nodes.write.mode("overwrite").partitionBy("year").parquet(f"{path}/nodes")
-    edges.write.mode("overwrite").partitionBy("year").parquet(f"{path}/edges")
+def write_network(nodes: DataFrame, edges: DataFrame, meta: DataFrame, path: str) -> None:
+    """Nodes, edges and meta (year, graph_id, ...) by year and graph; other graphs that the folder holds stay."""
+    for part, df in (("nodes", nodes), ("edges", edges), ("meta", meta)):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "graph_id").parquet(f"{path}/{part}")
 
 
-def read_network(spark: SparkSession, path: str, year: int | None = None) -> tuple[DataFrame, DataFrame]:
-    out = tuple(spark.read.parquet(f"{path}/{part}") for part in ("nodes", "edges"))
-    return out if year is None else tuple(d.where(F.col("year") == year) for d in out)
+def read_network(spark: SparkSession, path: str, year: int | None = None, graphs: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and meta, of one year or of some graphs: only their folders are read."""
+    out = []
+    for part in ("nodes", "edges", "meta"):
+        df = spark.read.parquet(f"{path}/{part}").withColumn("graph_id", F.col("graph_id").cast("string"))
+        df = df if year is None else df.where(F.col("year") == year)
+        out.append(df if graphs is None else df.where(F.col("graph_id").isin(graphs)))
+    return tuple(out)
 
 
-def write_scenario_results(df: DataFrame, path: str) -> None:
-    """Gzip CSV by unit and scenario; written partitions replace their older forms only."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit", "scenario").option("header", True).option("compression", "gzip").csv(path)
+def write_scenario_results(metrics: DataFrame, events: DataFrame, common_events: DataFrame, path: str) -> None:
+    """Metrics as CSV, the events and the events under common random numbers as gzip CSV, by unit and scenario.
+
+    Partitions that are written replace their older forms only.
+    """
+    for part, df, codec in (("metrics", metrics, "none"), ("events", events, "gzip"), ("crn_events", common_events, "gzip")):
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("unit", "scenario")
+        writer.option("header", True).option("compression", codec).csv(f"{path}/{part}")
+
+
+def read_scenario_results(spark: SparkSession, path: str, metrics: str, events: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables of :func:`write_scenario_results`, by their schemas (unit and scenario last)."""
+    read = lambda part, schema: spark.read.schema(schema).option("header", True).csv(f"{path}/{part}")
+    return read("metrics", metrics), read("events", events), read("crn_events", events)
 
 
 def write_report(df: DataFrame, path: str) -> None:

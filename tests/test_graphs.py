@@ -193,3 +193,66 @@ def test_every_asked_removal_has_an_efficiency(spark):
     got = {(r.graph_id, r.x): r.y for r in efficiency_at(asked, samples, base, "graph_id").collect()}
     want = {("g", 0.0): 0.9, ("g", 1.0): 0.9 - 0.3 * 0.5, ("g", 2.0): 0.5, ("g", 4.0): 0.35, ("g", 6.0): 0.2, ("g", 8.0): 0.2 * 0.8, ("g", 20.0): 0.0, ("h", 3.0): 0.7}
     assert got == pytest.approx(want)
+
+
+def test_points_in_odd_rings(spark):
+    """Every point lies in its ring, also in a notch and in a sliver that a hundred draws miss; areas are hit in proportion."""
+    from stormgrid.functions import columns as C
+    from stormgrid.operators import draws as D
+
+    notch = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (3.0, 4.0), (3.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)]
+    sliver = [(0.0, 0.0), (10.0, 10.0), (10.0, 10.00001)]
+    rows = [("n", [{"lon": x, "lat": y} for x, y in notch]), ("s", [{"lon": x, "lat": y} for x, y in sliver])]
+    rings = spark.createDataFrame(rows, "name string, ring array<struct<lon: double, lat: double>>")
+    keyed = rings.crossJoin(spark.range(1500)).union(spark.createDataFrame([("none", None, 1)], "name string, ring array<struct<lon: double, lat: double>>, id bigint"))
+    spot = keyed.withColumn("key", F.col("id").cast("string")).withColumn("spot", D.point_in_ring("ring", "x", "key")).select("name", "ring", "spot.lat", "spot.lon")
+    assert spot.where("ring is not null").where(~C.in_ring("lat", "lon", "ring")).count() == 0
+    assert spot.where("lat is null").count() == 1
+    share = spot.where("name = 'n'").select(F.avg((F.col("lat") < 1).cast("int"))).first()[0]
+    assert abs(share - 4 / 10) < 0.05
+
+
+def test_spaced_seeds_equal_the_greedy_loop(spark):
+    from stormgrid.operators import windows as W
+
+    rnd = random.Random(12)
+    nodes = [(k, 40 + rnd.uniform(0, 0.6), -100 + rnd.uniform(0, 0.6), rnd.choice(["urban", "rural"])) for k in range(220)]
+    tiers = [("urban", 12.0, 9), ("rural", 20.0, 60), ("suburban", 5.0, 3)]
+    df, plan = spark.createDataFrame(nodes, "node_id int, lat double, lon double, stratum string"), spark.createDataFrame(tiers, "stratum string, radius_km double, target int")
+    order = {}
+    for k in (0, 1):
+        u = W.hash_u(F.lit(f"t-{k}"), F.col("node_id"))
+        order[k] = [r.node_id for r in df.orderBy(u, "node_id").collect()]
+    place = {k: (y, x) for k, y, x, _ in nodes}
+    want = {}
+    for stratum, radius, target in tiers:
+        own, kept = {k for k, _, _, s in nodes if s == stratum}, []
+        for k, share in enumerate((0.5, 0.35)):
+            for i in order[k]:
+                if i in own and i not in [x for x, _ in kept] and len(kept) < target and sum(km(place[i], p) <= radius for p in place.values()) >= 4 and all(km(place[i], place[j]) > radius * share for j, _ in kept):
+                    kept.append((i, k + 1))
+        want[stratum] = kept
+    for first_share in (0.5, 50.0):  # many small lots, or one
+        rows = W.spaced_seeds(df, plan, "t", least=4, first_share=first_share).orderBy("stratum", "place").collect()
+        got = {s: [(r.node_id, r["pass"]) for r in rows if r.stratum == s] for s, *_ in tiers}
+        assert got == want and len(want["urban"]) == 9 and {p for _, p in want["rural"]} == {1, 2}
+
+
+def test_severity_model_equals_newton(spark):
+    import numpy as np
+
+    from stormgrid.operators.models import severity_glm
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 2))
+    n = rng.integers(1, 60, 80)
+    k = rng.binomial(n, 1 / (1 + np.exp(-(0.4 + x @ [0.8, -0.5]))))
+    rows = [(int(a), int(b), float(c), float(d)) for a, b, (c, d) in zip(k, n, x, strict=True)] + [(0, 0, 1.0, None)]
+    out, found = severity_glm(spark.createDataFrame(rows, "k int, n int, a double, b double"), ["a", "b"])
+    design = np.column_stack([np.ones(80), (x - x.mean(0)) / x.std(0, ddof=1)])
+    beta = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-design @ beta))
+        beta += np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]), design.T @ (k - n * p))
+    assert [found["intercept"], found["a"], found["b"]] == pytest.approx(beta.tolist(), abs=1e-5)
+    assert out.count() == 81 and out.where("predicted is null").count() == 0
