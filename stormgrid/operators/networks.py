@@ -111,9 +111,13 @@ def edge_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distance of each edge, and over the largest distance of any pair of the graph."""
     from stormgrid.operators.filters import edge_ends
 
+    from stormgrid.operators.sites import widest
+
     km = C.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    every = nodes.select("graph_id", F.col("node_id").alias("src")).join(nodes.select("graph_id", F.col("node_id").alias("dst")), "graph_id").where("src < dst")
-    most = edge_ends(every, nodes).groupBy("graph_id").agg(F.max(km).alias("d_max"))
+    # Chords of the unit ball grow with the distances on it.
+    lat, lon = F.radians("lat"), F.radians("lon")
+    ball = nodes.select("graph_id", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
+    most = widest(ball, ["x", "y", "z"]).select("graph_id", (2.0 * C.EARTH_KM * F.asin(F.least(F.lit(1.0), F.col("widest") / 2))).alias("d_max"))
     out = edge_ends(edges.select("graph_id", "src", "dst"), nodes).withColumn("km", km).join(most, "graph_id")
     return out.select("graph_id", "src", "dst", "km", F.try_divide("km", "d_max").alias("weight"))
 

@@ -8,6 +8,7 @@ from stormgrid.functions import columns as C
 from stormgrid.operators import centrality as E
 from stormgrid.operators import networks as N
 from stormgrid.operators import removal as R
+from stormgrid.operators import sites as X
 from stormgrid.operators import spatial as S
 from stormgrid.operators import windows as W
 from stormgrid.operators.filters import by
@@ -76,6 +77,19 @@ def g03(t: Tables):
     return N.edge_weights(t.fx_edges, t.fx_nodes)
 
 
+_XY = "p as (select graph_id, node_id, capacity, radians(lon) * 6378.137 as x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378.137 as y from fx_nodes), m as (select a.graph_id, max(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) as d, max(a.capacity) as c from p a join p b on a.graph_id = b.graph_id group by 1), w as (select e.graph_id, src, dst, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as km, case when a.capacity > 0 then a.capacity / c else 1 end * case when b.capacity > 0 then b.capacity / c else 1 end as cc, d from fx_edges e join p a on a.node_id = src join p b on b.node_id = dst join m on m.graph_id = e.graph_id)"
+
+
+@query("g03_planar_weights", f"with {_XY} select graph_id, src, dst, km, km / d as weight from w", "km weight")
+def g03_planar(t: Tables):
+    return X.edge_weights_planar(t.fx_edges, t.fx_nodes)
+
+
+@query("g03_capacity_weights", f"with {_XY} select graph_id, src, dst, km, (km / d + 1e-6) / sqrt(cc) as weight from w", "km weight")
+def g03_capacity(t: Tables):
+    return X.edge_weights_planar(t.fx_edges, t.fx_nodes, "capacity")
+
+
 @query("g04_shortest_paths", f"{_HOPS} select graph_id, src, dst, d::double as d from hops", "d")
 def g04(t: Tables):
     return N.shortest_paths(t.fx_edges)
@@ -410,6 +424,30 @@ def g21(t: Tables):
     return out.select("state", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "is_added")
 
 
+def corridor_case(t: Tables):
+    """Sites of each state, corridors through some of its counties, and spare points drawn in squares."""
+    sites = t.fx_nodes.select(F.concat(F.lit("n"), F.col("node_id").cast("string")).alias("id"), F.split_part("graph_id", F.lit("_"), F.lit(1)).alias("state"), "lat", "lon", "capacity").where("substring(id, -1) = '7'")
+    lines = t.fx_stations.where("station_id % 50 = 3").select("state", F.lit("road").alias("line_id"), F.col("station_id").alias("seq"), "lat", "lon")
+    south, west = F.col("centroid_lat"), F.col("centroid_lon")
+    corners = ((0.0, 0.0), (1.4, 0.0), (1.4, 1.4), (0.0, 1.4))
+    ring = F.array(*(F.struct((west + x).alias("lon"), (south + y).alias("lat")) for x, y in corners))
+    areas = t.fx_county.select("state", F.col("fips").alias("area_id"), "population", ring.alias("ring"))
+    counts = sites.groupBy("state").agg((F.count("*") * 5).alias("n"))
+    return sites, lines, X.drawn_points(areas, counts, "population", "fill")
+
+
+@query("g21_corridors")
+def g21_corridors(t: Tables):
+    out = X.expand_corridors(*corridor_case(t), 0.5)
+    return out.select("state", "id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "rule", "is_cf_added")
+
+
+@query("g21_rebuilt_edges")
+def g21_rebuilt(t: Tables):
+    out = X.rebuilt(X.expand_corridors(*corridor_case(t), 0.5))
+    return out.select("graph_id", "src", "dst", F.round("km", 4).alias("km"), F.round("weight", 6).alias("weight"))
+
+
 @query("g23_union_timeline")
 def g23(t: Tables):
     from stormgrid.operators.outages import active_hours

@@ -256,3 +256,50 @@ def test_severity_model_equals_newton(spark):
         beta += np.linalg.solve(design.T @ (design * (n * p * (1 - p))[:, None]), design.T @ (k - n * p))
     assert [found["intercept"], found["a"], found["b"]] == pytest.approx(beta.tolist(), abs=1e-5)
     assert out.count() == 81 and out.where("predicted is null").count() == 0
+
+
+def plane(lat, lon):
+    return math.radians(lon) * 6378.137, math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) * 6378.137
+
+
+def test_corridors_equal_the_plain_loop(spark):
+    """Largest gap first, spacing to all, the quota, and the fill for what is missing."""
+    from stormgrid.operators import sites as X
+
+    rnd = random.Random(21)
+    sites = [(f"n{s}{k}", s, 40 + rnd.uniform(0, 3), -100 + rnd.uniform(0, 4), 5.0) for s, n in (("A", 9), ("B", 3), ("C", 1)) for k in range(n)]
+    lines = [("A", "r1", k, 40 + 0.7 * k, -100 + 0.9 * k) for k in range(5)] + [("A", "r2", k, 43 - 0.5 * k, -99.0) for k in range(6)] + [("B", "r1", 0, 41.0, -99.0), ("B", "r1", 1, 41.2, -98.8)]
+    fill = [(f"f{s}{k}", s, k, 40 + rnd.uniform(0, 3), -100 + rnd.uniform(0, 4)) for s in "ABC" for k in range(12)]
+    frames = (
+        spark.createDataFrame(sites, "id string, state string, lat double, lon double, capacity double"),
+        spark.createDataFrame(lines, "state string, line_id string, seq int, lat double, lon double"),
+        spark.createDataFrame(fill, "id string, state string, ord int, lat double, lon double"),
+    )
+    corridor = [(r.id, r.state, r.lat, r.lon) for r in X.corridor_points(frames[1], 60.0).collect()]
+    got = {(r.id, r.rule) for r in X.expand_corridors(*frames, 0.9, 25.0, 60.0).where("is_cf_added").collect()}
+    want = set()
+    for s, n in (("A", 9), ("B", 3), ("C", 1)):
+        held = [plane(y, x) for _, t, y, x, _ in sites if t == s]
+        own = [(i, plane(y, x)) for i, t, y, x in corridor if t == s]
+        order = sorted(own, key=lambda c: (-min(math.dist(c[1], h) for h in held), c[0]))
+        left = math.ceil(0.9 * n)
+        for rule, points in (("corridor", order), ("fill", [(i, plane(y, x)) for i, t, _, y, x in fill if t == s])):
+            for i, p in points:
+                if left and all(math.dist(p, h) >= 25.0 for h in held):
+                    held.append(p)
+                    want.add((i, rule))
+                    left -= 1
+    assert got == want and {r for _, r in want} == {"corridor", "fill"}
+
+
+def test_widest_pair_of_odd_shapes(spark):
+    from stormgrid.operators import sites as X
+
+    rnd = random.Random(4)
+    shapes = {
+        "cloud": [(rnd.gauss(0, 1), rnd.gauss(0, 3)) for _ in range(200)], "ring": [(math.cos(k), math.sin(k)) for k in range(60)],
+        "line": [(k * 1.0, 2.0 * k) for k in range(30)], "one": [(3.0, 3.0)], "same": [(1.0, 1.0)] * 5,
+    }
+    df = spark.createDataFrame([(g, x, y) for g, own in shapes.items() for x, y in own], "graph_id string, x double, y double")
+    got = {r.graph_id: r.widest for r in X.widest(df, ["x", "y"]).collect()}
+    assert got == pytest.approx({g: max(math.dist(a, b) for a in own for b in own) for g, own in shapes.items()}, abs=1e-9)
