@@ -50,11 +50,15 @@ _PARTS = """reach0 as (select node_id as a, node_id as b from fx_nodes union sel
 parts as (select graph_id, count(distinct root) as n_components from roots group by 1)"""
 
 
-@query("g01_cluster_radius")
+# Station by station in their order, with the list of the kept ones of each state.
+@query("g01_cluster_radius", f"""with recursive seq as materialized (select *, row_number() over (partition by state order by station_id) as k from fx_stations),
+near as materialized (select a.state, a.station_id as a, b.station_id as b from seq a join seq b on a.state = b.state and a.station_id < b.station_id and abs(a.lat - b.lat) < 0.1 and {HAV(a='a.', b='b.')} <= 5), ties as materialized (select b, list(a) as earlier from near group by 1),
+g(state, k, kept) as (select distinct state, 0::bigint, []::bigint[] from seq union all select g.state, g.k + 1, case when coalesce(len(list_intersect(kept, earlier)), 0) = 0 then list_append(kept, station_id) else kept end from g join seq on seq.state = g.state and seq.k = g.k + 1 left join ties on b = station_id),
+heads as materialized (select state, unnest(arg_max(kept, k)) as head from g group by 1), owners as (select b, min(a) as owner from near join heads on head = a group by 1)
+select s.state, coalesce(head, owner) as owner, avg(lat) as lat, avg(lon) as lon, sum(5 * n_l1 + 25 * n_l2 + 300 * n_dc) as capacity, count(*) as n_stations from fx_stations s left join heads on head = station_id left join owners on b = station_id group by 1, 2""", "lat lon capacity")
 def g01(t: Tables):
     points = t.fx_stations.withColumnRenamed("station_id", "ord")
-    out = N.cluster_radius(points, 5.0)
-    return out.select("state", "owner", *(F.round(c, 6).alias(c) for c in ("lat", "lon", "capacity")), "n_stations")
+    return N.cluster_radius(points, 5.0).select("state", "owner", "lat", "lon", "capacity", "n_stations")
 
 
 def plane(t: Tables):
@@ -373,10 +377,14 @@ def g20(t: Tables):
     return sample_n(windows_members(t), 10, "g20", ["window_id"], "station_id").select("window_id", "station_id")
 
 
-@query("g22_points_along")
+@query("g22_points_along", f"""with l as (select graph_id as line_id, rn, lat as from_lat, lon as from_lon, lead(lat) over w as to_lat, lead(lon) over w as to_lon from fx_nodes window w as (partition by graph_id order by rn)),
+d as (select *, {HAV(a='from_', b='to_')} as km from l where to_lat is not null),
+s as (select *, sum(km) over (partition by line_id order by rn) as upto, sum(km) over (partition by line_id order by rn) - km as start from d),
+k as (select *, unnest(range(ceil(start / 80)::bigint, ceil(upto / 80)::bigint)) as k from s)
+select line_id, k::int as k, from_lat + (k * 80 - start) / km * (to_lat - from_lat) as lat, from_lon + (k * 80 - start) / km * (to_lon - from_lon) as lon from k""", "lat lon")
 def g22(t: Tables):
     lines = t.fx_nodes.select(F.col("graph_id").alias("line_id"), F.col("rn").alias("seq"), "lat", "lon")
-    return S.points_along(lines, 80.0).select("line_id", "k", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    return S.points_along(lines, 80.0).select("line_id", "k", "lat", "lon")
 
 
 @query("g24_grid_heatmap", f"with g as (select i, j, 30 + i * 0.5 as lat, -120 + j * 1.0 as lon from (select unnest(range(0, 29)) as i) a, (select unnest(range(0, 40)) as j) b) select cast(i as int) as i, cast(j as int) as j, count(*) as n from g join fx_stations s on abs(s.lat - g.lat) < 1 and {HAV(a='g.', b='s.')} <= 30 group by 1, 2 having count(*) >= 2")
@@ -448,7 +456,13 @@ def g21_rebuilt(t: Tables):
     return out.select("graph_id", "src", "dst", F.round("km", 4).alias("km"), F.round("weight", 6).alias("weight"))
 
 
-@query("g23_union_timeline")
+_ACTIVE = """active as materialized (select g.graph_id, e.sim_id, e.event_id as case_id, unnest(range(ceil(e.event_id % 6)::bigint, ceil(e.event_id % 6 + e.duration_hours)::bigint)) as hour from fx_epicenters e join (select distinct graph_id, split_part(graph_id, '_', 1) as state from fx_nodes) g on g.state = e.graph_id),
+named as materialized (select graph_id, sim_id, hour, string_agg(distinct node_id, ',' order by node_id) as vid from active left join hit using (graph_id, case_id) group by 1, 2, 3)"""
+_ACTIVE_SETS = "select distinct a.graph_id, n.vid, h.node_id from active a join hit h using (graph_id, case_id) join named n on n.graph_id = a.graph_id and n.sim_id = a.sim_id and n.hour = a.hour"
+
+
+@query("g23_union_timeline", _variants(_ACTIVE_SETS).replace("with recursive", f"with recursive {_HIT.split(', named as')[0]}, {_ACTIVE},", 1) + """, busy as (select graph_id, sim_id, hour, count(distinct case_id) as events from active group by 1, 2, 3)
+select n.sim_id, n.graph_id, sum(coalesce(relative, 0)) as loss, count(*) as hours, max(events) as max_simultaneous from named n join busy using (graph_id, sim_id, hour) left join lost l on l.graph_id = n.graph_id and l.vid = n.vid group by 1, 2""", "loss", 4)
 def g23(t: Tables):
     from stormgrid.operators.outages import active_hours
 
@@ -457,7 +471,7 @@ def g23(t: Tables):
     hours = hours.select(F.col("event_id").alias("case_id"), "sim_id", "hour")
     out_nodes = state_events(t).join(disrupted(t), ["graph_id", "case_id"], "left").join(hours, "case_id")
     out_nodes = out_nodes.select("sim_id", "hour", F.col("case_id").alias("event_id"), "graph_id", "node_id")
-    return N.timeline_loss(t.fx_nodes, t.fx_edges, out_nodes).withColumn("loss", F.round("loss", 6))
+    return N.timeline_loss(t.fx_nodes, t.fx_edges, out_nodes)
 
 
 # Tracts are the lower halves of squares, areas upper halves; halves meet iff their boxes do and the corners lie on
