@@ -83,30 +83,6 @@ def cluster_radius(points: DataFrame, radius_km: float) -> DataFrame:
     )
 
 
-def voronoi_edges(nodes: DataFrame) -> DataFrame:
-    """Neighbours in the Voronoi diagram of each graph's points (x, y); all pairs below four points.
-
-    For a pair p, q every other point r sees it under an angle whose cotangent is dot over cross.
-    The pair is a Delaunay edge iff the least cotangents of the two sides sum to more than 0, or a
-    side has no point.
-    """
-    p = nodes.select("graph_id", F.col("node_id").alias("src"), F.col("x").alias("px"), F.col("y").alias("py"))
-    q = nodes.select("graph_id", F.col("node_id").alias("dst"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    r = nodes.select("graph_id", F.col("node_id").alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    size = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
-    pairs = p.join(q, "graph_id").where("src < dst")
-    seen = pairs.join(r, "graph_id").where("other <> src and other <> dst")
-    dot = (F.col("px") - F.col("rx")) * (F.col("qx") - F.col("rx")) + (F.col("py") - F.col("ry")) * (F.col("qy") - F.col("ry"))
-    cross = (F.col("px") - F.col("rx")) * (F.col("qy") - F.col("ry")) - (F.col("py") - F.col("ry")) * (F.col("qx") - F.col("rx"))
-    cot = F.try_divide(dot, cross)
-    sides = seen.groupBy("graph_id", "src", "dst").agg(
-        F.min(F.when(cross > 0, cot)).alias("left"), F.min(F.when(cross < 0, -cot)).alias("right")
-    )
-    edges = pairs.join(sides, ["graph_id", "src", "dst"], "left").join(size, "graph_id")
-    keep = (F.col("n") < 4) | F.col("left").isNull() | F.col("right").isNull() | (F.col("left") + F.col("right") > 1e-12)
-    return edges.where(keep).select("graph_id", "src", "dst")
-
-
 def edge_weights(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Distance of each edge, and over the largest distance of any pair of the graph."""
     from stormgrid.operators.filters import edge_ends

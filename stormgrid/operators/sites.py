@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormgrid.functions import columns as C
+from stormgrid.operators.delaunay import voronoi_edges
 from stormgrid.operators.draws import point_in_ring, weighted_pick
 from stormgrid.operators.filters import by
-from stormgrid.operators.networks import independent_set, settled, voronoi_edges
+from stormgrid.operators.networks import independent_set, settled
 from stormgrid.operators.spatial import points_along
 from stormgrid.sources.shared import written
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stormgrid.functions import columns as C
 from stormgrid.operators import centrality as E
+from stormgrid.operators import delaunay as V
 from stormgrid.operators import networks as N
 from stormgrid.operators import removal as R
 from stormgrid.operators import sites as X
@@ -73,7 +74,18 @@ s as (select p.graph_id, p.node_id as src, q.node_id as dst, (p.x - r.x) * (q.x
 m as (select graph_id, src, dst, min(case when k > 0 then d / k end) as l, min(case when k < 0 then -d / k end) as r from s group by 1, 2, 3)
 select graph_id, src, dst from m join c using (graph_id) where n < 4 or l is null or r is null or l + r > 1e-12""")
 def g02(t: Tables):
-    return N.voronoi_edges(plane(t))
+    return V.voronoi_edges(plane(t))
+
+
+@query("g02_states", """with p as (select split_part(graph_id, '_', 1) as graph_id, node_id, radians(lon) * 6378.137 as x, ln(tan(pi() / 4 + radians(lat) / 2)) * 6378.137 as y from fx_nodes where node_id % 2 = 0),
+s as (select p.graph_id, p.node_id as src, q.node_id as dst, (p.x - r.x) * (q.x - r.x) + (p.y - r.y) * (q.y - r.y) as d, (p.x - r.x) * (q.y - r.y) - (p.y - r.y) * (q.x - r.x) as k
+  from p join p q on p.graph_id = q.graph_id and p.node_id < q.node_id left join p r on r.graph_id = p.graph_id and r.node_id <> p.node_id and r.node_id <> q.node_id),
+m as (select graph_id, src, dst, min(case when k > 0 then d / k end) as l, min(case when k < 0 then -d / k end) as r from s group by 1, 2, 3)
+select graph_id, src, dst from m where l is null or r is null or l + r > 1e-12""")
+def g02_states(t: Tables):
+    """The same for whole states, by near witnesses."""
+    nodes = plane(t).where("node_id % 2 = 0").withColumn("graph_id", F.split_part("graph_id", F.lit("_"), F.lit(1)))
+    return V.voronoi_edges(nodes, small=16)
 
 
 @query("g03_edge_weights", f"with m as (select a.graph_id, max({HAV(a='a.', b='b.')}) as d_max from fx_nodes a join fx_nodes b on a.graph_id = b.graph_id and a.node_id < b.node_id group by 1) select e.graph_id, src, dst, {HAV(a='a.', b='b.')} as km, {HAV(a='a.', b='b.')} / d_max as weight from fx_edges e join fx_nodes a on a.node_id = e.src join fx_nodes b on b.node_id = e.dst join m on m.graph_id = e.graph_id", "km weight")

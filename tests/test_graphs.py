@@ -303,3 +303,33 @@ def test_widest_pair_of_odd_shapes(spark):
     df = spark.createDataFrame([(g, x, y) for g, own in shapes.items() for x, y in own], "graph_id string, x double, y double")
     got = {r.graph_id: r.widest for r in X.widest(df, ["x", "y"]).collect()}
     assert got == pytest.approx({g: max(math.dist(a, b) for a in own for b in own) for g, own in shapes.items()}, abs=1e-9)
+
+
+def test_voronoi_neighbours_by_near_witnesses(spark):
+    """Clusters, lone points and a border, against all triples; small graphs, and graphs below four points."""
+    import numpy as np
+
+    from stormgrid.operators.delaunay import voronoi_edges
+
+    rnd = random.Random(1)
+    graphs = {
+        "clusters": [(rnd.gauss(c, 0.02), rnd.gauss(c * c, 0.05)) for c in (0, 1, 3) for _ in range(50)] + [(9.0, 9.0), (-5.0, 2.0)],
+        "uniform": [(rnd.random(), rnd.random()) for _ in range(150)], "small": [(rnd.random(), rnd.random()) for _ in range(12)],
+        "three": [(0.0, 0.0), (1.0, 0.0), (2.0, 0.0)], "two": [(0.0, 0.0), (1.0, 1.0)],
+    }
+    df = spark.createDataFrame([(g, k, x, y) for g, own in graphs.items() for k, (x, y) in enumerate(own)], "graph_id string, node_id int, x double, y double")
+    got = {}
+    for r in voronoi_edges(df).collect():
+        assert (r.src, r.dst) not in got.setdefault(r.graph_id, set())
+        got[r.graph_id].add((r.src, r.dst))
+    for g, own in graphs.items():
+        p, want = np.array(own), set()
+        for a in range(len(p)):
+            for b in range(a + 1, len(p)):
+                r = np.delete(p, [a, b], 0)
+                u, v = p[a] - r, p[b] - r
+                dot, cross = (u * v).sum(1), u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
+                left, right = dot[cross > 0] / cross[cross > 0], -dot[cross < 0] / cross[cross < 0]
+                if len(p) < 4 or not len(left) or not len(right) or left.min() + right.min() > 1e-12:
+                    want.add((a, b))
+        assert got[g] == want, g
