@@ -8,6 +8,7 @@ from stormgrid.functions import columns as C
 from stormgrid.operators import centrality as E
 from stormgrid.operators import delaunay as V
 from stormgrid.operators import networks as N
+from stormgrid.operators import regions as Q
 from stormgrid.operators import removal as R
 from stormgrid.operators import sites as X
 from stormgrid.operators import spatial as S
@@ -413,6 +414,52 @@ def g25(t: Tables):
     return t.fx_stations.where(inside).agg(F.count("*").alias("n"), F.countDistinct("state").alias("n_states"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
+BOX, STEP, REACH = (30.0, -120.0, 45.0, -80.0), 0.75, 60.0
+#: Graphs of regions: the nodes inside (window_id, node_id, capacity) and the edges between them.
+_INDUCED = """ie as (select a.window_id, src, dst from fx_edges e join inside a on a.node_id = e.src join inside b on b.node_id = e.dst and a.window_id = b.window_id),
+dg as (select i.window_id, i.node_id, count(e.x) as k from inside i left join (select window_id, src as x from ie union all select window_id, dst from ie) e on e.window_id = i.window_id and e.x = i.node_id group by 1, 2),
+deg as (select window_id, sum(k) / 2.0 as m, avg(k) as a, max(k)::double as x from dg group by 1),
+feat as (select window_id, count(*)::double as n_nodes, m as n_edges, case when count(*) > 1 then 2 * m / (count(*) * (count(*) - 1)) else 0 end as density, sum(capacity) as total_capacity, avg(capacity) as mean_capacity, stddev_pop(capacity) as std_capacity, max(capacity) as max_capacity,
+  a as avg_degree, x as max_degree, 0.0 as avg_clustering, 0.0 as max_betweenness, 0.0 as mean_betweenness, 0.0 as global_efficiency, 0.0 as diameter, 1.0 as n_components from inside join deg using (window_id) group by window_id, m, a, x)"""
+_CELLS = f"""cells as (select i * 54 + j as window_id, 30 + i * 0.75 as lat, -120 + j * 0.75 as lon from range(21) a(i), range(54) b(j)),
+hits as (select window_id, n.node_id, capacity from cells c join fx_nodes n on abs(c.lat - n.lat) < 1 and {HAV(a='c.', b='n.')} <= {REACH}), inside as materialized (select * from hits where window_id in (select window_id from hits group by 1 having count(*) >= 2))"""
+
+
+def heatmap(t: Tables):
+    score = F.col("total_capacity") / (1 + F.col("n_edges"))
+    return Q.grid_heatmap(t.fx_nodes, t.fx_edges, BOX, STEP, REACH, score)
+
+
+@query("g24_grid_features", f"with {_CELLS}, {_INDUCED} select window_id, lat as clat, lon as clon, n_nodes::bigint as n, {', '.join(E.BASE_FEATURES)}, total_capacity / (1 + n_edges) as score from feat join cells using (window_id)", " ".join(["clat clon score", *E.BASE_FEATURES]))
+def g24_features(t: Tables):
+    return heatmap(t)[0].select("window_id", "clat", "clon", "n", *E.BASE_FEATURES, "score")
+
+
+@query("g24_grid_summary", f"with {_CELLS}, {_INDUCED} select count(*) as n_cells, (select count(*) from cells) - count(*) as skipped, min(total_capacity / (1 + n_edges)) as lowest, max(total_capacity / (1 + n_edges)) as highest from feat", "lowest highest")
+def g24_summary(t: Tables):
+    return heatmap(t)[1]
+
+
+_REGION = "select count(*) as n_stations, array_to_string(list_sort(list(distinct state)), ',') as states, {} from members"
+_NODE_STATES = "nodes as (select *, split_part(graph_id, '_', 1) as state from fx_nodes)"
+
+
+def stated(t: Tables):
+    return t.fx_nodes.withColumn("state", F.split_part("graph_id", F.lit("_"), F.lit(1)))
+
+
+@query("g25_circle", f"with {_NODE_STATES}, members as (select * from nodes s where {HAV(a='c.', b='s.')} <= 400), inside as (select 'region' as window_id, node_id, capacity from members), {_INDUCED} select r.*, {', '.join(E.BASE_FEATURES)} from ({_REGION.format('35.0 as center_lat, -108.0 as center_lon, 400.0 as radius_km')}) r, feat".replace("c.lat", "35.0").replace("c.lon", "-108.0"), " ".join(["center_lat center_lon radius_km", *E.BASE_FEATURES]))
+def g25_circle(t: Tables):
+    out = Q.region_summary(stated(t), t.fx_edges, circle=(35.0, -108.0, 400.0))
+    return out.withColumn("states", F.array_join("states", ","))
+
+
+@query("g25_ring", f"with {_NODE_STATES}, members as (select * from nodes where lat > 31 and lat < 40 and lon > -118 and lon < -90 and lat - 31 < (lon + 118)), inside as (select 'region' as window_id, node_id, capacity from members), {_INDUCED} select r.*, {', '.join(E.BASE_FEATURES)} from ({_REGION.format('avg(lat) as center_lat, avg(lon) as center_lon')}) r, feat", " ".join(["center_lat center_lon", *E.BASE_FEATURES]))
+def g25_ring(t: Tables):
+    out = Q.region_summary(stated(t), t.fx_edges, ring=[(-118, 31), (-109, 40), (-90, 40), (-90, 31)])
+    return out.withColumn("states", F.array_join("states", ",")).drop("radius_km")
+
+
 @query("g26_dc_ratio", f"select n.node_id, sum(300 * n_dc) / nullif(sum(5 * n_l1 + 25 * n_l2 + 300 * n_dc), 0) as dc_ratio from fx_nodes n join fx_stations s on abs(s.lat - n.lat) < 0.2 and {HAV(a='n.', b='s.')} <= 10 group by 1", "dc_ratio")
 def g26(t: Tables):
     centers = t.fx_nodes.select("node_id", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
