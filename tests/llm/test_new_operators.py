@@ -218,3 +218,16 @@ def test_spread_join_equals_a_plain_join(spark):
         want = left.join(right, "k", how)
         got = spread_join(left, right, ["k"], how)
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_rows_without_an_id_stay_where_ids_are_only_names(spark):
+    from stormgrid.llm import licenses, neighbours, url_filters
+
+    rules = spark.createDataFrame([("a.org", "/x", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(None, "http://b.a.org/xy"), (None, "http://b.a.org/xy"), (1, None)], "page_id bigint, url string")
+    got = sorted((r.page_id or 0, r.verdict) for r in url_filters.judge(pages, rules).collect())
+    assert got == [(0, "block"), (0, "block"), (1, "allow")]
+    docs = spark.createDataFrame([(None, "the mit license"), (None, None)], "doc_id bigint, text string")
+    assert sorted(r.n_base for r in licenses.summary(licenses.scan(docs)).collect()) == [0, 1]
+    vectors = spark.createDataFrame([(None, [1.0, 2.0]), (None, [1.0, 2.0]), (20, [1.0, 1.0]), (3, [2.0, 2.0])], "vec_id bigint, embedding array<double>")
+    assert [(r.query_id, r.vec_id) for r in neighbours.search(vectors).collect()] == [(20, 3)]
