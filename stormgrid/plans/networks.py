@@ -483,12 +483,19 @@ def g29(t: Tables):
     return S.ring_area_centroid(t.orders.select(F.col("o_orderkey").alias("id"), ring.alias("ring"))).select("id", "area_km2")
 
 
-@query("g21_expand_sites")
+# Candidate by candidate in their order, with the list of the kept.
+@query("g21_expand_sites", f"""with recursive old as materialized (select state, lat, lon from fx_stations where station_id % 3 <> 0), free as materialized (select station_id, state, lat, lon, row_number() over (order by station_id) as k from fx_stations c where station_id % 3 = 0
+  and not exists (select 1 from old o where abs(o.lat - c.lat) < 0.1 and {HAV(a='o.', b='c.')} <= 5)),
+ties as materialized (select b.k, list(a.k) as earlier from free a join free b on a.k < b.k and abs(a.lat - b.lat) < 0.1 and {HAV(a='a.', b='b.')} <= 5 group by 1),
+g(k, kept) as (select 0::bigint, []::bigint[] union all select g.k + 1, case when coalesce(len(list_intersect(kept, earlier)), 0) = 0 then list_append(kept, g.k + 1) else kept end from g join free on free.k = g.k + 1 left join ties on ties.k = g.k + 1),
+best as (select arg_max(kept, k) as kept from g), target as (select state, ceil(count(*) * 0.1) as target from old group by 1),
+added as (select state, lat, lon, row_number() over (partition by state order by k) as place from free, best where list_contains(kept, k))
+select state, lat, lon, false as is_added from old union all select state, lat, lon, true from added join target using (state) where place <= target""", "lat lon")
 def g21(t: Tables):
     sites = t.fx_stations.where("station_id % 3 <> 0").select("state", "lat", "lon")
     candidates = t.fx_stations.where("station_id % 3 = 0").select(F.col("station_id").alias("ord"), "state", "lat", "lon")
     out = N.expand_sites(sites, candidates, 0.1, 5.0)
-    return out.select("state", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "is_added")
+    return out.select("state", "lat", "lon", "is_added")
 
 
 def corridor_case(t: Tables):
