@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stormgrid.operators import networks as N
 from stormgrid.operators.joins import symmetrize
 from stormgrid.operators.losses import gini
+from stormgrid.operators.spectrum import algebraic_connectivity
 from stormgrid.sources.shared import dropped, written
 
 #: Two path lengths within this share of each other are the same length.
@@ -160,7 +161,7 @@ def global_features(nodes: DataFrame, edges: DataFrame, weight: str = "weight",
         largest = by_size.groupBy("graph_id").agg(F.max(F.struct("size", (-F.col("root")).alias("least")))["least"].alias("least"))
         inside = roots.join(largest, "graph_id").where(F.col("root") == -F.col("least")).select("graph_id", F.col("node_id").alias("src"))
         paths = N.shortest_paths(edges, weight).join(inside, ["graph_id", "src"], "left_semi").groupBy("graph_id").agg(F.avg("d").alias("avg_shortest_path"))
-        second = N.algebraic_connectivity(nodes, edges, weight).withColumnRenamed("lambda2", "algebraic_connectivity")
+        second = algebraic_connectivity(nodes, edges, weight).withColumnRenamed("lambda2", "algebraic_connectivity")
         out = out.join(paths, "graph_id", "left").join(second, "graph_id", "left")
     has_edges = F.col("n_edges") > 0
     late = BASE_FEATURES[7:] + (MORE_FEATURES if extended else [])

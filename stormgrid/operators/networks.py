@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -193,29 +190,6 @@ def diameter(edges: DataFrame) -> DataFrame:
     return shortest_paths(edges).groupBy("graph_id").agg(F.max("d").alias("diameter"), F.avg("d").alias("avg_path"))
 
 
-def algebraic_connectivity(nodes: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
-    """Second smallest Laplacian eigenvalue of each graph, of weighted edges if ``weight``; 0 for a single node.
-
-    A dense symmetric solve, to rounding, as no iteration stops at a known distance from lambda2. Each
-    graph is one group of rows and must fit a task: 8 n^2 bytes and n^3 steps for n nodes.
-    """
-    both = symmetrize(edges.withColumn("weight", F.lit(1.0) if weight is None else F.col(weight).cast("double")))
-
-    def solve(points: pa.Table, links: pa.Table) -> pa.Table:
-        ids = np.unique(points["node_id"].to_numpy())
-        lap = np.zeros((len(ids), len(ids)))
-        src, dst = links["src"].to_numpy(), links["dst"].to_numpy()
-        known = np.isin(src, ids) & np.isin(dst, ids)
-        lap[np.searchsorted(ids, src[known]), np.searchsorted(ids, dst[known])] = -links["weight"].to_numpy()[known]
-        np.fill_diagonal(lap, -lap.sum(axis=1))
-        value = max(0.0, float(np.linalg.eigvalsh(lap)[1])) if len(ids) > 1 else 0.0
-        return pa.table([points["graph_id"][:1], pa.array([value] * min(1, len(ids)), pa.float64())], ["graph_id", "lambda2"])
-
-    kind = nodes.schema["graph_id"].dataType.simpleString()
-    grouped = nodes.select("graph_id", "node_id").groupBy("graph_id").cogroup(both.groupBy("graph_id"))
-    return grouped.applyInArrow(solve, f"graph_id {kind}, lambda2 double")
-
-
 def union_timeline(events: DataFrame) -> DataFrame:
     """For each simulation, graph and hour the nodes out by any active event; events has hour and node_id rows."""
     return events.select("sim_id", "graph_id", "hour", "node_id").distinct()

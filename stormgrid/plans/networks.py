@@ -15,6 +15,7 @@ from stormgrid.operators import spatial as S
 from stormgrid.operators import windows as W
 from stormgrid.operators.filters import by
 from stormgrid.operators.ranking import sample_n
+from stormgrid.operators.spectrum import algebraic_connectivity
 from stormgrid.plans.registry import Tables, query
 from stormgrid.plans.scalars import _HAV, _OVERLAP
 
@@ -270,7 +271,7 @@ def g14(t: Tables):
 
 @query("g15_algebraic_connectivity")
 def g15(t: Tables):
-    return N.algebraic_connectivity(t.fx_nodes, t.fx_edges).withColumn("lambda2", F.round("lambda2", 4))
+    return algebraic_connectivity(t.fx_nodes, t.fx_edges).withColumn("lambda2", F.round("lambda2", 4))
 
 
 _CAPS = "caps as (select graph_id, count(*)::double as n_nodes, sum(capacity) as total_capacity, avg(capacity) as mean_capacity, stddev_pop(capacity) as std_capacity, max(capacity) as max_capacity from fx_nodes group by 1)"

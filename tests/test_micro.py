@@ -11,6 +11,7 @@ from stormgrid.functions import columns as C
 from stormgrid.operators import centrality as E
 from stormgrid.operators import draws as D
 from stormgrid.operators import networks as N
+from stormgrid.operators.spectrum import algebraic_connectivity
 from stormgrid.operators import outages as O
 from stormgrid.operators import removal as R
 from stormgrid.operators.filters import add_event_times
@@ -161,12 +162,25 @@ def test_algebraic_connectivity_equals_numpy(spark):
                 lap[a, b] = lap[b, a] = -1
         want[g] = np.linalg.eigvalsh(lap - np.diag(lap.sum(axis=1)))[1] if n > 1 else 0.0
     rows = [(g, 5 * a, 5 * b, 1.0) for g, a, b in sorted(edges)] + [("two", 5, 0, 1.0), ("two", 5, 5, 1.0)]
-    out = N.algebraic_connectivity(spark.createDataFrame(nodes, "graph_id string, node_id int"), spark.createDataFrame(rows, "graph_id string, src int, dst int, weight double"))
+    out = algebraic_connectivity(spark.createDataFrame(nodes, "graph_id string, node_id int"), spark.createDataFrame(rows, "graph_id string, src int, dst int, weight double"))
     got = {r.graph_id: r.lambda2 for r in out.collect()}
     assert len(got) == out.count() and got == pytest.approx(want, abs=1e-9)
     assert want["chain20"] == pytest.approx(0.563, abs=1e-3) and want["two"] == pytest.approx(2)
 
 
+def test_algebraic_connectivity_starts_again_from_its_estimate(spark):
+    edges = [("g", k, (k + s) % 30, 1.0 + k % 3) for k in range(30) for s in (1, 4)] + [("star", 0, k, 1.0) for k in range(1, 9)] + [("g", 3, 99, 5.0)]
+    nodes = [("g", k) for k in range(30)] + [("star", k) for k in range(9)] + [("lone", 1), ("lone", 1), ("two", 1), ("two", 2)]
+    lap = np.zeros((30, 30))
+    for g, a, b, w in edges[:60]:
+        lap[a, b] = lap[b, a] = -w
+    want = {"g": np.linalg.eigvalsh(lap - np.diag(lap.sum(axis=1)))[1], "star": 1.0, "lone": 0.0, "two": 0.0}
+    tables = spark.createDataFrame(nodes, "graph_id string, node_id int"), spark.createDataFrame(edges, "graph_id string, src int, dst int, weight double")
+    got = {r.graph_id: r.lambda2 for r in algebraic_connectivity(*tables, "weight", kept=12).collect()}
+    assert got == pytest.approx(want, abs=1e-7)
+    assert algebraic_connectivity(tables[0].limit(0), tables[1], "weight").count() == 0
+
+
 def ring(*corners):
     return [{"lon": float(x), "lat": float(y)} for x, y in corners]
 
