@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
@@ -76,18 +78,19 @@ def algebraic_connectivity(nodes: DataFrame, edges: DataFrame, weight: str | Non
     table = settled(applied(hashed.join(sums.where("n > 1"), "graph_id").select("graph_id", "node_id", F.array(unit).alias("basis"))))
     size = 1
     while graphs.where("not done").limit(1).count():
-        parts = [F.sum(F.col("basis")[k] * F.col("y")) for k in range(size)]
-        first = table.groupBy("graph_id").agg(F.array(*parts).alias("c"), F.avg("y").alias("m"))
+        # The same plan in every round, so that its compiled code is used again.
+        parts = vector_to_array(Summarizer.sum(array_to_vector(F.transform("basis", lambda x: x * F.col("y")))))
+        first = table.groupBy("graph_id").agg(parts.alias("c"), F.avg("y").alias("m"))
         once = table.join(first, "graph_id").withColumn("y", F.col("y") - F.col("m") - _mixed("c"))
-        second = once.groupBy("graph_id").agg(F.array(*parts).alias("c2"), F.avg("y").alias("m2"), F.sum(F.col("y") * F.col("y")).alias("ss"))
+        second = once.groupBy("graph_id").agg(parts.alias("c2"), F.avg("y").alias("m2"), F.sum(F.col("y") * F.col("y")).alias("ss"))
         found = first.join(second, "graph_id")
         spare = F.aggregate("c2", F.lit(0.0), lambda s, x: s + x * x) + F.col("n") * F.col("m2") * F.col("m2")
         beta = F.sqrt(F.greatest(F.col("ss") - spare, F.lit(0.0)))
         step = graphs.join(found, "graph_id", "left").withColumn("fresh", F.col("c").isNotNull())
-        step = step.withColumn("alphas", F.when(F.col("fresh"), F.array_append("alphas", F.col("c")[size - 1] + F.col("c2")[size - 1])).otherwise(F.col("alphas")))
+        step = step.withColumn("alphas", F.when(F.col("fresh"), F.array_append("alphas", F.element_at("c", -1) + F.element_at("c2", -1))).otherwise(F.col("alphas")))
         step = step.withColumn("beta", beta).withColumn("betas", F.when(F.col("fresh"), F.array_append("betas", F.col("beta"))).otherwise(F.col("betas")))
         step = step.withColumn("ritz", _least_ritz("alphas", "betas"))
-        ends = (F.lit(size) >= F.col("n") - 1) | (F.col("beta") <= 1e-12 * F.col("ritz.top")) | (F.col("ritz.rest") <= tol * F.col("ritz.top"))
+        ends = (F.size("c") >= F.col("n") - 1) | (F.col("beta") <= 1e-12 * F.col("ritz.top")) | (F.col("ritz.rest") <= tol * F.col("ritz.top"))
         step = step.withColumns({"theta": F.when(F.col("fresh"), F.col("ritz.theta")).otherwise(F.col("theta")), "done": ~F.col("fresh") | ends})
         step, last = settled(step.withColumn("vector", F.col("ritz.vector")).drop("ritz", "fresh")), graphs
         dropped(last)
