@@ -43,27 +43,68 @@ def weighted_pick(asks: DataFrame, items: DataFrame, group: str, weight: str, it
     return u.join(cut, group).where("_u >= lo and (_u < hi or hi > 1 - 1e-9)").withColumn("_k", F.row_number().over(by(keys, "hi"))).where("_k = 1").drop("_u", "_k", "lo", "hi")
 
 
-def uniform_pick(asks: DataFrame, pool: DataFrame, group: str, order: str, seed: str, keys: list[str]) -> DataFrame:
-    """For each row of asks one row of the pool of its group."""
-    numbered = pool.withColumn("_i", F.row_number().over(by(group, order)) - 1)
-    sizes = pool.groupBy(group).agg(F.count("*").alias("_n"))
-    want = asks.join(sizes, group).withColumn("_i", F.floor(hash_u(F.lit(seed), *keys_of(keys)) * F.col("_n")).cast("int"))
-    return want.join(numbered, [group, "_i"]).drop("_i", "_n")
+def uniform_pick(asks: DataFrame, pool: DataFrame, group: str | list[str], order: str, seed: str, keys: list[str], least: int = 1) -> DataFrame:
+    """For each row of asks one row of the pool of its group, of groups with ``least`` rows."""
+    groups = [group] if isinstance(group, str) else group
+    numbered = pool.withColumn("_i", F.row_number().over(by(groups, order)) - 1)
+    sizes = pool.groupBy(*groups).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    want = asks.join(sizes, groups).withColumn("_i", F.floor(hash_u(F.lit(seed), *keys_of(keys)) * F.col("_n")).cast("int"))
+    return want.join(numbered, [*groups, "_i"]).drop("_i", "_n")
 
 
-def bootstrap_events(counts: DataFrame, rates: DataFrame, history: DataFrame, seed: str) -> DataFrame:
+def ladder_pick(asks: DataFrame, pools: list[tuple[str, DataFrame, list[str], int]], order: str, seed: str, keys: list[str], values: list[str]) -> DataFrame:
+    """For each row of asks a row of the first pool (level, rows, group, least) whose group has enough rows, with its level.
+
+    Rows that no pool serves are left out.
+    """
+    out, left = None, asks
+    for level, pool, group, least in pools:
+        drawn = uniform_pick(left, pool.select(*group, order, *values), group, order, seed, keys, least)
+        drawn = drawn.select(*asks.columns, order, *values, F.lit(level).alias("level"))
+        out = drawn if out is None else out.unionByName(drawn)
+        left = left.join(drawn.select(*keys), keys, "left_anti")
+    return out
+
+
+def severe_pool(history: DataFrame, group: str, value: str, top: float = 0.10) -> DataFrame:
+    """The ``top`` share of each group's rows by value, rounded up; of equal values the smaller event_id."""
+    ranked = history.withColumn("_k", F.row_number().over(by(group, F.desc(value), "event_id"))).withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+    return ranked.where(F.col("_k") <= F.ceil(F.col("_n") * F.lit(top))).drop("_k", "_n")
+
+
+def asked(counts: DataFrame) -> DataFrame:
+    """A row, numbered k from 1, for each event that counts asks for."""
+    return counts.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+
+
+def bootstrap_events(counts: DataFrame, rates: DataFrame, history: DataFrame, seed: str, severe: str | None = None, top: float = 0.10, least: int = 1) -> DataFrame:
     """Draw n events for each (sim_id, state): a county by its rate, then one of its past events, else of the state's.
 
-    counts: sim_id, state, n. rates: state, fips, rate. history: event_id, state, fips, hours.
+    counts: sim_id, state, n. rates: state, fips, rate. history: event_id, state, fips, hours, and the
+    column ``severe``, if given: then only the ``top`` share of a state's events by it are drawn from,
+    and of these the ``top`` share of each county's. Counties with fewer than ``least`` events borrow
+    from the state (``pooled``). Events of states without any history are left out.
     """
-    asks = counts.where("n > 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
     keys = ["sim_id", "state", "k"]
-    county = weighted_pick(asks, rates, "state", "rate", "fips", f"{seed}-county", keys)
-    own = uniform_pick(county, history.select("fips", "event_id", "hours"), "fips", "event_id", f"{seed}-event", keys)
-    rest = county.join(own.select(*keys), keys, "left_anti")
-    pooled = uniform_pick(rest, history.select("state", "event_id", "hours"), "state", "event_id", f"{seed}-event", keys)
-    columns = [*keys, "fips", "event_id", "hours"]
-    return own.select(*columns).withColumn("pooled", F.lit(False)).unionByName(pooled.select(*columns).withColumn("pooled", F.lit(True)))
+    county = weighted_pick(asked(counts), rates, "state", "rate", "fips", f"{seed}-county", keys)
+    of_state = history if severe is None else severe_pool(history, "state", severe, top)
+    of_county = history if severe is None else severe_pool(of_state, "fips", severe, top)
+    pools = [("county", of_county, ["fips"], least), ("state", of_state, ["state"], 1)]
+    drawn = ladder_pick(county.select(*keys, "fips"), pools, "event_id", f"{seed}-event", keys, ["hours"])
+    return drawn.select(*keys, "fips", "event_id", "hours", (F.col("level") != "county").alias("pooled"))
+
+
+def bootstrap_year_events(counts: DataFrame, rates: DataFrame, history: DataFrame, seed: str, least: int = 1) -> DataFrame:
+    """Draw n events for each (sim_id, year, state): of the county's events of that year, else the state's of that year, else the state's of all years.
+
+    counts: sim_id, year, state, n. rates: state, fips, rate. history: event_id, state, fips, year,
+    hours. Counties with fewer than ``least`` events of the year borrow. level is county, state_year
+    or state_pooled. Events of states without any history are left out.
+    """
+    keys = ["sim_id", "year", "state", "k"]
+    county = weighted_pick(asked(counts), rates, "state", "rate", "fips", f"{seed}-county", keys)
+    pools = [("county", history, ["fips", "year"], least), ("state_year", history, ["state", "year"], 1), ("state_pooled", history, ["state"], 1)]
+    return ladder_pick(county.select(*keys, "fips"), pools, "event_id", f"{seed}-event", keys, ["hours"])
 
 
 def draw_posterior(draws: DataFrame, sims: DataFrame, n_draws: int, seed: str) -> DataFrame:

@@ -22,14 +22,28 @@ pois(sim_id, state, i, u, r, n, p, c) as (select *, 0, exp(-r), exp(-r) from spl
 counts as (select sim_id, state, sum(n)::bigint as n from (select sim_id, state, i, max(n) as n from pois group by 1, 2, 3) q group by 1, 2)"""
 
 
-def _drawn(seed: str) -> str:
-    """A county by its rate, then one of its events: every county with a rate has some."""
-    u = lambda part: _U.format(f"'{seed}-{part}', sim_id, state, k")
+def _chosen(seed: str, keys: str = "sim_id, state, k") -> str:
+    """A county by its rate for each event that is asked for."""
+    u = _U.format(f"'{seed}-county', {keys}")
     return f"""asks as (select sim_id, state, unnest(range(1, n + 1)) as k from counts where n > 0),
 odds as (select state, fips, sum(greatest(rate, 1e-8)) over (partition by state order by fips) / sum(greatest(rate, 1e-8)) over (partition by state) as hi, greatest(rate, 1e-8) / sum(greatest(rate, 1e-8)) over (partition by state) as w from rates),
-chosen as (select a.*, o.fips from asks a join odds o using (state) where {u('county')} >= hi - w and ({u('county')} < hi or hi > 1 - 1e-9)),
+chosen as (select a.*, o.fips from asks a join odds o using (state) where {u} >= hi - w and ({u} < hi or hi > 1 - 1e-9))"""
+
+
+def _drawn(seed: str) -> str:
+    """A county by its rate, then one of its events: every county with a rate has some."""
+    return f"""{_chosen(seed)},
 past as (select fips, event_id, duration_min / 60.0 as hours, row_number() over (partition by fips order by event_id) - 1 as i, count(*) over (partition by fips) as n from fx_outages),
-drawn as materialized (select sim_id, state, k, c.fips, event_id, hours from chosen c join past p on p.fips = c.fips and p.i = floor({u('event')} * p.n))"""
+drawn as materialized (select sim_id, state, k, c.fips, event_id, hours from chosen c join past p on p.fips = c.fips and p.i = floor({_U.format(f"'{seed}-event', sim_id, state, k")} * p.n))"""
+
+
+def _pool(name: str, rows: str, group: str) -> str:
+    return f"{name} as (select *, row_number() over (partition by {group} order by event_id) - 1 as i, count(*) over (partition by {group}) as n from {rows})"
+
+
+def _top(name: str, rows: str, group: str) -> str:
+    """The upper tenth of each group by mean customers, rounded up."""
+    return f"""{name} as (select event_id, state, fips, hours, mean_customers from (select *, row_number() over (partition by {group} order by mean_customers desc, event_id) as r, count(*) over (partition by {group}) as c from {rows}) q where r <= ceil(c * 0.1::double))"""
 
 
 _SIMS = "select q.sim_id::int as sim_id, state, rate from srate, range(4) q(sim_id)"
@@ -59,6 +73,38 @@ def l07(t: Tables):
     return D.bootstrap_events(counts(t), rates(t), history(t), "boot")
 
 
+@query("l07_severe_events", f"""with recursive {_RATES}, {_poisson(_SIMS, 'counts')}, {_chosen('severe')}, past as (select *, duration_min / 60.0 as hours from fx_outages), {_top('bad', 'past', 'state')}, {_top('worst', 'bad', 'fips')}, {_pool('pc', 'worst', 'fips')}, {_pool('ps', 'bad', 'state')},
+u as (select *, {_U.format("'severe-event', sim_id, state, k")} as x from chosen)
+select sim_id, u.state, k, u.fips, coalesce(pc.event_id, ps.event_id) as event_id, coalesce(pc.hours, ps.hours) as hours, pc.event_id is null as pooled from u left join pc on pc.fips = u.fips and pc.n >= 2 and pc.i = floor(x * pc.n) left join ps on ps.state = u.state and ps.i = floor(x * ps.n)""", "hours")
+def l07_severe(t: Tables):
+    """Events of the severe tenth; counties with fewer than two of them borrow from the state."""
+    past = t.fx_outages.select("event_id", "state", "fips", (F.col("duration_min") / 60.0).alias("hours"), "mean_customers")
+    return D.bootstrap_events(counts(t), rates(t), past, "severe", severe="mean_customers", least=2)
+
+
+_YEARS = "select year as sim_id, state, rate * theta as rate from srate join fx_coverage using (state) where year >= 2021"
+_YEAR_KEYS = "sim_id, sim_id, state, k"
+
+
+def year_counts(t: Tables, seed: str):
+    """Counts of the years by the states' rates and multipliers; the year is the simulation's number."""
+    state = rates(t).groupBy("state").agg(F.sum("rate").alias("rate"))
+    years = t.fx_coverage.select("state", "year", "theta").where("year >= 2021")
+    scaled = state.join(years, "state").select(F.col("year").alias("sim_id"), "state", (F.col("rate") * F.col("theta")).alias("rate"))
+    return D.poisson_counts(scaled, ["sim_id", "state"], "rate", seed)
+
+
+@query("l07_year_ladder", f"""with recursive {_RATES}, {_poisson(_YEARS, 'ladder')}, {_chosen('ladder', _YEAR_KEYS)}, past as (select *, duration_min / 60.0 as hours from fx_outages where event_id % 7 = 0 and (state <> 'S3' or year < 2021)), {_pool('pc', 'past', 'fips, year')}, {_pool('py', 'past', 'state, year')}, {_pool('ps', 'past', 'state')},
+u as (select *, {_U.format(f"'ladder-event', {_YEAR_KEYS}")} as x from chosen)
+select sim_id, sim_id as year, u.state, k, u.fips, coalesce(pc.event_id, py.event_id, ps.event_id) as event_id, coalesce(pc.hours, py.hours, ps.hours) as hours, case when pc.event_id is not null then 'county' when py.event_id is not null then 'state_year' else 'state_pooled' end as level from u
+left join pc on pc.fips = u.fips and pc.year = sim_id and pc.n >= 2 and pc.i = floor(x * pc.n) left join py on py.state = u.state and py.year = sim_id and py.i = floor(x * py.n) left join ps on ps.state = u.state and ps.i = floor(x * ps.n) where coalesce(pc.event_id, py.event_id, ps.event_id) is not null""", "hours")
+def l07_ladder(t: Tables):
+    """A study with gaps: a seventh of the events are kept, and one state has none of late years."""
+    past = t.fx_outages.where("event_id % 7 = 0 and (state <> 'S3' or year < 2021)").select("event_id", "state", "fips", "year", (F.col("duration_min") / 60.0).alias("hours"))
+    asks = year_counts(t, "ladder").withColumn("year", F.col("sim_id"))
+    return D.bootstrap_year_events(asks, rates(t), past, "ladder", least=2)
+
+
 @query("l09_draw_posterior", f"with s as (select distinct sim_id from fx_epicenters), d as (select sim_id, cast(floor({_U.format(chr(39) + 'post' + chr(39) + ', sim_id')} * 40) as bigint) as draw_id from s) select d.sim_id, d.draw_id, count(*) as n from d join events e on e.event_id % 40 = d.draw_id group by 1, 2")
 def l09(t: Tables):
     draws = t.events.select((F.col("event_id") % 40).alias("draw_id"), "value")
@@ -124,19 +170,13 @@ def a36(t: Tables):
     return D.bootstrap_spearman(t.fx_sims, 20, "boot").select("boot", "rho", "n")
 
 
-_YEARS = "select year as sim_id, state, rate * theta as rate from srate join fx_coverage using (state) where year >= 2021"
-
-
 @query("j21_draw_year_events", f"""with recursive {_RATES}, {_poisson(_YEARS, 'year')}, {_drawn('year')}, {_picked("drawn", "sim_id, state, k", "year")}
 select sim_id, state, k, fips, event_id, lat, lon, least(150.0, greatest(5.0, sqrt(least(hours * 20, customers) / (greatest(customers / area_km2, 1e-6) * pi())))) as radius_km from epi join (select fips, customers, area_km2 from fx_county) c using (fips)""", "lat lon radius_km")
 def j21(t: Tables):
     """Rates by multiplier, counts, events, radii and epicentres in one chain."""
     from stormgrid.functions import columns as C
 
-    state = rates(t).groupBy("state").agg(F.sum("rate").alias("rate"))
-    years = t.fx_coverage.select("state", "year", "theta").where("year >= 2021")
-    scaled = state.join(years, "state").select(F.col("year").alias("sim_id"), "state", (F.col("rate") * F.col("theta")).alias("rate"))
-    n = D.poisson_counts(scaled, ["sim_id", "state"], "rate", "year")
+    n = year_counts(t, "year")
     events = D.bootstrap_events(n, rates(t), history(t), "year")
     placed = D.epicenters(events, tracts(t), county_rings(t), "year", ["sim_id", "state", "k"])
     county = t.fx_county.select("fips", "customers", "area_km2")
