@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -10,6 +11,10 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stormgrid.operators.losses import curve_metrics
+from stormgrid.operators.networks import settled
+from stormgrid.operators.ranking import region_holdout, state_holdout, stratified_split
+
 
 def shrink_rates(counts: DataFrame, by: str) -> DataFrame:
     """Empirical Bayes for Poisson rates: Gamma prior by moments of each group; counts has n and t."""
@@ -106,6 +111,57 @@ def score(df: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
     return df
 
 
+def protocols(df: DataFrame, row_id: str, seed: str, east_of: float = -100.0, share: float = 0.3, regions: Sequence[str] = (), least: int = 20, states: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """The rows of df with a column split (train or test) under each protocol, by its name.
+
+    east_west trains east of a meridian; stratified_stratum tests a share of each window_stratum;
+    stratified_state tests whole states of about that share. region_<name> tests one region's states
+    (column code), and state_<name> one state: all with ``least`` rows, or those in ``states``. Rows
+    without a longitude take no part in east_west, those without a state none in folds and stratified_state.
+    """
+    side = F.when(F.col("center_lon") > east_of, "train").otherwise("test")
+    known = df.where("state is not null")
+    held = state_holdout(known, "window_stratum", share)
+    out = {
+        "east_west": df.where("center_lon is not null").withColumn("split", side),
+        "stratified_stratum": stratified_split(df, "window_stratum", share, seed, row_id),
+        "stratified_state": known.withColumn("split", F.when(F.col("state").isin(held), "test").otherwise("train")),
+    }
+    for region in regions:
+        out[f"region_{region}"] = region_holdout(df, "code", region)
+    large = known.groupBy("state").count().where(F.col("count") >= least)
+    for state in sorted(r["state"] for r in large.toLocalIterator()):  # one row a state
+        if states is None or state in states:
+            out[f"state_{state}"] = known.withColumn("split", F.when(F.col("state") == state, "test").otherwise("train"))
+    return out
+
+
+def compare_splits(splits: dict[str, DataFrame], features: Sequence[str], targets: Sequence[str], trees: int = 20, depth: int = 4) -> DataFrame:
+    """One model for each target, fitted and scored under each split: (split, target, n_train, n_test, r2, mae, overall_r2, overall_mae).
+
+    Each split's rows have a column split; a model sees only its train rows, its scale included.
+    Targets that are null count in neither part. A split whose train or test part is empty for a
+    target has a row with its counts and nulls. Overall figures take all targets' test rows together.
+    """
+    scores, sizes = [], []
+    for name, rows in splits.items():
+        for target in targets:
+            whole = rows.where(F.col(target).isNotNull()).select("split", *features, target)
+            train, test = whole.where("split = 'train'"), whole.where("split = 'test'")
+            n_train, n_test = train.count(), test.count()
+            sizes.append((name, target, n_train, n_test))
+            if n_train and n_test:
+                scored = score(test, fit_curve_surrogate(train, features, [target], trees, depth))
+                scores.append(scored.select(F.lit(name).alias("split"), F.lit(target).alias("target"), F.col(target).cast("double").alias("y_true"), F.col(f"pred_{target}").alias("y_pred")))
+    spark = next(iter(splits.values())).sparkSession
+    out = spark.createDataFrame(sizes, "split string, target string, n_train long, n_test long")
+    every = reduce(DataFrame.unionAll, scores) if scores else spark.createDataFrame([], "split string, target string, y_true double, y_pred double")
+    every = settled(every)
+    each = curve_metrics(every, ["split", "target"], 1).drop("n")
+    overall = curve_metrics(every, ["split"], 1).select("split", F.col("r2").alias("overall_r2"), F.col("mae").alias("overall_mae"))
+    return out.join(each, ["split", "target"], "left").join(overall, "split", "left")
+
+
 def importance(models: dict[str, PipelineModel], features: Sequence[str], spark) -> DataFrame:
     rows = [(t, f, float(v)) for t, m in models.items() for f, v in zip(features, m.stages[-1].featureImportances.toArray(), strict=True)]
     return spark.createDataFrame(rows, "target string, feature string, importance double")

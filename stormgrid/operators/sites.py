@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormgrid.functions import columns as C
+from stormgrid.functions.columns import hash_u
 from stormgrid.operators.delaunay import voronoi_edges
 from stormgrid.operators.draws import point_in_ring, weighted_pick
 from stormgrid.operators.filters import by
@@ -106,6 +107,48 @@ def expand_corridors(sites: DataFrame, lines: DataFrame, fill: DataFrame, pct: f
     return kept.unionByName(added)
 
 
+def expand_drawn(sites: DataFrame, areas: DataFrame, weight: str, pct: float, seed: str, rule: str, spacing_km: float = SPACING_KM, tries: int = 200) -> DataFrame:
+    """Sites (id, state, lat, lon, capacity) and ceil(pct * n) new ones for each state at random places of its areas.
+
+    areas: state, area_id, ring and ``weight``, its population or its size. Points are drawn in order and
+    taken if they keep ``spacing_km`` from old and taken sites; a state that is short draws on, each lot
+    three times as many as all before, up to ``tries`` draws for each site it asks for. What is taken
+    depends neither on lots nor on other states. New sites have capacity 1, is_cf_added and ``rule``.
+    """
+    old = settled(planar(sites.select("id", "state", "lat", "lon", "capacity")))
+    short = settled(old.groupBy("state").agg(F.ceil(F.count("*") * pct).cast("int").alias("quota")).where("quota > 0").withColumn("wanted", F.col("quota")))
+    grown = old.select("id", "state", "x", "y")
+    added = sites.select("id", "state", "lat", "lon").limit(0)
+    seen, per = 0, min(4, tries)
+    while seen < tries and short.limit(1).count():
+        asks = short.select("state", (F.col("wanted") * per).alias("n"), (F.col("wanted") * seen).alias("had"))
+        lot = drawn_points(areas, asks, weight, seed).join(asks, "state").where("ord > had").drop("n", "had")
+        lot = settled(planar(lot)).withColumn("ord", F.struct("ord", "id"))
+        fresh = settled(greedy_sites(lot, grown, short.select("state", "quota"), spacing_km).select("id", "state", "lat", "lon", "x", "y"))
+        added, grown = settled(added.unionByName(fresh.drop("x", "y"))), settled(grown.unionByName(fresh.select("id", "state", "x", "y")))
+        have = fresh.groupBy("state").agg(F.count("*").alias("have"))
+        left = short.join(have, "state", "left").withColumn("quota", F.col("quota") - F.coalesce("have", F.lit(0)))
+        short = settled(left.where("quota > 0").drop("have"))
+        seen, per = per, min(per * 4, tries)
+    added = added.withColumns({"capacity": F.lit(1.0), "is_cf_added": F.lit(True), "rule": F.lit(rule)})
+    kept = old.select("id", "state", "lat", "lon", "capacity", F.lit(None).cast("string").alias("rule"), F.lit(False).alias("is_cf_added"))
+    return kept.unionByName(added)
+
+
+def tag_within(sites: DataFrame, pct: float, seed: str) -> DataFrame:
+    """Sites (id, state, n_stations) of which ceil(pct * n) of each state, at least one if pct > 0, are densified in place.
+
+    Which ones, a hash of the id tells. Those have densify_mode within_diagnostic and one station more
+    (a null count is one station); no site and no edge comes or goes.
+    """
+    place = F.row_number().over(by("state", hash_u(F.lit(seed), F.col("id")), "id"))
+    n = F.count("*").over(Window.partitionBy("state"))
+    chosen = place <= (F.greatest(F.lit(1), F.ceil(n * F.lit(pct))) if pct > 0 else F.lit(0))
+    out = sites.withColumn("_chosen", chosen)
+    more = F.when(F.col("_chosen"), F.coalesce("n_stations", F.lit(1)) + 1).otherwise(F.col("n_stations"))
+    return out.withColumns({"densify_mode": F.when(F.col("_chosen"), "within_diagnostic"), "n_stations": more}).drop("_chosen")
+
+
 def widest(points: DataFrame, coordinates: list[str], group: str = "graph_id") -> DataFrame:
     """(group, widest): the largest distance between two points of each group, 0 for one point.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stormgrid.operators import losses as L
 from stormgrid.operators import models as M
 from stormgrid.operators.joins import curve_to_columns
+from stormgrid.operators.networks import settled
 from stormgrid.plans.registry import Tables, query
 
 FEATURES = ["radius_km", "center_lat", "center_lon"]
@@ -67,6 +68,30 @@ def m06(t: Tables):
     return L.curve_metrics(out, ["split"]).select("split", F.round("r2", 4).alias("r2"), F.round("mae", 4).alias("mae"), "n")
 
 
+def _rounded(found):
+    return found.withColumns({c: F.round(c, 4) for c in ("r2", "mae", "overall_r2", "overall_mae")})
+
+
+def coded(t: Tables):
+    """Windows with their targets and the codes of states that stand for the letters of the fixture's."""
+    code = F.split_part(F.lit("CA TX NY MD DE IA OH ME FL ZZ"), F.lit(" "), F.expr("1 + cast(substring(state, 2) as int)"))
+    return settled(windows(t).withColumn("code", code))
+
+
+@query("m06_protocols")
+def m06_protocols(t: Tables):
+    """Three protocols and a region, two targets each."""
+    splits = M.protocols(coded(t), "ord", "protocols", regions=["northeast"], states=[])
+    return _rounded(M.compare_splits(splits, FEATURES, ["y_betweenness_10", "y_random_50"], 5, 3))
+
+
+@query("m06_state_folds")
+def m06_folds(t: Tables):
+    """A fold for each state of 20 windows."""
+    splits = {k: v for k, v in M.protocols(coded(t), "ord", "protocols").items() if k.startswith("state_")}
+    return _rounded(M.compare_splits(splits, FEATURES, ["y_random_50"], 5, 3))
+
+
 @query("m04_tune")
 def m04(t: Tables):
     _, errors = M.tune(windows(t), FEATURES, "y_random_50", [2, 3], [2, 4])

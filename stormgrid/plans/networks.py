@@ -499,18 +499,46 @@ def g21(t: Tables):
     return out.select("state", "lat", "lon", "is_added")
 
 
-def corridor_case(t: Tables):
-    """Sites of each state, corridors through some of its counties, and spare points drawn in squares."""
+def site_areas(t: Tables):
+    """Sites of each state, and a square for each of its counties."""
     sites = t.fx_nodes.select(F.concat(F.lit("n"), F.col("node_id").cast("string")).alias("id"), F.split_part("graph_id", F.lit("_"), F.lit(1)).alias("state"), "lat", "lon", "capacity").where("substring(id, -1) = '7'")
-    lines = t.fx_stations.where("station_id % 50 = 3").select("state", F.lit("road").alias("line_id"), F.col("station_id").alias("seq"), "lat", "lon")
     south, west = F.col("centroid_lat"), F.col("centroid_lon")
     corners = ((0.0, 0.0), (1.4, 0.0), (1.4, 1.4), (0.0, 1.4))
     ring = F.array(*(F.struct((west + x).alias("lon"), (south + y).alias("lat")) for x, y in corners))
-    areas = t.fx_county.select("state", F.col("fips").alias("area_id"), "population", ring.alias("ring"))
+    return sites, t.fx_county.select("state", F.col("fips").alias("area_id"), "population", "area_km2", ring.alias("ring"))
+
+
+def corridor_case(t: Tables):
+    """Sites of each state, corridors through some of its counties, and spare points drawn in squares."""
+    sites, areas = site_areas(t)
+    lines = t.fx_stations.where("station_id % 50 = 3").select("state", F.lit("road").alias("line_id"), F.col("station_id").alias("seq"), "lat", "lon")
     counts = sites.groupBy("state").agg((F.count("*") * 5).alias("n"))
     return sites, lines, X.drawn_points(areas, counts, "population", "fill")
 
 
+@query("g21_within", f"""select station_id, state, case when place <= greatest(1, ceil(n * 0.1::double)) then n_stations + 1 else n_stations end as n_stations, case when place <= greatest(1, ceil(n * 0.1::double)) then 'within_diagnostic' end as densify_mode
+from (select station_id, state, cast(n_l1 + n_l2 + n_dc as bigint) as n_stations, count(*) over (partition by state) as n, row_number() over (partition by state order by cast('0x' || substr(md5(concat_ws('|', 'within', station_id)), 1, 8) as bigint), station_id) as place from fx_stations) q""")
+def g21_within(t: Tables):
+    sites = t.fx_stations.select(F.col("station_id").alias("id"), "state", (F.col("n_l1") + F.col("n_l2") + F.col("n_dc")).cast("long").alias("n_stations"))
+    return X.tag_within(sites, 0.1, "within").withColumnRenamed("id", "station_id")
+
+
+@query("g21_by_population")
+def g21_population(t: Tables):
+    """Sites drawn by population in the squares of the counties."""
+    sites, areas = site_areas(t)
+    out = X.expand_drawn(sites, areas, "population", 0.5, "people", "population")
+    return out.select("state", "id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "rule", "is_cf_added")
+
+
+@query("g21_by_area")
+def g21_area(t: Tables):
+    """Sites drawn evenly in space, the control of the two above."""
+    sites, areas = site_areas(t)
+    out = X.expand_drawn(sites, areas, "area_km2", 0.5, "space", "uniform")
+    return out.select("state", "id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "rule", "is_cf_added")
+
+
 @query("g21_corridors")
 def g21_corridors(t: Tables):
     out = X.expand_corridors(*corridor_case(t), 0.5)

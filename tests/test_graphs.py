@@ -292,6 +292,65 @@ def test_corridors_equal_the_plain_loop(spark):
     assert got == want and {r for _, r in want} == {"corridor", "fill"}
 
 
+def test_drawn_sites_equal_the_plain_loop(spark):
+    """Lots of draws give what one pass over all draws gives; crowded states stay short."""
+    from stormgrid.operators import sites as X
+
+    rnd = random.Random(22)
+    sites = [(f"n{s}{k}", s, 40 + rnd.uniform(0, 1), -100 + rnd.uniform(0, 1), 5.0) for s, n in (("A", 8), ("B", 2), ("C", 9)) for k in range(n)]
+    square = lambda y, x, d: [{"lon": x + a, "lat": y + b} for a, b in ((0.0, 0.0), (d, 0.0), (d, d), (0.0, d))]
+    areas = [("A", "a1", 3.0, square(40.0, -100.0, 1.0)), ("A", "a2", 1.0, square(41.0, -100.0, 0.5)), ("B", "b1", 0.0, square(40.0, -100.0, 2.0)), ("B", "b2", 2.0, square(40.0, -100.0, 1.0)), ("C", "c1", 1.0, square(40.0, -100.0, 0.1))]
+    frames = (
+        spark.createDataFrame(sites, "id string, state string, lat double, lon double, capacity double"),
+        spark.createDataFrame(areas, "state string, area_id string, population double, ring array<struct<lon: double, lat: double>>"),
+    )
+    out = X.expand_drawn(*frames, "population", 0.7, "t", "population", 15.0, 40).collect()
+    target = {"A": 6, "B": 2, "C": 7}
+    asks = spark.createDataFrame([(s, n * 40) for s, n in target.items()], "state string, n int")
+    want = set()
+    held = {s: [plane(y, x) for _, t, y, x, _ in sites if t == s] for s in target}
+    left = dict(target)
+    for r in sorted(X.drawn_points(frames[1], asks, "population", "t").collect(), key=lambda r: (r.state, r.ord)):
+        p = plane(r.lat, r.lon)
+        if left[r.state] and all(math.dist(p, h) >= 15.0 for h in held[r.state]):
+            held[r.state].append(p)
+            want.add(r.id)
+            left[r.state] -= 1
+    assert {r.id for r in out if r.is_cf_added} == want and left["A"] == left["B"] == 0 < left["C"]
+    assert len(out) == len(sites) + len(want) and all(r.capacity == 1 and r.rule == "population" for r in out if r.is_cf_added)
+
+
+def test_sites_densified_in_place(spark):
+    from stormgrid.operators import sites as X
+
+    sites = spark.createDataFrame([(f"{s}{k}", s, None if k == 0 else k) for s, n in (("A", 10), ("B", 1)) for k in range(n)], "id string, state string, n_stations int")
+    out = {r.id: r for r in X.tag_within(sites, 0.25, "t").collect()}
+    tagged = [r for r in out.values() if r.densify_mode]
+    assert len(out) == 11 and sorted(r.state for r in tagged) == ["A", "A", "A", "B"]
+    assert all(r.n_stations == (int(r.id[1:]) or 1) + 1 for r in tagged)
+    assert all(r.n_stations == (int(r.id[1:]) or None) for r in out.values() if not r.densify_mode)
+    assert X.tag_within(sites, 0.0, "t").where("densify_mode is not null").count() == 0
+
+
+def test_split_protocols_and_their_scores(spark):
+    from stormgrid.operators import models as M
+
+    rows = [(k, ("T", "N", "C")[k % 3], ("TX", "NY", "CA")[k % 3], ("urban", "rural")[k % 2], float(k % 7), -110.0 + k if k != 5 else None, float(k % 7) if k != 4 else None) for k in range(30)] + [(99, None, None, "rural", 1.0, -90.0, 1.0)]
+    df = spark.createDataFrame(rows, "ord int, state string, code string, window_stratum string, x double, center_lon double, y double")
+    splits = M.protocols(df, "ord", "t", regions=["northeast"], least=5, states=["T", "N"])
+    assert set(splits) == {"east_west", "stratified_stratum", "stratified_state", "region_northeast", "state_T", "state_N"}
+    parts = {k: {r.ord: r.split for r in v.collect()} for k, v in splits.items()}
+    assert parts["east_west"] == {r[0]: "train" if r[5] > -100 else "test" for r in rows if r[5] is not None}
+    assert parts["region_northeast"] == {r[0]: "test" if r[2] == "NY" else "train" for r in rows}
+    assert parts["state_T"] == {r[0]: "test" if r[1] == "T" else "train" for r in rows if r[1]}
+    assert sum(v == "test" for v in parts["stratified_stratum"].values()) == 9
+    wanted = {k: splits[k] for k in ("east_west", "state_T")} | {"empty": splits["state_T"].where("split = 'train'")}
+    out = {r.split: r for r in M.compare_splits(wanted, ["x"], ["y"], 20, 3).collect()}
+    assert (out["east_west"].n_train, out["east_west"].n_test) == (20, 9)  # one label and one longitude are missing
+    assert (out["state_T"].n_train, out["state_T"].n_test) == (19, 10) and out["empty"].n_test == 0 and out["empty"].r2 is None
+    assert out["state_T"].r2 > 0.7 and out["state_T"].overall_r2 == pytest.approx(out["state_T"].r2)
+
+
 def test_widest_pair_of_odd_shapes(spark):
     from stormgrid.operators import sites as X
 
