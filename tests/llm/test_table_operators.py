@@ -100,6 +100,34 @@ def test_neighbours_recall_and_edge_rows(spark, monkeypatch):
     assert len(copies) > 10 and copies == [k for k in range(100, 121) if k != 120][: len(copies)]
 
 
+@pytest.mark.parametrize("kind", ["norms", "rare", "copies"])
+def test_neighbours_miss_none_on_any_rows(spark, monkeypatch, kind):
+    """Rows that the codes tell apart badly: of very different norms, few far from a crowd, and near copies."""
+    monkeypatch.setattr(neighbours, "ROWS", 700)
+    rnd = np.random.default_rng(8)
+    x = rnd.standard_normal((2500, 24))
+    if kind == "norms":
+        x *= np.exp(1.5 * rnd.standard_normal((2500, 1)))
+    elif kind == "rare":
+        x[rnd.permutation(2500)[:2300]] *= 1e-3
+    else:
+        x[:2000] = x[0] + 1e-3 * x[:2000]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    want = plain_nearest(x, list(range(2500)), 20, 20)
+    for probes in (neighbours.PROBES, 0.1):
+        got = {}
+        for r in neighbours.search(df, probes=probes).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: [i for _, i in found] for q, found in want.items()}
+
+
+def test_neighbours_of_products_beyond_a_float(spark):
+    x = np.random.default_rng(9).standard_normal((400, 8)) * 1e30
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {(r.query_id, r.rank): r.vec_id for r in neighbours.search(df).collect()}
+    assert got == {(q, k): i for q, found in plain_nearest(x, list(range(400)), 20, 20).items() for k, (_, i) in enumerate(found, 1)}
+
+
 def test_neighbours_of_each_length_and_repeated_ids(spark):
     rows = [(20, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.9, 0.0]), (2, [1.0, 2.0, 3.0]), (40, [1.0, 1.0, 1.0]), (3, [0.0, 0.0]), (4, None)]
     got = [tuple(r) for r in neighbours.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()]
