@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormgrid.functions.columns import hash_u
 from stormgrid.operators.filters import by
 from stormgrid.operators.networks import independent_set, settled
-from stormgrid.operators.spatial import within_radius
+from stormgrid.operators.spatial import overlapping_pairs, within_radius
 
 #: Shares of a window's radius that centres keep from each other, pass by pass.
 SEPARATIONS = (0.5, 0.35)
@@ -93,15 +93,37 @@ def random_windows(
     return windows, members
 
 
-def quota_dedupe(windows: DataFrame, conflicts: DataFrame, quotas: DataFrame | None = None) -> DataFrame:
-    """Windows that a greedy pass in the order of ``ord`` keeps, of each stratum the first ``quota``.
+def spaced_windows(windows: DataFrame, most: float, quotas: DataFrame | None = None, first: int = 500) -> DataFrame:
+    """Windows that a greedy pass in the order of ``ord`` (a number) keeps, no two of which overlap by more than ``most``.
 
-    conflicts has pairs (a, b) of ords with a < b. With quotas (window_stratum, quota) a stratum that
-    has its quota takes no more, so conflicts must lie inside strata: a window beyond its quota could
-    otherwise have kept others out. Returns the kept windows.
+    The pass takes lots, each three times all before it, from ``first`` windows on. Of a lot only the
+    windows that no kept one rules out are compared with each other: their number is bounded by the room
+    that is left, not by the number of windows, so conflicts between windows that fall anyway are never
+    listed. With quotas (window_stratum, quota) only windows of one stratum conflict, and a stratum that
+    has its quota takes no more. Returns the kept windows.
     """
-    kept = windows.join(independent_set(windows, conflicts).where("kept").select("ord"), "ord")
+    n = windows.count()
+    shares = [min(1.0, first / n) * 4.0**k for k in range(32) if min(1.0, first / n) * 4.0**k < 1] if n else []
+    cuts = sorted(set(windows.agg(F.percentile_approx("ord", shares, 10000)).first()[0])) if shares else []
+    kept = None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        lot = windows if low is None else windows.where(F.col("ord") > low)
+        lot = lot if high is None else lot.where(F.col("ord") <= high)
+        if quotas is not None:
+            open_ = quotas if kept is None else quotas.join(kept.groupBy("window_stratum").agg(F.count("*").alias("have")), "window_stratum", "left").where("have is null or have < quota")
+            lot = lot.join(F.broadcast(open_.select("window_stratum")), "window_stratum")  # one row a stratum
+        near = lambda a, b: overlapping_pairs(a, b).where((F.col("overlap") > most) & (F.lit(quotas is None) | (F.col("stratum_a") == F.col("stratum_b"))))
+        if kept is not None:
+            lot = lot.join(near(kept, lot).select(F.col("ord_b").alias("ord")).distinct(), "ord", "left_anti")
+        lot = settled(lot.select(windows.columns))
+        if not lot.limit(1).count():
+            continue
+        chosen = independent_set(lot, near(lot, lot).select(F.col("ord_a").alias("a"), F.col("ord_b").alias("b"))).where("kept")
+        now = lot.join(chosen.select("ord"), "ord").select(windows.columns)
+        kept = settled(now if kept is None else kept.unionByName(now))
+    if kept is None:
+        return windows.limit(0)
     if quotas is None:
         return kept
     rank = F.row_number().over(by("window_stratum", "ord"))
-    return kept.withColumn("rank", rank).join(F.broadcast(quotas), "window_stratum").where("rank <= quota").drop("rank", "quota")  # one row a stratum
+    return kept.withColumn("rank", rank).join(F.broadcast(quotas), "window_stratum").where("rank <= quota").select(windows.columns)
