@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from stormgrid.operators import removal as R
 from stormgrid.operators import windows as W
 
 
@@ -44,3 +45,43 @@ def test_spaced_windows_of_a_crowd(spark, quota):
     quotas = quota and spark.createDataFrame([(s, quota) for s in ("urban", "suburban", "rural")], "window_stratum string, quota int")
     got = W.spaced_windows(spark.createDataFrame(rows, SCHEMA), 0.25, quotas, first=100)
     assert sorted(r.ord for r in got.collect()) == [k[5] for k in kept]
+
+
+NODES = "graph_id string, group string, node_id long, lat double, lon double, capacity double"
+
+
+def placed_graphs(seed):
+    """Two rings with chords and a path, of two groups."""
+    rng = random.Random(seed)
+    nodes = [(g, g[0], 100 * k + i, 35 + rng.random(), -100 + rng.random(), float(rng.randrange(5))) for k, g in enumerate(("a1", "a2", "b1")) for i in range(7)]
+    edges = [(g, 100 * k + i, 100 * k + (i + s) % 7, 1.0 + rng.randrange(4)) for k, g in enumerate(("a1", "a2")) for i in range(7) for s in (1, 3)]
+    return nodes, edges + [("b1", 200 + i, 201 + i, 1.0) for i in range(5)]
+
+
+def test_events_on_small_graphs_as_on_large_ones(spark):
+    nodes, edges = placed_graphs(3)
+    events = [(i, "ab"[i % 2], 35 + i % 7 / 7, -100 + i % 5 / 5, 10.0 + i) for i in range(20)]
+    n, e = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, "graph_id string, src long, dst long, weight double")
+    ev = spark.createDataFrame(events, "case_id long, group string, lat double, lon double, radius_km double")
+    hours = spark.createDataFrame([(i, i % 2, h) for i in range(20) for h in range(i % 3, i % 5 + 2)], "case_id long, sim_id int, hour long")
+    rows = lambda d: {tuple(r[:2]): tuple(round(float(x), 7) for x in r[2:]) for r in d.collect()}
+    few, many = R.event_loss(n, e, ev), R.event_loss(n, e, ev, small=0)
+    assert few.columns == many.select(few.columns).columns and few.count() == 30
+    assert rows(few) == rows(many.select(few.columns))
+    few, many = R.event_timeline_loss(n, e, ev, hours), R.event_timeline_loss(n, e, ev, hours, small=0)
+    assert few.count() == 3 and rows(few) == rows(many.select(few.columns))
+    lost = {r.case_id: r for r in R.event_loss(n, e, ev).where("graph_id = 'b1'").collect()}
+    for i, g, lat, lon, radius in events:
+        if g == "b":
+            assert lost[i].n_removed == sum(km(lat, lon, *r[3:5]) <= radius for r in nodes if r[0] == "b1")
+
+
+def test_removals_on_small_graphs_as_on_large_ones(spark):
+    nodes, edges = placed_graphs(4)
+    rng = random.Random(5)
+    removed = [(g, c, 100 * k + i) for k, g in enumerate(("a1", "a2", "b1")) for c in range(4) for i in rng.sample(range(7), 1 + 2 * c)]
+    n, e = spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, "graph_id string, src long, dst long, weight double")
+    gone = spark.createDataFrame(removed, "graph_id string, case_id int, node_id long")
+    few, many = R.removal_loss(n, e, gone, weight="weight"), R.removal_loss(n, e, gone, weight="weight", small=0)
+    rows = lambda d: {tuple(r[:2]): tuple(round(float(x), 7) for x in r[2:]) for r in d.select(few.columns).collect()}
+    assert few.count() == 12 and rows(few) == rows(many)
