@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from stormgrid.operators import disks as D
 from stormgrid.operators import removal as R
 from stormgrid.operators import windows as W
 
@@ -85,3 +86,23 @@ def test_removals_on_small_graphs_as_on_large_ones(spark):
     few, many = R.removal_loss(n, e, gone, weight="weight"), R.removal_loss(n, e, gone, weight="weight", small=0)
     rows = lambda d: {tuple(r[:2]): tuple(round(float(x), 7) for x in r[2:]) for r in d.select(few.columns).collect()}
     assert few.count() == 12 and rows(few) == rows(many)
+
+
+def test_disk_sums_of_crowds_poles_and_the_date_line(spark, monkeypatch):
+    monkeypatch.setattr(D, "CENTERS", 40)
+    monkeypatch.setattr(D, "POINTS", 300)
+    rng = random.Random(7)
+    spots = [(35.0, -100.0, 0.5), (0.0, 179.9, 0.6), (89.5, 10.0, 0.4), (-45.2, -180.0, 1.5)]
+    place = lambda: (lambda s: (min(90.0, s[0] + rng.uniform(-1, 1) * s[2]), (s[1] + rng.uniform(-1, 1) * s[2] + 180) % 360 - 180))(rng.choice(spots))
+    points = [(i, "ab"[i % 2], *place(), float(i % 9)) for i in range(1500)] + [(-1, "a", None, 0.0, 1.0)]
+    disks = [(i, "ab"[i % 2], *place(), rng.choice([0.0, 3.0, 20.0, 90.0, 400.0, 20100.0][: 5 + (i % 40 == 0)])) for i in range(200)]
+    p = spark.createDataFrame(points, "pid long, g string, lat double, lon double, v double")
+    c = spark.createDataFrame(disks, "did long, g string, clat double, clon double, radius double")
+    for group in (None, "g"):
+        got = {r.did: (r.n, r.v, r.least) for r in D.disk_sums(p, c, "did", ["v"], "pid", group).collect()}
+        want = {}
+        for i, g, lat, lon, radius in disks:
+            held = [q for q in points[:-1] if (group is None or q[1] == g) and km(lat, lon, q[2], q[3]) <= radius]
+            if held:
+                want[i] = (len(held), sum(q[4] for q in held), min(q[0] for q in held))
+        assert got == want
