@@ -4,10 +4,14 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stormgrid.operators import disks as D
 from stormgrid.operators import removal as R
+from stormgrid.operators import sites as X
+from stormgrid.operators import spatial as S
 from stormgrid.operators import windows as W
+from stormgrid.operators.ranking import sample_n
 
 
 def km(lat1, lon1, lat2, lon2):
@@ -106,3 +110,43 @@ def test_disk_sums_of_crowds_poles_and_the_date_line(spark, monkeypatch):
             if held:
                 want[i] = (len(held), sum(q[4] for q in held), min(q[0] for q in held))
         assert got == want
+
+
+def test_nearest_of_a_crowd_and_from_afar(spark, monkeypatch):
+    monkeypatch.setattr(S, "MANY", 100)
+    rng = random.Random(9)
+    targets = [(f"t{i}", 35 + rng.random() * 0.3, -100 + rng.random() * 0.3) for i in range(600)] + [(f"u{i}", 35.1, -100.1) for i in range(50)] + [("x", 10.0, 179.9)]
+    points = [(f"p{i}", *rng.choice([(35.15, -99.9), (38.0, -101.0), (12.0, -179.5), (35.1, -100.1)])) for i in range(40)] + targets[:20] + targets[600:610]
+    t, p = spark.createDataFrame(targets, "tid string, lat double, lon double"), spark.createDataFrame(points, "own string, lat double, lon double")
+
+    def want(most):
+        best = {k: min((round(km(a, b, c, d), 9), o) for o, c, d in targets if o != k) for k, a, b in points}
+        return {k: (v if v[0] <= most else (None, None)) for k, v in best.items()}
+
+    rows = lambda d: {r.own: (r.nearest_km if r.nearest_km is None else round(r.nearest_km, 9), r.nearest_id) for r in d.collect()}
+    assert rows(S.nearest_to(p, t, "own", "tid")) == want(1e9)
+    assert rows(S.nearest(p, t, 50.0, "own", "tid")) == want(50.0)
+
+
+def test_first_members_of_crowded_windows(spark):
+    rng = random.Random(11)
+    points = spark.createDataFrame([(i, 35 + rng.random(), -100 + rng.random()) for i in range(900)], "pid long, lat double, lon double")
+    windows = spark.createDataFrame([(f"w{i}", r, 35 + rng.random(), -100 + rng.random()) for i in range(20) for r in [(1.0, 5.0, 60.0)[i % 3]]], "window_id string, radius_km double, clat double, clon double")
+    every = S.within_radius(points, windows, F.col("radius_km"))
+    want = {tuple(r) for r in sample_n(every, 5, "s", ["window_id"], "pid").select("window_id", "pid").collect()}
+    assert want and {tuple(r) for r in W.first_members(points, windows, 5, "s", "pid", first=20).collect()} == want
+
+
+def test_drawn_sites_where_old_ones_fill_the_state(spark):
+    square = [(-100.0, 35.0), (-99.0, 35.0), (-99.0, 36.0), (-100.0, 36.0)]
+    areas = [("S", f"a{i}", [(x + i, y) for x, y in square], float(i + 1)) for i in range(2)]
+    a = spark.createDataFrame(areas, "state string, area_id string, ring array<struct<lon: double, lat: double>>, w double")
+    old = spark.createDataFrame([(f"o{i}", "S", 35 + i % 20 / 20, -100 + i // 20 / 20, 1.0) for i in range(400)], "id string, state string, lat double, lon double, capacity double")
+    got = X.expand_drawn(old, a, "w", 0.05, "seed", "even", tries=16).where("is_cf_added").collect()
+    draws = X.planar(X.drawn_points(a, spark.createDataFrame([("S", 20 * 16)], "state string, n long"), "w", "seed")).orderBy("ord").collect()
+    taken, spots = [], [(r.x, r.y) for r in X.planar(old).collect()]
+    for r in draws:
+        if len(taken) < 20 and all(math.hypot(r.x - x, r.y - y) >= X.SPACING_KM for x, y in spots):
+            taken.append(r.id)
+            spots.append((r.x, r.y))
+    assert taken and sorted(r.id for r in got) == sorted(taken)
