@@ -93,6 +93,27 @@ def random_windows(
     return windows, members
 
 
+def first_members(points: DataFrame, windows: DataFrame, n: int, seed: str, row_id: str, first: int = 2000) -> DataFrame:
+    """(window_id, row_id): the first ``n`` points (row_id, lat, lon) of each window's disk in an order of hashes that all windows share.
+
+    windows: window_id (unique), radius_km, clat, clon. Points come in lots of that order, each three times
+    all before it, from about ``first`` points on; a window that has its members looks at no further lot.
+    """
+    points = points.select(row_id, "lat", "lon").withColumn("_u", hash_u(F.lit(seed), F.col(row_id)))
+    points, left = settled(points), settled(windows.select("window_id", "radius_km", "clat", "clon", F.lit(n).alias("missing")))
+    low, high, cell, out = 0.0, min(1.0, first / max(1, points.count())), 0.5, None
+    while low < 1.0 and left.limit(1).count():
+        lot = points.where((F.col("_u") >= low) & (F.col("_u") < high if high < 1.0 else F.lit(True)))
+        pairs = within_radius(lot, left, F.col("radius_km"), cell).select("window_id", row_id, "_u", "missing")
+        now = settled(pairs.withColumn("_k", F.row_number().over(by("window_id", "_u", row_id))).where(F.col("_k") <= n).where("_k <= missing").select("window_id", row_id))
+        out = now if out is None else out.unionAll(now)
+        have = now.groupBy("window_id").agg(F.count("*").alias("have"))
+        left = left.join(have, "window_id", "left").withColumn("missing", F.col("missing") - F.coalesce("have", F.lit(0))).drop("have")
+        left = settled(left.where("missing > 0"))
+        low, high, cell = high, min(1.0, high * 4), max(cell / 2, 0.125)
+    return windows.select("window_id").join(points.select(row_id), F.lit(False)) if out is None else out
+
+
 def spaced_windows(windows: DataFrame, most: float, quotas: DataFrame | None = None, first: int = 500) -> DataFrame:
     """Windows that a greedy pass in the order of ``ord`` (a number) keeps, no two of which overlap by more than ``most``.
 
