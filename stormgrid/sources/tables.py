@@ -6,10 +6,11 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormgrid.functions import columns as C
+from stormgrid.sources.shared import written
 
 OUTAGES = "fips int, state string, county string, start_time timestamp_ntz, duration double, min_customers double, max_customers double, mean_customers double"
 STATION_NUMBERS = {"Latitude": "lat", "Longitude": "lon", "EV Level1 EVSE Num": "n_l1", "EV Level2 EVSE Num": "n_l2", "EV DC Fast Count": "n_dc"}
@@ -66,19 +67,45 @@ def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     return df.select("state", year.alias("year"), C.to_number(F.col("max_pct_covered")).alias("theta"))
 
 
+#: Folders of a year over which graphs are dealt.
+SHARDS = 64
+
+
+def _shard(graph: Column) -> Column:
+    return F.pmod(F.xxhash64(graph.cast("string")), F.lit(SHARDS)).cast("int")
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.parquet(path) if there else None
+
+
 def write_network(nodes: DataFrame, edges: DataFrame, meta: DataFrame, path: str) -> None:
-    """Nodes, edges and meta (year, graph_id, ...) by year and graph; other graphs that the folder holds stay."""
+    """Nodes, edges and meta (year, graph_id, ...) by year and shard of graphs; other graphs that the folder holds stay.
+
+    Of the shards that are written anew, the graphs that do not change are copied.
+    """
     for part, df in (("nodes", nodes), ("edges", edges), ("meta", meta)):
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "graph_id").parquet(f"{path}/{part}")
+        new = df.withColumn("graph_id", F.col("graph_id").cast("string")).withColumn("shard", _shard(F.col("graph_id")))
+        old = _stored(df.sparkSession, f"{path}/{part}")
+        if old is not None:
+            new = written(new, "network")
+            old = old.withColumn("year", F.col("year").cast(new.schema["year"].dataType))
+            kept = old.join(new.select("year", "shard").distinct(), ["year", "shard"], "left_semi").join(new.select("year", "graph_id").distinct(), ["year", "graph_id"], "left_anti")
+            new = written(new.unionByName(kept, allowMissingColumns=True), "network")
+        new = new.repartition("year", "shard")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "shard").parquet(f"{path}/{part}")
 
 
 def read_network(spark: SparkSession, path: str, year: int | None = None, graphs: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and meta, of one year or of some graphs: only their folders are read."""
     out = []
     for part in ("nodes", "edges", "meta"):
-        df = spark.read.parquet(f"{path}/{part}").withColumn("graph_id", F.col("graph_id").cast("string"))
+        df = spark.read.parquet(f"{path}/{part}")
         df = df if year is None else df.where(F.col("year") == year)
-        out.append(df if graphs is None else df.where(F.col("graph_id").isin(graphs)))
+        df = df if graphs is None else df.where(F.col("shard").isin([_shard(F.lit(g)) for g in graphs]) & F.col("graph_id").isin(graphs))
+        out.append(df.drop("shard"))
     return tuple(out)
 
 

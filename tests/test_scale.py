@@ -12,6 +12,7 @@ from stormgrid.operators import sites as X
 from stormgrid.operators import spatial as S
 from stormgrid.operators import windows as W
 from stormgrid.operators.ranking import sample_n
+from stormgrid.sources import tables as T
 
 
 def km(lat1, lon1, lat2, lon2):
@@ -150,3 +151,15 @@ def test_drawn_sites_where_old_ones_fill_the_state(spark):
             taken.append(r.id)
             spots.append((r.x, r.y))
     assert taken and sorted(r.id for r in got) == sorted(taken)
+
+
+def test_networks_of_many_graphs_share_folders(spark, tmp_path):
+    path = str(tmp_path / "net")
+    rows = lambda names, v: spark.createDataFrame([(2023, g, v) for g in names], "year int, graph_id string, v int")
+    names = [f"g{i}" for i in range(300)]
+    T.write_network(*(rows(names, 1) for _ in range(3)), path)
+    T.write_network(*(rows(names[:5] + ["new"], 2) for _ in range(3)), path)
+    assert len(list((tmp_path / "net" / "nodes" / "year=2023").iterdir())) <= T.SHARDS
+    for part in T.read_network(spark, path, 2023):
+        assert sorted((r.graph_id, r.v) for r in part.collect()) == sorted([(g, 2 if g in names[:5] else 1) for g in names] + [("new", 2)])
+    assert sorted((r.graph_id, r.v) for r in T.read_network(spark, path, graphs=["g1", "g9"])[1].collect()) == [("g1", 2), ("g9", 1)]
